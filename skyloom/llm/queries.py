@@ -5,17 +5,33 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyloom.llm import counts, sharding
+from skyloom.llm import bytebpe, counts, eliasfano, packing, sharding
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def op2_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eliasfano.round_trip(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = counts.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+    out = counts.token_counts(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return out.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return sharding.shards(_docs(spark, sf_dir))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.digests(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op7_sharding)}
+QUERIES = {f.__name__: f for f in (op2_elias_fano, op4_token_counts, op5_best_fit_packing, op7_sharding, op9_byte_bpe)}
 ORACLE: dict[str, str] = {}
