@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyloom.llm import bytebpe, counts, eliasfano, packing, sharding
+from skyloom.llm import bytebpe, counts, eliasfano, jaccard, packing, sharding
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,9 +29,13 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_docs(spark, sf_dir))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_classes(_docs(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digests(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_elias_fano, op4_token_counts, op5_best_fit_packing, op7_sharding, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_elias_fano, op4_token_counts, op5_best_fit_packing, op7_sharding, op8_ngram_jaccard, op9_byte_bpe)}
 ORACLE: dict[str, str] = {}
