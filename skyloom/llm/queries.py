@@ -5,17 +5,26 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyloom.llm import bytebpe, counts, eliasfano, jaccard, packing, sharding
+from skyloom.llm import bytebpe, counts, eliasfano, jaccard, packing, quality, secrets, sharding
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.quality(_docs(spark, sf_dir))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+
+
 def op2_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eliasfano.round_trip(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op3_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_docs(spark, sf_dir)).drop("found")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = counts.token_counts(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return out.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -37,5 +46,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digests(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_elias_fano, op4_token_counts, op5_best_fit_packing, op7_sharding, op8_ngram_jaccard, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_mcd_quality, op2_elias_fano, op3_entropy_secrets, op4_token_counts, op5_best_fit_packing, op7_sharding, op8_ngram_jaccard, op9_byte_bpe)}
 ORACLE: dict[str, str] = {}
