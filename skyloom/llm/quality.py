@@ -121,11 +121,12 @@ def _distance() -> Column:
     return total
 
 
-_BIN = F.floor(32 * F.log2(1 + F.col("d2"))).cast("int")
+def _bin() -> Column:
+    return F.floor(32 * F.log2(1 + F.col("d2"))).cast("int").alias("bin")
 
 
 def _concentrate(vectors: DataFrame, shape: DataFrame) -> DataFrame:
-    bins = vectors.join(shape.drop("logdet"), "grp").withColumn("d2", _distance()).groupBy("grp", "start", _BIN.alias("bin")).agg(*_moments())
+    bins = vectors.join(shape.drop("logdet"), "grp").withColumn("d2", _distance()).groupBy("grp", "start", _bin()).agg(*_moments())
     order = Window.partitionBy("grp", "start").orderBy("bin")
     inner = bins.withColumn("before", F.sum("n").over(order) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("grp", "start"))).filter(F.col("before") < TRIM * F.col("all"))
     return written(_shape(_added(inner, "grp", "start"), "grp", "start"), "shape")
@@ -161,7 +162,7 @@ def estimates(stats: DataFrame, least: int = 50, steps: int = 4) -> DataFrame:
     for _ in range(steps):
         shape = _concentrate(vectors, shape)
     best = written(shape.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy("logdet", "start"))).filter("place = 1").drop("place", "logdet"), "best")
-    bins = written(vectors.join(best, "grp").withColumn("d2", _distance()).groupBy("grp", _BIN.alias("bin")).agg(*_moments()), "bins")
+    bins = written(vectors.join(best, "grp").withColumn("d2", _distance()).groupBy("grp", _bin()).agg(*_moments()), "bins")
     by = Window.partitionBy("grp")
     upto = bins.select("grp", "bin", F.sum("n").over(by.orderBy("bin")).alias("upto"), F.sum("n").over(by).alias("all"))
     scale = upto.filter(2 * F.col("upto") >= F.col("all")).groupBy("grp").agg(F.min("bin").alias("mid"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyloom.llm import bytebpe, counts, eliasfano, jaccard, packing, quality, secrets, sharding
+from skyloom.llm import ann, bytebpe, counts, eliasfano, jaccard, packing, quality, secrets, sharding, urlfilter
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,48 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
+def op6_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures are the pages, fetched at a time that follows from the id; the list's entries (three dates for each
+    host and each parent domain) follow from the names."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    fetched = F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") % 731 * 86400 + F.col("page_id") * 37 % 24 * 3600)
+    hosts = pages.select(urlfilter.host_of(F.col("url")).alias("key")).filter("key != ''").distinct()
+    parents = hosts.select(F.regexp_extract("key", r"^[^.]+\.(.+\..+)$", 1).alias("key")).filter("key != ''")
+    names = hosts.union(parents).distinct().withColumn("h", F.length("key") * 31 + F.ascii("key") * 17 + F.ascii(F.substring("key", 4, 1)) * 7)
+    entries = names.select("key", "h", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("e")).select(
+        "key", F.element_at(F.array(F.lit("adult"), F.lit("malware"), F.lit("spam")), F.col("h") % 3 + 1).alias("list"),
+        F.timestamp_seconds(F.lit(1704067200) + (F.col("h") % 97 * 3 + F.col("e") * (20 + F.col("h") % 150)) * 86400).alias("at"), (F.col("e") % 2 == 0).alias("active"),
+    )
+    out = urlfilter.listed_at_fetch(pages.withColumn("fetched", fetched), entries)
+    return out.select("page_id", F.unix_seconds("fetched").alias("fetched_s"), "blocked", "lists", "matched")
+
+
+OP6_SQL = r"""
+WITH captures AS (
+  SELECT page_id, url, 1704067200 + page_id % 731 * 86400 + page_id * 37 % 24 * 3600 AS fetched_s,
+         lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
+         regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+names AS (
+  SELECT DISTINCT key, length(key) * 31 + ascii(key) * 17 + ascii(substr(key, 4, 1)) * 7 AS h
+  FROM (SELECT host AS key FROM captures UNION ALL SELECT regexp_extract(host, '^[^.]+\.(.+\..+)$', 1) FROM captures)
+  WHERE key <> ''),
+entries AS (
+  SELECT key, ['adult', 'malware', 'spam'][h % 3 + 1] AS list, 1704067200 + (h % 97 * 3 + e * (20 + h % 150)) * 86400 AS since, e
+  FROM names, range(3) r(e)),
+spans AS (
+  SELECT key, list, since, until FROM (SELECT *, lead(since) OVER (PARTITION BY key, list ORDER BY since) AS until FROM entries) WHERE e % 2 = 0),
+met AS (
+  SELECT DISTINCT c.page_id, s.list, s.key
+  FROM captures c JOIN spans s ON (c.host = s.key OR ends_with(c.host, '.' || s.key) OR c.host || c.path = s.key)
+   AND s.since <= c.fetched_s AND (s.until IS NULL OR c.fetched_s < s.until)),
+told AS (
+  SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, arg_max(key, length(key) * 1000) AS matched FROM met GROUP BY page_id)
+SELECT c.page_id, c.fetched_s, t.lists IS NOT NULL AS blocked, coalesce(t.lists, '') AS lists, t.matched
+FROM captures c LEFT JOIN told t USING (page_id)
+""".replace("\\\\", "\\")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_docs(spark, sf_dir))
 
@@ -46,5 +88,9 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digests(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mcd_quality, op2_elias_fano, op3_entropy_secrets, op4_token_counts, op5_best_fit_packing, op7_sharding, op8_ngram_jaccard, op9_byte_bpe)}
-ORACLE: dict[str, str] = {}
+def op10_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_mcd_quality, op2_elias_fano, op3_entropy_secrets, op4_token_counts, op5_best_fit_packing, op6_temporal_lists, op7_sharding, op8_ngram_jaccard, op9_byte_bpe, op10_posting_lists)}
+ORACLE: dict[str, str] = {"op6_temporal_lists": OP6_SQL}
