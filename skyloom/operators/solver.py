@@ -153,7 +153,7 @@ class NormalOperator:
                             tau = kernel @ amp
                             v = v - row[0] * sum(tw * tau[bin_] for bin_, tw in classes)
                         out += [np.bincount(inverse, w[s][low:high][seen] * v[low:high][seen], len(at)) for s in range(3)]
-                    yield pa.RecordBatch.from_arrays([pa.array(at), *map(pa.array, out)], ["place", *names])
+                    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(x.astype(float)) for x in out)], ["place", *names])
 
         parts = self.rows.mapInArrow(run, "place long, " + ", ".join(f"{n} double" for n in names))
         total = parts.groupBy("place").agg(*(F.sum(n).alias(n) for n in names)).toArrow()

@@ -515,36 +515,36 @@ def _solvable(spark, sf_dir):
 
 def _solve(spark, sf_dir, how: Callable) -> DataFrame:
     rows, inverse = _solvable(spark, sf_dir)
-    op = solver.NormalOperator(rows, _noise_rows(spark, sf_dir, [10, 2, 3]), 3)
+    op = solver.NormalOperator(rows, _noise_rows(spark, sf_dir, [10, 2, 3]), 3, remove_mean=False)
     found = how(op, solver.BlockJacobi(inverse, op.pixels), rows)
     return op.frame(found.x)
 
 
 @query()
 def pcg_map(spark, sf_dir):
-    return _solve(spark, sf_dir, lambda op, m, rows: solver.pcg(op, m, 1e-8, 100))
+    return _solve(spark, sf_dir, lambda op, m, rows: solver.pcg(op, m, 1e-8, 40))
 
 
 @query()
 def ecg_map(spark, sf_dir):
-    return _solve(spark, sf_dir, lambda op, m, rows: solver.enlarged_cg(op, m, 4, 1e-8, 100))
+    return _solve(spark, sf_dir, lambda op, m, rows: solver.enlarged_cg(op, m, 4, 1e-8, 40))
 
 
 @query()
 def two_level_map(spark, sf_dir):
-    return _solve(spark, sf_dir, lambda op, m, rows: solver.pcg(op, solver.TwoLevel(op, m, solver.a_priori_basis(rows, op, 4)), 1e-8, 100))
+    return _solve(spark, sf_dir, lambda op, m, rows: solver.pcg(op, solver.TwoLevel(op, m, solver.a_priori_basis(rows, op, 4)), 1e-8, 40))
 
 
 @query()
 def lanczos_map(spark, sf_dir):
-    return _solve(spark, sf_dir, lambda op, m, rows: solver.pcg(op, solver.TwoLevel(op, m, solver.lanczos_basis(op, 4)), 1e-8, 100))
+    return _solve(spark, sf_dir, lambda op, m, rows: solver.pcg(op, solver.TwoLevel(op, m, solver.lanczos_basis(op, 4)), 1e-8, 40))
 
 
 @query()
 def pcg_residuals(spark, sf_dir):
     rows, inverse = _solvable(spark, sf_dir)
-    op = solver.NormalOperator(rows, _noise_rows(spark, sf_dir, [10, 2, 3]), 3)
-    found = solver.pcg(op, solver.BlockJacobi(inverse, op.pixels), 1e-8, 100)
+    op = solver.NormalOperator(rows, _noise_rows(spark, sf_dir, [10, 2, 3]), 3, remove_mean=False)
+    found = solver.pcg(op, solver.BlockJacobi(inverse, op.pixels), 1e-8, 40)
     return spark.createDataFrame(pa.table({"iter": np.arange(len(found.residuals)), "res_rel": np.array(found.residuals)}))
 
 
