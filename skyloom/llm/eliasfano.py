@@ -29,6 +29,7 @@ from skyloom.sources.staging import shared_path, written
 
 MAGIC, EVERY = b"EFIDS1\0\0", 512
 HEADER = struct.Struct("<8sIIQQQIIq")  # magic, part, file, documents, null ids, ids, bytes of an id, 0, first document id
+LEAST = HEADER.size
 PART = struct.Struct("<QBxxxIII")  # values, low bits, bytes of low bits, of high bits, samples
 
 
@@ -148,6 +149,8 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for blob in b["content"]:
+                if len(blob.as_buffer()) < LEAST:
+                    continue  # what a task without rows leaves
                 f = IdFile(blob.as_buffer())
                 ends = f.ends.decode()
                 crc = [zlib.crc32(f.ids[a:z].astype("<u4")) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist())]

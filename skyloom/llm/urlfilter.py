@@ -52,5 +52,8 @@ def listed_at_fetch(captures: DataFrame, entries: DataFrame, url: str = "url", f
     seen = once.select("u", "f", F.explode(keys_of(F.col("u"))).alias("key"), _month(F.col("f")).alias("month"))
     met = seen.join(spans, ["key", "month"]).filter((F.col("since") <= F.col("f")) & (F.col("until").isNull() | (F.col("f") < F.col("until"))))
     told = met.groupBy("u", "f").agg(F.array_join(F.sort_array(F.collect_set("list")), ",").alias(f"{prefix}lists"), F.max(F.struct(F.length("key").alias("n"), "key"))["key"].alias(f"{prefix}matched"))
-    rows = captures.join(told, (captures[url] == told["u"]) & (captures[fetched].cast("timestamp") == told["f"]), "left").drop("u", "f")
-    return rows.select(*captures.columns, F.col(f"{prefix}lists").isNotNull().alias(f"{prefix}blocked"), F.coalesce(f"{prefix}lists", F.lit("")).alias(f"{prefix}lists"), f"{prefix}matched")
+    rows = captures.select(F.struct("*").alias("_row"), F.col(url).alias("_u"), F.col(fetched).cast("timestamp").alias("_f"))
+    lists = F.col(f"{prefix}lists")
+    rows = rows.join(told, (F.col("_u") == F.col("u")) & (F.col("_f") == F.col("f")), "left")
+    rows = rows.select("_row", lists.isNotNull().alias(f"{prefix}blocked"), F.coalesce(lists, F.lit("")).alias(f"{prefix}lists"), f"{prefix}matched")
+    return rows.select("_row.*", f"{prefix}blocked", f"{prefix}lists", f"{prefix}matched")
