@@ -72,11 +72,15 @@ def without_degenerate(tod: DataFrame, bad: DataFrame) -> DataFrame:
 
 def solved(blocks: DataFrame, rhs: DataFrame, cut: float = RCOND_CUT) -> DataFrame:
     """The binned map: each kept pixel's block inverse times its right-hand side; with hits and rcond."""
+    return solved_rows(blocks.join(rhs, "pix"), cut)
+
+
+def solved_rows(rows: DataFrame, cut: float = RCOND_CUT) -> DataFrame:
+    """The same where one table has both."""
     block = Block.of()
     top = block.adjugate().times(F.col("i"), F.col("q"), F.col("u"))
     det = block.determinant().cast("double")
-    both = kept(blocks, cut).join(rhs, "pix")
-    return both.select("pix", "hits", "rcond", *((n.cast("double") / det).alias(s) for n, s in zip(top, "iqu")))
+    return kept(rows, cut).select("pix", "hits", "rcond", *((n.cast("double") / det).alias(s) for n, s in zip(top, "iqu")))
 
 
 def inverse(blocks: DataFrame, cut: float = RCOND_CUT) -> DataFrame:

@@ -21,4 +21,4 @@ def sums(stream: DataFrame, value: str) -> DataFrame:
 
 
 def solved(state: DataFrame, cut: float = pixel_blocks.RCOND_CUT) -> DataFrame:
-    return pixel_blocks.solved(state.drop(*STOKES), state.select("pix", *STOKES), cut)
+    return pixel_blocks.solved_rows(state, cut)
