@@ -5,7 +5,7 @@ order.  Documents with equal sets form a class, and the join runs between classe
 
 1. A fragment of the order (three eighths) is counted first.  A link needs three quarters of a set shared, so a class
    with more than a quarter of its set found nowhere else, even in this fragment alone, has no partner and drops out.
-2. Star rounds.  Every n-gram nominates one leader among its classes; partial overlaps of (class, leader) are counted
+2. Star rounds.  Every n-gram nominates one leader among its classes, the one that shares most of its own set; partial overlaps of (class, leader) are counted
    within each fragment of n-grams (a partition of the shuffle, before anything is sent on) and summed per pair.  The
    sum never exceeds the true overlap, so pairs over the threshold are links.  N-grams whose classes have come
    together in one component can't add anything; a class that keeps less than three quarters of its set in other
@@ -39,7 +39,10 @@ FRAGMENTS = 8
 BROADCAST_ROWS = 1 << 20
 _FIRST = np.uint64(3 << 61)
 
-_words = Table(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), 400_000)
+#: Rows that a worker holds sets of at a time.
+SLICE = 500
+
+_words = Table(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), 120_000)
 
 
 def ngram_set(text: str | None, n: int = 5) -> np.ndarray:
@@ -68,12 +71,20 @@ def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
 def _features(docs: DataFrame, n: int) -> DataFrame:
-    """For each row: size of its set, its class, and the set's n-grams in the first fragment (once per class and batch)."""
+    """For each row: size of its set, its class, and the set's n-grams in the first fragment (null for most copies)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes, classes, first, seen = [], [], [], set()
+        seen: set[int] = set()
+        for b in _slices(batches):
+            seen = seen if len(seen) < 100_000 else set()
+            sizes, classes, first = [], [], []
             for text in b["text"]:
                 grams = ngram_set(text.as_py(), n)
                 c = class_of(grams)
@@ -88,33 +99,37 @@ def _features(docs: DataFrame, n: int) -> DataFrame:
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             grams = [ngram_set(text.as_py(), n) for text in b["text"]]
             yield pa.RecordBatch.from_arrays([pa.array([class_of(g) for g in grams], pa.int64()), pa.array([len(g) for g in grams], pa.int64()), _lists(grams)], ["x", "n", "grams"])
 
     return docs.select("text").mapInArrow(run, "x long, n long, grams array<bigint>")
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A written table of a few numbers a class, for broadcast while it has ``BROADCAST_ROWS`` rows at most."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _links(overlap: Column, n: Column, m: Column) -> Column:
     return 100 * overlap >= 75 * (n + m - overlap)
 
 
-def _star_round(sets: DataFrame, mask: int) -> DataFrame:
-    """(x, l, k): k n-grams of x that some other component has, too, nominate l; l is the least of x XOR mask."""
-    grams = sets.select("x", "label", F.explode("grams").alias("h"))
-    leads = grams.groupBy("h").agg(F.min(F.col("x").bitwiseXOR(F.lit(mask))).alias("l"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    leads = leads.filter("lo != hi").select("h", F.col("l").bitwiseXOR(F.lit(mask)).alias("l"))
-    return written(grams.select("x", "h").join(leads, "h").groupBy("x", "l").agg(F.count(F.lit(1)).alias("k")), "stars")
+def _prior(lonely: Column, turn: int) -> Column:
+    """Smaller for classes that share more of their set: the centres of their groups. The rest of the bits are a hash."""
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), lonely))
+    return F.shiftleft((share * (1 << 14)).cast("long"), 48).bitwiseOR(F.xxhash64("x", F.lit(turn)).bitwiseAND(F.lit((1 << 48) - 1)))
 
 
-def _relabel(sets: DataFrame, links: DataFrame) -> DataFrame:
-    """(x, label) after links between labels; chains longer than the jumps merge later, in components()."""
-    at = sets.select("x", "label")
-    ends = links.join(at.toDF("u", "a"), "u").join(at.toDF("v", "b"), "v")
-    up = written(ends.filter("a != b").groupBy(F.greatest("a", "b").alias("label")).agg(F.min(F.least("a", "b")).alias("up")), "parents")
-    for _ in range(2):
-        up = written(up.join(up.toDF("up", "upper"), "up", "left").select("label", F.coalesce("upper", "up").alias("up")), "parents")
-    return at.join(up, "label", "left").select("x", F.coalesce("up", "label").alias("label"))
+def _star_round(sets: DataFrame, first: bool) -> DataFrame:
+    """(x, l, k): k n-grams of x that some other component has, too, nominate l, which has the least ``prior``."""
+    grams = sets.select("x", "label", "prior", F.explode("grams").alias("h"))
+    lead = F.min_by("x", "prior").alias("l")
+    if first:  # every class is its own component
+        leads = grams.groupBy("h").agg(lead, F.count(F.lit(1)).alias("n")).filter("n > 1")
+    else:
+        leads = grams.groupBy("h").agg(lead, F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi")
+    return written(grams.select("x", "h").join(leads.select("h", "l"), "h").groupBy("x", "l").agg(F.count(F.lit(1)).alias("k")), "stars")
 
 
 def _exact(sets: DataFrame) -> DataFrame:
@@ -131,17 +146,18 @@ def _exact(sets: DataFrame) -> DataFrame:
     reach = (F.col("x") < F.col("y")) & (F.col("label") != F.col("label2")) & (7 * F.least("rest", "rest2") >= 3 * (F.col("n") + F.col("m")))
     pairs = row.join(other, (row["h"] == other["h"]) & reach).select("x", "y", "n", "m").distinct()
     pairs = written(pairs, "candidates")
+    wanted = written(pairs.select("x").union(pairs.select("y")).distinct(), "wanted")
     cut = F.shiftrightunsigned("h", 64 - FRAGMENTS.bit_length() + 1).cast("int")
-    segments = sets.select("x", F.explode("grams").alias("h")).withColumn("f", cut)
-    wanted = pairs.select("x").union(pairs.select("y")).distinct()
-    segments = written(segments.join(wanted, "x", "left_semi").groupBy("x", "f").agg(F.collect_list("h").alias("part")), "segments")
+    segments = sets.join(_small(wanted), "x", "left_semi").select("x", F.explode("grams").alias("h")).withColumn("f", cut)
+    segments = written(segments.groupBy("x", "f").agg(F.collect_list("h").alias("part")), "segments")
     partial = pairs.join(segments, "x").join(segments.toDF("y", "f", "part2"), ["y", "f"])
     counted = partial.groupBy("x", "y", "n", "m").agg(F.sum(F.size(F.array_intersect("part", "part2"))).alias("k"))
     return counted.filter(_links(F.col("k"), F.col("n"), F.col("m"))).select(F.col("x").alias("u"), F.col("y").alias("v"))
 
 
 def similarity_classes(docs: DataFrame, n: int = 5, star_rounds: int = 2, key: Column | None = None) -> DataFrame:
-    """One row per document: doc_id, key (of the caller's), n_shingles, class_id (equal sets), component_id."""
+    """One row per document: doc_id, key (of the caller's), n_shingles, class_id (equal sets), root (a class
+    that stands for the component) and component_id."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), "text", (F.lit(None) if key is None else key).cast("string").alias("key"))
     wide = written(_features(texts, n), "features")
@@ -149,31 +165,52 @@ def similarity_classes(docs: DataFrame, n: int = 5, star_rounds: int = 2, key: C
     classes = rows.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("m"), F.first("n").alias("n"))
     first = wide.select("c", F.explode("first").alias("h")).groupBy("h").agg(F.min("c").alias("c"), F.max("c").alias("other"))
     alone = first.filter("c = other").groupBy("c").agg(F.count(F.lit(1)).alias("alone"))
-    left = written(classes.join(alone, "c", "left").filter(4 * F.coalesce("alone", F.lit(0)) <= F.col("n")).select("c", "m"), "survivors")
+    left = written(classes.join(alone, "c", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).filter("4 * alone <= n").select("c", "m", "n", "alone"), "survivors")
     discard_table(wide)
 
-    wanted = left.select("m").distinct()
-    wanted = F.broadcast(wanted) if left.count() <= BROADCAST_ROWS else wanted
+    small = left.count() <= BROADCAST_ROWS
+    wanted, known = left.select("m").distinct(), left.select(F.col("c").alias("x"), "alone")
+    wanted, known = (F.broadcast(wanted), F.broadcast(known)) if small else (wanted, known)
     some = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["m"]), "left_semi")
-    sets = _sets(some, n).join(left.select(F.col("c").alias("x")), "x", "left_semi").dropDuplicates(["x"])
-    sets = written(sets.withColumn("label", F.col("x")), "sets")
+    sets = _sets(some, n).join(known, "x")
+    unique = texts.groupBy("doc_id").count().filter("count > 1").isEmpty()  # an id of several rows may bring a class twice
+    sets = sets if unique else sets.dropDuplicates(["x"])
+    sets = written(sets.withColumn("label", F.col("x")).withColumn("prior", _prior(8 / 3 * F.col("alone") / F.col("n"), 0)).drop("alone"), "sets")
 
-    found = spark.createDataFrame([], "u long, v long")
+    roots = spark.createDataFrame([], "u long, root long")
     for turn in range(star_rounds):
-        stars = _star_round(sets, -turn * 0x1E3779B97F4A7C15 % (1 << 63))
+        stars = _star_round(sets, turn == 0)
         size = sets.select("x", "n")
         near = stars.filter("x != l").join(size, "x").join(size.toDF("l", "m"), "l").filter(_links(F.col("k"), F.col("n"), F.col("m")))
         links = written(near.select(F.col("x").alias("u"), F.col("l").alias("v")), "links")
-        found = found.unionByName(links)
-        open_ = stars.groupBy("x").agg(F.sum("k").alias("k"))
-        now = sets.drop("label").join(_relabel(sets, links), "x").join(open_, "x").filter(4 * F.col("k") >= 3 * F.col("n"))
-        sets = written(now.select("x", "n", "grams", "label"), "sets")
-    roots = components(found.unionByName(_exact(sets)))
+        roots = components(roots.toDF("u", "v").unionByName(links))
+        open_ = stars.groupBy("x").agg(F.sum("k").alias("k")).join(size, "x").filter(4 * F.col("k") >= 3 * F.col("n")).drop("n")
+        state = written(open_.join(roots.toDF("x", "label"), "x", "left").withColumn("label", F.coalesce("label", "x")), "state")
+        now = sets.drop("label", "prior").join(_small(state), "x")
+        sets = written(now.withColumn("prior", _prior(1 - F.col("k") / F.col("n"), turn + 1)).select("x", "n", "grams", "label", "prior"), "sets")
+    roots = components(roots.toDF("u", "v").unionByName(_exact(sets)))
 
     of = classes.select("c", "m").join(roots.select(F.col("u").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     of = written(of, "roots")
     ids = of.groupBy("root").agg(F.min("m").alias("component_id"))
-    by_class = of.join(ids, "root").select("c", "component_id")
+    by_class = of.join(ids, "root").select("c", "root", "component_id")
     joined = rows.join(by_class, "c", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("c").alias("class_id"), own.alias("component_id"))
+    return joined.select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("c").alias("class_id"), F.coalesce("root", "c").alias("root"), own.alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, n: int = 5) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the row of the smallest doc_id stays (of equal ids the
+    one with the smallest digest of its text, of repeated rows one). Rows without words stay."""
+    digest = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))).cast("binary"))
+    found = written(similarity_classes(docs, n, key=digest), "found").filter("n_shingles > 0")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    times = found.groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("times"))
+    best = times.groupBy("root").agg(F.min(rank).alias("best")).select(F.col("best.key").alias("key"))
+    stays = times.join(best, "key", "left_semi")
+    goes = written(times.join(best, "key", "left_anti").select(F.col("key").alias("_key"), F.lit(0).alias("_copies")).unionByName(stays.filter("times > 1").select(F.col("key").alias("_key"), F.lit(1).alias("_copies"))), "goes")
+    goes = F.broadcast(goes) if goes.count() <= BROADCAST_ROWS // 8 else goes  # 32 bytes and a digit a row
+    marked = docs.select(F.struct("*").alias("_row"), digest.alias("_key")).join(goes, "_key", "left")
+    alone = marked.filter("_copies IS NULL").select("_row.*")
+    copies = marked.filter("_copies = 1").dropDuplicates(["_key"]).select("_row.*")
+    return alone.unionByName(copies)
