@@ -73,7 +73,7 @@ told AS (
   SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, arg_max(key, length(key) * 1000) AS matched FROM met GROUP BY page_id)
 SELECT c.page_id, c.fetched_s, t.lists IS NOT NULL AS blocked, coalesce(t.lists, '') AS lists, t.matched
 FROM captures c LEFT JOIN told t USING (page_id)
-""".replace("\\\\", "\\")
+"""
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
