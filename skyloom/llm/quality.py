@@ -35,6 +35,8 @@ P, SCALE, TRIM = len(FLOORS), 1000, 0.75
 CHI_MEDIAN, CHI_975 = 4.351, 12.833
 #: Its quantile that one in ten million exceeds: the default cut.
 CUT = 41.0
+#: Most rows of a table by group that is broadcast.
+GROUPS = 100_000
 V = [f"v{i}" for i in range(P)]
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 
@@ -125,8 +127,14 @@ def _bin() -> Column:
     return F.floor(32 * F.log2(1 + F.col("d2"))).cast("int").alias("bin")
 
 
+def _by_group(table: DataFrame) -> DataFrame:
+    """A written table of one or two rows a group: by broadcast while it has ``GROUPS`` rows at most (some 20 MB), so
+    documents don't move to meet it; else by a join that Spark splits where a group is large."""
+    return F.broadcast(table) if table.count() <= GROUPS else table
+
+
 def _concentrate(vectors: DataFrame, shape: DataFrame) -> DataFrame:
-    bins = vectors.join(shape.drop("logdet"), "grp").withColumn("d2", _distance()).groupBy("grp", "start", _bin()).agg(*_moments())
+    bins = vectors.join(_by_group(shape.drop("logdet")), "grp").withColumn("d2", _distance()).groupBy("grp", "start", _bin()).agg(*_moments())
     order = Window.partitionBy("grp", "start").orderBy("bin")
     inner = bins.withColumn("before", F.sum("n").over(order) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("grp", "start"))).filter(F.col("before") < TRIM * F.col("all"))
     return written(_shape(_added(inner, "grp", "start"), "grp", "start"), "shape")
@@ -143,7 +151,7 @@ def _middle(values: DataFrame) -> DataFrame:
 def _starts(vectors: DataFrame) -> DataFrame:
     long = vectors.select("grp", F.posexplode(F.array(*V)).alias("i", "x"))
     mid = written(_middle(long), "medians")
-    mad = _middle(long.join(mid, ["grp", "i"]).select("grp", "i", F.abs(F.col("x") - F.col("mid")).alias("x"))).withColumnRenamed("mid", "mad")
+    mad = _middle(long.join(_by_group(mid), ["grp", "i"]).select("grp", "i", F.abs(F.col("x") - F.col("mid")).alias("x"))).withColumnRenamed("mid", "mad")
     both = mid.join(mad, ["grp", "i"])
     pick = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c)))
     wide = both.groupBy("grp").agg(*(pick("mid", i).alias(f"s{i}") for i in range(P)), *(pick("mad", i).alias(f"d{i}") for i in range(P)))
@@ -156,13 +164,13 @@ def _starts(vectors: DataFrame) -> DataFrame:
 def estimates(stats: DataFrame, least: int = 50, steps: int = 4) -> DataFrame:
     """The reweighted estimate of each group: grp, location m, inverse factor w."""
     vectors = stats.filter(~F.col("base_failed")).select("grp", *_vector())
-    big = vectors.groupBy("grp").count().filter(F.col("count") >= least).select("grp")
-    vectors = written(vectors.join(big, "grp", "left_semi"), "vectors")
+    big = written(vectors.groupBy("grp").count().filter(F.col("count") >= least).select("grp"), "groups")
+    vectors = written(vectors.join(_by_group(big), "grp", "left_semi"), "vectors")
     shape = _starts(vectors)
     for _ in range(steps):
         shape = _concentrate(vectors, shape)
     best = written(shape.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy("logdet", "start"))).filter("place = 1").drop("place", "logdet"), "best")
-    bins = written(vectors.join(best, "grp").withColumn("d2", _distance()).groupBy("grp", _bin()).agg(*_moments()), "bins")
+    bins = written(vectors.join(_by_group(best), "grp").withColumn("d2", _distance()).groupBy("grp", _bin()).agg(*_moments()), "bins")
     by = Window.partitionBy("grp")
     upto = bins.select("grp", "bin", F.sum("n").over(by.orderBy("bin")).alias("upto"), F.sum("n").over(by).alias("all"))
     scale = upto.filter(2 * F.col("upto") >= F.col("all")).groupBy("grp").agg(F.min("bin").alias("mid"))
@@ -174,7 +182,7 @@ def judged(stats: DataFrame, cut: float = CUT, least: int = 50) -> DataFrame:
     """``stats`` with d2 (null: not judged) and kept."""
     found = estimates(stats, least)
     names = stats.columns
-    rows = stats.select("*", *_vector()).join(found, "grp", "left").withColumn("d2", _distance())
+    rows = stats.select("*", *_vector()).join(_by_group(found), "grp", "left").withColumn("d2", _distance())
     return rows.select(*names, "d2", (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cut)).alias("kept"))
 
 
