@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from skyloom.sources.staging import written
 
-def sorted_distinct(df: DataFrame, key: str) -> DataFrame:
-    """The distinct keys with their position (from 0) in ascending order.
 
-    Positions come from a range shuffle: each range numbers its own keys after the counts of those before it.
+def numbered(df: DataFrame, keys: list[str], to: str) -> DataFrame:
+    """``df`` with row numbers from 0 in the order of ``keys``.
+
+    Ranges of the keys are sorted and written (so a lost executor changes nothing); each numbers its own rows, after
+    the counts of those before it: one row for each range.
     """
-    once = df.select(key).filter(F.col(key).isNotNull()).distinct()
-    parts = once.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    parts = parts.persist()
-    sizes = parts.groupBy("_part").count()
+    part = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    part = written(part.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    sizes = part.groupBy("_part").count()
     before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
-    return parts.join(F.broadcast(before), "_part").select(key, (F.col("_before") + F.col("_at")).alias("position"))  # a row for each partition
+    return part.join(before, "_part").withColumn(to, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
+def sorted_distinct(df: DataFrame, key: str) -> DataFrame:
+    """The distinct keys with their position (from 0) in ascending order."""
+    return numbered(df.select(key).filter(F.col(key).isNotNull()).distinct(), [key], "position")
 
 
 def cardinality(df: DataFrame, key: str) -> DataFrame:

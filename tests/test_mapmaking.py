@@ -110,6 +110,8 @@ def test_gaps_in_a_gappy_product(spark):
     rows = spark.createDataFrame([(0, t, t, v) for t, v in enumerate([1, 2, 4, 8, 16])], "block_id int, t long, row long, v long")
     gaps = spark.createDataFrame([(2, 1)], "id0 long, len int")
     assert [r.y for r in toeplitz.gappy_product(rows, gaps, [10, 2, 3], "v").orderBy("row").collect()] == [14, 46, 0, 118, 176]
+    packed = flags.gaps_dropped(rows, gaps).orderBy("row").collect()
+    assert [(r.row, r.packed) for r in packed] == [(0, 0), (1, 1), (3, 2), (4, 3)]
     long = spark.createDataFrame([(0, 9000)], "id0 long, len int")
     assert flags.in_gaps(spark.range(10000).withColumnRenamed("id", "row"), long).filter("in_gap").count() == 9000
 
