@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skyloom.llm.components import components
-from skyloom.llm.pretokens import Table
+from skyloom.llm.pretokens import Table, release
 from skyloom.sources.staging import discard_table, written
 
 FRAGMENTS = 8
@@ -81,6 +81,7 @@ def _features(docs: DataFrame, n: int) -> DataFrame:
     """For each row: size of its set, its class, and the set's n-grams in the first fragment (null for most copies)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen: set[int] = set()
         for b in _slices(batches):
             seen = seen if len(seen) < 100_000 else set()
@@ -99,6 +100,7 @@ def _features(docs: DataFrame, n: int) -> DataFrame:
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in _slices(batches):
             grams = [ngram_set(text.as_py(), n) for text in b["text"]]
             yield pa.RecordBatch.from_arrays([pa.array([class_of(g) for g in grams], pa.int64()), pa.array([len(g) for g in grams], pa.int64()), _lists(grams)], ["x", "n", "grams"])

@@ -111,3 +111,8 @@ def encoder(path: str, kind=Encoder) -> Encoder:
     if (kind, path) not in _OPEN:
         _OPEN[kind, path] = kind(path)
     return _OPEN[kind, path]
+
+
+def release() -> None:
+    """Frees the tables of this worker process, which Spark may have used for tokens before."""
+    _OPEN.clear()
