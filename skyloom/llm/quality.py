@@ -13,9 +13,10 @@ hardly varies from rejecting what differs a little.
 Statistics are rounded to thousandths, so sums are exact and don't depend on the order of rows.
 
 Defined cases: a null text has no words and fails the base rule; null languages and sources are groups of their own;
-groups of fewer than ``least`` documents aren't judged (their documents are kept if they pass the base rule); null
-ids and repeated rows are kept; an empty table gives no rows; clashing column names don't matter (``statistics``
-reads doc_id, text, lang and source alone, and rows travel as a struct where they are carried along).
+groups of fewer than ``least`` documents that pass the base rule are judged by the estimate of their language, and
+where that has too few as well, by that of all documents, however few; null ids and repeated rows are kept; an empty
+table gives no rows; clashing column names don't matter (``statistics`` reads doc_id, text, lang and source alone, and
+rows travel as a struct where they are carried along).
 """
 
 from __future__ import annotations
@@ -161,11 +162,23 @@ def _starts(vectors: DataFrame) -> DataFrame:
     return written(_shape(robust.unionByName(classical.withColumn("n", F.col("n").cast("double"))), "grp", "start"), "shape")
 
 
+def _pools(stats: DataFrame, least: int) -> DataFrame:
+    """grp, lang and the pool whose estimate judges the group: itself, its language or all documents (their names have
+    no separator, so they are no group's)."""
+    counts = stats.groupBy("grp").agg(F.count_if(~F.col("base_failed")).alias("n"))
+    counts = written(counts.withColumn("lang", F.concat(F.lit("l"), F.substring_index("grp", "\x01", 1))), "groups")
+    langs = written(counts.groupBy("lang").agg(F.sum("n").alias("in_lang")), "languages")
+    pool = F.when(F.col("n") >= least, F.col("grp")).when(F.col("in_lang") >= least, F.col("lang")).otherwise("a")
+    return written(counts.join(_by_group(langs), "lang").select("grp", "lang", pool.alias("pool")), "pools")
+
+
 def estimates(stats: DataFrame, least: int = 50, steps: int = 4) -> DataFrame:
-    """The reweighted estimate of each group: grp, location m, inverse factor w."""
+    """The reweighted estimate that judges each group: grp, location m, inverse factor w."""
+    pools = _pools(stats, least)
+    within = pools.select("grp", F.explode(F.array("grp", "lang", F.lit("a"))).alias("pool"))
+    within = written(within.join(_by_group(written(pools.select("pool").distinct(), "used")), "pool", "left_semi"), "within")
     vectors = stats.filter(~F.col("base_failed")).select("grp", *_vector())
-    big = written(vectors.groupBy("grp").count().filter(F.col("count") >= least).select("grp"), "groups")
-    vectors = written(vectors.join(_by_group(big), "grp", "left_semi"), "vectors")
+    vectors = written(vectors.join(_by_group(within), "grp").select(F.col("pool").alias("grp"), *V), "vectors")
     shape = _starts(vectors)
     for _ in range(steps):
         shape = _concentrate(vectors, shape)
@@ -175,15 +188,16 @@ def estimates(stats: DataFrame, least: int = 50, steps: int = 4) -> DataFrame:
     upto = bins.select("grp", "bin", F.sum("n").over(by.orderBy("bin")).alias("upto"), F.sum("n").over(by).alias("all"))
     scale = upto.filter(2 * F.col("upto") >= F.col("all")).groupBy("grp").agg(F.min("bin").alias("mid"))
     near = bins.join(scale, "grp").filter(F.pow(2.0, F.col("bin") / 32) - 1 <= CHI_975 / CHI_MEDIAN * F.greatest(F.pow(2.0, (F.col("mid") + 1) / 32) - 1, F.lit(1.0)))
-    return written(_shape(_added(near, "grp"), "grp").drop("logdet"), "estimates")
+    found = written(_shape(_added(near, "grp"), "grp").drop("logdet").withColumnRenamed("grp", "pool"), "shape")
+    return written(pools.select("grp", "pool").join(_by_group(found), "pool").drop("pool"), "estimates")
 
 
 def judged(stats: DataFrame, cut: float = CUT, least: int = 50) -> DataFrame:
-    """``stats`` with d2 (null: not judged) and kept."""
+    """``stats`` with d2 (null only where no document passes the base rule) and kept."""
     found = estimates(stats, least)
     names = stats.columns
     rows = stats.select("*", *_vector()).join(_by_group(found), "grp", "left").withColumn("d2", _distance())
-    return rows.select(*names, "d2", (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cut)).alias("kept"))
+    return rows.select(*names, "d2", (~F.col("base_failed") & (F.col("d2") <= cut)).alias("kept"))
 
 
 def quality(docs: DataFrame) -> DataFrame:

@@ -59,6 +59,17 @@ def test_estimate_matches_dense_concentration(spark):
     assert np.allclose(np.linalg.inv(w) @ np.linalg.inv(w).T, np.cov(inside.T, bias=True) + floor, rtol=0.5, atol=0.2 * np.sqrt(np.outer(np.diag(floor), np.diag(floor))).max())
 
 
+def test_small_groups_are_judged_by_their_language_or_by_all(spark):
+    docs = [(k, prose(k, 60 + k % 90), ("en", "en", "de", "fr")[k % 4], f"s{k % 20}") for k in range(140)]  # 7 a group; en 70, de and fr 35
+    junk = {0, 1, 2, 3, 44, 47}
+    docs = [(k, " ".join(w + "###" for w in t.split()), *g) if k in junk else (k, t, *g) for k, t, *g in docs]
+    got = {r.doc_id: r for r in quality.quality(frame(spark, [*docs, (200, prose(7, 80), None, None), (201, "###" + " ###" * 9, "it", "x")])).collect()}
+    assert all(r.d2 is not None for r in got.values())
+    assert {d for d, r in got.items() if not r.kept} == junk | {201}
+    few = quality.quality(frame(spark, docs[5:8])).collect()
+    assert all(r.d2 is not None and r.kept for r in few)
+
+
 def test_filtered_rows_are_whole(spark):
     docs = frame(spark)
     out = quality.filtered(docs)
