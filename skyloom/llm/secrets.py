@@ -6,8 +6,10 @@ short are dropped.  A span is the whole match, in code points, its end exclusive
 The entropy scan takes candidate strings (runs of base64 or hexadecimal characters with a digit and a letter), slides
 a window over each and keeps sum(c * log2 c) over the window's character counts c up to date: a character that leaves
 or enters changes one term.  The span reaches from the first to the last window whose entropy is at least that of
-its class's threshold.  A candidate that an allow-list pattern matches whole is suppressed.  Its kinds are
-``entropy_hex`` and ``entropy_base64``; base spans stay whatever the scan finds.
+its class's threshold.  A candidate that an allow-list pattern matches whole is suppressed.  Maximal hexadecimal runs
+of a window or more inside another candidate (a prefix joined by ``_``, ``-``, ``/`` or ``=``) are candidates of their
+own at the hexadecimal threshold; their spans are told where the candidate's own span doesn't hold them.  The kinds
+are ``entropy_hex`` and ``entropy_base64``; base spans stay whatever the scan finds.
 
 Nulls: a null text is an empty one (no spans) and stays null when redacted; null ids and repeated rows are kept; an
 empty table gives no rows; texts go whole.  Positions of one text take time in proportion to its matches.  The
@@ -27,6 +29,7 @@ HEX = r"[0-9a-f]{24,}"
 #: Candidate strings of the entropy scan.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 WINDOW = 20
+HEX_RUN = rf"[0-9A-Fa-f]{{{WINDOW},}}+"
 #: Bits a character by class.
 THRESHOLD = {"entropy_hex": 2.9, "entropy_base64": 3.7}
 #: What is no secret although it may look random: UUIDs, numbers and dates, words with numbers after separators.
@@ -93,17 +96,26 @@ def window_entropy(value: Column, bound: Column) -> Column:
 
 
 def _entropy(text: Column, allow: tuple[str, ...]) -> Column:
-    def judged(m: Column) -> Column:
-        value = m["value"]
-        kind = F.when(value.rlike("^[0-9A-Fa-f]+$"), "entropy_hex").otherwise("entropy_base64")
-        bound = F.when(kind == "entropy_hex", THRESHOLD["entropy_hex"]).otherwise(THRESHOLD["entropy_base64"])
-        seen = let(window_entropy(value, bound), lambda w: F.when(w["first"].isNotNull(), _span(m["start"] + w["first"] - WINDOW, m["start"] + w["last"], kind)))
-        named = F.lit(False)
+    def named(value: Column) -> Column:
+        found = F.lit(False)
         for pattern in allow:
-            named = named | value.rlike(f"^(?:{pattern})$")
-        return F.when(value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~named, seen)
+            found = found | value.rlike(f"^(?:{pattern})$")
+        return found
 
-    spans = F.filter(F.transform(_matches(text, CANDIDATE), judged), lambda s: s.isNotNull())
+    def over(start: Column, value: Column, kind: Column) -> Column:
+        bound = F.when(kind == "entropy_hex", THRESHOLD["entropy_hex"]).otherwise(THRESHOLD["entropy_base64"])
+        seen = let(window_entropy(value, bound), lambda w: F.when(w["first"].isNotNull(), _span(start + w["first"] - WINDOW, start + w["last"], kind)))
+        return F.when(value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~named(value), seen)
+
+    def judged(m: Column) -> Column:
+        start, value = m["start"], m["value"]
+        hexadecimal = value.rlike("^[0-9A-Fa-f]+$")
+        inner = F.transform(_matches(value, HEX_RUN), lambda r: over(start + r["start"], r["value"], F.lit("entropy_hex")))
+        apart = lambda s: F.filter(inner, lambda h: s.isNull() | (h["start"] < s["start"]) | (h["end"] > s["end"]))
+        more = lambda s: F.when(~hexadecimal & value.rlike(HEX_RUN) & ~named(value), F.array_append(apart(s), s)).otherwise(F.array(s))
+        return let(over(start, value, F.when(hexadecimal, "entropy_hex").otherwise("entropy_base64")), more)
+
+    spans = F.filter(F.flatten(F.transform(_matches(text, CANDIDATE), judged)), lambda s: s.isNotNull())
     return F.when(text.rlike(CANDIDATE), spans).otherwise(_none())
 
 

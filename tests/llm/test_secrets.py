@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -79,6 +80,24 @@ def test_redaction(spark):
     assert sorted(str((str(r.doc_id), r.text, r.n_chars)) for r in out.collect()) == sorted(map(str, want))
 
 
+def test_hex_joined_to_a_prefix(spark):
+    rng, docs = random.Random(7), []
+    for k in range(240):
+        secret = "".join(rng.choice(("0123456789ABCDEF", "0123456789abcdefABCDEF")[k % 2]) for _ in range((32, 40)[k // 2 % 2]))
+        docs.append((k, f"é {('SIG_', 'key-', 'id/', '')[k % 4 if k < 200 else 3]}{secret} end", secret))
+    docs.append((240, "see EXAMPLE_9F86D081884C7D659A2FEAA0C55AD015 there", ""))
+    table = frame(spark, [(k, t, "en", "s") for k, t, _ in docs])
+    spans = {r.doc_id: [(f.start, f.end) for f in r.found if f.kind.startswith("entropy")] for r in secrets.scan(table).collect()}
+    new = {r.doc_id: r.text for r in secrets.redacted(table).collect()}
+    for k, t, secret in docs[:240]:
+        window = [i for i in range(len(secret) - 19) if round(entropy(secret[i : i + 20]), 9) >= secrets.THRESHOLD["entropy_hex"]]
+        at = t.index(secret)
+        want = set(range(at + window[0], at + window[-1] + 20))
+        assert want <= {i for a, b in spans[k] for i in range(a, b)}, t
+        assert secret not in new[k] and "[SECRET]" in new[k]
+    assert spans[240] == [] and new[240] == docs[240][1]
+
+
 def test_running_sum_over_blocks(spark):
     got = spark.range(1).select(rowwise.running_sum(F.sequence(F.lit(1), F.lit(1000)).cast("array<bigint>")).alias("s"), rowwise.running_max(F.array(*map(F.lit, (3, 1, 5, 2))).cast("array<bigint>")).alias("m"), rowwise.running_sum(F.array().cast("array<bigint>")).alias("e")).first()
     assert got.s == [k * (k + 1) // 2 for k in range(1000)] and got.m == [0, 3, 3, 5] and got.e == []
