@@ -27,8 +27,9 @@ from skyloom.llm.rowwise import let
 from skyloom.sources.staging import written
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Smallest standard deviation of each transformed statistic.
-FLOORS = {"words": 0.6, "word_length": 0.08, "symbols": 0.1, "dup_lines": 0.6, "repeats": 0.12}
+#: Smallest standard deviation of each transformed statistic; of symbols, the counting noise (0.5) of a root over that of the
+#: 100 characters that PRIOR adds.
+FLOORS = {"words": 0.6, "word_length": 0.08, "symbols": 0.05, "dup_lines": 0.6, "repeats": 0.12}
 #: Rates are taken over so many more words of five letters, so a few odd words don't decide on a short text.
 PRIOR = 20
 P, SCALE, TRIM = len(FLOORS), 1000, 0.75

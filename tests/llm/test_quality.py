@@ -59,6 +59,16 @@ def test_estimate_matches_dense_concentration(spark):
     assert np.allclose(np.linalg.inv(w) @ np.linalg.inv(w).T, np.cov(inside.T, bias=True) + floor, rtol=0.5, atol=0.2 * np.sqrt(np.outer(np.diag(floor), np.diag(floor))).max())
 
 
+def test_symbols_alone_reject_and_odd_ones_do_not(spark):
+    def symbols(text, share):
+        return text + " " + "#" * int(share * len(text))
+
+    docs = [(k, prose(k, 60 + k % 90), "en", "a") for k in range(200)]
+    docs += [(1000 + k, symbols(prose(500 + k, 90), 0.25), "en", "a") for k in range(5)] + [(2000 + k, prose(600 + k, 90) + " & <b", "en", "a") for k in range(5)]
+    got = {r.doc_id: r for r in quality.quality(frame(spark, docs)).collect()}
+    assert {d for d, r in got.items() if not r.kept} == set(range(1000, 1005))
+
+
 def test_small_groups_are_judged_by_their_language_or_by_all(spark):
     docs = [(k, prose(k, 60 + k % 90), ("en", "en", "de", "fr")[k % 4], f"s{k % 20}") for k in range(140)]  # 7 a group; en 70, de and fr 35
     junk = {0, 1, 2, 3, 44, 47}
