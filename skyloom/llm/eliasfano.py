@@ -19,6 +19,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import batched, chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,18 @@ class EliasFano:
         window = int.from_bytes(self.lows[at >> 3 : (at + self.low + 7) >> 3], "little") >> (at & 7)
         return (self.select(i) - i) << self.low | window & ((1 << self.low) - 1)
 
+    def blocks(self) -> Iterator[np.ndarray]:
+        """The values in order, those of one sample at a time: select in a stream."""
+        highs, lows, weights = np.frombuffer(self.highs, np.uint8), np.frombuffer(self.lows, np.uint8), np.int64(1) << np.arange(self.low, dtype=np.int64)
+        stops = [*self.samples[1:].tolist(), 8 * len(highs)]
+        for k, (at, stop) in enumerate(zip(self.samples.tolist(), stops)):
+            count, byte = min(EVERY, self.n - k * EVERY), at >> 3
+            bits = np.unpackbits(highs[byte : (stop + 7) >> 3], bitorder="little")
+            bits[: at & 7] = 0
+            high = np.flatnonzero(bits)[:count] + 8 * byte - np.arange(k * EVERY, k * EVERY + count)
+            low = np.unpackbits(lows[k * EVERY * self.low // 8 :][: (count * self.low + 7) // 8], bitorder="little", count=count * self.low)
+            yield high.astype(np.int64) << self.low | low.reshape(count, self.low).astype(np.int64) @ weights
+
     def decode(self) -> np.ndarray:
         highs = np.flatnonzero(np.unpackbits(np.frombuffer(self.highs, np.uint8), bitorder="little")) - np.arange(self.n)
         bits = np.unpackbits(np.frombuffer(self.lows, np.uint8), bitorder="little", count=self.n * self.low)
@@ -107,6 +120,11 @@ class IdFile:
     def doc_ids(self) -> list:
         return [None] * self.nulls + (self.names.decode() + self.first).tolist()
 
+    def rows(self) -> Iterator[tuple]:
+        """(document id, first id, end) of each document in order, without a table of the boundaries."""
+        names = chain(repeat(None, self.nulls), chain.from_iterable((b + self.first).tolist() for b in self.names.blocks()))
+        return ((name, a, z) for name, (a, z) in zip(names, pairwise(chain.from_iterable(b.tolist() for b in self.ends.blocks()))))
+
     def __getitem__(self, i: int) -> np.ndarray:
         return self.ids[self.ends[i] : self.ends[i + 1]]
 
@@ -152,9 +170,11 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
                 if len(blob.as_buffer()) < LEAST:
                     continue  # what a task without rows leaves
                 f = IdFile(blob.as_buffer())
-                ends = f.ends.decode()
-                crc = [zlib.crc32(f.ids[a:z].astype("<u4")) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array([v] * f.documents, t) for v, t in ((f.part, pa.int64()), (f.number, pa.int64()))] + [pa.array(f.doc_ids(), pa.int64()), pa.array(ends[:-1]), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], ["part", "number", "doc_id", "at", "n_tokens", "ids_crc32"])
+                for some in batched(f.rows(), 8 * EVERY):
+                    names, starts, ends = zip(*some)
+                    crc = [zlib.crc32(f.ids[a:z].astype("<u4")) for a, z in zip(starts, ends)]
+                    columns = [f.part] * len(some), [f.number] * len(some), names, starts, [z - a for a, z in zip(starts, ends)], crc
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["part", "number", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     found = spark.read.format("binaryFile").load(folder).select("content").mapInArrow(rows, "part long, number long, doc_id long, at long, n_tokens long, ids_crc32 long")
     found = written(found, "boundaries")

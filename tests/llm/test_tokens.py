@@ -182,3 +182,15 @@ def test_packing(spark, part_rows):
     bound = packing.lower_bound(np.array([r.length for r in got]), capacity)
     assert len(bins) <= bound + (1 if part_rows > 100 else 6)
     assert packing.pack(frame(spark).limit(0), BYTE, capacity, 0).count() == 0
+
+
+def test_file_rows_come_from_samples(monkeypatch):
+    rng = np.random.default_rng(3)
+    for n, top in ((0, 1), (1, 1), (511, 3), (512, 900), (513, 70), (3000, 2000)):
+        lengths = rng.integers(0, top, n).tolist()
+        names = [None] * min(n, 2) + sorted(rng.integers(-(2**63), 2**63, max(n - 2, 0)).tolist())
+        ends = np.cumsum([0, *lengths]).tolist()
+        f = eliasfano.IdFile(eliasfano.file_bytes(0, 0, names, lengths, np.zeros(ends[-1], "<u4").tobytes(), False))
+        with monkeypatch.context() as m:
+            m.setattr(eliasfano.EliasFano, "decode", None)
+            assert list(f.rows()) == list(zip(names, ends, ends[1:]))
