@@ -1,46 +1,69 @@
 """Quality rules by robust multivariate outliers, in DataFrame functions only.
 
-Each document becomes a vector of transformed statistics (words, length of words, symbols, repeated lines, words in
-repeated windows); for each (lang, source) the minimum-covariance-determinant estimate of their location and scatter
-is found over all documents that pass the base rule, and a document whose Mahalanobis distance lies beyond the cut is
-rejected.  Starts are deterministic (median and MAD; classical moments).  A concentration step keeps the three
-quarters of the group with the least distances: moments are summed for each bin of the distance, a running count over
-the bins finds the last bin to take, and the bins' moments are added, so a step is one aggregation with map-side
-combine whose result has some hundred rows a group, however large the group is.  The start with the smaller
-determinant wins; a reweighting step follows, as is usual.  A floor on each variance keeps groups in which a statistic
-hardly varies from rejecting what differs a little.
-
-Statistics are rounded to thousandths, so sums are exact and don't depend on the order of rows.
-
-Defined cases: a null text has no words and fails the base rule; null languages and sources are groups of their own;
-groups of fewer than ``least`` documents that pass the base rule are judged by the estimate of their language, and
-where that has too few as well, by that of all documents, however few; null ids and repeated rows are kept; an empty
-table gives no rows; clashing column names don't matter (``statistics`` reads doc_id, text, lang and source alone, and
-rows travel as a struct where they are carried along).
+Each document becomes a vector of transformed statistics (words, length of words, marks, distinct words, words in
+repeated windows, repeated lines).  For each (lang, source) the minimum-covariance-determinant estimate of location and
+scatter is found over all documents that pass the base rule, and a document whose squared Mahalanobis distance lies beyond
+the cut is rejected.
+
+1. Starts are deterministic: median and MAD, classical moments, and spatial signs about the median.
+2. A concentration step takes the three quarters of the group with the least distances, exactly: a histogram of the
+   distance by group finds the bin that holds the last one to take, a histogram of that bin alone the distance itself
+   (to 2^-26 of e-fold; rows equal to it are taken together), and the moments of the rows up to it give the next estimate.  Each
+   is one aggregation with map-side combine whose result is bounded by the number of bins, however large the group is.
+3. Steps go on until a start's determinant stands still; the start of the least determinant wins.
+4. The winner's scatter is made consistent at the normal distribution, the documents within its 97.5% ellipsoid give the
+   final moments, made consistent again.
+
+No constant is added to a scatter.  A statistic that more than half of a group's documents share (its MAD is 0) is dropped from the
+group's vector; the first four are never: where one of them doesn't vary, as where fewer than ``least`` documents
+pass the base rule, the group is judged by the estimate of its language, and if that is no better, by that of all
+documents, there without the statistics that don't vary.  Each estimate's cut is the chi-square quantile of its own
+number of statistics.
+
+Statistics are rounded to thousandths and taken from the group's median, so sums are exact and don't depend on the order of
+rows (up to 10^9 documents a group).
+
+Defined cases: a null text has no words and fails the base rule; null languages and sources are groups of their own; null
+ids and repeated rows are kept, each counted for itself; texts of any length go whole; where all documents are alike, no statistic is left and
+all are kept; an empty table gives no rows; clashing column names don't matter (``statistics`` reads doc_id, text,
+lang and source alone, and rows travel as a struct where they are carried along).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from skyloom.llm.rowwise import let
+from skyloom.llm.rowwise import let, spread
 from skyloom.sources.staging import written
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Smallest standard deviation of each transformed statistic; of symbols, the counting noise (0.5) of a root over that of the
-#: 100 characters that PRIOR adds.
-FLOORS = {"words": 0.6, "word_length": 0.08, "symbols": 0.05, "dup_lines": 0.6, "repeats": 0.12}
-#: Rates are taken over so many more words of five letters, so a few odd words don't decide on a short text.
-PRIOR = 20
-P, SCALE, TRIM = len(FLOORS), 1000, 0.75
-#: Quantiles of chi-square with five degrees of freedom: median, 0.975.
-CHI_MEDIAN, CHI_975 = 4.351, 12.833
-#: Its quantile that one in ten million exceeds: the default cut.
-CUT = 41.0
+#: Characters other than letters, their signs, digits and white space.
+MARK = r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D]"
+NAMES = ("words", "word_length", "marks", "distinct", "repeats", "dup_lines")
+#: So many of them, from the first, must vary in a group that is judged by its own estimate.
+CORE = 4
+#: Rates are taken over so many more words, all distinct, of five letters and 0.15 marks, so a few odd words don't decide on a short text.
+PRIOR = 60
+P, SCALE, TRIM = len(NAMES), 1000, 0.75
+#: Fixed values by number of statistics, from 1: the consistency factor of the three quarters of least distance, the 0.975 quantile of
+#: chi-square and its factor, and the quantile that one in ten million exceeds, the default cut.
+CONSISTENT_75 = (2.7135, 1.8591, 1.6092, 1.4864, 1.4121, 1.3616)
+CHI_975 = (5.0239, 7.3778, 9.3484, 11.1433, 12.8325, 14.4494)
+CONSISTENT_975 = (1.1748, 1.1045, 1.0785, 1.0645, 1.0555, 1.0493)
+CUT = (28.37, 32.24, 35.41, 38.24, 40.86, 43.34)
+#: Variance of rounding to whole thousandths: less is none.
+ROUNDING = 1 / 12
+#: Bins of a distance's logarithm: coarse ones a unit, and fine ones in each.
+COARSE, FINE = 256, 1 << 18
+#: A determinant that falls by less stands still; no group has needed half so many steps.
+STILL, MOST_STEPS = 1e-9, 40
 #: Most rows of a table by group that is broadcast.
 GROUPS = 100_000
 V = [f"v{i}" for i in range(P)]
+LIVE = [f"a{i}" for i in range(P)]
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+MOMENTS = ["n", *(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i, j in PAIRS)]
+SHAPE = [*(f"m{i}" for i in range(P)), *(f"w{i}{j}" for i, j in PAIRS)]
 
 
 def _repeats(words: Column) -> Column:
@@ -63,142 +86,191 @@ def _repeats(words: Column) -> Column:
 
 
 def statistics(docs: DataFrame, *carried: Column) -> DataFrame:
-    """doc_id, the base statistics and base_failed; also the group and, with them, ``carried`` columns."""
+    """doc_id, the base statistics and base_failed, marks and distinct words; also the group and, with them, ``carried`` columns."""
     text = F.coalesce("text", F.lit(""))
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
-    rows = docs.select(F.col("doc_id").cast("long"), text.alias("_text"), words.alias("_words"), F.concat_ws("\x01", F.coalesce("lang", F.lit("\x02")), F.coalesce("source", F.lit("\x02"))).alias("grp"), *carried)
+    rows = spread(docs).select(F.col("doc_id").cast("long"), text.alias("_text"), words.alias("_words"), F.concat_ws("\x01", F.coalesce("lang", F.lit("\x02")), F.coalesce("source", F.lit("\x02"))).alias("grp"), *carried)
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     dup = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     names = [c for c in rows.columns if c not in ("doc_id", "_text", "_words")]
     rows = rows.select(
         "doc_id", F.size("_words").cast("long").alias("n_words"), F.length(F.regexp_replace("_text", SPACE, "")).cast("long").alias("word_chars"),
-        F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"), dup.cast("long").alias("n_dup_lines"), _repeats(F.col("_words")).alias("n_repeat_words"), *names,
+        F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"), dup.cast("long").alias("n_dup_lines"), _repeats(F.col("_words")).alias("n_repeat_words"),
+        F.regexp_count("_text", F.lit(MARK)).cast("long").alias("n_marks"), F.size(F.array_distinct("_words")).cast("long").alias("n_distinct"), *names,
     )
     return rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def _vector() -> list[Column]:
+def vector() -> list[Column]:
+    """The transformed statistics in whole thousandths."""
     n, chars = F.col("n_words") + PRIOR, F.col("word_chars") + 5 * PRIOR
-    parts = F.log1p(F.col("n_words").cast("double")), F.log(chars / n), F.sqrt(F.col("n_symbols") / chars), F.log1p(F.col("n_dup_lines").cast("double")), F.sqrt(F.col("n_repeat_words") / n)
+    parts = (
+        F.log(n.cast("double")), F.log(chars / n), F.sqrt((F.col("n_marks") + 0.15 * PRIOR) / chars), F.log((F.col("n_distinct") + PRIOR) / n),
+        F.sqrt(F.col("n_repeat_words") / n), F.log1p(F.col("n_dup_lines").cast("double")),
+    )
     return [F.round(v * SCALE).cast("double").alias(name) for v, name in zip(parts, V)]
 
 
 def _moments() -> list[Column]:
-    return [F.count(F.lit(1)).alias("n"), *(F.sum(v).alias(f"s{i}") for i, v in enumerate(V)), *(F.sum(F.col(V[i]) * F.col(V[j])).alias(f"q{i}{j}") for i, j in PAIRS)]
-
-
-def _added(of: DataFrame, *by: str) -> DataFrame:
-    return of.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ["n", *(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i, j in PAIRS)]))
-
-
-def _shape(moments: DataFrame, *by: str) -> DataFrame:
-    """Location m, the inverse w of the scatter's Cholesky factor (lower triangle), and its log determinant."""
-    floor = [(f * SCALE) ** 2 for f in FLOORS.values()]
-    df = moments.select(*by, *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)), "n", *(f"q{i}{j}" for i, j in PAIRS))
-    df = df.select(*by, *(f"m{i}" for i in range(P)), *((F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") + (floor[i] if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS))
-    for i, j in PAIRS:  # row by row, each entry from those before it
-        rest = F.col(f"c{i}{j}")
-        for k in range(j):
-            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(floor[i] / 1e6))) if i == j else rest / F.col(f"l{j}{j}"))
-    for i, j in PAIRS:
-        if i == j:
-            df = df.withColumn(f"w{i}{i}", 1 / F.col(f"l{i}{i}"))
-    for gap in range(1, P):
-        for j in range(P - gap):
-            i = j + gap
-            total = F.lit(0.0)
-            for k in range(j, i):
-                total = total + F.col(f"l{i}{k}") * F.col(f"w{k}{j}")
-            df = df.withColumn(f"w{i}{j}", -total * F.col(f"w{i}{i}"))
-    det = sum((F.log(F.col(f"l{i}{i}")) for i in range(P)), F.lit(0.0))
-    return df.select(*by, *(f"m{i}" for i in range(P)), *(f"w{i}{j}" for i, j in PAIRS), (2 * det).alias("logdet"))
+    parts = ["CAST(count(1) AS DOUBLE) AS n", *(f"sum(v{i}) AS s{i}" for i in range(P)), *(f"sum(v{i} * v{j}) AS q{i}{j}" for i, j in PAIRS)]
+    return [F.expr(part) for part in parts]
 
 
-def _distance() -> Column:
-    total = F.lit(0.0)
-    for i in range(P):
-        y = F.lit(0.0)
-        for j in range(i + 1):
-            y = y + F.col(f"w{i}{j}") * (F.col(V[j]) - F.col(f"m{j}"))
-        total = total + y * y
-    return total
+def _pick(table: tuple[float, ...]) -> str:
+    """SQL for the table's value for a group's number of statistics (the first for none)."""
+    return f"element_at(array({', '.join(f'{x}D' for x in table)}), greatest(p, 1))"
 
 
-def _bin() -> Column:
-    return F.floor(32 * F.log2(1 + F.col("d2"))).cast("int").alias("bin")
+def _shape(moments: DataFrame, by: list[str], factor: tuple[float, ...] | None = None) -> DataFrame:
+    """Location m, the rows w that take a vector to one of unit scatter (lower triangle; 0 for dropped statistics), and the log
+    determinant, by elimination of the scatter beside the identity.  In SQL text, which takes less time to build."""
+    names = [*by, *LIVE, "p"]
+    mean = [f"IF(a{i}, s{i} / n, 0D) AS m{i}" for i in range(P)]
+    df = moments.selectExpr(*names, "n", ("1D" if factor is None else _pick(factor)) + " AS _f", *MOMENTS[1 + P :], *mean)
 
+    def scatter(i: int, j: int) -> str:
+        value = f"_f * (q{i}{j} / n - m{i} * m{j})"
+        return f"IF(a{i}, greatest({value}, {ROUNDING}D), 1D)" if i == j else f"IF(a{i} AND a{j}, {value}, 0D)"
 
-def _by_group(table: DataFrame) -> DataFrame:
-    """A written table of one or two rows a group: by broadcast while it has ``GROUPS`` rows at most (some 20 MB), so
-    documents don't move to meet it; else by a join that Spark splits where a group is large."""
-    return F.broadcast(table) if table.count() <= GROUPS else table
+    kept = [*names, *(f"m{i}" for i in range(P))]
+    df = df.selectExpr(*kept, *(f"{scatter(i, j)} AS c{i}{j}" for i, j in PAIRS), *(f"{int(i == j)}D AS e{i}{j}" for i, j in PAIRS))
+    df = df.selectExpr("*", *(f"c{i}{i} AS o{i}" for i in range(P)))
+    for k in range(P - 1):  # row i less so much of row k that its entry below the pivot becomes 0
+        rows = []
+        for i, j in PAIRS:
+            below = f"c{i}{k} / c{k}{k}"
+            c = f"c{i}{j} - {below} * c{j}{k}" if j > k else f"c{i}{j}"
+            c = f"greatest({c}, 1e-9 * o{i})" if i == j == k + 1 else c  # what rounding leaves of a dependent statistic is no variance
+            rows += [f"{c} AS c{i}{j}", (f"e{i}{j} - {below} * e{k}{j}" if i > k >= j else f"e{i}{j}") + f" AS e{i}{j}"]
+        df = df.selectExpr(*kept, *(f"o{i}" for i in range(P)), *rows)
+    det = " + ".join(f"ln(c{i}{i})" for i in range(P))
+    return df.selectExpr(*kept, *(f"IF(a{i} AND a{j}, e{i}{j} / sqrt(c{i}{i}), 0D) AS w{i}{j}" for i, j in PAIRS), f"{det} AS logdet")
 
 
-def _concentrate(vectors: DataFrame, shape: DataFrame) -> DataFrame:
-    bins = vectors.join(_by_group(shape.drop("logdet")), "grp").withColumn("d2", _distance()).groupBy("grp", "start", _bin()).agg(*_moments())
-    order = Window.partitionBy("grp", "start").orderBy("bin")
-    inner = bins.withColumn("before", F.sum("n").over(order) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("grp", "start"))).filter(F.col("before") < TRIM * F.col("all"))
-    return written(_shape(_added(inner, "grp", "start"), "grp", "start"), "shape")
+def _distance() -> Column:
+    unit = [" + ".join(f"w{i}{j} * (v{j} - m{j})" for j in range(i + 1)) for i in range(P)]
+    return F.expr(" + ".join(f"({y}) * ({y})" for y in unit))
 
 
-def _middle(values: DataFrame) -> DataFrame:
-    """Median of ``x`` by (grp, i), from the counts of its distinct values."""
-    counts = values.groupBy("grp", "i", "x").agg(F.count(F.lit(1)).alias("n"))
-    by = Window.partitionBy("grp", "i")
-    upto = counts.withColumn("upto", F.sum("n").over(by.orderBy("x"))).withColumn("all", F.sum("n").over(by))
-    return upto.filter(2 * F.col("upto") >= F.col("all")).groupBy("grp", "i").agg(F.min("x").alias("mid"))
+def _meeting(groups: int):
+    """How a table of ``groups`` rows meets documents: by broadcast up to ``GROUPS`` rows (some 30 MB), so documents don't
+    move; else by a join that Spark splits where a group is large."""
+    return F.broadcast if groups <= GROUPS else lambda table: table
 
 
-def _starts(vectors: DataFrame) -> DataFrame:
-    long = vectors.select("grp", F.posexplode(F.array(*V)).alias("i", "x"))
-    mid = written(_middle(long), "medians")
-    mad = _middle(long.join(_by_group(mid), ["grp", "i"]).select("grp", "i", F.abs(F.col("x") - F.col("mid")).alias("x"))).withColumnRenamed("mid", "mad")
-    both = mid.join(mad, ["grp", "i"])
-    pick = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c)))
-    wide = both.groupBy("grp").agg(*(pick("mid", i).alias(f"s{i}") for i in range(P)), *(pick("mad", i).alias(f"d{i}") for i in range(P)))
-    var = lambda i, j: F.col(f"s{i}") * F.col(f"s{j}") + ((1.4826 * F.col(f"d{i}")) ** 2 if i == j else 0.0)
-    robust = wide.select("grp", F.lit(0).alias("start"), F.lit(1.0).alias("n"), *(f"s{i}" for i in range(P)), *(var(i, j).alias(f"q{i}{j}") for i, j in PAIRS))
-    classical = vectors.groupBy("grp", F.lit(1).alias("start")).agg(*_moments())
-    return written(_shape(robust.unionByName(classical.withColumn("n", F.col("n").cast("double"))), "grp", "start"), "shape")
+# medians and what judges a group ---------------------------------------------------------------------------------
 
 
-def _pools(stats: DataFrame, least: int) -> DataFrame:
-    """grp, lang and the pool whose estimate judges the group: itself, its language or all documents (their names have
-    no separator, so they are no group's)."""
-    counts = stats.groupBy("grp").agg(F.count_if(~F.col("base_failed")).alias("n"))
-    counts = written(counts.withColumn("lang", F.concat(F.lit("l"), F.substring_index("grp", "\x01", 1))), "groups")
-    langs = written(counts.groupBy("lang").agg(F.sum("n").alias("in_lang")), "languages")
-    pool = F.when(F.col("n") >= least, F.col("grp")).when(F.col("in_lang") >= least, F.col("lang")).otherwise("a")
-    return written(counts.join(_by_group(langs), "lang").select("grp", "lang", pool.alias("pool")), "pools")
+def _middle(counts: DataFrame) -> DataFrame:
+    """Median of ``x`` by (pool, i) from the counts ``n`` of its distinct values: thousandths, so their number is bounded."""
+    by = Window.partitionBy("pool", "i")
+    upto = counts.withColumn("upto", F.sum("n").over(by.orderBy("x"))).withColumn("all", F.sum("n").over(by))
+    return upto.filter(2 * F.col("upto") >= F.col("all")).groupBy("pool", "i").agg(F.min("x").alias("mid"), F.max("all").alias("n"))
 
 
-def estimates(stats: DataFrame, least: int = 50, steps: int = 4) -> DataFrame:
-    """The reweighted estimate that judges each group: grp, location m, inverse factor w."""
+def _pools(stats: DataFrame, least: int) -> DataFrame:
+    """One row a pool: n, medians c, MADs d, which statistics vary (a), how many (p), and whether it can judge (good).
+
+    Pools are each group, each language and all documents (their names have no separator, so they are no group's)."""
+    long = stats.filter("NOT base_failed").select("grp", F.posexplode(F.array(*vector())).alias("i", "x"))
+    counts = long.groupBy("grp", "i", "x").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(counts.select(F.explode(_known()).alias("pool"), "i", "x", "n").groupBy("pool", "i", "x").agg(F.sum("n").alias("n")), "counts")
+    mid = written(_middle(counts), "medians")
+    meet = _meeting(mid.count())
+    off = counts.join(meet(mid.select("pool", "i", "mid")), ["pool", "i"]).groupBy("pool", "i", F.abs(F.col("x") - F.col("mid")).alias("x")).agg(F.sum("n").alias("n"))
+    both = mid.join(_middle(off).select("pool", "i", F.col("mid").alias("mad")), ["pool", "i"])
+    pick = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c)))
+    wide = both.groupBy("pool").agg(F.max("n").alias("n"), *(pick("mid", i).alias(f"c{i}") for i in range(P)), *(pick("mad", i).alias(f"d{i}") for i in range(P)))
+    wide = wide.select("*", *((F.col(f"d{i}") > 0).alias(a) for i, a in enumerate(LIVE)))
+    good = (F.col("n") >= least) & F.least(*(F.col(a) for a in LIVE[:CORE]))
+    return written(wide.withColumn("p", sum((F.col(a).cast("int") for a in LIVE), F.lit(0))).withColumn("good", good), "pools")
+
+
+def _language() -> Column:
+    return F.concat(F.lit("l"), F.substring_index("grp", "\x01", 1))
+
+
+def _known() -> Column:
+    return F.array(F.col("grp"), _language(), F.lit("a"))
+
+
+# the estimate ----------------------------------------------------------------------------------------------------
+
+
+def _starts(vectors: DataFrame, facts: DataFrame) -> DataFrame:
+    """Vectors are taken from their medians, which are 0 therefore; ``facts`` has one row a pool and goes to them."""
+    scaled = ", ".join(f"IF(a{i}, v{i} / (1.4826D * d{i}), 0D)" for i in range(P))
+    signs = vectors.join(facts, "pool").selectExpr("*", f"array({scaled}) AS _z").selectExpr("*", "aggregate(_z, 0D, (a, z) -> a + z * z) AS _r")
+    turned = [f"IF(_r > 0, _z[{i}] * _z[{j}] / _r, 0D) * d{i} * d{j} AS r{i}{j}" for i, j in PAIRS]
+    sums = signs.selectExpr("pool", *V, *turned).groupBy("pool").agg(*_moments(), *(F.expr(f"sum(r{i}{j}) AS r{i}{j}") for i, j in PAIRS))
+    none, own = ["0D"] * P, [f"s{i}" for i in range(P)]
+    mads = [f"n * pow(1.4826D * d{i}, 2)" if i == j else "0D" for i, j in PAIRS]
+    kinds = []
+    for k, (first, second) in enumerate(((none, mads), (own, [f"q{i}{j}" for i, j in PAIRS]), (none, [f"r{i}{j}" for i, j in PAIRS]))):
+        parts = [f"'start', {k}", "'n', n", *(f"'s{i}', {x}" for i, x in enumerate(first)), *(f"'q{i}{j}', {x}" for (i, j), x in zip(PAIRS, second))]
+        kinds.append(f"named_struct({', '.join(parts)})")
+    starts = sums.join(facts, "pool").selectExpr("pool", *LIVE, "p", f"inline(array({', '.join(kinds)}))")
+    return written(_shape(starts, ["pool", "start"]), "shape")
+
+
+def _concentrated(vectors: DataFrame, shape: DataFrame, facts: DataFrame, meet) -> DataFrame:
+    """The shapes of the nearest ``TRIM`` (rounded up) of each pool by each start's present shape, and whether their
+    determinants still fall."""
+    by = ["pool", "start"]
+    rows = vectors.join(meet(shape.drop(*LIVE, "p", "logdet")), "pool").select(*by, *V, (F.log1p(_distance()) * COARSE).alias("_at"))
+    bins = rows.groupBy(*by, F.floor("_at").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(*by)
+    upto = bins.select(*by, "bin", "n", F.sum("n").over(order.orderBy("bin")).alias("upto"), F.ceil(TRIM * F.sum("n").over(order)).alias("want"))
+    crossing = upto.filter((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("n") < F.col("want"))).select(*by, F.col("bin").alias("cross"), (F.col("want") - F.col("upto") + F.col("n")).alias("want"))
+    within = F.floor((F.col("_at") - F.floor("_at")) * FINE)
+    fine = rows.join(meet(crossing), by).filter(F.floor("_at") == F.col("cross")).groupBy(*by, "cross", "want", within.alias("fine")).agg(F.count(F.lit(1)).alias("n"))
+    last = fine.withColumn("upto", F.sum("n").over(order.orderBy("fine"))).filter("upto >= want").groupBy(*by).agg(F.min(F.struct("cross", "fine")).alias("last"))
+    taken = rows.join(meet(last), by).filter(F.struct(F.floor("_at").alias("cross"), within.alias("fine")) <= F.col("last")).groupBy(*by).agg(*_moments())
+    now = _shape(taken.join(facts, "pool"), by).join(meet(shape.select(*by, F.col("logdet").alias("_was"))), by)
+    return written(now.withColumn("open", F.col("logdet") < F.col("_was") - STILL).drop("_was"), "shape")
+
+
+def estimates(stats: DataFrame, least: int = 50) -> DataFrame:
+    """The reweighted estimate that judges each group: grp, pool, location m, inverse factor w, which statistics count, their number p,
+    and the log determinant of the winning subset."""
     pools = _pools(stats, least)
-    within = pools.select("grp", F.explode(F.array("grp", "lang", F.lit("a"))).alias("pool"))
-    within = written(within.join(_by_group(written(pools.select("pool").distinct(), "used")), "pool", "left_semi"), "within")
-    vectors = stats.filter(~F.col("base_failed")).select("grp", *_vector())
-    vectors = written(vectors.join(_by_group(within), "grp").select(F.col("pool").alias("grp"), *V), "vectors")
-    shape = _starts(vectors)
-    for _ in range(steps):
-        shape = _concentrate(vectors, shape)
-    best = written(shape.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy("logdet", "start"))).filter("place = 1").drop("place", "logdet"), "best")
-    bins = written(vectors.join(_by_group(best), "grp").withColumn("d2", _distance()).groupBy("grp", _bin()).agg(*_moments()), "bins")
-    by = Window.partitionBy("grp")
-    upto = bins.select("grp", "bin", F.sum("n").over(by.orderBy("bin")).alias("upto"), F.sum("n").over(by).alias("all"))
-    scale = upto.filter(2 * F.col("upto") >= F.col("all")).groupBy("grp").agg(F.min("bin").alias("mid"))
-    near = bins.join(scale, "grp").filter(F.pow(2.0, F.col("bin") / 32) - 1 <= CHI_975 / CHI_MEDIAN * F.greatest(F.pow(2.0, (F.col("mid") + 1) / 32) - 1, F.lit(1.0)))
-    found = written(_shape(_added(near, "grp"), "grp").drop("logdet").withColumnRenamed("grp", "pool"), "shape")
-    return written(pools.select("grp", "pool").join(_by_group(found), "pool").drop("pool"), "estimates")
-
-
-def judged(stats: DataFrame, cut: float = CUT, least: int = 50) -> DataFrame:
+    meet = _meeting(3 * pools.count())
+    fit = meet(pools.select("pool", "good"))
+    groups = stats.select("grp").distinct().withColumn("lang", _language())
+    groups = groups.join(fit.toDF("grp", "own"), "grp", "left").join(fit.toDF("lang", "shared"), "lang", "left")
+    judges = written(groups.select("grp", F.when(F.col("own"), F.col("grp")).when(F.col("shared"), F.col("lang")).otherwise("a").alias("pool")), "judges")
+    facts = meet(written(pools.drop("n", "good").join(judges.select("pool").distinct(), "pool", "left_semi"), "facts"))
+    within = judges.select("grp", F.explode(_known()).alias("pool")).join(facts.select("pool", *(f"c{i}" for i in range(P))), "pool")
+    vectors = stats.filter("NOT base_failed").select("grp", *vector()).join(meet(within), "grp")
+    vectors = written(vectors.select("pool", *((F.col(v) - F.col(f"c{i}")).alias(v) for i, v in enumerate(V))), "vectors")
+    shape = _starts(vectors, facts)
+    facts = facts.select("pool", *LIVE, "p", *(f"c{i}" for i in range(P)))
+    shape = _concentrated(vectors, shape, facts, meet).drop("open")  # a start's determinant is none of three quarters
+    ended: list[DataFrame] = []
+    for step in range(MOST_STEPS):
+        now = _concentrated(vectors, shape, facts, meet)
+        ended.append(now.filter("NOT open" if step + 1 < MOST_STEPS else "true").drop("open"))
+        shape = now.filter("open").drop("open")
+        if shape.isEmpty():
+            break
+    found = ended[0]
+    for more in ended[1:]:
+        found = found.unionByName(more)
+    rank = F.row_number().over(Window.partitionBy("pool").orderBy(F.round("logdet", 6), "start"))
+    best = written(found.withColumn("place", rank).filter("place = 1").drop("place", "start"), "best")
+    near = vectors.join(meet(best.drop(*LIVE)), "pool").filter(_distance() <= F.expr(f"{_pick(CONSISTENT_75)} * {_pick(CHI_975)}")).groupBy("pool").agg(*_moments())
+    final = _shape(near.join(facts, "pool"), ["pool"], CONSISTENT_975).drop("logdet", *LIVE, "p")
+    final = final.join(meet(best.select("pool", "logdet")), "pool").join(facts, "pool")
+    final = written(final.select("pool", *LIVE, "p", "logdet", *((F.col(f"m{i}") + F.col(f"c{i}")).alias(f"m{i}") for i in range(P)), *SHAPE[P:]), "shape")
+    return written(judges.join(meet(final), "pool"), "estimates")
+
+
+def judged(stats: DataFrame, cut: tuple[float, ...] = CUT, least: int = 50) -> DataFrame:
     """``stats`` with d2 (null only where no document passes the base rule) and kept."""
-    found = estimates(stats, least)
+    found = estimates(stats, least).select("grp", "p", *SHAPE)
     names = stats.columns
-    rows = stats.select("*", *_vector()).join(_by_group(found), "grp", "left").withColumn("d2", _distance())
-    return rows.select(*names, "d2", (~F.col("base_failed") & (F.col("d2") <= cut)).alias("kept"))
+    rows = stats.select("*", *vector()).join(_meeting(found.count())(found), "grp", "left").withColumn("d2", _distance()).withColumn("_cut", F.expr(_pick(cut)))
+    return rows.select(*names, "d2", (~F.col("base_failed") & (F.col("d2") <= F.col("_cut"))).alias("kept"))
 
 
 def quality(docs: DataFrame) -> DataFrame:

@@ -1,10 +1,10 @@
-"""Column helpers for work inside one row: values bound once, running sums in blocks."""
+"""Helpers for work row by row: values bound once, running sums in blocks, rows spread over idle cores."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 BLOCK = 128
 
@@ -38,3 +38,11 @@ def running_sum(values: Column) -> Column:
 
 def running_max(values: Column) -> Column:
     return running(values, 0, lambda a, v: F.greatest(a, v))
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` dealt evenly where they lie in fewer splits than half the cores (a file of one row group, say); as they are
+    otherwise.  Counting filled splits reads no column."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    filled = docs.select(F.spark_partition_id().alias("p")).distinct().count()
+    return docs.repartition(cores) if 2 * filled < cores else docs
