@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -98,6 +99,24 @@ def test_hex_joined_to_a_prefix(spark):
     assert spans[240] == [] and new[240] == docs[240][1]
 
 
+def test_long_candidates(spark):
+    """Runs over several stretches, brute force on each window; and a megabyte in seconds."""
+    rng = random.Random(3)
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    long = [
+        pick(b64, 9000), "a1" * 4500, "a1" * 2040 + pick(b64, 40) + "a1" * 3000, "a1" * 2048 + pick(b64, 30), "b2" * 5000 + pick(b64, 21) + "c3" * 2000, pick("0123456789ABCDEF", 5000),
+        "ab/12/" * 3000, "SIG_" + pick("0123456789ABCDEF", 4200), pick(b64, 4096), pick(b64, 4097), "Aa1" * 1365 + pick(b64, 20), "x" * 20 + "1", "+-/=_z0" * 700 + pick(b64, 25),
+    ]
+    docs = [(k, f"é {t} end {t[:50]}", "en", "s") for k, t in enumerate(long)]
+    got = {r.doc_id: [(s.start, KINDS.index(s.kind), s.end) for s in r.found if s.kind == "entropy_base64"] for r in secrets.scan(frame(spark, docs)).collect()}
+    assert got == {k: sorted(s for s in more(t) if s[1] == 4) for k, t, *_ in docs}
+    began = time.time()
+    row = secrets.scan(frame(spark, [(0, "data:" + pick(b64, 1_000_000) + " " + "ab/12/" * 50_000, "en", "s")])).first()
+    assert [(s.start, s.kind) for s in row.found] == [(5, "entropy_base64")] and row.found[0].end > 999_000
+    assert time.time() - began < 60
+
+
 def test_running_sum_over_blocks(spark):
     got = spark.range(1).select(rowwise.running_sum(F.sequence(F.lit(1), F.lit(1000)).cast("array<bigint>")).alias("s"), rowwise.running_max(F.array(*map(F.lit, (3, 1, 5, 2))).cast("array<bigint>")).alias("m"), rowwise.running_sum(F.array().cast("array<bigint>")).alias("e")).first()
     assert got.s == [k * (k + 1) // 2 for k in range(1000)] and got.m == [0, 3, 3, 5] and got.e == []
