@@ -60,10 +60,9 @@ STILL, MOST_STEPS = 1e-9, 40
 #: Most rows of a table by group that is broadcast.
 GROUPS = 100_000
 V = [f"v{i}" for i in range(P)]
-LIVE = [f"a{i}" for i in range(P)]
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
-MOMENTS = ["n", *(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i, j in PAIRS)]
-SHAPE = [*(f"m{i}" for i in range(P)), *(f"w{i}{j}" for i, j in PAIRS)]
+#: A pool's sums (s, an array) and sums of products (q, an array of rows), from columns of the names that ``_moments`` gives.
+SUMS = [f"array({', '.join(f's{i}' for i in range(P))}) AS s", f"array({', '.join('array(' + ', '.join(f'q{max(i, j)}{min(i, j)}' for j in range(P)) + ')' for i in range(P))}) AS q"]
 
 
 def _repeats(words: Column) -> Column:
@@ -122,33 +121,24 @@ def _pick(table: tuple[float, ...]) -> str:
 
 
 def _shape(moments: DataFrame, by: list[str], factor: tuple[float, ...] | None = None) -> DataFrame:
-    """Location m, the rows w that take a vector to one of unit scatter (lower triangle; 0 for dropped statistics), and the log
-    determinant, by elimination of the scatter beside the identity.  In SQL text, which takes less time to build."""
-    names = [*by, *LIVE, "p"]
-    mean = [f"IF(a{i}, s{i} / n, 0D) AS m{i}" for i in range(P)]
-    df = moments.selectExpr(*names, "n", ("1D" if factor is None else _pick(factor)) + " AS _f", *MOMENTS[1 + P :], *mean)
-
-    def scatter(i: int, j: int) -> str:
-        value = f"_f * (q{i}{j} / n - m{i} * m{j})"
-        return f"IF(a{i}, greatest({value}, {ROUNDING}D), 1D)" if i == j else f"IF(a{i} AND a{j}, {value}, 0D)"
-
-    kept = [*names, *(f"m{i}" for i in range(P))]
-    df = df.selectExpr(*kept, *(f"{scatter(i, j)} AS c{i}{j}" for i, j in PAIRS), *(f"{int(i == j)}D AS e{i}{j}" for i, j in PAIRS))
-    df = df.selectExpr("*", *(f"c{i}{i} AS o{i}" for i in range(P)))
-    for k in range(P - 1):  # row i less so much of row k that its entry below the pivot becomes 0
-        rows = []
-        for i, j in PAIRS:
-            below = f"c{i}{k} / c{k}{k}"
-            c = f"c{i}{j} - {below} * c{j}{k}" if j > k else f"c{i}{j}"
-            c = f"greatest({c}, 1e-9 * o{i})" if i == j == k + 1 else c  # what rounding leaves of a dependent statistic is no variance
-            rows += [f"{c} AS c{i}{j}", (f"e{i}{j} - {below} * e{k}{j}" if i > k >= j else f"e{i}{j}") + f" AS e{i}{j}"]
-        df = df.selectExpr(*kept, *(f"o{i}" for i in range(P)), *rows)
-    det = " + ".join(f"ln(c{i}{i})" for i in range(P))
-    return df.selectExpr(*kept, *(f"IF(a{i} AND a{j}, e{i}{j} / sqrt(c{i}{i}), 0D) AS w{i}{j}" for i, j in PAIRS), f"{det} AS logdet")
+    """From sums n, s, q: location m, the rows w that take a vector to one of unit scatter (a triangle; 0 for dropped statistics), and
+    the log determinant, by elimination of the scatter beside the identity.  ``a`` tells which statistics count."""
+    names = [*by, "a", "p"]
+    f = "1D" if factor is None else _pick(factor)
+    df = moments.selectExpr(*names, "n", "q", f"{f} AS f", "transform(s, (x, i) -> IF(a[i], x / n, 0D)) AS m")
+    value = "f * (x / n - m[i] * m[j])"
+    df = df.selectExpr(*names, "m", f"transform(q, (r, i) -> transform(r, (x, j) -> IF(a[i] AND a[j], IF(i = j, greatest({value}, {ROUNDING}D), {value}), IF(i = j, 1D, 0D)))) AS c")
+    # row i less so much of row k that its entry below the pivot becomes 0; what rounding leaves of a dependent statistic is no variance
+    less = "zip_with(r, g[k], (x, y) -> x - r[k] / g[k][k] * y)"
+    step = f"transform(g, (r, i) -> IF(i <= k, r, transform({less}, (x, j) -> IF(i = k + 1 AND j = i, greatest(x, 1e-9 * c[i][i]), x))))"
+    both = "transform(c, (r, i) -> concat(r, transform(r, (x, j) -> IF(i = j, 1D, 0D))))"
+    df = df.selectExpr(*names, "m", f"aggregate(sequence(0, {P - 2}), {both}, (g, k) -> {step}) AS g")
+    w = f"transform(g, (r, i) -> transform(slice(r, {P + 1}, {P}), (x, j) -> IF(a[i] AND a[j], x / sqrt(r[i]), 0D))) AS w"
+    return df.selectExpr(*names, "m", w, f"aggregate(sequence(0, {P - 1}), 0D, (x, i) -> x + ln(g[i][i])) AS logdet")
 
 
 def _distance() -> Column:
-    unit = [" + ".join(f"w{i}{j} * (v{j} - m{j})" for j in range(i + 1)) for i in range(P)]
+    unit = [" + ".join(f"w[{i}][{j}] * (v{j} - m[{j}])" for j in range(i + 1)) for i in range(P)]
     return F.expr(" + ".join(f"({y}) * ({y})" for y in unit))
 
 
@@ -169,7 +159,7 @@ def _middle(counts: DataFrame) -> DataFrame:
 
 
 def _pools(stats: DataFrame, least: int) -> DataFrame:
-    """One row a pool: n, medians c, MADs d, which statistics vary (a), how many (p), and whether it can judge (good).
+    """One row a pool: medians c and MADs d (arrays), which statistics vary (a), how many (p), and whether it can judge (good).
 
     Pools are each group, each language and all documents (their names have no separator, so they are no group's)."""
     long = stats.filter("NOT base_failed").select("grp", F.posexplode(F.array(*vector())).alias("i", "x"))
@@ -179,11 +169,10 @@ def _pools(stats: DataFrame, least: int) -> DataFrame:
     meet = _meeting(mid.count())
     off = counts.join(meet(mid.select("pool", "i", "mid")), ["pool", "i"]).groupBy("pool", "i", F.abs(F.col("x") - F.col("mid")).alias("x")).agg(F.sum("n").alias("n"))
     both = mid.join(_middle(off).select("pool", "i", F.col("mid").alias("mad")), ["pool", "i"])
-    pick = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c)))
-    wide = both.groupBy("pool").agg(F.max("n").alias("n"), *(pick("mid", i).alias(f"c{i}") for i in range(P)), *(pick("mad", i).alias(f"d{i}") for i in range(P)))
-    wide = wide.select("*", *((F.col(f"d{i}") > 0).alias(a) for i, a in enumerate(LIVE)))
-    good = (F.col("n") >= least) & F.least(*(F.col(a) for a in LIVE[:CORE]))
-    return written(wide.withColumn("p", sum((F.col(a).cast("int") for a in LIVE), F.lit(0))).withColumn("good", good), "pools")
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("i", c))), lambda x: x[c])  # noqa: E731  # one for each statistic
+    wide = both.groupBy("pool").agg(F.max("n").alias("n"), ordered("mid").alias("c"), ordered("mad").alias("d")).withColumn("a", F.transform("d", lambda d: d > 0))
+    good = (F.col("n") >= least) & F.forall(F.slice("a", 1, CORE), lambda a: a)
+    return written(wide.select("pool", "c", "d", "a", F.size(F.filter("a", lambda a: a)).alias("p"), good.alias("good")), "pools")
 
 
 def _language() -> Column:
@@ -199,25 +188,24 @@ def _known() -> Column:
 
 def _starts(vectors: DataFrame, facts: DataFrame) -> DataFrame:
     """Vectors are taken from their medians, which are 0 therefore; ``facts`` has one row a pool and goes to them."""
-    scaled = ", ".join(f"IF(a{i}, v{i} / (1.4826D * d{i}), 0D)" for i in range(P))
-    signs = vectors.join(facts, "pool").selectExpr("*", f"array({scaled}) AS _z").selectExpr("*", "aggregate(_z, 0D, (a, z) -> a + z * z) AS _r")
-    turned = [f"IF(_r > 0, _z[{i}] * _z[{j}] / _r, 0D) * d{i} * d{j} AS r{i}{j}" for i, j in PAIRS]
+    scaled = ", ".join(f"IF(a[{i}], v{i} / (1.4826D * d[{i}]), 0D)" for i in range(P))
+    signs = vectors.join(facts, "pool").selectExpr("*", f"array({scaled}) AS _z").selectExpr("*", "aggregate(_z, 0D, (x, z) -> x + z * z) AS _r")
+    turned = [f"IF(_r > 0, _z[{i}] * _z[{j}] / _r, 0D) AS r{i}{j}" for i, j in PAIRS]
     sums = signs.selectExpr("pool", *V, *turned).groupBy("pool").agg(*_moments(), *(F.expr(f"sum(r{i}{j}) AS r{i}{j}") for i, j in PAIRS))
-    none, own = ["0D"] * P, [f"s{i}" for i in range(P)]
-    mads = [f"n * pow(1.4826D * d{i}, 2)" if i == j else "0D" for i, j in PAIRS]
-    kinds = []
-    for k, (first, second) in enumerate(((none, mads), (own, [f"q{i}{j}" for i, j in PAIRS]), (none, [f"r{i}{j}" for i, j in PAIRS]))):
-        parts = [f"'start', {k}", "'n', n", *(f"'s{i}', {x}" for i, x in enumerate(first)), *(f"'q{i}{j}', {x}" for (i, j), x in zip(PAIRS, second))]
-        kinds.append(f"named_struct({', '.join(parts)})")
-    starts = sums.join(facts, "pool").selectExpr("pool", *LIVE, "p", f"inline(array({', '.join(kinds)}))")
-    return written(_shape(starts, ["pool", "start"]), "shape")
+    rows = lambda q: "array(" + ", ".join("array(" + ", ".join(q(i, j) for j in range(P)) + ")" for i in range(P)) + ")"
+    none, own = (f"array({', '.join(x)})" for x in (["0D"] * P, [f"s{i}" for i in range(P)]))
+    mads = rows(lambda i, j: f"n * pow(1.4826D * d[{i}], 2)" if i == j else "0D")
+    plain = rows(lambda i, j: f"q{max(i, j)}{min(i, j)}")
+    turned_ = rows(lambda i, j: f"r{max(i, j)}{min(i, j)} * d[{i}] * d[{j}]")
+    kinds = ", ".join(f"named_struct('start', {k}, 'n', n, 's', {s}, 'q', {q})" for k, (s, q) in enumerate(((none, mads), (own, plain), (none, turned_))))
+    return written(_shape(sums.join(facts, "pool").selectExpr("pool", "a", "p", f"inline(array({kinds}))"), ["pool", "start"]), "shape")
 
 
 def _concentrated(vectors: DataFrame, shape: DataFrame, facts: DataFrame, meet) -> DataFrame:
     """The shapes of the nearest ``TRIM`` (rounded up) of each pool by each start's present shape, and whether their
     determinants still fall."""
     by = ["pool", "start"]
-    rows = vectors.join(meet(shape.drop(*LIVE, "p", "logdet")), "pool").select(*by, *V, (F.log1p(_distance()) * COARSE).alias("_at"))
+    rows = vectors.join(meet(shape.drop("a", "p", "logdet")), "pool").select(*by, *V, (F.log1p(_distance()) * COARSE).alias("_at"))
     bins = rows.groupBy(*by, F.floor("_at").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy(*by)
     upto = bins.select(*by, "bin", "n", F.sum("n").over(order.orderBy("bin")).alias("upto"), F.ceil(TRIM * F.sum("n").over(order)).alias("want"))
@@ -226,7 +214,7 @@ def _concentrated(vectors: DataFrame, shape: DataFrame, facts: DataFrame, meet)
     fine = rows.join(meet(crossing), by).filter(F.floor("_at") == F.col("cross")).groupBy(*by, "cross", "want", within.alias("fine")).agg(F.count(F.lit(1)).alias("n"))
     last = fine.withColumn("upto", F.sum("n").over(order.orderBy("fine"))).filter("upto >= want").groupBy(*by).agg(F.min(F.struct("cross", "fine")).alias("last"))
     taken = rows.join(meet(last), by).filter(F.struct(F.floor("_at").alias("cross"), within.alias("fine")) <= F.col("last")).groupBy(*by).agg(*_moments())
-    now = _shape(taken.join(facts, "pool"), by).join(meet(shape.select(*by, F.col("logdet").alias("_was"))), by)
+    now = _shape(taken.selectExpr(*by, "n", *SUMS).join(facts, "pool"), by).join(meet(shape.select(*by, F.col("logdet").alias("_was"))), by)
     return written(now.withColumn("open", F.col("logdet") < F.col("_was") - STILL).drop("_was"), "shape")
 
 
@@ -239,12 +227,12 @@ def estimates(stats: DataFrame, least: int = 50) -> DataFrame:
     groups = stats.select("grp").distinct().withColumn("lang", _language())
     groups = groups.join(fit.toDF("grp", "own"), "grp", "left").join(fit.toDF("lang", "shared"), "lang", "left")
     judges = written(groups.select("grp", F.when(F.col("own"), F.col("grp")).when(F.col("shared"), F.col("lang")).otherwise("a").alias("pool")), "judges")
-    facts = meet(written(pools.drop("n", "good").join(judges.select("pool").distinct(), "pool", "left_semi"), "facts"))
-    within = judges.select("grp", F.explode(_known()).alias("pool")).join(facts.select("pool", *(f"c{i}" for i in range(P))), "pool")
+    facts = meet(written(pools.drop("good").join(judges.select("pool").distinct(), "pool", "left_semi"), "facts"))
+    within = judges.select("grp", F.explode(_known()).alias("pool")).join(facts.select("pool", "c"), "pool")
     vectors = stats.filter("NOT base_failed").select("grp", *vector()).join(meet(within), "grp")
-    vectors = written(vectors.select("pool", *((F.col(v) - F.col(f"c{i}")).alias(v) for i, v in enumerate(V))), "vectors")
+    vectors = written(vectors.select("pool", *((F.col(v) - F.col("c")[i]).alias(v) for i, v in enumerate(V))), "vectors")
     shape = _starts(vectors, facts)
-    facts = facts.select("pool", *LIVE, "p", *(f"c{i}" for i in range(P)))
+    facts = facts.select("pool", "a", "p", "c")
     shape = _concentrated(vectors, shape, facts, meet).drop("open")  # a start's determinant is none of three quarters
     ended: list[DataFrame] = []
     for step in range(MOST_STEPS):
@@ -258,16 +246,16 @@ def estimates(stats: DataFrame, least: int = 50) -> DataFrame:
         found = found.unionByName(more)
     rank = F.row_number().over(Window.partitionBy("pool").orderBy(F.round("logdet", 6), "start"))
     best = written(found.withColumn("place", rank).filter("place = 1").drop("place", "start"), "best")
-    near = vectors.join(meet(best.drop(*LIVE)), "pool").filter(_distance() <= F.expr(f"{_pick(CONSISTENT_75)} * {_pick(CHI_975)}")).groupBy("pool").agg(*_moments())
-    final = _shape(near.join(facts, "pool"), ["pool"], CONSISTENT_975).drop("logdet", *LIVE, "p")
-    final = final.join(meet(best.select("pool", "logdet")), "pool").join(facts, "pool")
-    final = written(final.select("pool", *LIVE, "p", "logdet", *((F.col(f"m{i}") + F.col(f"c{i}")).alias(f"m{i}") for i in range(P)), *SHAPE[P:]), "shape")
+    near = vectors.join(meet(best.drop("a")), "pool").filter(_distance() <= F.expr(f"{_pick(CONSISTENT_75)} * {_pick(CHI_975)}")).groupBy("pool").agg(*_moments())
+    final = _shape(near.selectExpr("pool", "n", *SUMS).join(facts, "pool"), ["pool"], CONSISTENT_975).drop("logdet")
+    final = final.join(meet(best.select("pool", "logdet")), "pool").join(facts.select("pool", "c"), "pool")
+    final = written(final.selectExpr("pool", "a", "p", "logdet", "zip_with(m, c, (x, y) -> x + y) AS m", "w"), "shape")
     return written(judges.join(meet(final), "pool"), "estimates")
 
 
 def judged(stats: DataFrame, cut: tuple[float, ...] = CUT, least: int = 50) -> DataFrame:
     """``stats`` with d2 (null only where no document passes the base rule) and kept."""
-    found = estimates(stats, least).select("grp", "p", *SHAPE)
+    found = estimates(stats, least).select("grp", "p", "m", "w")
     names = stats.columns
     rows = stats.select("*", *vector()).join(_meeting(found.count())(found), "grp", "left").withColumn("d2", _distance()).withColumn("_cut", F.expr(_pick(cut)))
     return rows.select(*names, "d2", (~F.col("base_failed") & (F.col("d2") <= F.col("_cut"))).alias("kept"))

@@ -101,9 +101,7 @@ def test_same_as_a_dense_estimate_by_group(spark):
         own = np.array([g[1:] for g in rows if g.grp == grp], float)
         every = np.array([g[1:] for g in rows if g.grp == grp or r.pool == "l" + g.grp[0]], float)
         d2, det, p = dense(every)
-        w, m = np.zeros((quality.P,) * 2), np.array([r[f"m{i}"] for i in range(quality.P)])
-        for i, j in quality.PAIRS:
-            w[i, j] = r[f"w{i}{j}"]
+        w, m = np.array(r.w), np.array(r.m)
         mine = (((every - m) @ w.T) ** 2).sum(1)
         assert p == r.p == 4 and abs(det - r.logdet) < 1e-6
         assert np.allclose(mine, d2, rtol=1e-6)  # nothing is added to a scatter
