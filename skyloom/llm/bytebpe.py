@@ -1,21 +1,25 @@
 """Byte-level BPE from a rank file, by the ``tokenizers`` library over Arrow batches; decoding by the byte table.
 
-The rank file's tokens become strings in which every byte is a character (``BYTE_CHARS``), and each way to join two
-tokens into a third becomes a merge, in the order of the third's rank.  Every match of the split pattern is encoded
-for itself; a match that is a token as a whole is that token.  Where a token can be reached over parts that overlap
-themselves (runs of one letter), merge order among equals may differ from the leftmost that rank files mean, so the
-ids of each distinct pre-token are checked against the rank library once and follow it.
-
-Decoding looks bytes up by id and joins them: characters split over tokens come together again; a cut inside a
-character becomes U+FFFD in ``decode_text`` and stays as bytes in ``decode``.
-
-Nulls: a null text is an empty one; null ids and repeated rows are kept; an empty table gives no rows.
+The rank file's tokens become strings in which every byte is a character (``BYTE_CHARS``).  A rank file merges any two parts
+whose join is a token, the least rank first and the leftmost of equals; the library merges listed pairs in the list's order.  The two
+agree when each token is listed with one pair, the last that the rank rule itself merges on the token's own bytes: inside a
+token's span merges happen in the same order wherever it stands, as long as none crosses its ends, so no other pair
+can come to lie there.  ``merges`` finds these pairs; ids are the library's alone.  Every match of the split pattern is
+encoded for itself; a match that is a token as a whole is that token.
+
+Offsets are characters: byte lengths of the tokens, summed, looked up in the text's table of bytes to characters.  Decoding joins the
+tokens' strings and reverses the byte table: characters split over tokens come together again; a cut inside a character
+becomes U+FFFD in ``decode_text`` and stays as bytes in ``decode``.
+
+Nulls: a null text is an empty one; null ids and repeated rows are kept; an empty table gives no rows; texts of any length go
+whole (a worker holds one batch's texts and their ids).  doc_id and text are read alone, so clashing column names don't matter.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -25,6 +29,10 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from skyloom.llm.pretokens import BYTE_CHARS, NOT_PLAIN, SPLITS, Table, byte_chars, encoder
+from skyloom.llm.rowwise import spread
+
+#: Characters of byte-level vocabularies back to bytes.
+CHAR_BYTES = {c: b for b, c in BYTE_CHARS.items()}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -36,36 +44,51 @@ def shown(token: bytes) -> str:
     return token.decode("latin-1").translate(BYTE_CHARS)
 
 
+def last_pair(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
+    """The last two parts that the rank rule joins to the token; None where it never comes to two."""
+    parts = [token[k : k + 1] for k in range(len(token))]
+    while len(parts) > 2:
+        found = [(ranks[j], k) for k in range(len(parts) - 1) if (j := parts[k] + parts[k + 1]) in ranks]
+        if not found:
+            return None
+        k = min(found)[1]
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    return (parts[0], parts[1]) if len(parts) == 2 else None
+
+
+def merges(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
+    """One pair for each token, by rank. A token with one way to be cut into two needs no search: another pair can't arise."""
+    out = []
+    for t in sorted(ranks, key=ranks.get):
+        cuts = [(t[:k], t[k:]) for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        pair = cuts[0] if len(cuts) == 1 else last_pair(t, ranks) if cuts else None
+        if pair is not None:
+            out.append(pair)
+    return out
+
+
 class RankEncoder:
     """``path``: a rank file; ``pattern``: the split."""
 
     def __init__(self, path: str, pattern: str | None = None, limit: int = 400_000):
         import public_tokenizers
-        import tiktoken
         from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
         pattern = pattern or public_tokenizers.PATTERN
         ranks = read_ranks(path)
         names = {t: shown(t) for t in ranks}
-        merges = [(names[t[:k]], names[t[k:]]) for t in sorted(ranks, key=ranks.get) for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        self.library = Tokenizer(models.BPE({names[t]: r for t, r in ranks.items()}, merges, ignore_merges=True))
+        pairs = [(names[a], names[b]) for a, b in merges(ranks)]
+        self.library = Tokenizer(models.BPE({names[t]: r for t, r in ranks.items()}, pairs, ignore_merges=True))
         self.library.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.library.decoder = decoders.ByteLevel()
-        self.bytes = [b""] * (max(ranks.values()) + 1)
+        size = max(ranks.values()) + 1
+        self.shown, self.lengths = [""] * size, np.zeros(size, np.int64)
         for t, r in ranks.items():
-            self.bytes[r] = t
-        self.decimal = [str(i) for i in range(len(self.bytes))]
+            self.shown[r], self.lengths[r] = names[t], len(t)
+        self.decimal = [str(i) for i in range(size)]
         self.any, self.fast = regex.compile(pattern).findall, SPLITS["byte"].findall if pattern == public_tokenizers.PATTERN else None
-        exact = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         merge = self.library.model.tokenize
-
-        def ids(token: str) -> bytes:
-            found = [p.id for p in merge(byte_chars(token))]
-            if found != (meant := exact(token.encode())):
-                found = meant
-            return array("I", found).tobytes()
-
-        self.ids = Table(ids, limit)
+        self.ids = Table(lambda token: array("I", [p.id for p in merge(byte_chars(token))]).tobytes(), limit)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -74,15 +97,13 @@ class RankEncoder:
         return b"".join(map(self.ids.__getitem__, split(text)))
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+        return "".join(map(self.shown.__getitem__, ids)).translate(CHAR_BYTES).encode("latin-1")
 
-    def offsets(self, text: str, ids: list[int]) -> list[tuple[int, int]]:
-        """The characters (start, end) of each token; tokens that share a character each have the whole of it."""
-        raw = np.frombuffer(text.encode(), np.uint8)
-        char = np.cumsum((raw & 0xC0) != 0x80) - 1
-        ends = np.cumsum([len(self.bytes[i]) for i in ids], dtype=np.int64)
-        starts = np.concatenate([[0], ends])[:-1].astype(np.int64)
-        return list(zip(char[starts].tolist(), (char[ends - 1] + 1).tolist())) if len(ids) else []
+    def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First character of each token and the one after its last; tokens that share a character each have the whole of it."""
+        char = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80) - 1
+        ends = np.cumsum(self.lengths[ids])
+        return char[ends - self.lengths[ids]], char[ends - 1] + 1
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -92,9 +113,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         codec = encoder(path, RankEncoder)
         for b in batches:
             texts = [t.as_py() or "" for t in b["text"]]
-            ids = [np.frombuffer(codec.encode(t), "<u4").tolist() for t in texts]
+            ids = [np.frombuffer(codec.encode(t), "<u4") for t in texts]
             spans = [codec.offsets(t, i) for t, i in zip(texts, ids)]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(ids, pa.list_(pa.int32())), *(pa.array([[s[k] for s in x] for x in spans], pa.list_(pa.int32())) for k in (0, 1))], ["doc_id", "ids", "starts", "ends"])
+            columns = [ids, *([s[k] for s in spans] for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array([x.tolist() for x in c], pa.list_(pa.int32())) for c in columns)], ["doc_id", "ids", "starts", "ends"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
 
@@ -112,17 +134,20 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens and the SHA-256 of the ids (decimal, joined by commas) and of the decoded bytes."""
+    """doc_id, n_tokens, the SHA-256 of the ids (decimal, joined by commas) and of the decoded bytes, and the CRC-32 of the tokens' offsets
+    (first characters, then ends, as little-endian unsigned 32-bit integers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(path, RankEncoder)
         for b in batches:
-            n, of_ids, of_bytes = [], [], []
-            for text in b["text"]:
-                ids = np.frombuffer(codec.encode(text.as_py() or ""), "<u4").tolist()
-                n.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join(map(codec.decimal.__getitem__, ids)).encode()).hexdigest())
-                of_bytes.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            rows = []
+            for cell in b["text"]:
+                text = cell.as_py() or ""
+                raw = np.frombuffer(codec.encode(text), "<u4")
+                ids, places = raw.tolist(), b"".join(x.astype("<u4").tobytes() for x in codec.offsets(text, raw))
+                told = ",".join(map(codec.decimal.__getitem__, ids)).encode()
+                rows.append((len(ids), hashlib.sha256(told).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest(), zlib.crc32(places)))
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 4, kinds))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_crc32"])
+
+    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_crc32 long")

@@ -40,10 +40,11 @@ def test_ids_as_the_library(encoders, text):
 @given(text=ANY)
 def test_rank_ids_and_round_trip(ranks, text):
     own, exact = ranks
-    ids = np.frombuffer(own.encode(text), "<u4").tolist()
-    assert ids == exact.encode_ordinary(text)
+    raw = np.frombuffer(own.encode(text), "<u4")
+    ids = raw.tolist()
+    assert ids == exact.encode_ordinary(text)  # though the library alone decides
     assert own.decode(ids) == text.encode()
-    spans = own.offsets(text, ids)
+    spans = list(zip(*own.offsets(text, raw)))
     assert len(spans) == len(ids) and (not spans or (spans[0][0] == 0 and spans[-1][1] == len(text)))
     assert all(a < b for a, b in spans)
 
@@ -73,18 +74,34 @@ def test_byte_bpe_digests_and_decoding(spark, ranks):
     want = []
     for d, t, *_ in texts():
         ids = ranks[1].encode_ordinary(t or "")
-        want.append((str(d), len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
-    assert got == sorted(want)
+        places = ranks[1].decode_with_offsets(ids)[1]
+        want.append((str(d), len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest(), places))
+    assert [r[:-1] for r in got] == [w[:-1] for w in sorted(want)]
+    coded = bytebpe.encode(frame(spark), RANKS).collect()
+    assert sorted(r[-1] for r in got) == sorted(zlib.crc32(np.array(r.starts + r.ends, "<u4").tobytes()) for r in coded)
+    firsts = {str(r.doc_id): r.starts for r in coded if r.doc_id is not None and r.doc_id > 40}
+    assert all(firsts[w[0]] == w[-1] for w in want if w[0] in firsts)
     back = bytebpe.decode(bytebpe.encode(frame(spark), RANKS), RANKS).collect()
     assert sorted((str(r.doc_id), r.decode_text) for r in back) == sorted((str(d), t or "") for d, t, *_ in texts())
     assert bytebpe.digests(frame(spark).limit(0), RANKS).count() == 0
 
 
 def test_cut_inside_a_character(ranks):
-    ids = np.frombuffer(ranks[0].encode("\U0001f9ff"), "<u4").tolist()
+    raw = np.frombuffer(ranks[0].encode("\U0001f9ff"), "<u4")
+    ids = raw.tolist()
     assert len(ids) > 1
     assert ranks[0].decode(ids[:1]).decode(errors="replace") == "�"
-    assert set(ranks[0].offsets("\U0001f9ff", ids)) == {(0, 1)}
+    assert set(zip(*ranks[0].offsets("\U0001f9ff", raw))) == {(0, 1)}
+
+
+def test_overlapping_parts_without_the_rank_library(ranks):
+    """Runs of letters and of whole tokens, where ties between overlapping pairs decide."""
+    own, exact = ranks
+    rng = np.random.default_rng(1)
+    tokens = [t.decode() for t in bytebpe.read_ranks(RANKS) if t.isalpha() and t.isascii() and len(t) > 2]
+    pieces = ["".join(rng.choice(tokens, 4)) for _ in range(4000)] + [c * n for c in "aelost =-." for n in range(1, 90)] + ["".join(rng.choice(list("abo"), 60)) for _ in range(2000)]
+    for p in pieces:
+        assert [x.id for x in own.library.model.tokenize(bytebpe.byte_chars(p))] == exact._encode_single_piece(p.encode())
 
 
 # Elias-Fano ------------------------------------------------------------------------------------------------------
