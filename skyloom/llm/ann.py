@@ -1,19 +1,25 @@
 """Approximate nearest neighbours by inner product over balanced posting lists.
 
-Centroids are fitted on a bounded sample (``SAMPLE`` vectors of the lowest id hashes) by k-means whose large clusters
-are split until no one holds over twice the mean; there are ``MOST`` of them at most, so they and a graph over them
-(each to its nearest ones) fit in every worker's memory.  Vectors get one more coordinate that makes all lengths
-equal, so that nearest by distance is largest by inner product.  Every vector is put on the list of its nearest
-centroid and, near a boundary, on those of others within ``REPLICATE`` times that distance; a query searches the
-lists whose centroids lie within ``PROBE`` times the distance of the eighth, found by best-first search in the graph.  Lists and
-their queries are cut into blocks of bounded size; each block yields its best, and the best of those are the result.
+Vectors get one more coordinate that makes all lengths equal, so that nearest by distance is largest by inner product.
+There is a list for every ``LIST`` vectors (``MOST`` lists at most; beyond that lists grow).  Their centroids are fitted on a
+bounded sample (``PER_LIST`` vectors a list, of the lowest id hashes) by k-means in two levels, then clusters over twice the mean of the sample are
+halved until there is none; so they and a graph over them (each to its nearest ones) fit in every worker's memory.
+
+Every vector is put on the list of its nearest centroid and, near a boundary, on those of others within ``REPLICATE`` times that
+distance; a query searches the lists whose centroids lie within a ratio of the distance of the eighth, found by best-first search in
+the graph.  The ratio is calibrated, not given: sample vectors ask for their true nearest in the sample, and it is the
+least by which ``RECALL`` of those are found.  Vectors that lie in clusters need few lists, random ones many.
+
+Neighbouring lists share a bucket of bounded size, where each query meets the lists that it searches, all at once; lists larger than a bucket are
+cut into blocks.  Each bucket yields a query's best, and the best of those are the result.
 
 Scores are inner products in double precision of the original vectors, each computed for the pair alone.
 
 Defined cases: vectors that are null, empty, zero, or hold a null or a non-finite component take no part, neither do
 null ids and vectors of another dimension than the most frequent (of equals the smaller).  Rows that repeat id
 and vector count once; an id with several vectors is a query for each and never its own neighbour.  Of equal vectors
-only the k + 1 smallest ids can be among the nearest, so no more enter the lists.  An empty table gives no rows.
+only the k + 1 smallest ids can be among the nearest, so no more enter the lists.  An empty table gives no rows.  Only vec_id and the
+vector are read, so clashing column names don't matter.
 """
 
 from __future__ import annotations
@@ -26,8 +32,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skyloom.sources.staging import written
 
-SAMPLE, MOST, DEGREE = 20_000, 2048, 24
-REPLICATE, PROBE, COPIES, BEAM, BLOCK = 1.03, 1.1, 6, 512, 4096
+LIST, MOST, PER_LIST, DEGREE = 64, 16_384, 16, 24
+REPLICATE, COPIES, BLOCK = 1.03, 3, 4096
+#: What the calibration aims at, and how many sample vectors ask for it.
+RECALL, ASKED = 0.95, 400
 #: The distance that ratios refer to is that of the so-manieth nearest centroid (a query may be a centroid itself).
 NEAREST_OF_COPY, NEAREST_OF_QUERY = 1, 8
 
@@ -41,26 +49,82 @@ def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1), 0)
 
 
-def fit(sample: np.ndarray, lists: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
-    """Balanced centroids of the sample."""
-    rng = np.random.default_rng(seed)
-    c = sample[rng.choice(len(sample), min(lists, len(sample)), replace=False)].copy()
+def _means(x: np.ndarray, lists: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+    """Plain k-means; clusters that lose all their vectors go."""
+    c = x[rng.choice(len(x), min(lists, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        near = _squares(sample, c).argmin(1)
+        near = _squares(x, c).argmin(1)
         size = np.bincount(near, minlength=len(c))
-        order = np.argsort(near, kind="stable")
         has = np.flatnonzero(size)
-        sums = np.add.reduceat(sample[order], np.concatenate([[0], np.cumsum(size[has])[:-1]]), axis=0)
-        c = sums / size[has][:, None]
-        big = np.flatnonzero(size[has] > 2 * max(len(sample) / lists, 1))
-        room = MOST - len(c)
-        parts = [sample[near == has[b]] for b in big[:room]]
-        halves = [p[rng.choice(len(p), 2, replace=False)] for p in parts]
-        if halves:
-            c = np.concatenate([np.delete(c, big[:room], 0), *halves])
+        order = np.argsort(near, kind="stable")
+        c = np.add.reduceat(x[order], np.concatenate([[0], np.cumsum(size[has])[:-1]]), axis=0) / size[has][:, None]
+    return c
+
+
+def _near(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.concatenate([_squares(x[at : at + 8192], c).argmin(1) for at in range(0, len(x), 8192)])
+
+
+def fit(sample: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
+    """Balanced centroids of the sample, neighbours close together in their order."""
+    rng = np.random.default_rng(seed)
+    tops = _means(sample, max(1, int(lists**0.5)), rng)
+    of = _near(sample, tops)
+    parts = [sample[of == k] for k in np.unique(of)]
+    c = np.concatenate([_means(p, max(1, round(lists * len(p) / len(sample))), rng) for p in parts])
+    most = 2 * max(1.0, len(sample) / lists)
+    for _ in range(12):  # each round halves what is too large; copies of one vector can't be parted
+        near = _near(sample, c)
+        size = np.bincount(near, minlength=len(c))
+        out = []
+        for k in range(len(c)):
+            own = sample[near == k] if size[k] > most else None
+            if own is None or not np.ptp(own, 0).any():
+                out.append(c[k : k + 1])
+                continue
+            way = np.linalg.svd(own - own.mean(0), full_matrices=False)[2][0]
+            upper = (along := own @ way) > np.median(along)
+            upper = upper if upper.any() else along >= np.median(along)
+            out.append(np.stack([own[upper].mean(0), own[~upper].mean(0)]) if not upper.all() else c[k : k + 1])
+        if sum(map(len, out)) == len(c):
+            break
+        c = np.concatenate(out)
     return c.astype(np.float32)
 
 
+def calibrate(sample: np.ndarray, graph: Graph, k: int) -> tuple[float, int]:
+    """The ratio by which ``RECALL`` of the sample's true neighbours are found, and how many lists a query may need."""
+    ask = np.unique(np.linspace(0, len(sample) - 1, min(ASKED, len(sample))).astype(int))
+    q = sample[ask].copy()
+    q[:, -1] = 0
+    score = q @ sample.T
+    score[np.arange(len(ask)), ask] = -np.inf
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return 1.0, len(graph.c)
+    best = np.argpartition(-score, k - 1, 1)[:, :k]
+    rows, back = np.unique(best, return_inverse=True)
+    lists, taken = _taken(graph, sample[rows], 32, REPLICATE, NEAREST_OF_COPY, COPIES)
+    far = _squares(q, graph.c)
+    to = far[np.arange(len(ask))[:, None, None], lists[back.reshape(best.shape)]]
+    to = np.where(taken[back.reshape(best.shape)], to, np.inf).min(2)
+    unit = np.sort(far, 1)[:, min(NEAREST_OF_QUERY, far.shape[1]) - 1]
+    ratio = float(np.quantile(to / np.maximum(unit, 1e-30)[:, None], RECALL)) ** 0.5
+    need = (far <= ratio**2 * unit[:, None]).sum(1)
+    return max(1.0, ratio), int(min(len(graph.c), max(64, 1.25 * np.quantile(need, 0.99))))
+
+
+def _taken(graph: Graph, x: np.ndarray, beam: int, ratio: float, nth: int, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The lists found for each row, nearest first, and which of them it takes."""
+    ids, dist = graph.search(x, beam)
+    near = min(nth, dist.shape[1])
+    take = np.isfinite(dist) & (dist <= ratio**2 * dist[:, near - 1 : near])
+    take[:, :near] |= np.isfinite(dist[:, :near])
+    if most is not None:
+        take[:, most:] = False
+    return ids, take
+
+
 class Graph:
     """Best-first search over centroids, for many vectors at a time."""
 
@@ -125,66 +189,118 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, width)
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 20, vector: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: for each row that ``queries`` picks, its k nearest found."""
-    spark = vectors.sparkSession
+class Index:
+    """Lists and the queries that search them. ``base``: candidates; ``lists``: bucket, list, id, v; ``asked``: bucket, id, v, lists."""
+
+    def __init__(self, rows: DataFrame, width: int, k: int):
+        place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+        self.width, self.base = width, written(rows.withColumn("place", place).filter(F.col("place") <= k + 1).select("vec_id", "v"), "candidates")
+        self.total, longest = self.base.agg(F.count(F.lit(1)), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))).first()
+        lists = int(min(MOST, max(1, self.total // LIST)))
+        told = self.base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PER_LIST * max(lists, 256)).select("v").toArrow()
+        sample = _lifted(_matrix(told["v"], width), longest)
+        graph = Graph(fit(sample, lists))
+        self.lists_n, blob = len(graph.c), graph.c.tobytes()
+        self.ratio, self.beam = calibrate(sample, graph, k)
+        self.share = max(1, int(BLOCK * self.lists_n / (2 * max(1, self.total))))  # lists a bucket
+        share, ratio, beam = self.share, self.ratio, self.beam
+
+        def place_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            graph = _graph(blob, width + 1)
+            for b in _parts(batches):
+                ids, take = _taken(graph, _lifted(_matrix(b["v"], width), longest), 32, REPLICATE, NEAREST_OF_COPY, COPIES)
+                of, rank = np.nonzero(take)
+                found = ids[of, rank]
+                yield pa.RecordBatch.from_arrays([pa.array(found // share, pa.int32()), pa.array(found, pa.int32()), b["vec_id"].take(pa.array(of)), b["v"].take(pa.array(of))], ["bucket", "list", "id", "v"])
+
+        def place_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            graph = _graph(blob, width + 1)
+            for b in _parts(batches):
+                ids, take = _taken(graph, _lifted(_matrix(b["v"], width), None), beam, ratio, NEAREST_OF_QUERY, None)
+                of, rank = np.nonzero(take)
+                found = ids[of, rank]
+                order = np.lexsort((found, of))
+                of, found = of[order], found[order]
+                first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (found[1:] // share != found[:-1] // share)])) if len(of) else np.empty(0, int)
+                at = pa.array(of[first])
+                told = pa.ListArray.from_arrays(pa.array(np.append(first, len(of)), pa.int32()), pa.array(found, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(found[first] // share, pa.int32()), b["vec_id"].take(at), b["v"].take(at), told], ["bucket", "id", "v", "lists"])
+
+        self.lists = written(self.base.mapInArrow(place_vectors, "bucket int, list int, id long, v array<float>"), "lists")
+        self.asked = written(rows.filter("q").select("vec_id", "v").mapInArrow(place_queries, "bucket int, id long, v array<float>, lists array<int>"), "queries")
+
+    def scored_share(self) -> float:
+        """Pairs of a query and a vector on a list that it searches, copies too, of all pairs of a query and a vector."""
+        held = self.lists.groupBy("list").count()
+        wanted = self.asked.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("n"))
+        queries = self.asked.select("id", "v").distinct().count()
+        return (held.join(wanted, "list").agg(F.sum(F.col("count") * F.col("n"))).first()[0] or 0) / max(1, queries * self.total)
+
+
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    return (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+
+def index(vectors: DataFrame, queries: Column, k: int = 20, vector: str = "embedding") -> Index | None:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("v"), queries.alias("q")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
     rows = written(rows.dropDuplicates(["vec_id", "v"]), "vectors")
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    result = "query_id long, rank int, vec_id long, score double"
-    if sizes is None:
-        return spark.createDataFrame([], result)
-    width, rows = sizes["d"], rows.filter(F.size("v") == sizes["d"])
-    place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    base = written(rows.withColumn("place", place).filter(F.col("place") <= k + 1).select("vec_id", "v"), "candidates")
-    total, longest = base.agg(F.count(F.lit(1)), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))).first()
-    told = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
-    sample = _lifted(_matrix(told["v"], width), longest)
-    blob = fit(sample, int(min(MOST // 2, max(1, total**0.5)))).tobytes()
-
-    def placed(length: float | None, ratio: float, nth: int, most: int, beam: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            graph = _graph(blob, width + 1)
-            for whole in batches:
-                for at in range(0, whole.num_rows, 512):
-                    b = whole.slice(at, 512)
-                    ids, dist = graph.search(_lifted(_matrix(b["v"], width), length), beam)
-                    near = min(nth, dist.shape[1])
-                    take = dist <= ratio**2 * dist[:, near - 1 : near]
-                    take[:, most:] = False
-                    of, rank = np.nonzero(take)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[of, rank], pa.int32()), b["vec_id"].take(pa.array(of)), b["v"].take(pa.array(of))], ["list", "id", "v"])
-
-        return run
-
-    lists = written(base.mapInArrow(placed(longest, REPLICATE, NEAREST_OF_COPY, COPIES, 32), "list int, id long, v array<float>"), "lists")
-    asked = written(rows.filter("q").select("vec_id", "v").mapInArrow(placed(None, PROBE, NEAREST_OF_QUERY, BEAM, BEAM), "list int, id long, v array<float>"), "queries")
-    parts = lambda df, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
-    cuts = F.broadcast(parts(lists, "nv").join(parts(asked, "nq"), "list"))  # MOST rows at most
-    left = lists.join(cuts, "list").select("list", F.pmod(F.xxhash64("id"), "nv").cast("int").alias("bv"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("bq"), "id", "v")
-    right = asked.join(cuts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)).alias("bv"), F.pmod(F.xxhash64("id"), "nq").cast("int").alias("bq"), "id", "v")
+    return None if sizes is None else Index(rows.filter(F.size("v") == sizes["d"]), sizes["d"], k)
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int = 20, vector: str = "embedding") -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: for each row that ``queries`` picks, its k nearest found."""
+    found_index = index(vectors, queries, k, vector)
+    if found_index is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    width, lists, asked = found_index.width, found_index.lists, found_index.asked
+    parts = lambda df, name: df.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    cuts = F.broadcast(parts(lists, "nv").join(parts(asked, "nq"), "bucket"))  # MOST rows at most
+    left = lists.join(cuts, "bucket").select("bucket", F.pmod(F.xxhash64("id"), "nv").cast("int").alias("bv"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("bq"), "list", "id", "v")
+    right = asked.join(cuts, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)).alias("bv"), F.pmod(F.xxhash64("id"), "nq").cast("int").alias("bq"), "id", "v", "lists")
 
     def best(found: pa.Table, wanted: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        vid = qid = np.empty(0, np.int64)
         if found.num_rows and wanted.num_rows:
+            found = found.sort_by("list")
             vs, qs = _matrix(found["v"], width).astype(np.float64), _matrix(wanted["v"], width).astype(np.float64)
-            vid, qid = found["id"].to_numpy(), wanted["id"].to_numpy()
-            for at in range(0, len(qs), 256):
-                score = qs[at : at + 256] @ vs.T
-                score[qid[at : at + 256, None] == vid] = -np.inf
-                kth = np.partition(score, -k, 1)[:, -k] if len(vs) > k else np.full(len(score), -np.inf)
-                i, j = np.nonzero((score >= kth[:, None] - 1e-9) & np.isfinite(score))
-                exact = np.einsum("ij,ij->i", qs[at + i], vs[j])
-                order = np.lexsort((vid[j], -exact, i))
-                i, j, exact = i[order], j[order], exact[order]
-                first = np.searchsorted(i, i, "left")
-                top = np.arange(len(i)) - first < k
-                out.append((qid[at + i[top]], vid[j[top]], exact[top], at + i[top]))
-        columns = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)]
+            vid, qid, of_list = found["id"].to_numpy(), wanted["id"].to_numpy(), found["list"].to_numpy()
+            told = wanted["lists"].combine_chunks()
+            asks = told.flatten().to_numpy()
+            who = np.repeat(np.arange(len(qs)), told.value_lengths().to_numpy())
+            order = np.argsort(asks, kind="stable")
+            asks, who = asks[order], who[order]
+            for name in np.unique(of_list):
+                a, z = np.searchsorted(of_list, [name, name + 1])
+                ours = who[slice(*np.searchsorted(asks, [name, name + 1]))]
+                for at in range(0, len(ours), 256):
+                    rows = ours[at : at + 256]
+                    score = qs[rows] @ vs[a:z].T
+                    score[qid[rows][:, None] == vid[a:z]] = -np.inf
+                    far = max(1.0, np.abs(score, where=np.isfinite(score), out=np.zeros_like(score)).max())
+                    kth = np.partition(score, -k, 1)[:, -k] if z - a > k else np.full(len(score), -np.inf)
+                    i, j = np.nonzero((score >= kth[:, None] - 1e-9 * far) & np.isfinite(score))
+                    out.append((rows[i], a + j, score[i, j]))
+        i, j, score = (np.concatenate(x) for x in zip(*out))
+        order = np.lexsort((vid[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        if len(i):  # no other can be among the k nearest, each COPIES times at most; sums in another order may differ a little
+            last = np.minimum(np.searchsorted(i, i, "left") + COPIES * (k + 1), np.searchsorted(i, i, "right")) - 1
+            near = score >= score[last] - 1e-9 * max(1.0, np.abs(score).max())
+            i, j = i[near], j[near]
+        exact = np.einsum("ij,ij->i", qs[i], vs[j]) if len(i) else np.empty(0)
+        _, once = np.unique(np.stack([i, vid[j]], 1), axis=0, return_index=True) if len(i) else (None, np.empty(0, int))
+        i, j, exact = i[once], j[once], exact[once]
+        order = np.lexsort((vid[j], -exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        top = np.arange(len(i)) - np.searchsorted(i, i, "left") < k
+        i, j, exact = i[top], j[top], exact[top]
         vecs = wanted["v"].combine_chunks() if wanted.num_rows else pa.array([], pa.list_(pa.float32()))
-        return pa.Table.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(_digest(vecs.take(pa.array(columns[3], pa.int64())), width), pa.int64())], ["query_id", "vec_id", "score", "of"])
+        return pa.Table.from_arrays([pa.array(qid[i], pa.int64()), pa.array(vid[j], pa.int64()), pa.array(exact, pa.float64()), pa.array(_digest(vecs.take(pa.array(i, pa.int64())), width), pa.int64())], ["query_id", "vec_id", "score", "of"])
 
-    met = left.groupBy("list", "bv", "bq").cogroup(right.groupBy("list", "bv", "bq")).applyInArrow(best, "query_id long, vec_id long, score double, of long")
+    by = ["bucket", "bv", "bq"]
+    met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(best, "query_id long, vec_id long, score double, of long")
     once = met.groupBy("query_id", "of", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id", "of").orderBy(F.desc("score"), "vec_id"))
     return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -25,6 +25,33 @@ def run(spark, rows, k=20, every=20):
     return ann.nearest(df, F.col("vec_id") % every == 0, k)
 
 
+def test_few_lists_of_clustered_vectors_are_searched(spark):
+    """At most a fifth of the pairs scored, at a recall of 0.9 or more; no list over twice the mean."""
+    rng = np.random.default_rng(2)
+    centers = rng.normal(size=(60, 32))
+    rows = [(i, (centers[rng.integers(60)] + 0.35 * rng.normal(size=32)).astype(np.float32).tolist()) for i in range(8000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    made = ann.index(df, F.col("vec_id") % 20 == 0)
+    assert made.scored_share() <= 0.2
+    held = [r["count"] for r in made.lists.groupBy("list").count().collect()]
+    assert 80 <= len(held) <= 8000 // ann.LIST * 2 and max(held) <= 3 * np.mean(held)
+    x = np.array([v for _, v in rows], np.float64)
+    q = np.arange(0, 8000, 20)
+    score = x[q] @ x.T
+    score[np.arange(len(q)), q] = -np.inf
+    want = {(int(a), int(b)) for a, own in zip(q, np.argsort(-score, 1, kind="stable")[:, :20]) for b in own}
+    got = {(r.query_id, r.vec_id) for r in run(spark, rows).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_centroids_are_balanced():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(3000, 8)) * 0.01, rng.normal(size=(1000, 8)) * 5]).astype(np.float32)
+    c = ann.fit(x, 64)
+    size = np.bincount(ann._near(x, c), minlength=len(c))
+    assert size.max() <= 2 * len(x) / 64
+
+
 def test_recall_and_scores(spark):
     rows = random_rows(3000, 24)
     got = run(spark, rows).collect()
