@@ -1,13 +1,13 @@
 """N-gram Jaccard join by vertical partitioning, whole and without all pairs of a group.
 
 A document's set holds the 64-bit hashes of its distinct word n-grams; the order of the hashes is the global n-gram
-order.  Documents with equal sets form a class, and the join runs between classes:
+order.  Documents with equal sets (128 bits of digest) form a class, and the join runs between classes:
 
 1. A fragment of the order (three eighths) is counted first.  A link needs three quarters of a set shared, so a class
    with more than a quarter of its set found nowhere else, even in this fragment alone, has no partner and drops out.
-2. Star rounds.  Every n-gram nominates one leader among its classes, the one that shares most of its own set; partial overlaps of (class, leader) are counted
-   within each fragment of n-grams (a partition of the shuffle, before anything is sent on) and summed per pair.  The
-   sum never exceeds the true overlap, so pairs over the threshold are links.  N-grams whose classes have come
+2. Star rounds.  Every n-gram nominates one leader among its classes, the one that shares most of its own set; partial overlaps of
+   (class, leader) are counted in each fragment of the order for itself and summed per pair.  The sum never exceeds the true
+   overlap, so pairs over the threshold are links.  N-grams whose classes have come
    together in one component can't add anything; a class that keeps less than three quarters of its set in other
    n-grams is settled and leaves.
 3. What is left is joined exactly: prefix and position filters over the order (frequency, hash) give candidate pairs
@@ -18,25 +18,28 @@ Every step is either exact or drops only what cannot link, so components are tho
 
 Nulls and empty texts: no set, linked with nothing, component_id is the own doc_id.  Null ids are kept and never
 are a component's smallest id unless all of its ids are null (then it is null).  Repeated rows are one class.  Fewer
-words than n: the whole sequence is the one n-gram.  Other columns are not looked at.
+words than n: the whole sequence is the one n-gram.  Texts of any length go whole: a worker holds the sets of ``SLICE`` rows.  Classes whose
+first 64 bits are equal get other numbers (``_parted``).  Other columns are not looked at, so clashing names don't matter.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skyloom.llm.components import components
 from skyloom.llm.pretokens import Table, release
+from skyloom.llm.rowwise import spread
 from skyloom.sources.staging import discard_table, written
 
 FRAGMENTS = 8
 #: A broadcast table of class representatives has so many rows at most (of 8 bytes); larger ones are joined by shuffle.
-BROADCAST_ROWS = 1 << 20
+BROADCAST_ROWS = 1 << 18
 _FIRST = np.uint64(3 << 61)
 
 #: Rows that a worker holds sets of at a time.
@@ -61,8 +64,9 @@ def ngram_set(text: str | None, n: int = 5) -> np.ndarray:
     return np.unique(h)
 
 
-def class_of(grams: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_of(grams: np.ndarray) -> tuple[int, int]:
+    """The two halves of the set's digest."""
+    return struct.unpack("<qq", hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
 
 
 def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
@@ -82,20 +86,21 @@ def _features(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for b in _slices(batches):
             seen = seen if len(seen) < 100_000 else set()
-            sizes, classes, first = [], [], []
+            sizes, classes, others, first = [], [], [], []
             for text in b["text"]:
                 grams = ngram_set(text.as_py(), n)
                 c = class_of(grams)
                 sizes.append(len(grams))
-                classes.append(c)
+                classes.append(c[0])
+                others.append(c[1])
                 first.append(None if c in seen else grams[: np.searchsorted(grams, _FIRST)])
                 seen.add(c)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["key"], pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), _lists(first)], ["doc_id", "key", "n", "c", "first"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["key"], *(pa.array(x, pa.int64()) for x in (sizes, classes, others)), _lists(first)], ["doc_id", "key", "n", "c", "c2", "first"])
 
-    return docs.mapInArrow(run, "doc_id long, key string, n long, c long, first array<bigint>")
+    return spread(docs).mapInArrow(run, "doc_id long, key string, n long, c long, c2 long, first array<bigint>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -103,9 +108,33 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
         release()
         for b in _slices(batches):
             grams = [ngram_set(text.as_py(), n) for text in b["text"]]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(g) for g in grams], pa.int64()), pa.array([len(g) for g in grams], pa.int64()), _lists(grams)], ["x", "n", "grams"])
+            c = [class_of(g) for g in grams]
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in c], pa.int64()) for k in (0, 1)), pa.array([len(g) for g in grams], pa.int64()), _lists(grams)], ["c", "c2", "n", "grams"])
 
-    return docs.select("text").mapInArrow(run, "x long, n long, grams array<bigint>")
+    return spread(docs.select("text")).mapInArrow(run, "c long, c2 long, n long, grams array<bigint>")
+
+
+def _parted(classes: DataFrame) -> DataFrame | None:
+    """(c, c2, x): numbers of their own for all but one of the classes that share c; None where no two do. Only at billions of classes
+    some may: the table stays small."""
+    alike = classes.groupBy("c").count().filter("count > 1")
+    if alike.isEmpty():
+        return None
+    place = F.row_number().over(Window.partitionBy("c").orderBy("c2"))
+    several = written(classes.select("c", "c2").join(alike.select("c"), "c").withColumn("place", place).filter("place > 1"), "alike")
+    taken = classes.select(F.col("c").alias("x"))
+    for salt in range(64):
+        moved = written(several.select("c", "c2", F.xxhash64("c2", "c", F.lit(salt)).alias("x")), "moved")
+        if moved.join(taken, "x", "left_semi").isEmpty() and moved.groupBy("x").count().filter("count > 1").isEmpty():
+            return moved
+    raise AssertionError("no free numbers for classes")
+
+
+def _numbered(table: DataFrame, moved: DataFrame | None) -> DataFrame:
+    """``table`` with x, the class's number, in place of c and c2."""
+    if moved is None:
+        return table.withColumn("x", F.col("c")).drop("c", "c2")
+    return table.join(moved, ["c", "c2"], "left").withColumn("x", F.coalesce("x", "c")).drop("c", "c2")
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -123,6 +152,11 @@ def _prior(lonely: Column, turn: int) -> Column:
     return F.shiftleft((share * (1 << 14)).cast("long"), 48).bitwiseOR(F.xxhash64("x", F.lit(turn)).bitwiseAND(F.lit((1 << 48) - 1)))
 
 
+def _fragment(h: str) -> Column:
+    """The stretch of the global order that an n-gram lies in."""
+    return F.shiftrightunsigned(h, 64 - FRAGMENTS.bit_length() + 1).cast("int")
+
+
 def _star_round(sets: DataFrame, first: bool) -> DataFrame:
     """(x, l, k): k n-grams of x that some other component has, too, nominate l, which has the least ``prior``."""
     grams = sets.select("x", "label", "prior", F.explode("grams").alias("h"))
@@ -131,7 +165,8 @@ def _star_round(sets: DataFrame, first: bool) -> DataFrame:
         leads = grams.groupBy("h").agg(lead, F.count(F.lit(1)).alias("n")).filter("n > 1")
     else:
         leads = grams.groupBy("h").agg(lead, F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi")
-    return written(grams.select("x", "h").join(leads.select("h", "l"), "h").groupBy("x", "l").agg(F.count(F.lit(1)).alias("k")), "stars")
+    partial = grams.select("x", "h").join(leads.select("h", "l"), "h").groupBy("x", "l", _fragment("h").alias("f")).agg(F.count(F.lit(1)).alias("part"))
+    return written(partial.groupBy("x", "l").agg(F.sum("part").alias("k")), "stars")
 
 
 def _exact(sets: DataFrame) -> DataFrame:
@@ -149,8 +184,7 @@ def _exact(sets: DataFrame) -> DataFrame:
     pairs = row.join(other, (row["h"] == other["h"]) & reach).select("x", "y", "n", "m").distinct()
     pairs = written(pairs, "candidates")
     wanted = written(pairs.select("x").union(pairs.select("y")).distinct(), "wanted")
-    cut = F.shiftrightunsigned("h", 64 - FRAGMENTS.bit_length() + 1).cast("int")
-    segments = sets.join(_small(wanted), "x", "left_semi").select("x", F.explode("grams").alias("h")).withColumn("f", cut)
+    segments = sets.join(_small(wanted), "x", "left_semi").select("x", F.explode("grams").alias("h")).withColumn("f", _fragment("h"))
     segments = written(segments.groupBy("x", "f").agg(F.collect_list("h").alias("part")), "segments")
     partial = pairs.join(segments, "x").join(segments.toDF("y", "f", "part2"), ["y", "f"])
     counted = partial.groupBy("x", "y", "n", "m").agg(F.sum(F.size(F.array_intersect("part", "part2"))).alias("k"))
@@ -163,18 +197,20 @@ def similarity_classes(docs: DataFrame, n: int = 5, star_rounds: int = 2, key: C
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), "text", (F.lit(None) if key is None else key).cast("string").alias("key"))
     wide = written(_features(texts, n), "features")
+    classes = written(wide.filter("n > 0").groupBy("c", "c2").agg(F.min("doc_id").alias("m"), F.first("n").alias("n")), "digests")
+    moved, features = _parted(classes), wide
+    wide, classes = (_numbered(t, moved).withColumnRenamed("x", "c") for t in (wide, classes))
     rows = written(wide.drop("first"), "classes")
-    classes = rows.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("m"), F.first("n").alias("n"))
     first = wide.select("c", F.explode("first").alias("h")).groupBy("h").agg(F.min("c").alias("c"), F.max("c").alias("other"))
     alone = first.filter("c = other").groupBy("c").agg(F.count(F.lit(1)).alias("alone"))
     left = written(classes.join(alone, "c", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).filter("4 * alone <= n").select("c", "m", "n", "alone"), "survivors")
-    discard_table(wide)
+    discard_table(features)
 
     small = left.count() <= BROADCAST_ROWS
     wanted, known = left.select("m").distinct(), left.select(F.col("c").alias("x"), "alone")
     wanted, known = (F.broadcast(wanted), F.broadcast(known)) if small else (wanted, known)
     some = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["m"]), "left_semi")
-    sets = _sets(some, n).join(known, "x")
+    sets = _numbered(_sets(some, n), moved).join(known, "x")
     unique = texts.groupBy("doc_id").count().filter("count > 1").isEmpty()  # an id of several rows may bring a class twice
     sets = sets if unique else sets.dropDuplicates(["x"])
     sets = written(sets.withColumn("label", F.col("x")).withColumn("prior", _prior(8 / 3 * F.col("alone") / F.col("n"), 0)).drop("alone"), "sets")
