@@ -28,12 +28,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from skyloom.llm.pretokens import BYTE_CHARS, NOT_PLAIN, SPLITS, Table, byte_chars, encoder
+from skyloom.llm.pretokens import BYTE_CHARS, CHAR_BYTES, NOT_PLAIN, Table, byte_chars, encoder, plain_split
 from skyloom.llm.rowwise import spread
 
-#: Characters of byte-level vocabularies back to bytes.
-CHAR_BYTES = {c: b for b, c in BYTE_CHARS.items()}
-
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -86,7 +83,7 @@ class RankEncoder:
         for t, r in ranks.items():
             self.shown[r], self.lengths[r] = names[t], len(t)
         self.decimal = [str(i) for i in range(size)]
-        self.any, self.fast = regex.compile(pattern).findall, SPLITS["byte"].findall if pattern == public_tokenizers.PATTERN else None
+        self.any, self.fast = regex.compile(pattern).findall, plain_split(pattern).findall if pattern == public_tokenizers.PATTERN else None
         merge = self.library.model.tokenize
         self.ids = Table(lambda token: array("I", [p.id for p in merge(byte_chars(token))]).tobytes(), limit)
 

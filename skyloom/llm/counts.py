@@ -4,10 +4,10 @@ Each document becomes a table of distinct pre-tokens with their frequencies; eac
 with their number of pieces, filled by one call of the library's merges for each pre-token that it has not met;
 the join of the two and the sum of products give the document's count.  The join stays within the worker: sent over
 the cluster, the frequencies (317 rows a document on the check data) would be larger than the texts themselves, and the table
-has no size bound that would let it be broadcast.  Texts with characters or special strings that the local
-split does not cover are counted by the library whole.
+has no size bound that would let it be broadcast.  Special strings count one each, as the library's default has it.
 
-Null text counts as empty; null ids and repeated rows are kept; an empty table gives no rows.
+Null text counts as empty; null ids and repeated rows are kept; an empty table gives no rows; texts of any length go whole (a worker
+holds one text's distinct pre-tokens).  doc_id and text are read alone, so clashing column names don't matter.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from skyloom.llm.pretokens import encoder
+from skyloom.llm.rowwise import spread
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 
@@ -33,4 +34,4 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
             n = [pieces.count(t.as_py()) for t in text]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pc.binary_length(text).cast(pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, SCHEMA)
+    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(count, SCHEMA)

@@ -10,7 +10,9 @@ Files are written by Spark's own writer (each task's files appear when its task
 one line end, which is no part of the format.
 
 Nulls: a null text is an empty document (its end id alone); null document ids come first and are counted in the
-header.  Repeated rows are documents of their own, ordered by a hash of the text.  An empty table gives no rows.
+header.  Repeated rows are documents of their own, ordered by a hash of the text.  An empty table gives no rows.  Texts of any length go
+whole: a document's ids lie in one file, which may be larger than ``file_ids`` by one document.  doc_id and text are read alone, so
+clashing column names don't matter.  Where files begin is a running sum over one row a file, in one task.
 """
 
 from __future__ import annotations

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from skyloom.llm.pretokens import encoder
+from skyloom.llm.rowwise import spread
 from skyloom.sources.staging import written
 
 
@@ -87,7 +88,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, with_ids: boo
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECE)
+    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(cut, PIECE)
 
 
 PACKED = PIECE + ", deal long, part long, bin long, offset long, fill long, gap long, emptiest boolean"

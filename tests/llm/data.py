@@ -42,7 +42,7 @@ def texts() -> list[tuple]:
         (72, "naïve Ünïcödé 世界 \U0001f600 é́ ẞ ß", "zz", "s2"), (73, "a a a a a a a a a a a a a a", "en", "s1"), (74, "line one\nline two\nline one\n\n  \nline two\nline one", "en", "s1"),
         (75, "aaaaaaaaaaaaaaaaaaaaaaaaa " * 3 + "bbbbbbb" * 9, "en", "s1"), (76, "special <|endoftext|> and <|startoftext|> inside", "en", "s1"), (77, "#*$%&|<> " * 30, "en", "s0"),
         (78, prose(3, 6000), "en", "s0"), (79, "short", "en", "s2"), (80, "tabs\tand\r\nline  ends   here \n", "en", "s2"), (81, "it's we'll they've I'm you'd he's '' 's", "en", "s2"), (82, "nul \x00 and \x1c\x1d and \x85 and  ", "en", "s2"),
-        (None, "no id here at all", "en", "s1"), (None, None, None, None), (5, rows[5][1], "de", "s2"), (5, "same id, other text, same id", "en", "s2"), (40, rows[40][1], "en", "s0"),
+        (83, "Съешь ещё этих „мягких“ булок — it’s 世界。 " * 60, "ru", "s2"), (None, "no id here at all", "en", "s1"), (None, None, None, None), (5, rows[5][1], "de", "s2"), (5, "same id, other text, same id", "en", "s2"), (40, rows[40][1], "en", "s0"),
     ]
     return rows
 

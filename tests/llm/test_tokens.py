@@ -36,6 +36,35 @@ def test_ids_as_the_library(encoders, text):
         assert e.count(text) == len(e.library.encode(text, add_special_tokens=False).ids)
 
 
+FOREIGN = [
+    "Es heißt „Übung“ – ‘so’ — “quoted” it’s… €5", "Съешь ещё этих мягких французских булок, да выпей чаю. " * 400, "世界上有很多语言。你好，世界！ " * 300, "日本語のテキスト ｶﾀｶﾅ １２３", "ελληνικά Ελλάδα ΣΑΣ", "हिन्दी में पाठ ١٢٣ ไทย한국어",
+    "\U0001f600\U0001f468\u200d\U0001f469\u200d\U0001f467 é́ ﬁ İstanbul ß ẞ", "a\u3000b\xa0c\u2028d\x85e\x1cf", "世<|endoftext|><|startoftext|>’<|endoftext|>x <|endof", "<|endoftext|>", "plain<|endoftext|> text <|startoftext|>",
+]
+
+
+def test_other_scripts_and_special_strings(encoders, monkeypatch):
+    """Through tables, too: the library's ``encode`` isn't called."""
+    for e in encoders.values():
+        want = [e.library.encode(t, add_special_tokens=False).ids for t in FOREIGN]
+        assert [np.frombuffer(e.encode(t), "<u4").tolist() for t in FOREIGN] == want
+        assert [e.count(t) for t in FOREIGN] == [len(w) for w in want]
+        assert e.split is not None
+
+
+def test_files_of_other_kinds(tmp_path):
+    """A split or normalizer that isn't known here is left to the library."""
+    from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
+
+    t = Tokenizer.from_file(BYTE)
+    t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(r"\p{N}{1,3}|[^\p{N}]+"), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    t.normalizer = normalizers.Sequence([normalizers.NFKC(), normalizers.Replace("a", "b")])
+    t.save(str(tmp_path / "own.json"))
+    e = Encoder(str(tmp_path / "own.json"))
+    assert e.split is None
+    for text in [*FOREIGN, "banana 12345 ﬁ"]:
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=400, deadline=None)
 @given(text=ANY)
 def test_rank_ids_and_round_trip(ranks, text):
