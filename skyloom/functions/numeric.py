@@ -155,11 +155,11 @@ def inverse_noise_row(v: np.ndarray, rate: float, lam: int, window: str = "chebw
 
 
 def effective_psd(t: np.ndarray, n: int) -> np.ndarray:
-    """Spectrum of the circulant embedding of a truncated autocorrelation."""
+    """Spectrum of the circulant embedding of a truncated autocorrelation: its first n // 2 values."""
     column = np.zeros(n)
     column[: len(t)] = t
     column[n - len(t) + 1 :] = t[:0:-1]
-    return np.abs(np.fft.rfft(column))
+    return np.abs(np.fft.rfft(column))[: n // 2]
 
 
 def pseudo_inverse(k: np.ndarray, rcond: float = 1e-12) -> tuple[np.ndarray, int]:

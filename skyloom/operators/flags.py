@@ -22,11 +22,15 @@ def masked(tod: DataFrame, is_flagged: Column) -> DataFrame:
 
 
 def in_gaps(rows: DataFrame, gaps: DataFrame, row: str = "row", span: int = 4096) -> DataFrame:
-    """``rows`` with in_gap. Gaps (id0, len) are cut at multiples of ``span``, so the interval join is an equi-join."""
-    cut = gaps.filter("len > 0").select("id0", (F.col("id0") + F.col("len")).alias("end"), F.explode(F.sequence(F.floor(F.col("id0") / span), F.floor((F.col("id0") + F.col("len") - 1) / span))).alias("_cell"))
-    cell = cut.select("_cell", F.greatest("id0", F.col("_cell") * span).alias("_from"), F.least("end", (F.col("_cell") + 1) * span).alias("_to"))
-    hits = rows.withColumn("_cell", F.floor(F.col(row) / span)).join(cell, "_cell").filter((F.col(row) >= F.col("_from")) & (F.col(row) < F.col("_to"))).select(F.col(row).alias("_hit")).distinct()
-    return rows.join(hits, F.col(row) == F.col("_hit"), "left").withColumn("in_gap", F.col("_hit").isNotNull()).drop("_hit")
+    """``rows`` with in_gap. Gaps (id0, len) are cut at multiples of ``span`` and gathered by cell (``span`` starts at most), so the
+    interval join is one equi-join that leaves the number of rows as it is."""
+    first, last = F.floor(F.col("id0") / span), F.floor((F.col("id0") + F.col("len") - 1) / span)
+    cut = gaps.filter("len > 0").select("id0", (F.col("id0") + F.col("len")).alias("end"), F.explode(F.sequence(first, last)).alias("_cell"))
+    ends = cut.groupBy("_cell", F.greatest("id0", F.col("_cell") * span).alias("a")).agg(F.max(F.least("end", (F.col("_cell") + 1) * span)).alias("z"))
+    cells = ends.groupBy("_cell").agg(F.collect_list(F.struct("a", "z")).alias("_gaps"))
+    inside = F.exists("_gaps", lambda g: (F.col(row) >= g["a"]) & (F.col(row) < g["z"]))
+    joined = rows.withColumn("_cell", F.floor(F.col(row) / span)).join(cells, "_cell", "left")
+    return joined.withColumn("in_gap", F.coalesce(inside, F.lit(False))).drop("_cell", "_gaps")
 
 
 def gaps_reset(rows: DataFrame, gaps: DataFrame, value: str, row: str = "row") -> DataFrame:
@@ -64,7 +68,9 @@ def scan_sweeps(scan: DataFrame, bit: int = 8, by: str = "obs_id") -> DataFrame:
 
 
 def fixed_sweeps(scan: DataFrame, seconds: float, rate: float) -> DataFrame:
-    return scan.withColumn("sweep", F.floor(F.col("t") / int(seconds * rate)).cast("int"))
+    if (length := int(seconds * rate)) < 1:
+        raise ValueError(f"a sweep of {seconds} s at {rate} Hz holds no sample")
+    return scan.withColumn("sweep", F.floor(F.col("t") / length).cast("int"))
 
 
 def sweep_bounds(scan: DataFrame, by: str = "obs_id") -> DataFrame:

@@ -52,8 +52,8 @@ class Templates:
                 first += count
         if self.azimuth_bins:
             az = scan["az"]
-            width = (az.max() - az.min()) / self.azimuth_bins or 1.0
-            classes.append((first + np.minimum(self.azimuth_bins - 1, ((az - az.min()) / width).astype(int)), np.ones(n)))
+            at = (az - az.min()) * self.azimuth_bins / ((az.max() - az.min()) or 1.0)
+            classes.append((first + np.minimum(self.azimuth_bins - 1, at.astype(int)), np.ones(n)))
             first += self.azimuth_bins
         if self.harmonics:
             at = ((scan["t"] - scan["t"].min()) // self.plate_length).astype(int)

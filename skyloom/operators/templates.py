@@ -29,7 +29,8 @@ def sweep_position(t: Column, t0: Column, t1: Column) -> Column:
 
 
 def azimuth_bin(az: Column, low: Column, high: Column, bins: int) -> Column:
-    return F.least(F.lit(bins - 1), F.floor((az - low) / ((high - low) / bins))).cast("int")
+    """0 where the azimuth doesn't vary."""
+    return F.when(high > low, F.least(F.lit(bins - 1), F.floor((az - low) * bins / (high - low)))).otherwise(F.lit(0)).cast("int")
 
 
 def azimuth_range(scan: DataFrame, by: str = "obs_id") -> DataFrame:

@@ -58,6 +58,11 @@ def _sky(rows: DataFrame) -> DataFrame:
     return rows.select("pix").distinct().select("pix", (F.col("pix") % 7).alias("i"), (F.col("pix") % 5).alias("q"), (F.col("pix") % 3).alias("u"))
 
 
+def _rounded(value: str, digits: int) -> Column:
+    """What floating sums in another order agree on; no negative zero."""
+    return F.round(value, digits) + F.lit(0.0)
+
+
 _SKY = ", sky AS (SELECT DISTINCT pix, pix % 7 AS i, pix % 5 AS q, pix % 3 AS u FROM s)"
 
 
@@ -336,11 +341,9 @@ def gap_reduce(spark, sf_dir):
     return flags.gaps_reduced(rows, _gaps(rows), 3, "d").select("row", "d")
 
 
-@query(" SELECT block_id, t, CAST(count(*) OVER b * d - sum(d) OVER b AS BIGINT) AS y FROM s WINDOW b AS (PARTITION BY block_id)")
+@query(" SELECT block_id, t, round(d - avg(d) OVER (PARTITION BY block_id), 6) + 0.0 AS y FROM s")
 def block_mean_removed(spark, sf_dir):
-    rows = _samples(spark, sf_dir)
-    sums = rows.groupBy("block_id").agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("total"))
-    return rows.join(sums, "block_id").select("block_id", "t", (F.col("n") * F.col("d") - F.col("total")).alias("y"))
+    return toeplitz.mean_removed(_samples(spark, sf_dir), "d").select("block_id", "t", _rounded("d", 6).alias("y"))
 
 
 @query(f" SELECT block_id, t, CAST(({_BLOCK_WEIGHT}) * d AS BIGINT) AS y FROM s")
@@ -359,10 +362,12 @@ def _noise_rows(spark, sf_dir, row: list[float]) -> DataFrame:
     return _pointing(spark, sf_dir).select("block_id").distinct().withColumn("t", F.array(*map(F.lit, map(float, row))))
 
 
-@query()
+@query(""" SELECT a.block_id, a.t, round(sum(10.0 / (1 + abs(a.t - b.t)) * b.d), 3) + 0.0 AS y
+  FROM s a JOIN s b ON a.block_id = b.block_id AND b.t BETWEEN a.t - 63 AND a.t + 63 GROUP BY 1, 2""")
 def toeplitz_fft(spark, sf_dir):
     row = [float(10 / (1 + k)) for k in range(64)]
-    return toeplitz.wide_product(_samples(spark, sf_dir), _noise_rows(spark, sf_dir, row), "d", chunk=4096)
+    out = toeplitz.wide_product(_samples(spark, sf_dir), _noise_rows(spark, sf_dir, row), "d", chunk=4096)
+    return out.select("block_id", "t", _rounded("y", 3).alias("y"))
 
 
 # flags, sweeps, scan ---------------------------------------------------------------------------------------------------
@@ -410,40 +415,33 @@ def _swept(spark, sf_dir):
 _LEG = """, l AS (SELECT block_id, t, 2 * (t - t0) - n AS a, n FROM (SELECT block_id, t, min(t) OVER w AS t0, max(t) OVER w - min(t) OVER w AS n FROM s WINDOW w AS (PARTITION BY block_id, t // 101)))"""
 
 
-def _legendre(order: int, numerator: Column, denominator: Column):
-    def run(spark, sf_dir):
-        rows = _swept(spark, sf_dir).withColumn("n", F.col("t1") - F.col("t0")).withColumn("a", 2 * (F.col("t") - F.col("t0")) - F.col("n"))
-        exact = F.when(F.col("n") > 0, numerator.cast("double") / denominator).otherwise(F.lit({0: 1.0, 2: -0.5}.get(order, 0.0)))
-        return rows.select("block_id", "t", exact.alias("w"))
-
-    return run
+_POLYNOMIALS = ("1.0", "x", "(3 * x * x - 1) / 2", "(5 * x * x * x - 3 * x) / 2")
+_X = ", x AS (SELECT block_id, t, CASE WHEN n > 0 THEN CAST(a AS DOUBLE) / n ELSE 0.0 END AS x, CAST(t // 101 AS INT) AS sweep, CAST(max(t // 101) OVER (PARTITION BY block_id) AS INT) + 1 AS n_sweeps FROM l)"
 
 
 def _add_legendre() -> None:
-    sql = {0: ("1", "1"), 1: ("a", "n"), 2: ("3 * a * a - n * n", "2 * n * n"), 3: ("5 * a * a * a - 3 * a * n * n", "2 * n * n * n")}
-    at_zero = {0: "1.0", 1: "0.0", 2: "-0.5", 3: "0.0"}
-    for k, (top, below) in sql.items():
-        def run(spark, sf_dir, k=k, top=top, below=below):
-            return _legendre(k, F.expr(top), F.expr(below))(spark, sf_dir)
+    for k, value in enumerate(_POLYNOMIALS):
+        def run(spark, sf_dir, k=k):
+            rows = _swept(spark, sf_dir)
+            w = templates.legendre_column(k, templates.sweep_position(F.col("t"), F.col("t0"), F.col("t1")))
+            return rows.withColumn("w", w).select("block_id", "t", _rounded("w", 9).alias("w"))
 
         run.__name__ = f"legendre_p{k}"
-        query(_LEG + f" SELECT block_id, t, CASE WHEN n > 0 THEN CAST({top} AS DOUBLE) / ({below}) ELSE {at_zero[k]} END AS w FROM l")(run)
+        query(_LEG + _X + f" SELECT block_id, t, round({value}, 9) + 0.0 AS w FROM x")(run)
 
 
 _add_legendre()
 
 
-@query()
+@query(_LEG + _X + " " + " UNION ALL ".join(f"SELECT block_id, t, CAST({k} * n_sweeps + sweep AS INT) AS bin, round({value}, 9) + 0.0 AS w FROM x" for k, value in enumerate(_POLYNOMIALS)))
 def polynomial_templates(spark, sf_dir):
-    return templates.polynomials(_swept(spark, sf_dir), 4)
+    return templates.polynomials(_swept(spark, sf_dir), 4).select("block_id", "t", "bin", _rounded("w", 9).alias("w"))
 
 
 @query(" SELECT block_id, t, CAST(least(9, (d - lo) * 10 // (hi - lo)) AS INT) AS bin FROM (SELECT block_id, t, d, min(d) OVER w AS lo, max(d) OVER w AS hi FROM s WINDOW w AS (PARTITION BY block_id))")
 def az_bins(spark, sf_dir):
-    rows = _samples(spark, sf_dir)
-    ends = templates.azimuth_range(rows.select(F.col("block_id"), F.col("d").alias("az")), "block_id")
-    exact = F.least(F.lit(9), F.floor((F.col("d") - F.col("az_min")) * 10 / (F.col("az_max") - F.col("az_min")))).cast("int")
-    return rows.join(ends, "block_id").select("block_id", "t", exact.alias("bin"))
+    rows = _samples(spark, sf_dir).withColumn("az", F.col("d"))
+    return templates.scan_synchronous(rows.join(templates.azimuth_range(rows, "block_id"), "block_id"), 10).select("block_id", "t", "bin")
 
 
 @query(" SELECT block_id AS obs_id, min(d) AS az_min, max(d) AS az_max FROM s GROUP BY 1")
@@ -483,19 +481,28 @@ def template_project(spark, sf_dir):
     return templates.project(table, table.select("block_id", "bin").distinct().withColumn("tau", (F.col("bin") % 9).cast("long")))
 
 
-@query()
+@query(_T + " SELECT DISTINCT block_id, bin, 1 AS fits FROM tm")
 def template_filtered(spark, sf_dir):
-    """Amplitudes of the templates that fit the data best."""
+    """Amplitudes of the templates that fit the data best: what they leave is orthogonal to every template."""
     rows, table = _exact_templates(spark, sf_dir)
-    return templates.amplitudes(templates.inverted(templates.kernel(table)), templates.scatter(table, rows, "d"))
+    right = templates.scatter(table, rows, "d")
+    tau = written(templates.amplitudes(templates.inverted(templates.kernel(table)), right), "amplitudes")
+    left = rows.join(templates.project(table, tau), ["block_id", "t"]).withColumn("left", F.col("d") - F.col("y"))
+    both = templates.scatter(table, left, "left").join(right.select("block_id", "bin", F.col("amp").alias("whole")), ["block_id", "bin"])
+    return both.select("block_id", "bin", (F.abs("amp") <= 1e-8 * (F.abs("whole") + 1e4)).cast("int").alias("fits"))
 
 
 # estimation and solvers ---------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(""", n AS (SELECT block_id, count(*) AS n, regr_slope(d, t) AS b, avg(d) AS dm, avg(t) AS tm FROM s GROUP BY 1),
+v AS (SELECT block_id, t, n, (d - dm - b * (t - tm)) * (0.5 - 0.5 * cos(2 * pi() * t / n)) AS v, pow(0.5 - 0.5 * cos(2 * pi() * t / n), 2) AS w2 FROM s JOIN n USING (block_id)),
+f AS (SELECT block_id, n, k, sum(v * cos(2 * pi() * (k * t % n) / n)) AS c, sum(v * sin(2 * pi() * (k * t % n) / n)) AS z, sum(w2) AS w FROM v, (SELECT unnest(range(1, 65)) AS k) GROUP BY 1, 2, 3)
+SELECT block_id, CAST(k AS BIGINT) AS k, round(25.0 * k / n, 9) AS f, round(log10(2 * (c * c + z * z) / (25.0 * w)), 5) AS log_power FROM f WHERE 2 * k < n""")
 def noise_psd(spark, sf_dir):
-    return noise.spectra(_samples(spark, sf_dir), "d", 25.0)
+    """The first 64 frequencies of each block's periodogram, which has them all."""
+    out = noise.spectra(_samples(spark, sf_dir), "d", 25.0)
+    return out.filter("k BETWEEN 1 AND 64").select("block_id", "k", F.round("f", 9).alias("f"), F.round(F.log10("power"), 5).alias("log_power"))
 
 
 @query()
@@ -503,9 +510,10 @@ def noise_inverse(spark, sf_dir):
     return noise.inverse_noise(_samples(spark, sf_dir), "d", 25.0, 32)
 
 
-@query()
+@query(""" SELECT block_id, CAST(k AS BIGINT) AS k, round(abs(10 + 4 * cos(2 * pi() * k / 512) + 6 * cos(4 * pi() * k / 512)), 9) AS power
+  FROM (SELECT DISTINCT block_id FROM s), (SELECT unnest(range(256)) AS k)""")
 def noise_effective(spark, sf_dir):
-    return noise.effective_spectra(_noise_rows(spark, sf_dir, [10, 2, 3]), 512)
+    return noise.effective_spectra(_noise_rows(spark, sf_dir, [10, 2, 3]), 512).select("block_id", "k", F.round("power", 9).alias("power"))
 
 
 def _solvable(spark, sf_dir):
@@ -513,45 +521,75 @@ def _solvable(spark, sf_dir):
     return rows, pixel_blocks.inverse(pointing.weight_blocks(rows))
 
 
+_SOLVED = " SELECT DISTINCT pix, 1 AS solved FROM s"
+
+
+def _holds(left: DataFrame, right: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """(pix, solved): whether a pixel's part of what a map leaves of the system is small against its whole right-hand side."""
+    size = right.agg(F.sqrt(F.sum(sum((F.col(s) * F.col(s) for s in "iqu"), F.lit(0.0)))).alias("_size"))
+    worst = F.greatest(*(F.abs(s) for s in "iqu"))
+    return left.crossJoin(F.broadcast(size)).select("pix", (worst <= tolerance * F.col("_size")).cast("int").alias("solved"))  # one row
+
+
 def _solve(spark, sf_dir, how: Callable) -> DataFrame:
+    """Every pixel with whether the map solves A^T F (d - A x) = 0, by the table operators rather than the solver's own."""
     rows, inverse = _solvable(spark, sf_dir)
     op = solver.NormalOperator(rows, _noise_rows(spark, sf_dir, [10, 2, 3]), 3, remove_mean=False)
-    found = how(op, solver.BlockJacobi(inverse, op.pixels), rows)
-    return op.frame(found.x)
+    sky = op.frame(how(op, solver.BlockJacobi(inverse, op.pixels), rows).x)
+    weighted = lambda df, v: pointing.scatter(toeplitz.narrow_product(df, v, [10, 2, 3], "_f"), "_f")
+    left = pointing.project(rows, sky, "_p").withColumn("_r", F.col("value") - F.col("_p"))
+    return _holds(weighted(left, "_r"), weighted(rows, "value"))
 
 
-@query()
+@query(_SOLVED)
 def pcg_map(spark, sf_dir):
     return _solve(spark, sf_dir, lambda op, m, rows: solver.pcg(op, m, 1e-8, 40))
 
 
-@query()
+@query(_SOLVED)
 def ecg_map(spark, sf_dir):
     return _solve(spark, sf_dir, lambda op, m, rows: solver.enlarged_cg(op, m, 4, 1e-8, 40))
 
 
-@query()
+@query(_SOLVED)
 def two_level_map(spark, sf_dir):
     return _solve(spark, sf_dir, lambda op, m, rows: solver.pcg(op, solver.TwoLevel(op, m, solver.a_priori_basis(rows, op, 4)), 1e-8, 40))
 
 
-@query()
+@query(_SOLVED)
 def lanczos_map(spark, sf_dir):
     return _solve(spark, sf_dir, lambda op, m, rows: solver.pcg(op, solver.TwoLevel(op, m, solver.lanczos_basis(op, 4)), 1e-8, 40))
 
 
-@query()
+@query(" SELECT 1.0 AS first, 1 AS converged FROM s LIMIT 1")
 def pcg_residuals(spark, sf_dir):
     rows, inverse = _solvable(spark, sf_dir)
     op = solver.NormalOperator(rows, _noise_rows(spark, sf_dir, [10, 2, 3]), 3, remove_mean=False)
     found = solver.pcg(op, solver.BlockJacobi(inverse, op.pixels), 1e-8, 40)
-    return spark.createDataFrame(pa.table({"iter": np.arange(len(found.residuals)), "res_rel": np.array(found.residuals)}))
+    told = spark.createDataFrame(pa.table({"iter": np.arange(len(found.residuals)), "res_rel": np.array(found.residuals)}))
+    return told.agg(F.min_by("res_rel", "iter").alias("first"), (F.max_by("res_rel", "iter") <= 1e-8).cast("int").alias("converged"))
 
 
-@query()
+@query(_SOLVED)
 def mt_map(spark, sf_dir):
+    """The map that templates leave: tested with templates as tables, which the solver expands itself."""
     rows = _samples(spark, sf_dir).withColumn("value", F.col("d").cast("double")).withColumn("sweep", F.floor(F.col("t") / 500).cast("int"))
     rows = written(rows.withColumn("az", F.sin(F.col("t") / 40.0)).withColumn("hwp_angle", F.col("t") / 7.0), "samples")
     inverse = pixel_blocks.inverse(pointing.weight_blocks(rows))
     op = solver.NormalOperator(rows, _noise_rows(spark, sf_dir, [1.0]), 1, templates=solver.Templates(2, 8, 1, 1000))
-    return op.frame(solver.pcg(op, solver.BlockJacobi(inverse, op.pixels), 1e-6, 100).x)
+    sky = op.frame(solver.pcg(op, solver.BlockJacobi(inverse, op.pixels), 1e-8, 100).x)
+    scan = rows.join(flags.sweep_bounds(rows, "block_id"), ["block_id", "sweep"]).join(templates.azimuth_range(rows, "block_id"), "block_id")
+    scan = scan.join(rows.groupBy("block_id").agg((F.max("sweep") + 1).alias("n_sweeps"), (F.floor(F.max("t") / 1000) + 1).cast("int").alias("n_plate")), "block_id")
+    table = templates.polynomials(scan, 2).unionByName(templates.scan_synchronous(scan, 8, 2 * F.col("n_sweeps")))
+    at = F.floor(F.col("t") / 1000).cast("int")
+    for k, wave in enumerate((F.cos, F.sin)):
+        table = table.unionByName(scan.select("block_id", "t", (2 * F.col("n_sweeps") + 8 + k * F.col("n_plate") + at).cast("int").alias("bin"), wave("hwp_angle").alias("w")))
+    table = written(table, "templates")
+    inverse_kernel = written(templates.inverted(templates.kernel(table)), "kernels")
+
+    def filtered(df: DataFrame, v: str) -> DataFrame:
+        fitted = templates.project(table, templates.amplitudes(inverse_kernel, templates.scatter(table, df, v)))
+        return pointing.scatter(df.join(fitted.select("block_id", "t", F.col("y").alias("_fit")), ["block_id", "t"]), F.col(v) - F.col("_fit"))
+
+    left = pointing.project(rows, sky, "_p").withColumn("_r", F.col("value") - F.col("_p"))
+    return _holds(filtered(left, "_r"), filtered(rows, "value"))
