@@ -33,7 +33,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from skyloom.sources.staging import written
 
 LIST, MOST, PER_LIST, DEGREE = 64, 16_384, 16, 24
-REPLICATE, COPIES, BLOCK = 1.03, 3, 4096
+REPLICATE, COPIES = 1.03, 3
+#: Vectors of a bucket or block: each gives a query k rows at most, so few rows are sent on for the many pairs scored.
+BLOCK = 1 << 17
+#: Queries that meet a block together, least and most; up to eight such parts a block, for tasks to share, each with a copy of the block.
+LEAST_ASKED, MOST_ASKED = 512, 16_384
 #: What the calibration aims at, and how many sample vectors ask for it.
 RECALL, ASKED = 0.95, 400
 #: The distance that ratios refer to is that of the so-manieth nearest centroid (a query may be a centroid itself).
@@ -254,8 +258,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, vector: str = "emb
     if found_index is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width, lists, asked = found_index.width, found_index.lists, found_index.asked
-    parts = lambda df, name: df.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
-    cuts = F.broadcast(parts(lists, "nv").join(parts(asked, "nq"), "bucket"))  # MOST rows at most
+    n = F.count(F.lit(1))
+    blocks = lists.groupBy("bucket").agg(F.ceil(n / BLOCK).cast("int").alias("nv"))
+    parts = asked.groupBy("bucket").agg(F.greatest(F.ceil(n / MOST_ASKED), F.least(F.lit(8), F.ceil(n / LEAST_ASKED))).cast("int").alias("nq"))
+    cuts = F.broadcast(blocks.join(parts, "bucket"))  # MOST rows at most
     left = lists.join(cuts, "bucket").select("bucket", F.pmod(F.xxhash64("id"), "nv").cast("int").alias("bv"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("bq"), "list", "id", "v")
     right = asked.join(cuts, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)).alias("bv"), F.pmod(F.xxhash64("id"), "nq").cast("int").alias("bq"), "id", "v", "lists")
 
@@ -264,7 +270,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, vector: str = "emb
         vid = qid = np.empty(0, np.int64)
         if found.num_rows and wanted.num_rows:
             found = found.sort_by("list")
-            vs, qs = _matrix(found["v"], width).astype(np.float64), _matrix(wanted["v"], width).astype(np.float64)
+            vs, qs = _matrix(found["v"], width), _matrix(wanted["v"], width).astype(np.float64)
             vid, qid, of_list = found["id"].to_numpy(), wanted["id"].to_numpy(), found["list"].to_numpy()
             told = wanted["lists"].combine_chunks()
             asks = told.flatten().to_numpy()
@@ -273,10 +279,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, vector: str = "emb
             asks, who = asks[order], who[order]
             for name in np.unique(of_list):
                 a, z = np.searchsorted(of_list, [name, name + 1])
-                ours = who[slice(*np.searchsorted(asks, [name, name + 1]))]
+                ours, own = who[slice(*np.searchsorted(asks, [name, name + 1]))], vs[a:z].astype(np.float64)
                 for at in range(0, len(ours), 256):
                     rows = ours[at : at + 256]
-                    score = qs[rows] @ vs[a:z].T
+                    score = qs[rows] @ own.T
                     score[qid[rows][:, None] == vid[a:z]] = -np.inf
                     far = max(1.0, np.abs(score, where=np.isfinite(score), out=np.zeros_like(score)).max())
                     kth = np.partition(score, -k, 1)[:, -k] if z - a > k else np.full(len(score), -np.inf)
@@ -289,7 +295,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, vector: str = "emb
             last = np.minimum(np.searchsorted(i, i, "left") + COPIES * (k + 1), np.searchsorted(i, i, "right")) - 1
             near = score >= score[last] - 1e-9 * max(1.0, np.abs(score).max())
             i, j = i[near], j[near]
-        exact = np.einsum("ij,ij->i", qs[i], vs[j]) if len(i) else np.empty(0)
+        exact = np.einsum("ij,ij->i", qs[i], vs[j].astype(np.float64)) if len(i) else np.empty(0)
         _, once = np.unique(np.stack([i, vid[j]], 1), axis=0, return_index=True) if len(i) else (None, np.empty(0, int))
         i, j, exact = i[once], j[once], exact[once]
         order = np.lexsort((vid[j], -exact, i))
