@@ -4,8 +4,9 @@ A list is a table of dated entries (key, list, at, active): from ``at`` on, the
 host/path) is listed or no longer listed.  Entries of a key and list become validity intervals that don't overlap
 ([at, next at), for those that list); intervals and captures are cut by month, so the as-of join is an equi-join on
 (key, month) in which a capture meets the intervals of one month alone, with the two dates as further condition.
-A host with a third of all captures is one side of a plain join that Spark splits by size (or joins by broadcast
-when the list is small); nothing is gathered by host.
+Keys that no list has go before that join (a bare top-level domain, say, is a key of a third of all captures), and a
+(key, month) of more than ``HOT`` captures is dealt to several tasks, each with a copy of the key's few intervals; nothing is
+gathered by host.
 
 Entries of one key, list and date: listed wins.  Entries or captures without key, URL or date match nothing; such
 captures are returned as not blocked.  A URL's host is taken in lower case without user and port; its path without
@@ -18,6 +19,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from skyloom.sources.staging import written
+
+#: Captures of one key and month that meet their intervals in one task, at most.
+HOT = 1 << 20
+#: Most keys of the lists that are broadcast.
+KEYS = 1 << 18
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 PATH = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)"
 
@@ -50,7 +57,14 @@ def listed_at_fetch(captures: DataFrame, entries: DataFrame, url: str = "url", f
     first, last = once.agg(F.min(_month(F.col("f"))), F.max(_month(F.col("f")))).first()
     spans = validity(entries).withColumn("month", F.explode(F.filter(F.sequence(F.greatest(_month(F.col("since")), F.lit(first or 0)), F.greatest(_month(F.col("since")), F.coalesce(_month(F.col("until")), F.lit(last or 0)), F.lit(first or 0))), lambda m: m <= (last or 0))))
     seen = once.select("u", "f", F.explode(keys_of(F.col("u"))).alias("key"), _month(F.col("f")).alias("month"))
-    met = seen.join(spans, ["key", "month"]).filter((F.col("since") <= F.col("f")) & (F.col("until").isNull() | (F.col("f") < F.col("until"))))
+    listed = written(spans.select("key").distinct(), "keys")
+    seen = written(seen.join(F.broadcast(listed) if listed.count() <= KEYS else listed, "key", "left_semi"), "captures")
+    hot = seen.groupBy("key", "month").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("parts")).filter("parts > 1")
+    hot = F.broadcast(written(hot, "hot"))  # a row for each HOT rows of captures at most
+    parts = F.coalesce("parts", F.lit(1))
+    seen = seen.join(hot, ["key", "month"], "left").withColumn("part", F.pmod(F.xxhash64("u", "f"), parts))
+    spans = spans.join(hot, ["key", "month"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    met = seen.drop("parts").join(spans.drop("parts"), ["key", "month", "part"]).filter((F.col("since") <= F.col("f")) & (F.col("until").isNull() | (F.col("f") < F.col("until"))))
     told = met.groupBy("u", "f").agg(F.array_join(F.sort_array(F.collect_set("list")), ",").alias(f"{prefix}lists"), F.max(F.struct(F.length("key").alias("n"), "key"))["key"].alias(f"{prefix}matched"))
     rows = captures.select(F.struct("*").alias("_row"), F.col(url).alias("_u"), F.col(fetched).cast("timestamp").alias("_f"))
     lists = F.col(f"{prefix}lists")

@@ -55,6 +55,15 @@ def test_lists_at_fetch(spark):
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_hot_hosts_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "HOT", 7)
+    monkeypatch.setattr(urlfilter, "KEYS", 0)
+    captures = [(100 + k, f"http://bad.example.com/p{k}", at(2024, 3, 1 + k % 28)) for k in range(200)] + [(400 + k, f"http://h{k}.net/", at(2024, 3, 1 + k % 28)) for k in range(60)]
+    c, e = frames(spark, captures + CAPTURES)
+    got = sorted(((str(r.page_id), r.blocked, r.lists, str(r.matched)) for r in urlfilter.listed_at_fetch(c, e).collect()))
+    assert got == sorted((str(i), *(brute(u, f)[:2]), str(brute(u, f)[2])) for i, u, f in captures + CAPTURES)
+
+
 def test_empty(spark):
     c, e = frames(spark)
     assert urlfilter.listed_at_fetch(c.limit(0), e).count() == 0
