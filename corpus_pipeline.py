@@ -3,6 +3,11 @@
 Quality rules drop the documents that they reject; of each group of near copies (word 5-grams, Jaccard 0.75 or
 more) the document of the smallest id stays; secrets in the text are replaced by a mark; what remains is packed into
 sequences.  Documents without words have no near copies, but the quality rules drop them.
+
+Defined cases: a null text fails the quality rules; null languages and sources are groups of their own; null ids are kept, and are a
+group's smallest only where all of its ids are null; of equal ids the smallest digest of the text stays, of repeated rows
+one; an empty table gives no rows; texts of any length go whole; extra columns of documents pass through all stages but the
+last, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("quality rules", keep_quality), ("n-gram Jaccard join", drop_near_copies), ("secret scans", redact_secrets), ("best-fit packing", pack_sequences)]
 
-#: Tokens, near copies and packing have no SQL; the stages are tested against brute force.
+#: The estimate, tokens, near copies and packing have no SQL; ``run`` is tested against brute force stage by stage.
 ORACLE_SQL = None
 
 
