@@ -48,6 +48,20 @@ def dense_toeplitz(t: np.ndarray, n: int) -> np.ndarray:
     return np.where(gap < len(t), np.asarray(t, float)[np.minimum(gap, len(t) - 1)], 0.0)
 
 
+#: The first numbers of the example rows; the rest is random, or 0 for the third.
+EXAMPLE_ROWS = {1: (), 2: (10.0, 2.0, 3.0), 3: (2.0, -1.0, 0.0)}
+
+
+def example_row(kind: int, size: int, seed: int | None = None) -> np.ndarray:
+    """A first row to try products with: 0 uniform in 0..1, 1 in 1..2, 2 and 3 begin with fixed numbers."""
+    rng = np.random.default_rng(size if seed is None else seed)
+    row = rng.uniform(size=size) if kind != 3 else np.zeros(size)
+    row = row + 1 if kind == 1 else row
+    fixed = EXAMPLE_ROWS.get(kind, ())[:size]
+    row[: len(fixed)] = fixed
+    return row
+
+
 def legendre(order: int, x: np.ndarray) -> np.ndarray:
     before, now = np.ones_like(x), x
     if order == 0:

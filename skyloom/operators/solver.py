@@ -6,7 +6,7 @@ arrays of pixel places, weights and data (chunks of long blocks overlap by the b
 in each iteration by one job: project, weight, scatter within the task, and sum over chunks by place.
 
 Map vectors have three numbers for each observed pixel.  Up to ``DRIVER_PIXELS`` of them live on the driver and are broadcast
-(a size that is checked); above that ``pcg_frames`` keeps vectors as tables.
+(a size that is checked); above that ``table_solver`` keeps vectors as tables.
 """
 
 from __future__ import annotations
@@ -73,6 +73,10 @@ def template_kernel(classes: list, bins: int, weight: float) -> np.ndarray:
     return k
 
 
+def _scan(size: int, columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return {"t": np.arange(size), **{c: v.astype(int) if c == "sweep" else v for c, v in columns.items()}}
+
+
 class NormalOperator:
     """``tod``: block_id, t, pix, w_i, w_q, w_u, value. ``noise``: block_id, t (first row of the block's matrix).
     ``scan`` columns (sweep, az, hwp_angle) are in ``tod`` where templates need them."""
@@ -84,7 +88,7 @@ class NormalOperator:
         pixels = tod.filter("pix >= 0").select("pix").distinct()
         count = pixels.count()
         if count > DRIVER_PIXELS:
-            raise ValueError(f"{count} pixels are too many for vectors on the driver; use pcg_frames")
+            raise ValueError(f"{count} pixels are too many for vectors on the driver; use table_solver")
         self.pixels = np.sort(np.array(pixels.toArrow()["pix"].to_numpy(), np.int64))
         self.rows = self._layout(tod, noise, value, chunk)
         self.cut = not self.rows.groupBy("block_id").count().filter("count > 1").isEmpty() if self.remove_mean else False
@@ -97,7 +101,7 @@ class NormalOperator:
         else:
             cells = F.sequence(F.greatest(F.lit(0), F.floor((F.col("t") - halo) / chunk)), F.floor((F.col("t") + halo) / chunk))
         cut = tod.select("block_id", F.col("t").cast("long"), "pix", *(F.col(w).cast("double") for w in WEIGHTS), F.col(value).cast("double").alias("d"), *(F.col(c).cast("double") for c in extra), F.explode(cells.cast("array<bigint>")).alias("cell"))
-        kind, whole = tod.schema["block_id"].dataType.simpleString(), self.templates is not None
+        kind, templates, whole = tod.schema["block_id"].dataType.simpleString(), self.templates, self.templates is not None
 
         def pack(table: pa.Table) -> pa.Table:
             table = table.sort_by("t")
@@ -113,9 +117,13 @@ class NormalOperator:
                 full = np.full(size, -1.0) if name == "place" else np.zeros(size)
                 full[t - t[0]] = at if name == "place" else table[name].to_numpy()
                 out[name] = pa.array([full.astype(np.int64) if name == "place" else full], pa.list_(pa.int64() if name == "place" else pa.float64()))
+            if whole:  # once for all iterations; the block's weight takes no part, as it scales the kernel and what the kernel meets
+                scan = {c: out[c][0].values.to_numpy(zero_copy_only=False) for c in extra}
+                inverse, _ = numeric.pseudo_inverse(template_kernel(*templates.expand(_scan(size, scan)), 1.0))
+                out["kernel"] = pa.array([inverse.ravel()], pa.list_(pa.float64()))
             return pa.table(out)
 
-        schema = f"block_id {kind}, low long, high long, place array<bigint>, " + ", ".join(f"{c} array<double>" for c in (*WEIGHTS, "d", *extra))
+        schema = f"block_id {kind}, low long, high long, place array<bigint>, " + ", ".join(f"{c} array<double>" for c in (*WEIGHTS, "d", *extra, *["kernel"] * whole))
         packed = cut.groupBy("block_id", "cell").applyInArrow(pack, schema)
         return written(packed.join(noise.select("block_id", F.col("t").alias("row")), "block_id", "left"), "layout")
 
@@ -145,13 +153,12 @@ class NormalOperator:
                                 v = v - (v.mean() if means is None else means[b["block_id"][r].as_py(), k])
                             v = numeric.banded_product(row, v)
                         if templates is not None:
-                            classes, bins = templates.expand({"t": np.arange(len(v)), **{c: (get(c).astype(int) if c == "sweep" else get(c)) for c in ("sweep", "az", "hwp_angle") if c in b.schema.names}})
-                            kernel, _ = numeric.pseudo_inverse(template_kernel(classes, bins, row[0]))
+                            classes, bins = templates.expand(_scan(len(v), {c: get(c) for c in ("sweep", "az", "hwp_angle") if c in b.schema.names}))
                             amp = np.zeros(bins)
                             for bin_, tw in classes:
                                 amp += np.bincount(bin_, tw * v, bins)
-                            tau = kernel @ amp
-                            v = v - row[0] * sum(tw * tau[bin_] for bin_, tw in classes)
+                            tau = get("kernel").reshape(bins, bins) @ amp
+                            v = v - sum(tw * tau[bin_] for bin_, tw in classes)
                         out += [np.bincount(inverse, w[s][low:high][seen] * v[low:high][seen], len(at)) for s in range(3)]
                     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(x.astype(float)) for x in out)], ["place", *names])
 
@@ -314,47 +321,3 @@ def enlarged_cg(operator: NormalOperator, precondition, directions: int, tol: fl
             z = z - old @ (image.T @ z)
         p = z if not reduce or keep.all() else z[:, : max(1, int(keep.sum()))] if orthodir else z
     return Solution(x.sum(1), residuals, converged)
-
-
-def pcg_frames(tod: DataFrame, noise: DataFrame, bandwidth: int, inverse: DataFrame, value: str = "value", tol: float = 1e-6, most: int = 3000, remove_mean: bool = True) -> tuple[DataFrame, list[float]]:
-    """The same iteration with vectors as tables (pix, i, q, u), written each time: for maps beyond the driver."""
-
-    def product(frame: DataFrame, column: str) -> DataFrame:
-        weighted = toeplitz.weighted(frame.select("block_id", "t", F.col(column).cast("double").alias("_v")), noise, "_v", bandwidth, "_y", remove_mean)
-        return pointing.scatter(tod.join(weighted.select("block_id", "t", "_y"), ["block_id", "t"]), "_y")
-
-    def dot(a: DataFrame, b: DataFrame) -> float:
-        other = b.select("pix", *(F.col(s).alias(f"{s}2") for s in "iqu"))
-        return a.join(other, "pix").agg(F.sum(F.col("i") * F.col("i2") + F.col("q") * F.col("q2") + F.col("u") * F.col("u2"))).first()[0] or 0.0
-
-    def plus(a: DataFrame, b: DataFrame, times: float) -> DataFrame:
-        other = b.select("pix", *(F.col(s).alias(f"{s}2") for s in "iqu"))
-        return written(a.join(other, "pix", "left").select("pix", *((F.col(s) + times * F.coalesce(f"{s}2", F.lit(0.0))).alias(s) for s in "iqu")), "vector")
-
-    def precondition(g: DataFrame) -> DataFrame:
-        m = {n[2:]: F.col(n) for n in ("m_ii", "m_iq", "m_iu", "m_qq", "m_qu", "m_uu")}
-        rows = {"i": ("ii", "iq", "iu"), "q": ("iq", "qq", "qu"), "u": ("iu", "qu", "uu")}
-        return written(g.join(inverse, "pix").select("pix", *(sum((m[k] * F.col(s) for k, s in zip(rows[r], "iqu")), F.lit(0.0)).alias(r) for r in "iqu")), "vector")
-
-    g = written(product(tod, value), "vector")
-    start = dot(g, g)
-    x = g.select("pix", *(F.lit(0.0).alias(s) for s in "iqu"))
-    residuals = [1.0]
-    if not start:
-        return x, residuals
-    mg = precondition(g)
-    h, gmg = mg, dot(g, mg)
-    for _ in range(1, most):
-        ah = written(product(pointing.project(tod, h, "_p"), "_p"), "vector")
-        rho = gmg / dot(h, ah)
-        x, new = plus(x, h, rho), plus(g, ah, -rho)
-        left = dot(new, new)
-        residuals.append((left / start) ** 0.5)
-        if left <= tol**2 * start:
-            break
-        m_new = precondition(new)
-        now = dot(new, m_new)
-        gamma = (now - dot(m_new, g)) / gmg
-        g, mg, gmg = new, m_new, now
-        h = plus(mg, h, gamma)
-    return x, residuals

@@ -57,6 +57,35 @@ def plate_synchronous(scan: DataFrame, harmonics: int, length: int, bins: int, f
     return scan.select("block_id", "t", F.explode(F.array(*parts)).alias("e")).select("block_id", "t", "e.bin", "e.w")
 
 
+def expanded(rows: DataFrame, orders: int = 0, azimuth_bins: int = 0, harmonics: int = 0, length: int = 1) -> DataFrame:
+    """All templates of ``rows`` (block_id, t and, as needed, sweep, az, hwp_angle), bins one class after the other within a block."""
+    empty = F.lit(0).cast("double")
+    first = lambda name: F.min(name) if name in rows.columns else F.first(empty)
+    last = lambda name: F.max(name) if name in rows.columns else F.first(empty)
+    ends = rows.groupBy("block_id").agg(F.min("t").alias("_t"), F.max("t").alias("_tz"), first("sweep").alias("_s"), last("sweep").alias("_sz"), first("az").alias("az_min"), last("az").alias("az_max"))
+    n_sweeps, n_plate = F.col("_sz") - F.col("_s") + 1, F.floor((F.col("_tz") - F.col("_t")) / length) + 1
+    scan = rows.join(ends.select("block_id", "_t", "_s", "az_min", "az_max", n_sweeps.cast("int").alias("n_sweeps"), n_plate.cast("int").alias("_plate")), "block_id")
+    out: list[DataFrame] = []
+    at = F.lit(0)
+    if orders:
+        bounds = rows.groupBy("block_id", "sweep").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+        out.append(polynomials(scan.join(bounds, ["block_id", "sweep"]).withColumn("sweep", F.col("sweep") - F.col("_s")), orders))
+        at = at + orders * F.col("n_sweeps")
+    if azimuth_bins:
+        out.append(scan_synchronous(scan, azimuth_bins, at))
+        at = at + azimuth_bins
+    for k in range(harmonics):
+        for s, wave in enumerate((F.cos, F.sin)):
+            bin_ = at + (2 * k + s) * F.col("_plate") + F.floor((F.col("t") - F.col("_t")) / length)
+            out.append(scan.select("block_id", "t", bin_.cast("int").alias("bin"), wave((k + 1) * F.col("hwp_angle")).alias("w")))
+    if not out:
+        raise ValueError("no templates are asked for")
+    table = out[0]
+    for more in out[1:]:
+        table = table.unionByName(more)
+    return table
+
+
 def project(templates: DataFrame, amplitudes: DataFrame) -> DataFrame:
     """T tau: (block_id, t, y)."""
     return templates.join(amplitudes, ["block_id", "bin"]).groupBy("block_id", "t").agg(F.sum(F.col("w") * F.col("tau")).alias("y"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skyloom.functions.numeric import banded_product
-from skyloom.operators.flags import gaps_reset
+from skyloom.operators.flags import gaps_reset, in_gaps
 
 #: Bands up to this width are window expressions; wider ones go through the FFT.
 NARROW = 16
@@ -75,7 +75,29 @@ def weighted(rows: DataFrame, noise: DataFrame, value: str, bandwidth: int, to:
     return wide_product(rows, noise, value, to, by)
 
 
-def gappy_product(rows: DataFrame, gaps: DataFrame, row: Sequence, value: str, to: str = "y", by: str = "block_id") -> DataFrame:
-    """Gaps zeroed, the product, gaps zeroed again; no mean removed."""
+def gappy_product(rows: DataFrame, gaps: DataFrame, row: Sequence | DataFrame, value: str, to: str = "y", by: str = "block_id") -> DataFrame:
+    """Gaps zeroed, the product, gaps zeroed again; no mean removed. ``row``: one first row for all blocks, or a table (by, t array) of
+    each block's own, of any width."""
     zeroed = gaps_reset(rows, gaps, value)
-    return gaps_reset(narrow_product(zeroed, value, row, to, by), gaps, to)
+    if not isinstance(row, DataFrame):
+        return gaps_reset(narrow_product(zeroed, value, row, to, by), gaps, to)
+    product = wide_product(zeroed, row, value, to, by)
+    return gaps_reset(rows.join(product, [by, "t"]), gaps, to)
+
+
+def gappy_blocks(rows: DataFrame, gaps: DataFrame, bandwidth: int, by: str = "block_id") -> DataFrame:
+    """``rows`` with ``by`` split at gaps of at least ``bandwidth`` rows, over which no product reaches, as (by, piece), and t from 0 in each
+    piece; rows of such gaps go. ``gaps``: (id0, len) by ``row``."""
+    long = gaps.filter(F.col("len") >= bandwidth)
+    kept = in_gaps(rows, long).filter("NOT in_gap").drop("in_gap")
+    order = Window.partitionBy(by).orderBy("t")
+    broken = F.col("t") - F.lag("t").over(order) > bandwidth - 1
+    cut = kept.withColumn("piece", F.sum(F.when(broken, 1).otherwise(0)).over(order))
+    return cut.withColumn("t", F.col("t") - F.min("t").over(Window.partitionBy(by, "piece")))
+
+
+def checked_bandwidth(noise: DataFrame, sizes: DataFrame, by: str = "block_id") -> None:
+    """Raises where a block has fewer samples than its band is wide. ``sizes``: (by, n)."""
+    short = noise.join(sizes, by).filter(F.size("t") > F.col("n")).select(by).limit(5).collect()
+    if short:
+        raise ValueError(f"blocks shorter than their band: {', '.join(str(r[0]) for r in short)}")

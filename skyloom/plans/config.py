@@ -8,6 +8,11 @@ from dataclasses import dataclass
 
 from skyloom.operators.solver import Templates
 
+#: Names that parameter files may use for the settings here; those of None mean nothing on Spark.
+ALIASES = {
+    "Lambda": "bandwidth", "Z_2lvl": "z_2lvl", "enlFac": "enlarge", "bs_red": "block_reduction", "polybaseline_length": "poly_baseline", "hwpssbaseline_length": "plate_baseline",
+    "ptcomm_flag": None, "mcmode": None,
+}
 _LINE = re.compile(r"^\s*([A-Za-z_]\w*)\s*=\s*(.*?)\s*(?:#.*)?$")
 
 
@@ -85,9 +90,19 @@ def _typed(name: str, value):
     return kind(value)
 
 
+def _own_names(given: dict) -> dict:
+    out = {}
+    for name, value in given.items():
+        if name == "fixed_polybase":  # baselines of a fixed length, or else sweeps by their flags
+            out["sweeps_from_flags"] = not _typed("sweeps_from_flags", value)
+        elif (own := ALIASES.get(name, name)) is not None:
+            out[own] = value
+    return out
+
+
 def build(file: str = "", traits: dict | None = None, params: dict | None = None) -> Config:
     """Traits overwrite the file, params overwrite traits."""
-    merged = read_parameters(file) | (traits or {}) | (params or {})
+    merged = _own_names(read_parameters(file)) | _own_names(traits or {}) | _own_names(params or {})
     known = {f.name for f in dataclasses.fields(Config)}
     if unknown := set(merged) - known:
         raise ValueError(f"unknown parameters: {', '.join(sorted(unknown))}")

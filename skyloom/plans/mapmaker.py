@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from skyloom.operators import flags, noise as noise_ops, pixel_blocks, pointing, solver
+from skyloom.operators import flags, noise as noise_ops, pixel_blocks, pointing, solver, table_solver, toeplitz
 from skyloom.plans.config import Config
 from skyloom.sources import sinks
 from skyloom.sources.staging import written
@@ -51,9 +52,16 @@ def with_scan(tod: DataFrame, scan: DataFrame, config: Config) -> DataFrame:
     return tod.join(scan.select("obs_id", "t", "sweep", "az", "hwp_angle"), ["obs_id", "t"])
 
 
-def make_maps(config: Config, tod: DataFrame, noise: DataFrame | None = None, scan: DataFrame | None = None) -> Maps:
-    """``noise``: block_id and first row t; estimated from the noise column where absent."""
+#: What a pointing gives a sample: its pixel and Stokes weights, as expressions over the samples' columns.
+Pointing = Callable[[DataFrame], dict[str, Column]]
+
+
+def make_maps(config: Config, tod: DataFrame, noise: DataFrame | None = None, scan: DataFrame | None = None, pointing_of: Pointing | None = None) -> Maps:
+    """``noise``: block_id and first row t; estimated from the noise column where absent.  ``pointing_of``: columns pix, w_i, w_q, w_u from
+    the samples (detector angles, say) where these don't hold them already."""
     config = config.checked()
+    if pointing_of is not None:
+        tod = tod.withColumns(pointing_of(tod))
     check(tod, config)
     tod = written(prepare(tod, config), "samples")
     if config.noiseless or config.uniform_w:
@@ -61,6 +69,8 @@ def make_maps(config: Config, tod: DataFrame, noise: DataFrame | None = None, sc
     elif noise is None:
         noise = noise_ops.inverse_noise(tod, "noise", config.fsample, config.bandwidth, config.apodise)
     noise = written(noise.select("block_id", "t"), "noise")
+    if config.bandwidth > 1:
+        toeplitz.checked_bandwidth(noise, tod.groupBy("block_id").agg(F.count(F.lit(1)).alias("n")))
     weight = tod.join(noise.select("block_id", F.col("t").getItem(0).alias("_w")), "block_id", "left").withColumn("_w", F.coalesce("_w", F.lit(1.0)))
     blocks = written(pointing.weight_blocks(weight, F.col("_w")), "blocks")
     removed = pixel_blocks.degenerate(blocks, config.rcond_cut)
@@ -70,8 +80,18 @@ def make_maps(config: Config, tod: DataFrame, noise: DataFrame | None = None, sc
             raise ValueError("templates need the scan")
         tod = with_scan(tod, scan, config)
     tod = written(tod, "samples")
-    operator = solver.NormalOperator(tod, noise, config.bandwidth, templates=config.templates() if config.map_maker == "MT" else None, remove_mean=config.remove_mean)
     inverse = pixel_blocks.inverse(blocks, config.rcond_cut)
+    found_templates = config.templates() if config.map_maker == "MT" else None
+    if tod.filter("pix >= 0").select("pix").distinct().count() > solver.DRIVER_PIXELS:
+        found, residuals = _on_tables(config, tod, noise, inverse, found_templates)
+    else:
+        found, residuals = _on_driver(config, tod, noise, inverse, found_templates)
+    sky = found.join(pixel_blocks.kept(blocks, config.rcond_cut).select("pix", "hits", "rcond"), "pix")
+    return Maps(sky, residuals, noise, removed)
+
+
+def _on_driver(config: Config, tod: DataFrame, noise: DataFrame, inverse: DataFrame, templates: solver.Templates | None) -> tuple[DataFrame, list[float]]:
+    operator = solver.NormalOperator(tod, noise, config.bandwidth, templates=templates, remove_mean=config.remove_mean)
     precondition = solver.BlockJacobi(inverse, operator.pixels)
     if config.precond:
         basis = solver.a_priori_basis(tod, operator, config.z_2lvl or 8) if config.precond == 1 else solver.lanczos_basis(operator, config.z_2lvl or 8)
@@ -80,8 +100,18 @@ def make_maps(config: Config, tod: DataFrame, noise: DataFrame | None = None, sc
         found = solver.enlarged_cg(operator, precondition, config.enlarge, config.tol, config.maxiter, config.block_reduction, config.ortho_alg == 0)
     else:
         found = solver.pcg(operator, precondition, config.tol, config.maxiter)
-    sky = operator.frame(found.x).join(pixel_blocks.kept(blocks, config.rcond_cut).select("pix", "hits", "rcond"), "pix")
-    return Maps(sky, found.residuals, noise, removed)
+    return operator.frame(found.x), found.residuals
+
+
+def _on_tables(config: Config, tod: DataFrame, noise: DataFrame, inverse: DataFrame, templates: solver.Templates | None) -> tuple[DataFrame, list[float]]:
+    """Beyond the driver's pixels: plain CG, also with templates and with the a-priori second level."""
+    if config.solver or config.precond == 2:
+        raise ValueError(f"over {solver.DRIVER_PIXELS} observed pixels there is neither enlarged CG nor a Lanczos basis; use solver 0 with precond 0 or 1")
+    operator = table_solver.TableOperator(tod, noise, config.bandwidth, templates=templates, remove_mean=config.remove_mean)
+    precondition = table_solver.TableJacobi(written(inverse, "inverse"))
+    if config.precond:
+        precondition = table_solver.TableTwoLevel(operator, precondition, config.z_2lvl or 8)
+    return table_solver.pcg(operator, precondition, config.tol, config.maxiter)
 
 
 def run(config: Config, tod: DataFrame, noise: DataFrame | None = None, scan: DataFrame | None = None) -> Maps:

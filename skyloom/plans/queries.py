@@ -578,13 +578,7 @@ def mt_map(spark, sf_dir):
     inverse = pixel_blocks.inverse(pointing.weight_blocks(rows))
     op = solver.NormalOperator(rows, _noise_rows(spark, sf_dir, [1.0]), 1, templates=solver.Templates(2, 8, 1, 1000))
     sky = op.frame(solver.pcg(op, solver.BlockJacobi(inverse, op.pixels), 1e-8, 100).x)
-    scan = rows.join(flags.sweep_bounds(rows, "block_id"), ["block_id", "sweep"]).join(templates.azimuth_range(rows, "block_id"), "block_id")
-    scan = scan.join(rows.groupBy("block_id").agg((F.max("sweep") + 1).alias("n_sweeps"), (F.floor(F.max("t") / 1000) + 1).cast("int").alias("n_plate")), "block_id")
-    table = templates.polynomials(scan, 2).unionByName(templates.scan_synchronous(scan, 8, 2 * F.col("n_sweeps")))
-    at = F.floor(F.col("t") / 1000).cast("int")
-    for k, wave in enumerate((F.cos, F.sin)):
-        table = table.unionByName(scan.select("block_id", "t", (2 * F.col("n_sweeps") + 8 + k * F.col("n_plate") + at).cast("int").alias("bin"), wave("hwp_angle").alias("w")))
-    table = written(table, "templates")
+    table = written(templates.expanded(rows, 2, 8, 1, 1000), "templates")
     inverse_kernel = written(templates.inverted(templates.kernel(table)), "kernels")
 
     def filtered(df: DataFrame, v: str) -> DataFrame:

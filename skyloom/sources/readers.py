@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Fixed formats of raw files: kind -> numpy type and values a sample.
-RAW = {"pointing": ("<u4", 1), "signal": ("<f8", 1), "angle": ("<f8", 1), "pixels": ("<u4", 3), "weights": ("<f8", 3), "bandwidth": ("<f8", 1), "sizes": ("<i4", 1), "indices": ("<i4", 3)}
+RAW = {"pointing": ("<u4", 1), "signal": ("<f8", 1), "angle": ("<f8", 1), "pixels": ("<u4", 3), "weights": ("<f8", 3), "bandwidth": ("<f8", 1), "sizes": ("<i4", 1), "indices": ("<i4", 3), "integers": ("<i4", 1)}
 
 
 def raw(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -37,6 +37,33 @@ def raw_samples(spark: SparkSession, pixels: str, weights: str, signal: str) ->
     return joined.select(*keys, F.floor(F.col("p")[0] / 3).alias("pix"), *(F.col("w")[k].alias(n) for k, n in enumerate(("w_i", "w_q", "w_u"))), F.col("s")[0].alias("signal"))
 
 
+def map_parts(spark: SparkSession, path: str) -> DataFrame:
+    """part, pix, hits, rcond, i of binary map parts."""
+    from skyloom.sources.sinks import PARTS
+
+    out = None
+    for column, (name, kind) in PARTS.items():
+        one = raw(spark, f"{path}/{name}[0-9]*.dat", "integers" if kind == "<i4" else "signal").select("part", "row", F.col("values")[0].alias(column))
+        out = one if out is None else out.join(one, ["part", "row"])
+    return out.drop("row")
+
+
+def angled_samples(spark: SparkSession, pointing: str, angle: str, signal: str) -> DataFrame:
+    """part, row, pix, w_i, w_q, w_u, signal from pixels, polarisation angles (weights 1, cos 2a, sin 2a) and signals."""
+    keys = ["part", "row"]
+    one = lambda path, kind, name: raw(spark, path, kind).select(*keys, F.col("values")[0].alias(name))
+    joined = one(pointing, "pointing", "pix").join(one(angle, "angle", "a"), keys).join(one(signal, "signal", "signal"), keys)
+    return joined.select(*keys, "pix", F.lit(1.0).alias("w_i"), F.cos(2 * F.col("a")).alias("w_q"), F.sin(2 * F.col("a")).alias("w_u"), "signal")
+
+
+def noise_blocks(spark: SparkSession, path: str, bandwidth: int) -> DataFrame:
+    """block_id and first row t of raw files that hold ``bandwidth`` numbers a block; blocks are counted over files."""
+    values = raw(spark, path, "bandwidth").select("part", "row", F.col("values")[0].alias("v"))
+    rows = values.groupBy("part", F.floor(F.col("row") / bandwidth).alias("k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "v"))), lambda x: x["v"]).alias("t"))
+    order = Window.orderBy("part", "k")  # one row a noise block
+    return rows.filter(F.size("t") == bandwidth).select((F.row_number().over(order) - 1).cast("long").alias("block_id"), "t")
+
+
 def ell(spark: SparkSession, path: str) -> DataFrame:
     """(part, line, j, col, val) of ASCII files with lines ``idx val [idx val ...]``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import struct
 from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from skyloom.sources import staging
+
 #: The names of coordinate systems in the files.
 COORDINATES = {"G": "G       ", "E": "E       ", "C": "C       ", "Q": "C       "}
 NAMES = (("i", "mapI"), ("q", "mapQ"), ("u", "mapU"), ("rcond", "Cond"), ("hits", "Hits"))
@@ -66,26 +67,40 @@ def write_products(maps, config) -> None:
     """
     from skyloom.plans.config import as_toml
 
-    out, ref = config.path_output, config.ref
-    os.makedirs(out, exist_ok=True)
+    out, ref, spark = config.path_output.rstrip("/"), config.ref, maps.sky.sparkSession
     names = [f"{out}/{name}_{ref}.fits" for _, name in NAMES]
     for name in names:
-        if os.path.exists(name):
-            os.remove(name)  # raises before anything is written
+        staging.removed(spark, name)  # raises before anything is written
     maps.sky.write.mode("overwrite").parquet(f"{out}/sky_{ref}.parquet")
-    table = maps.sky.toArrow()
-    pix = table["pix"].to_numpy()
-    for (column, _), name in zip(NAMES, names):
+    for (column, _), name in zip(NAMES, names):  # a column at a time: one whole map in memory
+        table = maps.sky.select("pix", column).toArrow()
         whole = np.zeros(12 * config.nside**2)
-        whole[pix] = table[column].to_numpy()
-        with open(name, "wb") as f:
-            f.write(fits_map(whole, config.nside, config.coordinates))
-    with open(f"{out}/pcg_residuals_{ref}.dat", "wb") as f:
-        f.write(struct.pack(f"<{len(maps.residuals)}d", *maps.residuals))
-    with open(f"{out}/residuals_{ref}.txt", "w") as f:
-        f.writelines(f"{r:.15e}\n" for r in maps.residuals)
-    with open(f"{out}/parameters_{ref}.toml", "w") as f:
-        f.write(as_toml(config))
+        whole[table["pix"].to_numpy()] = table[column].to_numpy()
+        staging.put(spark, name, fits_map(whole, config.nside, config.coordinates))
+    staging.put(spark, f"{out}/pcg_residuals_{ref}.dat", struct.pack(f"<{len(maps.residuals)}d", *maps.residuals))
+    staging.put(spark, f"{out}/residuals_{ref}.txt", "".join(f"{r:.15e}\n" for r in maps.residuals).encode())
+    staging.put(spark, f"{out}/parameters_{ref}.toml", as_toml(config).encode())
+
+
+#: Fixed formats of a map part's files: column -> the files' name before the part's number, and numpy type.
+PARTS = {"pix": ("mapout_lstid_", "<i4"), "hits": ("mapout_lhits_", "<i4"), "rcond": ("mapout_lcond_", "<f8"), "i": ("mapout_", "<f8")}
+
+
+def write_map_parts(sky: DataFrame, path: str, parts: int = 1) -> None:
+    """The observed sky (pix, hits, rcond, i) as binary parts by ranges of pixels: four files each, written by the driver, a part at a time."""
+    spark = sky.sparkSession
+    edges = sky.select(F.expr(f"percentile_approx(pix, array({', '.join(str(k / parts) for k in range(1, parts))}), 10000) AS e")).first()["e"] if parts > 1 else []
+    edges = [None, *(edges or []), None]
+    for k, (low, high) in enumerate(zip(edges, edges[1:])):
+        own = sky if low is None else sky.filter(F.col("pix") > low)
+        table = (own if high is None else own.filter(F.col("pix") <= high)).select(*PARTS).orderBy("pix").toArrow()
+        for column, (name, kind) in PARTS.items():
+            staging.put(spark, f"{path}/{name}{k}.dat", table[column].to_numpy().astype(kind).tobytes())
+
+
+def write_spectra(spectra: DataFrame, path: str) -> None:
+    """Periodograms or fitted spectra (block, k, f, power) for looking at."""
+    spectra.write.mode("overwrite").parquet(path)
 
 
 def write_ell(wide: DataFrame, path: str) -> None:

@@ -38,10 +38,34 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _store(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def put(spark: SparkSession, path: str, blob: bytes) -> None:
+    """One file in any store that Spark reaches, written by the driver, over what was there."""
+    at, fs = _store(spark, path)
+    fs.setWriteChecksum(False)
+    out = fs.create(at, True)
+    try:
+        for k in range(0, len(blob), 1 << 22):
+            out.write(bytearray(blob[k : k + (1 << 22)]))
+    finally:
+        out.close()
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a file if there is one; raises where that can't be done."""
+    at, fs = _store(spark, path)
+    if fs.exists(at) and not fs.delete(at, False):
+        raise OSError(f"can't delete {path}")
+
+
 def discard(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may have ended
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        at, fs = _store(spark, path)
+        fs.delete(at, True)
 
 
 def discard_table(df: DataFrame) -> None:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom.functions import numeric
-from skyloom.operators import flags, noise, pixel_blocks, pointing, solver, templates, toeplitz
+from skyloom.operators import flags, noise, pixel_blocks, pointing, solver, table_solver, templates, toeplitz
 from skyloom.plans import config as C, mapmaker
 from skyloom.sources import readers, sinks
 
@@ -159,10 +159,72 @@ def test_solvers_reach_the_dense_answer(spark):
     for z in (solver.a_priori_basis(frame, op, 3), solver.lanczos_basis(op, 5)):
         two = solver.pcg(op, solver.TwoLevel(op, jacobi, z), 1e-10, 60)
         assert two.converged and np.allclose(two.x, want, atol=1e-7)
-    x_frame, residuals = solver.pcg_frames(frame, noise_rows(spark, ROW), 3, inverse, tol=1e-6, most=12, remove_mean=False)
+    tables = table_solver.TableOperator(frame, noise_rows(spark, ROW), 3, remove_mean=False)
+    x_frame, residuals = table_solver.pcg(tables, table_solver.TableTwoLevel(tables, table_solver.TableJacobi(inverse), 3), tol=1e-6, most=12)
     assert np.allclose(by_pix(x_frame), want, atol=1e-4) and residuals[-1] < 1e-5
 
 
+def test_more_pixels_than_the_driver_holds(spark, tmp_path, monkeypatch):
+    """Tables of map vectors: the same maps, with templates too; what has no such form says so."""
+    rows, rng = samples(n=120, blocks=2), np.random.default_rng(9)
+    x = rng.normal(size=3 * PIX)
+    frame = tod(spark, rows, dense(rows) @ x, 0 * np.arange(len(rows)))
+    scan = spark.createDataFrame([(b, t, 0, math.sin(t / 9), t * 0.3) for b in range(2) for t in range(120)], "obs_id int, t long, flags int, az double, hwp_angle double")
+    base = {"path_output": str(tmp_path), "ref": "x", "nside": 2, "fsample": 10.0, "tol": 1e-5, "maxiter": 4}
+    mt = C.build("", base, {"map_maker": "MT", "sss": True, "sbins": 3})
+    on_driver = by_pix(mapmaker.make_maps(mt, frame, scan=scan).sky)
+    monkeypatch.setattr(solver, "DRIVER_PIXELS", 5)
+    on_tables = mapmaker.make_maps(mt, frame, scan=scan)
+    assert np.allclose(by_pix(on_tables.sky), on_driver, atol=1e-6)
+    with pytest.raises(ValueError, match="Lanczos"):
+        mapmaker.make_maps(C.build("", base, {"uniform_w": True, "precond": 2}), frame)
+
+
+def test_pointing_from_expressions(spark, tmp_path):
+    rows, rng = samples(), np.random.default_rng(10)
+    x = rng.normal(size=3 * PIX)
+    frame = tod(spark, rows, dense(rows) @ x, 0 * np.arange(len(rows))).withColumn("cell", F.col("pix")).withColumn("two_psi", F.atan2("w_u", "w_q")).drop("pix", "w_i", "w_q", "w_u")
+    how = lambda df: {"pix": F.col("cell"), "w_i": F.lit(1.0), "w_q": F.cos("two_psi"), "w_u": F.sin("two_psi")}
+    maps = mapmaker.make_maps(C.build("", {"path_output": str(tmp_path), "ref": "x", "nside": 2, "uniform_w": True}), frame, pointing_of=how)
+    assert np.allclose(by_pix(maps.sky), x, atol=1e-5)
+    sinks.write_map_parts(maps.sky, str(tmp_path / "parts"), 2)
+    back = sorted((r.pix, r.hits, r.i) for r in readers.map_parts(spark, str(tmp_path / "parts")).collect())
+    assert back == sorted((r.pix, r.hits, r.i) for r in maps.sky.collect())
+
+
+def test_wide_gappy_product_and_its_blocks(spark):
+    n, row = 80, [1.0 / (1 + k) for k in range(20)]
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(2, n))
+    rows = spark.createDataFrame([(b, t, b * n + t, float(v[b, t])) for b in range(2) for t in range(n)], "block_id int, t long, row long, d double")
+    gaps = spark.createDataFrame([(30, 25), (100, 4)], "id0 long, len long")
+    own = spark.createDataFrame([(b, [float(x) * (b + 1) for x in row]) for b in range(2)], "block_id int, t array<double>")
+    got = {(r.block_id, r.t): r.y for r in toeplitz.gappy_product(rows, gaps, own, "d").collect()}
+    open_ = np.ones((2, n))
+    open_[0, 30:55] = 0
+    open_[1, 20:24] = 0
+    for b in range(2):
+        want = open_[b] * (numeric.dense_toeplitz(np.array(row) * (b + 1), n) @ (open_[b] * v[b]))
+        assert np.allclose([got[b, t] for t in range(n)], want)
+    pieces = toeplitz.gappy_blocks(rows, gaps, 20).groupBy("block_id", "piece").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("last")).collect()
+    assert sorted((r.block_id, r.piece, r.n, r["last"]) for r in pieces) == [(0, 0, 30, 29), (0, 1, 25, 24), (1, 0, 80, 79)]
+    with pytest.raises(ValueError, match="band"):
+        toeplitz.checked_bandwidth(own, spark.createDataFrame([(0, 19), (1, 80)], "block_id int, n long"))
+    assert numeric.example_row(2, 3).tolist() == [10, 2, 3] and numeric.example_row(3, 4).tolist() == [2, -1, 0, 0] and 1 <= numeric.example_row(1, 5).min()
+
+
+def test_constant_azimuth_and_empty_sweeps(spark):
+    flat = spark.createDataFrame([(0, t, 4.0, 4.0, 4.0) for t in range(5)], "block_id int, t long, az double, az_min double, az_max double")
+    assert {r.bin for r in templates.scan_synchronous(flat, 6).collect()} == {0}
+    with pytest.raises(ValueError):
+        flags.fixed_sweeps(flat, 0.01, 10.0)
+
+
+def test_other_parameter_names():
+    cfg = C.build("Lambda = 128\nZ_2lvl = 4\nptcomm_flag = 6\nenlFac = 2\nbs_red = 1\nfixed_polybase = 1\npolybaseline_length = 12.5\nhwpssbaseline_length = 7", {"path_output": "o", "ref": "r"})
+    assert (cfg.bandwidth, cfg.z_2lvl, cfg.enlarge, cfg.block_reduction, cfg.sweeps_from_flags, cfg.poly_baseline, cfg.plate_baseline) == (128, 4, 2, True, False, 12.5, 7.0)
+
+
 def test_templates_are_filtered_out(spark):
     rows, rng = samples(), np.random.default_rng(5)
     t = np.array([r[3] for r in rows])
