@@ -58,13 +58,19 @@ def gaps_reduced(rows: DataFrame, gaps: DataFrame, most: int, value: str, row: s
     return in_gaps(zeroed, beyond, row).filter("NOT in_gap").drop("in_gap")
 
 
-def scan_sweeps(scan: DataFrame, bit: int = 8, by: str = "obs_id") -> DataFrame:
+def scan_sweeps(scan: DataFrame, bit: int = 8, by: str = "obs_id", chunk: int = 1 << 18) -> DataFrame:
     """``sweep`` from turnaround flags: a new one begins at t when flags(t) reaches ``bit`` and shares no such bits with
-    flags(t-1)."""
-    w = Window.partitionBy(by).orderBy("t")
+    flags(t-1).  Chunks of an observation count their own; what those before them hold is added (a row a chunk)."""
+    cells = F.sequence(F.floor(F.col("t") / chunk), F.floor((F.col("t") + 1) / chunk))
+    w = Window.partitionBy(by, "_cell").orderBy("t")
     before = F.lag("flags").over(w)
     edge = before.isNotNull() & (before.bitwiseAND(F.col("flags")) < bit) & (F.col("flags") >= bit)
-    return scan.withColumn("sweep", F.sum(F.when(edge, 1).otherwise(0)).over(w).cast("int"))
+    marked = scan.withColumn("_cell", F.explode(cells)).withColumn("_edge", edge.cast("int"))
+    marked = marked.filter(F.col("_cell") == F.floor(F.col("t") / chunk))
+    held = marked.groupBy(by, "_cell").agg(F.sum("_edge").alias("_held"))
+    held = held.select(by, "_cell", (F.sum("_held").over(Window.partitionBy(by).orderBy("_cell")) - F.col("_held")).alias("_before"))
+    out = marked.join(held, [by, "_cell"]).withColumn("sweep", (F.col("_before") + F.sum("_edge").over(w)).cast("int"))
+    return out.select(*scan.columns, "sweep")
 
 
 def fixed_sweeps(scan: DataFrame, seconds: float, rate: float) -> DataFrame:

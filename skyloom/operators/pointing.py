@@ -37,6 +37,14 @@ def weight_blocks(tod: DataFrame, weight: Column | None = None) -> DataFrame:
     return tod.filter("pix >= 0").groupBy("pix").agg(F.count(F.lit(1)).alias("hits"), *(F.sum(F.col(f"w_{a}") * F.col(f"w_{b}") * weight).alias(f"b_{a}{b}") for a, b in pairs))
 
 
+def sums(tod: DataFrame, value: Column | str, weight: Column | None = None) -> DataFrame:
+    """``weight_blocks`` and ``scatter`` of value times weight in one aggregation."""
+    value, weight = F.col(value) if isinstance(value, str) else value, F.lit(1) if weight is None else weight
+    pairs = [(a, b) for k, a in enumerate("iqu") for b in "iqu"[k:]]
+    squares = [F.sum(F.col(f"w_{a}") * F.col(f"w_{b}") * weight).alias(f"b_{a}{b}") for a, b in pairs]
+    return tod.filter("pix >= 0").groupBy("pix").agg(F.count(F.lit(1)).alias("hits"), *squares, *(F.sum(F.col(w) * value * weight).alias(s) for w, s in zip(WEIGHTS, STOKES)))
+
+
 # long form ------------------------------------------------------------------------------------------------------
 
 

@@ -27,14 +27,17 @@ def mean_removed(rows: DataFrame, value: str, by: str = "block_id") -> DataFrame
     return rows.join(means, by).withColumn(value, F.col(value) - F.col("_mean")).drop("_mean")
 
 
-def narrow_product(rows: DataFrame, value: str, row: Sequence, to: str = "y", by: str = "block_id") -> DataFrame:
-    """sum over |i - j| < len(row) of row[|i - j|] * value(j)."""
-    w = Window.partitionBy(by).orderBy("t")
-    v = F.col(value)
+def narrow_product(rows: DataFrame, value: str, row: Sequence, to: str = "y", by: str = "block_id", chunk: int = CHUNK) -> DataFrame:
+    """sum over |i - j| < len(row) of row[|i - j|] * value(j). Blocks are cut into chunks that overlap by the band, as in
+    ``wide_product``, so a long block is shared by many tasks."""
+    halo, v = len(row) - 1, F.col(value)
+    cells = F.sequence(F.greatest(F.lit(0), F.floor((F.col("t") - halo) / chunk)), F.floor((F.col("t") + halo) / chunk))
+    w = Window.partitionBy(by, "_cell").orderBy("t")
     total: Column = F.lit(row[0]) * v
     for k in range(1, len(row)):
         total = total + F.lit(row[k]) * (F.lag(v, k, 0).over(w) + F.lead(v, k, 0).over(w))
-    return rows.withColumn(to, total)
+    cut = rows.withColumn("_cell", F.explode(cells)).withColumn(to, total)
+    return cut.filter(F.col("_cell") == F.floor(F.col("t") / chunk)).drop("_cell")
 
 
 def diagonal_product(rows: DataFrame, weights: DataFrame, value: str, to: str = "y", by: str = "block_id") -> DataFrame:

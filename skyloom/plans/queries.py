@@ -87,8 +87,7 @@ def at_d(spark, sf_dir):
 @query("""SELECT pix, hits, rcond, CAST(aa * i + ab * q + ac * u AS DOUBLE) / det AS i, CAST(ab * i + ad * q + ae * u AS DOUBLE) / det AS q,
   CAST(ac * i + ae * q + af * u AS DOUBLE) / det AS u FROM cond JOIN rhs USING (pix) WHERE rcond > 0.1""")
 def binned_map_iqu(spark, sf_dir):
-    rows = _pointing(spark, sf_dir)
-    return pixel_blocks.solved(pointing.weight_blocks(rows), pointing.scatter(rows, "d"))
+    return pixel_blocks.solved_rows(pointing.sums(_pointing(spark, sf_dir), "d"))
 
 
 @query("SELECT pix, hits, rcond FROM cond", "hour_pix")
@@ -130,8 +129,7 @@ SELECT pix, hits, CAST((b_qq * b_uu - b_qu * b_qu) * i + (b_iu * b_qu - b_iq * b
 WHERE b_ii * (b_qq * b_uu - b_qu * b_qu) + b_iq * (b_iu * b_qu - b_iq * b_uu) + b_iu * (b_iq * b_qu - b_iu * b_qq) <> 0""")
 def diag_weighted_map(spark, sf_dir):
     rows = _pointing(spark, sf_dir).withColumn("w", F.length("block_id") % 3 + 1)
-    rhs = pointing.scatter(rows, F.col("d") * F.col("w"))
-    return pixel_blocks.solved(pointing.weight_blocks(rows, F.col("w")), rhs, cut=0.0).select("pix", "hits", "i")
+    return pixel_blocks.solved_rows(pointing.sums(rows, "d", F.col("w")), cut=0.0).select("pix", "hits", "i")
 
 
 @query("SELECT pix, grp, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY pix) AS z FROM (SELECT pix, row % 4 AS grp, count(*) AS n FROM s GROUP BY 1, 2)")
@@ -141,9 +139,7 @@ def deflation_z(spark, sf_dir):
 
 @query("SELECT r.pix, coalesce(b.hits, 0) AS hits, coalesce(x.i, 0) AS i FROM (SELECT range AS pix FROM range(3072)) r LEFT JOIN blocks b USING (pix) LEFT JOIN rhs x USING (pix)")
 def full_sky_fill(spark, sf_dir):
-    rows = _pointing(spark, sf_dir)
-    both = pointing.weight_blocks(rows).select("pix", "hits").join(pointing.scatter(rows, "d").select("pix", "i"), "pix")
-    return pixel_blocks.full_sky(both, 12 * 16**2, ["hits", "i"])
+    return pixel_blocks.full_sky(pointing.sums(_pointing(spark, sf_dir), "d").select("pix", "hits", "i"), 12 * 16**2, ["hits", "i"])
 
 
 # pointing products ---------------------------------------------------------------------------------------------------

@@ -6,18 +6,14 @@ watermark, and the map is solved from the sums whenever it is asked for.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from skyloom.operators import pixel_blocks
-from skyloom.operators.pointing import STOKES, WEIGHTS
+from skyloom.operators import pixel_blocks, pointing
 
 
 def sums(stream: DataFrame, value: str) -> DataFrame:
     """pix, hits, the weight block's upper triangle and the right-hand side i, q, u."""
-    pairs = [(a, b) for k, a in enumerate("iqu") for b in "iqu"[k:]]
-    return stream.filter("pix >= 0").groupBy("pix").agg(
-        F.count(F.lit(1)).alias("hits"), *(F.sum(F.col(f"w_{a}") * F.col(f"w_{b}")).alias(f"b_{a}{b}") for a, b in pairs), *(F.sum(F.col(w) * F.col(value)).alias(s) for w, s in zip(WEIGHTS, STOKES))
-    )
+    return pointing.sums(stream, value)
 
 
 def solved(state: DataFrame, cut: float = pixel_blocks.RCOND_CUT) -> DataFrame:

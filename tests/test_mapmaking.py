@@ -213,6 +213,18 @@ def test_wide_gappy_product_and_its_blocks(spark):
     assert numeric.example_row(2, 3).tolist() == [10, 2, 3] and numeric.example_row(3, 4).tolist() == [2, -1, 0, 0] and 1 <= numeric.example_row(1, 5).min()
 
 
+def test_chunks_of_a_long_block(spark):
+    """Narrow products and sweeps are the same however an observation is cut."""
+    rng = np.random.default_rng(13)
+    v, f = rng.normal(size=60), rng.integers(0, 16, 60)
+    rows = spark.createDataFrame([(0, t, float(v[t]), int(f[t])) for t in range(60)], "obs_id int, t long, d double, flags int").withColumn("block_id", F.col("obs_id"))
+    for chunk in (4, 7, 1000):
+        y = {r.t: r.y for r in toeplitz.narrow_product(rows, "d", [2.0, -1.0, 0.5], chunk=chunk).collect()}
+        assert np.allclose([y[t] for t in range(60)], numeric.dense_toeplitz(np.array([2.0, -1.0, 0.5]), 60) @ v)
+        s = {r.t: r.sweep for r in flags.scan_sweeps(rows, chunk=chunk).collect()}
+        assert [s[t] for t in range(60)] == np.cumsum([0] + [int((f[t - 1] & f[t]) < 8 and f[t] >= 8) for t in range(1, 60)]).tolist()
+
+
 def test_constant_azimuth_and_empty_sweeps(spark):
     flat = spark.createDataFrame([(0, t, 4.0, 4.0, 4.0) for t in range(5)], "block_id int, t long, az double, az_min double, az_max double")
     assert {r.bin for r in templates.scan_synchronous(flat, 6).collect()} == {0}
