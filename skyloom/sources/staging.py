@@ -27,7 +27,7 @@ _OWN: dict[str, str] = {}
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; what is written there goes when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(discard, spark, path)
+    atexit.register(_delete, *_store(spark, path))  # both outlive the session
     return path
 
 
@@ -62,12 +62,15 @@ def removed(spark: SparkSession, path: str) -> None:
         raise OSError(f"can't delete {path}")
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may have ended
-        at, fs = _store(spark, path)
+def _delete(at, fs) -> None:
+    with contextlib.suppress(Exception):  # the store or the JVM may be gone
         fs.delete(at, True)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    _delete(*_store(spark, path))
+
+
 def discard_table(df: DataFrame) -> None:
     """Deletes what ``written`` made, once nothing reads it any more."""
     for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
