@@ -7,7 +7,8 @@ number of shards and slot the quotient: anybody with N, the seed and a row numbe
 differ by one at most (law ``rows``).
 
 Nulls: a null text has size 1 and CRC 0; null ids are numbered first.  Repeated rows get numbers of their own.
-An empty table gives no rows.  Other columns are not looked at.
+An empty table gives no rows.  Texts of any length are measured whole, where they lie.  Other columns are not looked at, so
+clashing names don't matter.
 """
 
 from __future__ import annotations
