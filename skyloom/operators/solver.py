@@ -288,7 +288,8 @@ def pcg(operator: NormalOperator, precondition, tol: float = 1e-6, most: int = 3
 
 def enlarged_cg(operator: NormalOperator, precondition, directions: int, tol: float = 1e-6, most: int = 3000, reduce: bool = False, orthodir: bool = False) -> Solution:
     """Block CG that splits the residual into ``directions`` parts by pixel; one job an iteration, whatever the number.
-    ``reduce``: directions that have become dependent are dropped for good. ``orthodir``: the next directions come
+    ``reduce``: when directions have become dependent, the residual's parts go over to an orthonormal basis of what they span (orthomin), or
+    the dependent ones are dropped (orthodir), for good. ``orthodir``: the next directions come
     from the operator's images, orthogonal to the last two sets; else (orthomin) from the residuals."""
     r0 = operator.right_hand_side()
     start = float(r0 @ r0)
@@ -297,7 +298,8 @@ def enlarged_cg(operator: NormalOperator, precondition, directions: int, tol: fl
         return Solution(np.zeros(n), [1.0], True)
     part = (np.arange(n) // 3) * directions // max(1, n // 3)
     r = np.where(part[:, None] == np.arange(directions), r0[:, None], 0.0)
-    x, residuals, converged = np.zeros((n, directions)), [1.0], False
+    x, residuals, converged = np.zeros(n), [1.0], False
+    whole = np.ones(directions)  # r @ whole is the residual
     p, past = precondition(r), []
     for _ in range(1, most):
         ap = operator.apply(p)
@@ -309,15 +311,19 @@ def enlarged_cg(operator: NormalOperator, precondition, directions: int, tol: fl
         scale = vec[:, keep] / np.sqrt(val[keep])
         p, ap = p @ scale, ap @ scale
         alpha = p.T @ r
-        x, r = x + p @ alpha, r - ap @ alpha
-        total = r.sum(1)
+        x, r = x + p @ (alpha @ whole), r - ap @ alpha
+        total = r @ whole
         residuals.append(float(np.sqrt(total @ total / start)))
         if total @ total <= tol**2 * start:
             converged = True
             break
         past = [*past[-1:], (p, ap)]
+        if reduce and not orthodir and not keep.all():
+            size, turn = np.linalg.eigh(r.T @ r)
+            turn = turn[:, size > size.max() * 1e-24]
+            r, whole = r @ turn, turn.T @ whole
         z = precondition(ap if orthodir else r)
         for old, image in past if orthodir else past[-1:]:
             z = z - old @ (image.T @ z)
-        p = z if not reduce or keep.all() else z[:, : max(1, int(keep.sum()))] if orthodir else z
-    return Solution(x.sum(1), residuals, converged)
+        p = z[:, : max(1, int(keep.sum()))] if reduce and orthodir and not keep.all() else z
+    return Solution(x, residuals, converged)

@@ -153,8 +153,8 @@ def test_solvers_reach_the_dense_answer(spark):
     assert found.converged and found.residuals[0] == 1.0 and np.allclose(found.x, want, atol=1e-7)
     assert np.allclose(by_pix(op.frame(found.x)), want, atol=1e-7)
     assert len(solver.pcg(op, jacobi, 1e-30, 4).residuals) == 4
-    for orthodir in (False, True):
-        block = solver.enlarged_cg(op, jacobi, 3, 1e-9, 60, orthodir=orthodir)
+    for orthodir, reduce in ((False, False), (True, False), (False, True)):
+        block = solver.enlarged_cg(op, jacobi, 3, 1e-9, 60, reduce, orthodir)
         assert block.converged and np.allclose(block.x, want, atol=1e-6)
     for z in (solver.a_priori_basis(frame, op, 3), solver.lanczos_basis(op, 5)):
         two = solver.pcg(op, solver.TwoLevel(op, jacobi, z), 1e-10, 60)
@@ -237,6 +237,30 @@ def test_other_parameter_names():
     assert (cfg.bandwidth, cfg.z_2lvl, cfg.enlarge, cfg.block_reduction, cfg.sweeps_from_flags, cfg.poly_baseline, cfg.plate_baseline) == (128, 4, 2, True, False, 12.5, 7.0)
 
 
+def test_block_reduction():
+    """Parts of a residual that depend on each other from the start, and ones that come to."""
+    rng = np.random.default_rng(21)
+    root = rng.normal(size=(30, 30))
+
+    class Plain:
+        a = root @ root.T + 30 * np.eye(30)
+        widths: list[int] = []
+
+        def right_hand_side(self):
+            b = np.zeros(30)
+            b[:6] = 1.0  # the other parts are 0
+            return b
+
+        def apply(self, x):
+            self.widths.append(x.shape[1])
+            return self.a @ x
+
+    op = Plain()
+    found = solver.enlarged_cg(op, lambda g: g, 5, 1e-10, 60, reduce=True)
+    assert found.converged and np.allclose(op.a @ found.x, op.right_hand_side(), atol=1e-8)
+    assert op.widths[0] == 5 and op.widths[1] < 5 and op.widths[-1] <= op.widths[1]
+
+
 def test_templates_are_filtered_out(spark):
     rows, rng = samples(), np.random.default_rng(5)
     t = np.array([r[3] for r in rows])
