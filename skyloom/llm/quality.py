@@ -137,9 +137,10 @@ def _shape(moments: DataFrame, by: list[str], factor: tuple[float, ...] | None =
     return df.selectExpr(*names, "m", w, f"aggregate(sequence(0, {P - 1}), 0D, (x, i) -> x + ln(g[i][i])) AS logdet")
 
 
-def _distance() -> Column:
-    unit = [" + ".join(f"w[{i}][{j}] * (v{j} - m[{j}])" for j in range(i + 1)) for i in range(P)]
-    return F.expr(" + ".join(f"({y}) * ({y})" for y in unit))
+def _measured(rows: DataFrame, *kept: str) -> DataFrame:
+    """``kept`` columns and d2, the squared distance from m by w. Terms are named first, so the plan holds each once."""
+    terms = [" + ".join(f"w[{i}][{j}] * (v{j} - m[{j}])" for j in range(i + 1)) + f" AS _y{i}" for i in range(P)]
+    return rows.selectExpr(*kept, *terms).selectExpr(*kept, " + ".join(f"_y{i} * _y{i}" for i in range(P)) + " AS d2")
 
 
 def _meeting(groups: int):
@@ -205,7 +206,7 @@ def _concentrated(vectors: DataFrame, shape: DataFrame, facts: DataFrame, meet)
     """The shapes of the nearest ``TRIM`` (rounded up) of each pool by each start's present shape, and whether their
     determinants still fall."""
     by = ["pool", "start"]
-    rows = vectors.join(meet(shape.drop("a", "p", "logdet")), "pool").select(*by, *V, (F.log1p(_distance()) * COARSE).alias("_at"))
+    rows = _measured(vectors.join(meet(shape.drop("a", "p", "logdet")), "pool"), *by, *V).withColumn("_at", F.log1p("d2") * COARSE).drop("d2")
     bins = rows.groupBy(*by, F.floor("_at").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy(*by)
     upto = bins.select(*by, "bin", "n", F.sum("n").over(order.orderBy("bin")).alias("upto"), F.ceil(TRIM * F.sum("n").over(order)).alias("want"))
@@ -246,7 +247,7 @@ def estimates(stats: DataFrame, least: int = 50) -> DataFrame:
         found = found.unionByName(more)
     rank = F.row_number().over(Window.partitionBy("pool").orderBy(F.round("logdet", 6), "start"))
     best = written(found.withColumn("place", rank).filter("place = 1").drop("place", "start"), "best")
-    near = vectors.join(meet(best.drop("a")), "pool").filter(_distance() <= F.expr(f"{_pick(CONSISTENT_75)} * {_pick(CHI_975)}")).groupBy("pool").agg(*_moments())
+    near = _measured(vectors.join(meet(best.drop("a")), "pool"), "pool", "p", *V).filter(f"d2 <= {_pick(CONSISTENT_75)} * {_pick(CHI_975)}").groupBy("pool").agg(*_moments())
     final = _shape(near.selectExpr("pool", "n", *SUMS).join(facts, "pool"), ["pool"], CONSISTENT_975).drop("logdet")
     final = final.join(meet(best.select("pool", "logdet")), "pool").join(facts.select("pool", "c"), "pool")
     final = written(final.selectExpr("pool", "a", "p", "logdet", "zip_with(m, c, (x, y) -> x + y) AS m", "w"), "shape")
@@ -257,7 +258,7 @@ def judged(stats: DataFrame, cut: tuple[float, ...] = CUT, least: int = 50) -> D
     """``stats`` with d2 (null only where no document passes the base rule) and kept."""
     found = estimates(stats, least).select("grp", "p", "m", "w")
     names = stats.columns
-    rows = stats.select("*", *vector()).join(_meeting(found.count())(found), "grp", "left").withColumn("d2", _distance()).withColumn("_cut", F.expr(_pick(cut)))
+    rows = _measured(stats.select("*", *vector()).join(_meeting(found.count())(found), "grp", "left"), *(f"`{n}`" for n in names), "p").withColumn("_cut", F.expr(_pick(cut)))
     return rows.select(*names, "d2", (~F.col("base_failed") & (F.col("d2") <= F.col("_cut"))).alias("kept"))
 
 
