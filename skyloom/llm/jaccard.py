@@ -100,7 +100,7 @@ def _features(docs: DataFrame, n: int) -> DataFrame:
                 seen.add(c)
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["key"], *(pa.array(x, pa.int64()) for x in (sizes, classes, others)), _lists(first)], ["doc_id", "key", "n", "c", "c2", "first"])
 
-    return spread(docs).mapInArrow(run, "doc_id long, key string, n long, c long, c2 long, first array<bigint>")
+    return docs.mapInArrow(run, "doc_id long, key string, n long, c long, c2 long, first array<bigint>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -111,7 +111,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
             c = [class_of(g) for g in grams]
             yield pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in c], pa.int64()) for k in (0, 1)), pa.array([len(g) for g in grams], pa.int64()), _lists(grams)], ["c", "c2", "n", "grams"])
 
-    return spread(docs.select("text")).mapInArrow(run, "c long, c2 long, n long, grams array<bigint>")
+    return docs.select("text").mapInArrow(run, "c long, c2 long, n long, grams array<bigint>")
 
 
 def _parted(classes: DataFrame) -> DataFrame | None:
@@ -195,7 +195,7 @@ def similarity_classes(docs: DataFrame, n: int = 5, star_rounds: int = 2, key: C
     """One row per document: doc_id, key (of the caller's), n_shingles, class_id (equal sets), root (a class
     that stands for the component) and component_id."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long"), "text", (F.lit(None) if key is None else key).cast("string").alias("key"))
+    texts = spread(docs).select(F.col("doc_id").cast("long"), "text", (F.lit(None) if key is None else key).cast("string").alias("key"))
     wide = written(_features(texts, n), "features")
     classes = written(wide.filter("n > 0").groupBy("c", "c2").agg(F.min("doc_id").alias("m"), F.first("n").alias("n")), "digests")
     moved, features = _parted(classes), wide
