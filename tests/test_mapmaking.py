@@ -399,3 +399,21 @@ def test_streamed_map_is_the_batch_map(spark, tmp_path):
         run.stop()
     want = by_pix(pixel_blocks.solved(pointing.weight_blocks(frame), pointing.scatter(frame, "signal")))
     assert np.allclose(got, want)
+
+
+def test_fitted_amplitudes_of_many_templates(spark):
+    """By block, as the dense pseudo-inverse has them; a block of 8,000 templates has no table of all their pairs."""
+    sizes = {0: 300, 1: 32_000}
+    rows = spark.createDataFrame([(b, t, float(t % 11 + (t // 4) % 5)) for b, n in sizes.items() for t in range(n)], "block_id int, t long, d double")
+    table = rows.select("block_id", "t", F.floor(F.col("t") / 4).cast("int").alias("bin"), F.lit(1.0).alias("w"))
+    table = table.unionByName(rows.select("block_id", "t", (F.lit(100_000) + F.col("t") % 6).cast("int").alias("bin"), (1.0 + F.col("t") % 2).alias("w")))
+    kernel, right = templates.kernel(table), templates.scatter(table, rows, "d")
+    tau = templates.fitted(kernel, right)
+    fit = templates.project(table, tau)
+    small = {r.t: r.y for r in fit.filter("block_id = 0").collect()}
+    own = templates.amplitudes(templates.inverted(kernel.filter("block_id = 0")), right.filter("block_id = 0"))
+    want = {r.t: r.y for r in templates.project(table.filter("block_id = 0"), own).collect()}
+    assert small.keys() == want.keys() and all(abs(small[t] - want[t]) < 1e-8 for t in want)
+    left = rows.join(fit, ["block_id", "t"]).withColumn("left", F.col("d") - F.col("y"))
+    told = templates.scatter(table, left, "left").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("amp")).alias("most")).first()
+    assert told.n == 75 + 8000 + 12 and told.most < 1e-6
