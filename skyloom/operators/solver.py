@@ -5,6 +5,9 @@ its projection on the templates.  It is never formed.  Samples are laid out once
 arrays of pixel places, weights and data (chunks of long blocks overlap by the bandwidth less one), written and read
 in each iteration by one job: project, weight, scatter within the task, and sum over chunks by place.
 
+Templates are not written out: their classes are expanded chunk by chunk, and an iteration has two jobs, one that sums what the
+templates of each block meet and one that takes off the fit.  Kernels are sparse and eliminated once on the driver.
+
 Map vectors have three numbers for each observed pixel.  Up to ``DRIVER_PIXELS`` of them live on the driver and are broadcast
 (a size that is checked); above that ``table_solver`` keeps vectors as tables.
 """
@@ -13,16 +16,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from skyloom.functions import numeric
-from skyloom.operators import pixel_blocks, pointing, toeplitz
+from skyloom.operators import pixel_blocks, pointing, templates as long_templates, toeplitz
 from skyloom.sources.staging import written
 
 DRIVER_PIXELS = 12 * 1024**2
+#: Entries of all blocks' template kernels, which the driver eliminates once.
+DRIVER_ENTRIES = 4 * 1024**2
 WEIGHTS = pointing.WEIGHTS
 
 
@@ -36,45 +43,91 @@ class Templates:
     plate_length: int = 1
 
     def expand(self, scan: dict[str, np.ndarray]) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
-        """[(bin of each sample, weight of each sample)] of the classes, and the number of bins."""
-        classes, first, n = [], 0, len(scan["t"])
+        """[(bin of each sample, weight of each sample)] of the classes, and the number of bins, for the samples of a whole block."""
+        at, sweeps, plates = {}, 0, 0
         if self.orders:
-            sweep = scan["sweep"] - scan["sweep"].min()
-            count = int(sweep.max()) + 1
+            at["sweep"] = sweep = scan["sweep"] - scan["sweep"].min()
+            sweeps = int(sweep.max()) + 1
             t = scan["t"].astype(float)
-            low, high = np.full(count, np.inf), np.full(count, -np.inf)
+            low, high = np.full(sweeps, np.inf), np.full(sweeps, -np.inf)
             np.minimum.at(low, sweep, t)
             np.maximum.at(high, sweep, t)
             width = (high - low)[sweep]
-            x = np.where(width > 0, (2 * t - low[sweep] - high[sweep]) / np.where(width > 0, width, 1), 0.0)
-            for k in range(self.orders):
-                classes.append((first + sweep, numeric.legendre(k, x)))
-                first += count
+            at["x"] = np.where(width > 0, (2 * t - low[sweep] - high[sweep]) / np.where(width > 0, width, 1), 0.0)
         if self.azimuth_bins:
             az = scan["az"]
-            at = (az - az.min()) * self.azimuth_bins / ((az.max() - az.min()) or 1.0)
-            classes.append((first + np.minimum(self.azimuth_bins - 1, at.astype(int)), np.ones(n)))
-            first += self.azimuth_bins
+            at["az"] = np.minimum(self.azimuth_bins - 1, ((az - az.min()) * self.azimuth_bins / ((az.max() - az.min()) or 1.0)).astype(int))
         if self.harmonics:
-            at = ((scan["t"] - scan["t"].min()) // self.plate_length).astype(int)
-            count = int(at.max()) + 1
-            for k in range(1, self.harmonics + 1):
-                for wave in (np.cos, np.sin):
-                    classes.append((first + at, wave(k * scan["hwp_angle"])))
-                    first += count
-        return classes, first
+            at["plate"] = ((scan["t"] - scan["t"].min()) // self.plate_length).astype(int)
+            plates, at["hwp_angle"] = int(at["plate"].max()) + 1, scan["hwp_angle"]
+        return self.classes(at, sweeps, plates), self.bins(sweeps, plates)
+
+    def bins(self, sweeps: int, plates: int) -> int:
+        return self.orders * sweeps + self.azimuth_bins + 2 * self.harmonics * plates
+
+    def classes(self, at: dict[str, np.ndarray], sweeps: int, plates: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same for any of a block's samples, of which ``at`` has the sweep and the place in it (x), the azimuth's bin, the plate's bin and
+        angle. ``sweeps``, ``plates``: how many of each the block has."""
+        classes, first = [], 0
+        for k in range(self.orders):
+            classes.append((first + at["sweep"], numeric.legendre(k, at["x"])))
+            first += sweeps
+        if self.azimuth_bins:
+            classes.append((first + at["az"], np.ones(len(at["az"]))))
+            first += self.azimuth_bins
+        for k in range(1, self.harmonics + 1):
+            for wave in (np.cos, np.sin):
+                classes.append((first + at["plate"], wave(k * at["hwp_angle"])))
+                first += plates
+        return classes
+
+    def kinds(self) -> dict[str, str]:
+        """The columns of ``at`` and their types."""
+        return ({"sweep": "bigint", "x": "double"} if self.orders else {}) | ({"az": "bigint"} if self.azimuth_bins else {}) | ({"plate": "bigint", "hwp_angle": "double"} if self.harmonics else {})
+
+
+class TooMany(ValueError):
+    """More than the driver holds: a case for ``table_solver``."""
+
+
+def kernel_entries(classes: list, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a * bins + b) and values of T^T T of some samples."""
+    keys, values = [], []
+    for n, (a, w) in enumerate(classes):
+        for m, (b, v) in enumerate(classes[: n + 1]):
+            key, inverse = np.unique(a * bins + b, return_inverse=True)
+            value = np.bincount(inverse, w * v, len(key))
+            keys.append(key)
+            values.append(value)
+            if m < n:
+                keys.append(key % bins * bins + key // bins)
+                values.append(value)
+    keys, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    return keys, np.bincount(inverse, np.concatenate(values), len(keys))
+
+
+def _places(known: np.ndarray, pix: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(known, pix) if len(known) else np.zeros(len(pix), int)
+    return np.where((pix >= 0) & (at < len(known)), at, -1)
 
 
-def template_kernel(classes: list, bins: int, weight: float) -> np.ndarray:
-    k = np.zeros((bins, bins))
-    for a, w in classes:
-        for b, v in classes:
-            np.add.at(k, (a, b), weight * w * v)
-    return k
+def _array(b: pa.RecordBatch, r: int, column: str) -> np.ndarray:
+    return b[column][r].values.to_numpy(zero_copy_only=False)
 
 
-def _scan(size: int, columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    return {"t": np.arange(size), **{c: v.astype(int) if c == "sweep" else v for c, v in columns.items()}}
+def _expanded(how: Templates, b: pa.RecordBatch, r: int) -> tuple[list, int, int]:
+    """A chunk's classes, its block's first bin and number of bins."""
+    first, bins, sweeps, plates = (b[c][r].as_py() for c in ("first", "bins", "sweeps", "plates"))
+    return how.classes({c: _array(b, r, c) for c in how.kinds()}, sweeps, plates), first, bins
+
+
+def _template_values(b: pa.RecordBatch, r: int, sent, width: int) -> list[np.ndarray]:
+    """F v of a chunk's samples, without templates: of the data, or of each map sent."""
+    weight, place = b["weight"][r].as_py(), _array(b, r, "place")
+    if sent is None:
+        return [weight * _array(b, r, "d")]
+    w = [_array(b, r, c) for c in WEIGHTS]
+    return [weight * np.where(place >= 0, sum(w[s] * sent.value[3 * place + s, k] for s in range(3)), 0.0) for k in range(width)]
 
 
 class NormalOperator:
@@ -85,53 +138,156 @@ class NormalOperator:
         if templates is not None and bandwidth != 1:
             raise ValueError("templates need a bandwidth of 1")
         self.spark, self.bandwidth, self.templates, self.remove_mean = tod.sparkSession, bandwidth, templates, remove_mean and bandwidth > 1
+        self.sent: list[Broadcast] = []
         pixels = tod.filter("pix >= 0").select("pix").distinct()
         count = pixels.count()
         if count > DRIVER_PIXELS:
-            raise ValueError(f"{count} pixels are too many for vectors on the driver; use table_solver")
+            raise TooMany(f"{count} pixels are too many for vectors on the driver; use table_solver")
         self.pixels = np.sort(np.array(pixels.toArrow()["pix"].to_numpy(), np.int64))
-        self.rows = self._layout(tod, noise, value, chunk)
+        self.rows = self._layout(tod, noise, value, chunk) if templates is None else self._template_layout(tod, noise, value, chunk)
         self.cut = not self.rows.groupBy("block_id").count().filter("count > 1").isEmpty() if self.remove_mean else False
 
     def _layout(self, tod: DataFrame, noise: DataFrame, value: str, chunk: int) -> DataFrame:
         halo, places = self.bandwidth - 1, self.spark.sparkContext.broadcast(self.pixels)
-        extra = [c for c in ("sweep", "az", "hwp_angle") if self.templates is not None and c in tod.columns]
-        if self.templates is not None:
-            cells = F.array(F.lit(0))
-        else:
-            cells = F.sequence(F.greatest(F.lit(0), F.floor((F.col("t") - halo) / chunk)), F.floor((F.col("t") + halo) / chunk))
-        cut = tod.select("block_id", F.col("t").cast("long"), "pix", *(F.col(w).cast("double") for w in WEIGHTS), F.col(value).cast("double").alias("d"), *(F.col(c).cast("double") for c in extra), F.explode(cells.cast("array<bigint>")).alias("cell"))
-        kind, templates, whole = tod.schema["block_id"].dataType.simpleString(), self.templates, self.templates is not None
+        cells = F.sequence(F.greatest(F.lit(0), F.floor((F.col("t") - halo) / chunk)), F.floor((F.col("t") + halo) / chunk))
+        cut = tod.select("block_id", F.col("t").cast("long"), "pix", *(F.col(w).cast("double") for w in WEIGHTS), F.col(value).cast("double").alias("d"), F.explode(cells.cast("array<bigint>")).alias("cell"))
+        kind = tod.schema["block_id"].dataType.simpleString()
 
         def pack(table: pa.Table) -> pa.Table:
             table = table.sort_by("t")
-            t, cell, pix = table["t"].to_numpy(), table["cell"][0].as_py(), table["pix"].to_numpy()
+            t, cell = table["t"].to_numpy(), table["cell"][0].as_py()
             size = int(t[-1] - t[0]) + 1
-            known = places.value
-            at = np.searchsorted(known, pix) if len(known) else np.zeros(len(pix), int)
-            at = np.where((pix >= 0) & (at < len(known)), at, -1)
-            out = {"block_id": table["block_id"].slice(0, 1)}
-            low, high = (0, size) if whole else (max(0, cell * chunk - int(t[0])), min(size, (cell + 1) * chunk - int(t[0])))
-            out |= {"low": pa.array([low], pa.int64()), "high": pa.array([max(low, high)], pa.int64())}
-            for name in ("place", *WEIGHTS, "d", *extra):
+            at = _places(places.value, table["pix"].to_numpy())
+            low, high = max(0, cell * chunk - int(t[0])), min(size, (cell + 1) * chunk - int(t[0]))
+            out = {"block_id": table["block_id"].slice(0, 1), "low": pa.array([low], pa.int64()), "high": pa.array([max(low, high)], pa.int64())}
+            for name in ("place", *WEIGHTS, "d"):
                 full = np.full(size, -1.0) if name == "place" else np.zeros(size)
                 full[t - t[0]] = at if name == "place" else table[name].to_numpy()
                 out[name] = pa.array([full.astype(np.int64) if name == "place" else full], pa.list_(pa.int64() if name == "place" else pa.float64()))
-            if whole:  # once for all iterations; the block's weight takes no part, as it scales the kernel and what the kernel meets
-                scan = {c: out[c][0].values.to_numpy(zero_copy_only=False) for c in extra}
-                inverse, _ = numeric.pseudo_inverse(template_kernel(*templates.expand(_scan(size, scan)), 1.0))
-                out["kernel"] = pa.array([inverse.ravel()], pa.list_(pa.float64()))
             return pa.table(out)
 
-        schema = f"block_id {kind}, low long, high long, place array<bigint>, " + ", ".join(f"{c} array<double>" for c in (*WEIGHTS, "d", *extra, *["kernel"] * whole))
+        schema = f"block_id {kind}, low long, high long, place array<bigint>, " + ", ".join(f"{c} array<double>" for c in (*WEIGHTS, "d"))
         packed = cut.groupBy("block_id", "cell").applyInArrow(pack, schema)
         return written(packed.join(noise.select("block_id", F.col("t").alias("row")), "block_id", "left"), "layout")
 
+    def _template_layout(self, tod: DataFrame, noise: DataFrame, value: str, chunk: int) -> DataFrame:
+        """Chunks without overlap, of the samples that there are, each with its places on the templates of the whole block. ``first``: the
+        block's first bin among the bins of all blocks."""
+        how, places, kind = self.templates, self.spark.sparkContext.broadcast(self.pixels), tod.schema["block_id"].dataType.simpleString()
+        ends = [F.min("t").cast("long").alias("_t"), F.max("t").cast("long").alias("_tz")]
+        for name, kept, as_ in ((("sweep", how.orders, "long")), ("az", how.azimuth_bins, "double")):
+            ends += [F.min(name).cast(as_).alias(f"_{name}"), F.max(name).cast(as_).alias(f"_{name}z")] if kept else []
+        blocks = written(tod.groupBy("block_id").agg(*ends), "blocks")
+        told = blocks.orderBy("block_id").toArrow()
+        zero = np.zeros(told.num_rows, np.int64)
+        sweeps = told["_sweepz"].to_numpy() - told["_sweep"].to_numpy() + 1 if how.orders else zero
+        plates = (told["_tz"].to_numpy() - told["_t"].to_numpy()) // how.plate_length + 1 if how.harmonics else zero
+        bins = np.array([how.bins(*x) for x in zip(sweeps.tolist(), plates.tolist())], np.int64)
+        first = np.concatenate([[0], np.cumsum(bins)]).astype(np.int64)
+        told = pa.table({"block_id": told["block_id"], "first": first[:-1], "bins": bins, "sweeps": sweeps, "plates": plates})
+        rows = tod.join(F.broadcast(blocks.join(self.spark.createDataFrame(told), "block_id")), "block_id")  # one row a block
+        if how.orders:
+            bounds = tod.groupBy("block_id", "sweep").agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"))
+            rows = rows.join(bounds, ["block_id", "sweep"]).withColumn("x", long_templates.sweep_position(F.col("t"), F.col("_t0"), F.col("_t1"))).withColumn("sweep", F.col("sweep") - F.col("_sweep"))
+        if how.azimuth_bins:
+            rows = rows.withColumn("az", long_templates.azimuth_bin(F.col("az"), F.col("_az"), F.col("_azz"), how.azimuth_bins))
+        if how.harmonics:
+            rows = rows.withColumn("plate", F.floor((F.col("t") - F.col("_t")) / how.plate_length))
+        one, kinds = ("first", "bins", "sweeps", "plates"), {"place": "bigint"} | dict.fromkeys((*WEIGHTS, "d"), "double") | how.kinds()
+        cut = rows.select("block_id", "pix", *one, F.col(value).cast("double").alias("d"), *(F.col(c).cast(k) for c, k in kinds.items() if c not in ("place", "d")), F.floor(F.col("t") / chunk).alias("cell"))
+
+        def pack(table: pa.Table) -> pa.Table:
+            out = {c: table[c].slice(0, 1) for c in ("block_id", *one)}
+            for name in kinds:
+                own = _places(places.value, table["pix"].to_numpy()) if name == "place" else table[name].to_numpy()
+                out[name] = pa.array([own], pa.list_(pa.int64() if kinds[name] == "bigint" else pa.float64()))
+            return pa.table(out)
+
+        schema = f"block_id {kind}, first long, bins long, sweeps long, plates long, " + ", ".join(f"{c} array<{k}>" for c, k in kinds.items())
+        packed = cut.groupBy("block_id", "cell").applyInArrow(pack, schema)
+        weight = noise.select("block_id", F.col("t").getItem(0).cast("double").alias("weight"))
+        layout = written(packed.join(weight, "block_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))), "layout")
+
+        def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in range(b.num_rows):
+                    classes, first, bins = _expanded(how, b, r)
+                    keys, k = kernel_entries(classes, bins)
+                    yield pa.RecordBatch.from_arrays([pa.array(first + keys // bins), pa.array(first + keys % bins), pa.array(k)], ["a", "b", "k"])
+
+        # a block's weight takes no part: it scales the kernel and what the kernel meets
+        found = written(layout.mapInArrow(entries, "a long, b long, k double").groupBy("a", "b").agg(F.sum("k").alias("k")), "kernels")
+        if (count := found.count()) > DRIVER_ENTRIES:
+            raise TooMany(f"{count} entries of the templates' kernels are too many for the driver; use table_solver")
+        found = found.orderBy("a", "b").toArrow()
+        a, b, k = (found[c].to_numpy() for c in "abk")
+        self.kernels = []
+        for start, end in pairwise(first.tolist()):
+            own = slice(*np.searchsorted(a, [start, end]))
+            self.kernels.append((slice(start, end), numeric.Eliminated(a[own] - start, b[own] - start, k[own], end - start)))
+        return layout
+
+    def _fit(self, sent, width: int) -> np.ndarray:
+        """Amplitudes of all blocks' templates that fit F v best, a column a product."""
+        how, names = self.templates, [f"v{k}" for k in range(width)]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in range(b.num_rows):
+                    (classes, first, bins), v = _expanded(how, b, r), _template_values(b, r, sent, width)
+                    amp = np.stack([sum(np.bincount(at, w * x, bins) for at, w in classes) for x in v])
+                    met = np.unique(np.concatenate([at for at, _ in classes]))
+                    yield pa.RecordBatch.from_arrays([pa.array(first + met), *map(pa.array, amp[:, met])], ["bin", *names])
+
+        total = self.rows.mapInArrow(run, "bin long, " + ", ".join(f"{n} double" for n in names)).groupBy("bin").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+        amp = np.zeros((self.kernels[-1][0].stop if self.kernels else 0, width))
+        amp[total["bin"].to_numpy()] = np.stack([total[n].to_numpy() for n in names], 1)
+        for own, solve in self.kernels:
+            for k in range(width):
+                amp[own, k] = solve(amp[own, k])
+        return amp
+
+    def _template_job(self, vectors: np.ndarray | None) -> DataFrame:
+        """(place, sums): A^T F (v - T tau) chunk by chunk."""
+        sent = self._send(vectors) if vectors is not None else None
+        width, how = 1 if vectors is None else vectors.shape[1], self.templates
+        names, tau = [f"{s}{k}" for k in range(width) for s in "iqu"], self._send(self._fit(sent, width))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in range(b.num_rows):
+                    (classes, first, _), values, place = _expanded(how, b, r), _template_values(b, r, sent, width), _array(b, r, "place")
+                    seen = place >= 0
+                    at, inverse = np.unique(place[seen], return_inverse=True)
+                    weights, out = [_array(b, r, c)[seen] for c in WEIGHTS], []
+                    for k, v in enumerate(values):
+                        left = (v - sum(w * tau.value[first + bin_, k] for bin_, w in classes))[seen]
+                        out += [np.bincount(inverse, w * left, len(at)).astype(float) for w in weights]
+                    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *map(pa.array, out)], ["place", *names])
+
+        return self.rows.mapInArrow(run, "place long, " + ", ".join(f"{n} double" for n in names))
+
     def _job(self, vectors: np.ndarray | None) -> np.ndarray:
         """Sum over chunks of A^T F v, v being the data or A h. Columns of ``vectors``: one product each."""
-        sent = self.spark.sparkContext.broadcast(vectors) if vectors is not None else None
+        parts, width = (self._template_job if self.templates is not None else self._plain_job)(vectors), 1 if vectors is None else vectors.shape[1]
+        total = parts.groupBy("place").agg(*(F.sum(n).alias(n) for n in parts.columns[1:])).toArrow()
+        result, at = np.zeros((3 * len(self.pixels), width)), total["place"].to_numpy()
+        for k in range(width):
+            for s, c in enumerate("iqu"):
+                result[3 * at + s, k] = total[f"{c}{k}"].to_numpy()
+        while self.sent:
+            self.sent.pop().destroy()
+        return result
+
+    def _send(self, x: np.ndarray) -> Broadcast:
+        """A broadcast that goes when the job in hand is done."""
+        self.sent.append(self.spark.sparkContext.broadcast(x))
+        return self.sent[-1]
+
+    def _plain_job(self, vectors: np.ndarray | None) -> DataFrame:
+        sent = self._send(vectors) if vectors is not None else None
         means = self._means(vectors) if self.cut else None
-        width, narrow, templates, remove = 1 if vectors is None else vectors.shape[1], self.bandwidth == 1, self.templates, self.remove_mean
+        width, narrow, remove = 1 if vectors is None else vectors.shape[1], self.bandwidth == 1, self.remove_mean
         names = [f"{s}{k}" for k in range(width) for s in "iqu"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,28 +308,13 @@ class NormalOperator:
                             if remove:
                                 v = v - (v.mean() if means is None else means[b["block_id"][r].as_py(), k])
                             v = numeric.banded_product(row, v)
-                        if templates is not None:
-                            classes, bins = templates.expand(_scan(len(v), {c: get(c) for c in ("sweep", "az", "hwp_angle") if c in b.schema.names}))
-                            amp = np.zeros(bins)
-                            for bin_, tw in classes:
-                                amp += np.bincount(bin_, tw * v, bins)
-                            tau = get("kernel").reshape(bins, bins) @ amp
-                            v = v - sum(tw * tau[bin_] for bin_, tw in classes)
                         out += [np.bincount(inverse, w[s][low:high][seen] * v[low:high][seen], len(at)) for s in range(3)]
                     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(x.astype(float)) for x in out)], ["place", *names])
 
-        parts = self.rows.mapInArrow(run, "place long, " + ", ".join(f"{n} double" for n in names))
-        total = parts.groupBy("place").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
-        result, at = np.zeros((3 * len(self.pixels), width)), total["place"].to_numpy()
-        for k in range(width):
-            for s, c in enumerate("iqu"):
-                result[3 * at + s, k] = total[f"{c}{k}"].to_numpy()
-        if sent is not None:
-            sent.destroy()
-        return result
+        return self.rows.mapInArrow(run, "place long, " + ", ".join(f"{n} double" for n in names))
 
     def _means(self, vectors: np.ndarray | None) -> dict:
-        sent = self.spark.sparkContext.broadcast(vectors) if vectors is not None else None
+        sent = self._send(vectors) if vectors is not None else None
         width = 1 if vectors is None else vectors.shape[1]
         kind = self.rows.schema["block_id"].dataType.simpleString()
 

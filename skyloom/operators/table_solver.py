@@ -40,13 +40,13 @@ class TableOperator:
         if templates is not None:
             table = long_templates.expanded(tod, templates.orders, templates.azimuth_bins, templates.harmonics, templates.plate_length)
             self.table = written(table, "templates")
-            self.kernel = written(long_templates.inverted(long_templates.kernel(self.table)), "kernels")
+            self.kernel = written(long_templates.kernel(self.table), "kernels")
 
     def _product(self, frame: DataFrame, column: str) -> DataFrame:
         rows = frame.select("block_id", "t", F.col(column).cast("double").alias("_v"))
         y = toeplitz.weighted(rows, self.noise, "_v", self.bandwidth, "_y", self.remove_mean).select("block_id", F.col("t"), "_y")
         if self.table is not None:  # a block's weight scales its kernel and what the kernel meets alike
-            fit = long_templates.project(self.table, long_templates.amplitudes(self.kernel, long_templates.scatter(self.table, y, "_y")))
+            fit = long_templates.project(self.table, long_templates.fitted(self.kernel, long_templates.scatter(self.table, y, "_y")))
             y = y.join(fit.withColumnRenamed("y", "_fit"), ["block_id", "t"], "left").withColumn("_y", F.col("_y") - F.coalesce("_fit", F.lit(0.0))).drop("_fit")
         return written(pointing.scatter(self.tod.join(y, ["block_id", "t"]), "_y"), "vector")
 

@@ -82,10 +82,10 @@ def make_maps(config: Config, tod: DataFrame, noise: DataFrame | None = None, sc
     tod = written(tod, "samples")
     inverse = pixel_blocks.inverse(blocks, config.rcond_cut)
     found_templates = config.templates() if config.map_maker == "MT" else None
-    if tod.filter("pix >= 0").select("pix").distinct().count() > solver.DRIVER_PIXELS:
-        found, residuals = _on_tables(config, tod, noise, inverse, found_templates)
-    else:
+    try:
         found, residuals = _on_driver(config, tod, noise, inverse, found_templates)
+    except solver.TooMany:
+        found, residuals = _on_tables(config, tod, noise, inverse, found_templates)
     sky = found.join(pixel_blocks.kept(blocks, config.rcond_cut).select("pix", "hits", "rcond"), "pix")
     return Maps(sky, residuals, noise, removed)
 
@@ -104,9 +104,9 @@ def _on_driver(config: Config, tod: DataFrame, noise: DataFrame, inverse: DataFr
 
 
 def _on_tables(config: Config, tod: DataFrame, noise: DataFrame, inverse: DataFrame, templates: solver.Templates | None) -> tuple[DataFrame, list[float]]:
-    """Beyond the driver's pixels: plain CG, also with templates and with the a-priori second level."""
+    """Beyond the driver's pixels or template kernels: plain CG, also with templates and with the a-priori second level."""
     if config.solver or config.precond == 2:
-        raise ValueError(f"over {solver.DRIVER_PIXELS} observed pixels there is neither enlarged CG nor a Lanczos basis; use solver 0 with precond 0 or 1")
+        raise ValueError(f"over {solver.DRIVER_PIXELS} observed pixels or {solver.DRIVER_ENTRIES} entries of template kernels there is neither enlarged CG nor a Lanczos basis; use solver 0 with precond 0 or 1")
     operator = table_solver.TableOperator(tod, noise, config.bandwidth, templates=templates, remove_mean=config.remove_mean)
     precondition = table_solver.TableJacobi(written(inverse, "inverse"))
     if config.precond:

@@ -417,3 +417,32 @@ def test_fitted_amplitudes_of_many_templates(spark):
     left = rows.join(fit, ["block_id", "t"]).withColumn("left", F.col("d") - F.col("y"))
     told = templates.scatter(table, left, "left").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("amp")).alias("most")).first()
     assert told.n == 75 + 8000 + 12 and told.most < 1e-6
+
+
+def test_templates_of_a_block_in_chunks(spark, tmp_path, monkeypatch):
+    """A block with templates lies in several rows, lacks samples here and there, and gives the dense result; none holds its kernel whole."""
+    kept = [r for r in samples() if r[3] % 37 > 4]
+    rng, how = np.random.default_rng(15), solver.Templates(2, 5, 1, 130)
+    t, block = np.array([r[3] for r in kept]), np.array([r[2] for r in kept])
+    az, plate, sweep = np.sin(t / 9.0), t * 0.37, t // 65
+    columns = []
+    for b in range(BLOCKS):
+        own = np.flatnonzero(block == b)
+        classes, bins = how.expand({"t": t[own], "sweep": sweep[own], "az": az[own], "hwp_angle": plate[own]})
+        full = np.zeros((len(kept), bins))
+        for bin_, w in classes:
+            full[own, bin_] += w
+        columns.append(full)
+    m, a, x = np.concatenate(columns, 1), dense(kept), rng.normal(size=3 * PIX)
+    d = a @ x + m @ (5 * rng.normal(size=m.shape[1]))
+    scan = spark.createDataFrame([(r[0], r[3], int(s), float(z), float(p)) for r, s, z, p in zip(kept, sweep, az, plate)], "obs_id int, t long, sweep int, az double, hwp_angle double")
+    frame = tod(spark, kept, d, 0 * d).withColumn("value", F.col("signal")).join(scan, ["obs_id", "t"])
+    op = solver.NormalOperator(frame, noise_rows(spark, [2.0]), 1, templates=how, chunk=50)
+    assert op.rows.groupBy("block_id").count().agg(F.min("count")).first()[0] >= 5
+    assert all(f.dataType.simpleString() != "array<double>" or f.name != "kernel" for f in op.rows.schema)
+    f = 2 * (np.eye(len(kept)) - m @ np.linalg.pinv(m))
+    assert np.allclose(op.right_hand_side(), a.T @ f @ d, atol=1e-6)
+    assert np.allclose(op.apply(np.stack([x, -2 * x], 1)), a.T @ f @ a @ np.stack([x, -2 * x], 1), atol=1e-7)
+    monkeypatch.setattr(solver, "DRIVER_ENTRIES", 5)
+    with pytest.raises(solver.TooMany):
+        solver.NormalOperator(frame, noise_rows(spark, [2.0]), 1, templates=how)
