@@ -20,6 +20,8 @@ from operator import mul
 
 #: Characters up to U+017F by Unicode class; \u0130 (its lower case is two characters) is left out.
 CLASSES = {r"\p{L}": "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f", r"\p{N}": "0-9\xb2\xb3\xb9\xbc-\xbe"}
+#: Patterns without anything that matches white space or looks at what stands beside a match.
+SPACE_BLIND = re.compile(r"(?:[a-zA-Z'|+]|\\p\{[LN]\}|\[(?:\\p\{[LN]\})+\]|\[\^\\s(?:\\p\{[LN]\})*\])+")
 NOT_PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u017f]")
 #: The byte of a character in byte-level vocabularies; printable ones stand for themselves, others for U+0100 and up.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -79,8 +81,8 @@ class Encoder:
             raise ValueError("added tokens that depend on what stands beside them aren't supported")
         self.special = {a["content"]: a["id"] for a in told["added_tokens"]}
         self.cut = re.compile("|".join(f"({re.escape(t)})" for t in sorted(self.special, key=len, reverse=True)) or "(?!)")
-        self.steps = self._plain_steps(told["normalizer"])
         pattern = self._pattern(told["pre_tokenizer"])
+        self.steps = self._plain_steps(told["normalizer"], pattern is not None and SPACE_BLIND.fullmatch(pattern) is not None)
         self.split = None if pattern is None or self.steps is None else plain_split(pattern).findall
         merge = self.library.model.tokenize
         self.ids = Table(lambda t: array("I", [p.id for p in merge(byte_chars(t))]).tobytes(), limit)
@@ -102,10 +104,15 @@ class Encoder:
         return None
 
     @staticmethod
-    def _plain_steps(told: dict | None) -> list | None:
-        """What the normalizer does to plain characters, as functions; None for kinds that aren't known here."""
+    def _plain_steps(told: dict | None, space_blind: bool = False) -> list | None:
+        """What the normalizer does to plain characters, as functions; None for kinds that aren't known here. ``space_blind``: the split
+        takes runs of white space as it takes a single one, so what shortens them isn't needed."""
+        steps = [] if told is None else told["normalizers"] if told["type"] == "Sequence" else [told]
+        shortens = lambda s: s["type"] == "Replace" and s["pattern"] == {"Regex": r"\s+"} and s["content"] == " "
+        if space_blind and all(s["type"] in ("Lowercase", "NFC") or shortens(s) for s in steps):
+            steps = [s for s in steps if not shortens(s)]
         known = []
-        for step in [] if told is None else told["normalizers"] if told["type"] == "Sequence" else [told]:
+        for step in steps:
             if step["type"] == "Lowercase":
                 known.append(str.lower)
             elif step["type"] == "Replace" and "Regex" in step["pattern"] and "\\p" not in step["pattern"]["Regex"]:
@@ -124,17 +131,20 @@ class Encoder:
             text = self.library.normalizer.normalize_str(text)
         return [p.translate(CHAR_BYTES).encode("latin-1").decode() for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
+    def has_special(self, text: str) -> bool:
+        return any(s in text for s in self.special)
+
     def encode(self, text: str) -> bytes:
         """Ids of the text as little-endian unsigned 32-bit integers."""
         self.ids.turn()
-        if self.cut.search(text) is None:
+        if not self.has_special(text):
             return b"".join(map(self.ids.__getitem__, self.pretokens(text)))
         parts = [p for p in self.cut.split(text) if p]
         return b"".join(array("I", [self.special[p]]).tobytes() if p in self.special else b"".join(map(self.ids.__getitem__, self.pretokens(p))) for p in parts)
 
     def frequencies(self, text: str) -> tuple[Counter, int]:
         """The text's pre-tokens, each with its frequency, and the number of special strings."""
-        if self.cut.search(text) is None:
+        if not self.has_special(text):
             return Counter(self.pretokens(text)), 0
         parts = [p for p in self.cut.split(text) if p]
         found: Counter = Counter()

@@ -1,4 +1,5 @@
 import zlib
+from array import array
 
 import hashlib
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from skyloom.llm import bytebpe, counts, eliasfano, packing
-from skyloom.llm.pretokens import Encoder
+from skyloom.llm.pretokens import SPACE_BLIND, Encoder
 from tests.llm.data import frame, texts
 
 BYTE, WORD, RANKS = (P.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"))
@@ -240,3 +241,13 @@ def test_file_rows_come_from_samples(monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(eliasfano.EliasFano, "decode", None)
             assert list(f.rows()) == list(zip(names, ends, ends[1:]))
+
+
+def test_plain_texts_need_no_step_for_white_space():
+    """The word file's split takes white space of any length alike, so texts aren't rewritten first; ids are the library's."""
+    own = Encoder(WORD)
+    assert own.steps == [str.lower]
+    for text in ("a  b\t\tC\r\n\n d", " 's  'S\n'll", "x<|endoftext|>  <|endoftext|\t>", "\t", "", "1  2\n3 é  É", "a\xa0 b  c"):
+        assert list(array("I", own.encode(text))) == own.library.encode(text, add_special_tokens=False).ids
+    for pattern in (r"\s+|[\p{L}]+", r"[^\p{L}]+", r"[\p{L}]+(?=\s)", r"[\p{L}]+ ", "."):
+        assert SPACE_BLIND.fullmatch(pattern) is None
