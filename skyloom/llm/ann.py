@@ -140,36 +140,39 @@ class Graph:
         self.entries = np.unique(np.linspace(0, len(centroids) - 1, min(64, len(centroids))).astype(int))
 
     def search(self, x: np.ndarray, beam: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and squared distances of the nearest centroids found, nearest first."""
+        """Ids and squared distances of the nearest centroids found, nearest first. A round goes on from the ``wide`` nearest, or an eighth of the beam."""
         rows, beam = np.arange(len(x))[:, None], min(beam, len(self.c))
-        seen = np.zeros((len(x), len(self.c)), bool)
+        wide = max(wide, beam // 8)
+        seen, met = np.zeros((len(x), len(self.c)), bool), np.empty((len(x), len(self.c)), np.int32)
         seen[:, self.entries] = True
         ids = np.broadcast_to(self.entries, (len(x), len(self.entries)))
         dist = _squares(x, self.c[self.entries])
         fresh = np.ones(dist.shape, bool)
         norm = (self.c * self.c).sum(1)
-        own = (x * x).sum(1)[:, None]
+        own = (x * x).sum(1)
         while True:
-            keep = np.argsort(dist, 1, kind="stable")[:, :beam]
-            ids, dist, fresh = ids[rows, keep], dist[rows, keep], fresh[rows, keep]
+            if dist.shape[1] > beam:
+                keep = np.argpartition(dist, beam - 1, 1)[:, :beam]
+                ids, dist, fresh = ids[rows, keep], dist[rows, keep], fresh[rows, keep]
             if not fresh.any():
-                return ids, dist
-            pick = np.argsort(np.where(fresh, dist, np.inf), 1, kind="stable")[:, :wide]
+                order = np.argsort(dist, 1, kind="stable")
+                return ids[rows, order], dist[rows, order]
+            some = min(wide, int(fresh.sum(1).max()))
+            pick = np.argpartition(np.where(fresh, dist, np.inf), some - 1, 1)[:, :some]
             live = fresh[rows, pick]
             fresh[rows, pick] = False
             new = self.edges[ids[rows, pick]].reshape(len(x), -1)
-            open_ = np.repeat(live, self.edges.shape[1], 1) & ~seen[rows, new] & np.isfinite(dist[rows, pick]).repeat(self.edges.shape[1], 1)
-            name = np.where(open_, new, -1)
-            order = np.argsort(name, 1, kind="stable")
-            again = np.zeros(new.shape, bool)
-            sorted_ = name[rows, order]
-            again[rows, order[:, 1:]] = sorted_[:, 1:] == sorted_[:, :-1]
-            first_only = open_ & ~again
-            at, column = np.nonzero(first_only)
-            seen[at, new[at, column]] = True
-            far = np.maximum(own - 2 * np.einsum("id,ijd->ij", x, self.c[new]) + norm[new], 0)
-            far = np.where(first_only, far, np.inf)
-            ids, dist, fresh = np.concatenate([ids, new], 1), np.concatenate([dist, far], 1), np.concatenate([fresh, first_only], 1)
+            at, column = np.nonzero(np.repeat(live, self.edges.shape[1], 1) & ~seen[rows, new])
+            name = new[at, column]
+            met[at, name] = column  # of equals one stays
+            once = met[at, name] == column
+            at, name = at[once], name[once]
+            seen[at, name] = True
+            count = np.bincount(at, minlength=len(x))
+            place = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+            more, far = np.zeros((len(x), int(count.max())), int), np.full((len(x), int(count.max())), np.inf, dist.dtype)
+            more[at, place], far[at, place] = name, np.maximum(own[at] - 2 * np.einsum("nd,nd->n", x[at], self.c[name]) + norm[name], 0)
+            ids, dist, fresh = np.concatenate([ids, more], 1), np.concatenate([dist, far], 1), np.concatenate([fresh, np.isfinite(far)], 1)
 
 
 _graphs: dict[bytes, Graph] = {}
@@ -265,8 +268,21 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, vector: str = "emb
     left = lists.join(cuts, "bucket").select("bucket", F.pmod(F.xxhash64("id"), "nv").cast("int").alias("bv"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("bq"), "list", "id", "v")
     right = asked.join(cuts, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)).alias("bv"), F.pmod(F.xxhash64("id"), "nq").cast("int").alias("bq"), "id", "v", "lists")
 
+    def nearest_of(out: list, bound: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, vector, score) of those that can be among a query's k nearest, as each stands COPIES times at most. ``bound``: gets the least
+        score that can."""
+        i, j, score = (np.concatenate(x) for x in zip(*out))
+        order = np.lexsort((-score, i))
+        i, j, score = i[order], j[order], score[order]
+        first, past = np.searchsorted(i, i, "left"), np.searchsorted(i, i, "right")
+        last = np.minimum(first + COPIES * (k + 1), past) - 1
+        full = past - first >= COPIES * (k + 1)
+        bound[i[full]] = score[last[full]]
+        near = score >= score[last] - slack
+        return i[near], j[near], score[near]
+
     def best(found: pa.Table, wanted: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        i, j, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         vid = qid = np.empty(0, np.int64)
         if found.num_rows and wanted.num_rows:
             found = found.sort_by("list")
@@ -277,6 +293,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, vector: str = "emb
             who = np.repeat(np.arange(len(qs)), told.value_lengths().to_numpy())
             order = np.argsort(asks, kind="stable")
             asks, who = asks[order], who[order]
+            slack = 1e-9 * max(1.0, float(np.sqrt((qs * qs).sum(1).max() * (vs.astype(np.float64) ** 2).sum(1).max())))  # sums in another order may differ a little
+            bound, out, held, room = np.full(len(qs), -np.inf), [], 0, max(1 << 16, 4 * COPIES * (k + 1) * len(qs))
             for name in np.unique(of_list):
                 a, z = np.searchsorted(of_list, [name, name + 1])
                 ours, own = who[slice(*np.searchsorted(asks, [name, name + 1]))], vs[a:z].astype(np.float64)
@@ -284,17 +302,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, vector: str = "emb
                     rows = ours[at : at + 256]
                     score = qs[rows] @ own.T
                     score[qid[rows][:, None] == vid[a:z]] = -np.inf
-                    far = max(1.0, np.abs(score, where=np.isfinite(score), out=np.zeros_like(score)).max())
-                    kth = np.partition(score, -k, 1)[:, -k] if z - a > k else np.full(len(score), -np.inf)
-                    i, j = np.nonzero((score >= kth[:, None] - 1e-9 * far) & np.isfinite(score))
+                    i, j = np.nonzero((score >= bound[rows][:, None] - slack) & np.isfinite(score))
                     out.append((rows[i], a + j, score[i, j]))
-        i, j, score = (np.concatenate(x) for x in zip(*out))
-        order = np.lexsort((vid[j], -score, i))
-        i, j, score = i[order], j[order], score[order]
-        if len(i):  # no other can be among the k nearest, each COPIES times at most; sums in another order may differ a little
-            last = np.minimum(np.searchsorted(i, i, "left") + COPIES * (k + 1), np.searchsorted(i, i, "right")) - 1
-            near = score >= score[last] - 1e-9 * max(1.0, np.abs(score).max())
-            i, j = i[near], j[near]
+                    if (held := held + len(i)) > room:
+                        out, held = [nearest_of(out, bound, slack)], 0
+            i, j, score = nearest_of(out, bound, slack) if out else (i, j, score)
         exact = np.einsum("ij,ij->i", qs[i], vs[j].astype(np.float64)) if len(i) else np.empty(0)
         _, once = np.unique(np.stack([i, vid[j]], 1), axis=0, return_index=True) if len(i) else (None, np.empty(0, int))
         i, j, exact = i[once], j[once], exact[once]

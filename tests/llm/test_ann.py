@@ -83,3 +83,27 @@ def test_many_copies_and_few_rows(spark):
     assert run(spark, [(0, [1.0]), (1, [2.0])]).count() == 1
     assert run(spark, [(0, [1.0])]).count() == 0
     assert run(spark, [(0, None)]).count() == 0
+
+
+def test_wide_beams_take_few_rounds():
+    """A search for half of the centroids goes on from an eighth of its beam at a time, and finds the nearest."""
+    rng = np.random.default_rng(4)
+    graph = ann.Graph(rng.normal(size=(800, 16)).astype(np.float32))
+
+    class Counted(np.ndarray):
+        rounds = 0
+
+        def __getitem__(self, at):
+            Counted.rounds += 1
+            return np.asarray(super().__getitem__(at))
+
+    graph.edges = graph.edges.view(Counted)
+    x = rng.normal(size=(50, 16)).astype(np.float32)
+    for beam, least in ((400, 0.99), (32, 0.9)):
+        ids, dist = graph.search(x, beam)
+        far = ann._squares(x, graph.c)
+        want = np.argsort(far, 1, kind="stable")[:, :beam]
+        assert np.allclose(dist, np.take_along_axis(far, ids, 1), atol=1e-4) and (np.diff(dist, axis=1) >= 0).all()
+        assert all(len(set(own)) == beam for own in ids.tolist())
+        assert np.mean([np.isin(w, i).mean() for w, i in zip(want, ids)]) >= least
+    assert Counted.rounds <= 50
