@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyloom.llm import ann, bytebpe, counts, eliasfano, jaccard, packing, quality, secrets, sharding, urlfilter
+from skyloom.llm import ann, bytebpe, counts, eliasfano, jaccard, packing, pq, quality, secrets, sharding, trie, urlfilter, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,5 +92,69 @@ def op10_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_mcd_quality, op2_elias_fano, op3_entropy_secrets, op4_token_counts, op5_best_fit_packing, op6_temporal_lists, op7_sharding, op8_ngram_jaccard, op9_byte_bpe, op10_posting_lists)}
-ORACLE: dict[str, str] = {"op6_temporal_lists": OP6_SQL}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.with_label_errors(pq.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def _op11_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} AS MATERIALIZED (SELECT r, p, min(d * 256 + e) % 256 AS e, min(d * 256 + e) // 256 AS d
+  FROM (SELECT r, x.p, e, CAST(sum((v - c) * (v - c)) AS BIGINT) AS d FROM x JOIN book{k} b ON x.p = b.p AND x.i = b.i GROUP BY 1, 2, 3) GROUP BY 1, 2)""")
+        if k < rounds:
+            steps.append(f"""book{k + 1} AS MATERIALIZED (SELECT b.p, b.e, b.i, coalesce(CAST((s - ((s % n) + n) % n) // n AS BIGINT), c) AS c FROM book{k} b
+  LEFT JOIN (SELECT p, e, i, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM near{k} JOIN x USING (r, p) GROUP BY 1, 2, 3) USING (p, e, i))""")
+    return f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, q) - 1 AS r, * FROM (
+  SELECT vec_id, label, list_transform(embedding, lambda y: CAST(floor(1024 * CAST(y AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0)),
+x AS MATERIALIZED (SELECT r, k * {parts} // len(q) AS p, k % (len(q) // {parts}) AS i, q[k + 1] AS v FROM (SELECT r, q, unnest(range(len(q))) AS k FROM kept)),
+book0 AS MATERIALIZED (SELECT p, r AS e, i, v AS c FROM x WHERE r < {entries}),
+{", ".join(steps)},
+told AS (SELECT r, string_agg(printf('%02x', CAST(e AS INT)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, e, i)) FROM book{rounds}) AS codebooks_sha256 FROM kept JOIN told USING (r)"""
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+OP12_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, html, strlen(html) AS payload_bytes, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+r AS (SELECT *, payload_bytes >= 100 AND first IS NOT NULL AND (page_id IS NULL OR page_id > first) AS again FROM q)
+SELECT page_id, payload_bytes, sha256(html) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM r
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(trie.rebuilt(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+_STEP = "CASE WHEN {0} % 2 = 1 THEN xor({0} // 2, 3988292384) ELSE {0} // 2 END"  # one bit of the checksum
+OP13_SQL = f"""
+WITH bits AS (SELECT c, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda z: CAST(0 AS BIGINT))), lambda u, z: {_STEP.format("u")})) AS state
+  FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL)),
+heads AS (SELECT c, xor(state, 4294967295) % 4 AS h FROM bits),
+turns AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+  ORDER BY turn NULLS FIRST, from_hex(sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')))) AS k FROM conversations),
+built AS (SELECT h.c, t.k, t.role, t.text FROM heads h JOIN turns t ON t.c = h.c - h.c % 20 AND t.k <= h.h UNION ALL
+  SELECT h.c, h.h + t.k, t.role, t.text FROM heads h JOIN turns t ON t.c = h.c AND t.k > h.h),
+seqs AS (SELECT h.c, coalesce(list(sha256(strlen(b.role) || ':' || b.role || b.text) ORDER BY b.k) FILTER (b.k IS NOT NULL), []) AS s, coalesce(list(len(regexp_extract_all(b.text, '[^\x20\x09-\x0D]+')) ORDER BY b.k) FILTER (b.k IS NOT NULL), []) AS w
+  FROM heads h LEFT JOIN built b USING (c) GROUP BY 1),
+prefixes AS (SELECT c, d, s[1:d] AS pre, w[d] AS words, len(s) = d AS whole FROM (SELECT c, s, w, unnest(range(len(s) + 1)) AS d FROM seqs)),
+node AS (SELECT d, pre, min(c) AS conv_id, count(*) AS n, coalesce(any_value(words), 0) AS words, coalesce(string_agg(CASE WHEN whole THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '') AS ends FROM prefixes GROUP BY 1, 2),
+kids AS (SELECT pre[1:d - 1] AS pre, count(*) AS kids FROM node WHERE d > 0 GROUP BY 1),
+full_ AS (SELECT node.*, coalesce(kids, 0) AS kids FROM node LEFT JOIN kids USING (pre)),
+below AS (SELECT pre, sum(saved) AS saved, sum(leaf) AS leaves FROM (SELECT pre[1:unnest(range(d + 1))] AS pre, (n - 1) * words AS saved, CASE WHEN kids = 0 THEN 1 ELSE 0 END AS leaf FROM full_) GROUP BY 1)
+SELECT f.conv_id, f.d AS depth, up.conv_id AS parent_conv_id, f.n AS n_convs, f.kids AS n_children, CAST(b.leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_ f JOIN below b USING (pre) LEFT JOIN node up ON f.d > 0 AND up.pre = f.pre[1:f.d - 1]
+"""
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_mcd_quality, op2_elias_fano, op3_entropy_secrets, op4_token_counts, op5_best_fit_packing, op6_temporal_lists, op7_sharding, op8_ngram_jaccard, op9_byte_bpe, op10_posting_lists, op11_vector_codes, op12_warc,
+    op13_prefix_trie,
+)}
+ORACLE: dict[str, str] = {"op6_temporal_lists": OP6_SQL, "op11_vector_codes": _op11_sql(), "op12_warc": OP12_SQL, "op13_prefix_trie": OP13_SQL}
