@@ -32,7 +32,7 @@ from skyloom.llm.rowwise import spread
 from skyloom.sources.staging import discard_table, written
 
 SCALE = 1024
-#: Entries that one step of a scan looks at.
+#: Entries that the first step of a scan looks at; each later one takes twice as many.
 STEP = 16
 #: Tasks that the rows of one label are dealt to when they meet the label's sum.
 SALT = 16
@@ -51,20 +51,22 @@ class Codebook:
         """(index, squared distance) of the entry nearest to each row of ``x``; ``start``: an entry to begin at."""
         at, best = start.astype(np.int64), ((x - self.entries[start]) ** 2).sum(1)
         by = np.argsort(start, kind="stable")
+        y = self.entries
+        if exact(x, y):
+            x, y = x.astype(float), y.astype(float)
+        parts = x, (x * x).sum(1), y, (y * y).sum(1)
         for rows in np.split(by, np.flatnonzero(np.diff(start[by])) + 1):
             if len(rows):
-                at[rows], best[rows] = self._scan(x[rows], int(start[rows[0]]), best[rows])
+                at[rows], best[rows] = self._scan(parts, rows, int(start[rows[0]]), best[rows])
         return at, best
 
-    def _scan(self, x: np.ndarray, a: int, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order, gap, best, at = self.order[a], self.gap[a], u.copy(), np.full(len(x), a)
-        reach = np.searchsorted(gap, 4 * u, "right")
-        for low in range(0, len(order), STEP):
-            live = np.flatnonzero(reach > low)
-            if not len(live):
-                break
-            near = order[low : low + STEP]
-            d = squared(x[live], self.entries[near])
+    def _scan(self, parts: tuple, rows: np.ndarray, a: int, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order, gap, best, at = self.order[a], self.gap[a], u.copy(), np.full(len(rows), a)
+        reach, low, step = np.searchsorted(gap, 4 * u, "right"), 0, STEP
+        while len(live := np.flatnonzero(reach > low)):
+            near = order[low : low + step]
+            low, step = low + step, 2 * step
+            d = self._distances(parts, rows[live], near)
             least = d.min(1)
             index = np.where(d == least[:, None], near, len(order)).min(1)
             better = (least < best[live]) | ((least == best[live]) & (index < at[live]))
@@ -75,11 +77,21 @@ class Codebook:
             reach[won] = np.minimum(reach[won], np.searchsorted(gap, radius, "right"))
         return at, best
 
+    @staticmethod
+    def _distances(parts: tuple, rows: np.ndarray, near: np.ndarray) -> np.ndarray:
+        x, xx, y, yy = parts
+        return xx[rows, None] + yy[near] - 2 * (x[rows] @ y[near].T)
 
-def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Exact squared distances of all rows of x and y, in floating point where that is exact."""
+
+def exact(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether floating point holds every squared distance of rows of x and y, and what it is made of."""
     top = 2 * max(int(np.abs(x).max(initial=0)), int(np.abs(y).max(initial=0)))
-    if x.shape[1] * top * top < 1 << 53:
+    return x.shape[1] * top * top < 1 << 53
+
+
+def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Exact squared distances of all rows of x and y."""
+    if exact(x, y):
         x, y = x.astype(float), y.astype(float)
     return ((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * (x @ y.T)).astype(np.int64)
 

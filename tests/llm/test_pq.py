@@ -74,7 +74,8 @@ def test_exponion_looks_at_few_entries(monkeypatch):
     entries = rng.integers(-100_000, 100_000, (256, 4))
     near = rng.integers(0, 256, 2000)
     x, book, seen = entries[near] + rng.integers(-300, 300, (2000, 4)), pq.Codebook(entries), []
-    monkeypatch.setattr(pq, "squared", lambda a, b, f=pq.squared: seen.append(len(a) * len(b)) or f(a, b))
+    own = pq.Codebook._distances
+    monkeypatch.setattr(pq.Codebook, "_distances", staticmethod(lambda parts, rows, near: seen.append(len(rows) * len(near)) or own(parts, rows, near)))
     assert (book.nearest(x, near.astype(np.uint8))[0] == ((x[:, None] - entries[None]) ** 2).sum(2).argmin(1)).all()
     assert sum(seen) <= 2 * pq.STEP * len(x)
 
