@@ -5,41 +5,73 @@ from __future__ import annotations
 import numpy as np
 
 
-def block_size(lam: int, n: int) -> int:
-    """FFT length: the next power of two of four bandwidths, unless the data are shorter."""
+def block_size(lam: int, n: int, rule: str = "band") -> int:
+    """FFT length of overlap-save. ``band``: the next power of two of four bandwidths, unless the data are shorter; ``fixed``: 2^14 or, for wide
+    bands, twice their width rounded up; ``cost``: the power of two with the least work a sample, n log n over the samples that one transform
+    finishes."""
+    least = 1 << max(2, (2 * lam - 1).bit_length())
+    if rule == "fixed":
+        return max(1 << 14, least)
+    if rule == "cost":
+        sizes = [least << k for k in range(8) if k == 0 or least << k - 1 < n]
+        return min(sizes, key=lambda size: size * np.log2(size) * -(-n // (size - 2 * (lam - 1))))
     size = 1 << max(2, (4 * lam - 1).bit_length())
     return size if size <= n else 4 * lam
 
 
-def banded_product(t: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Symmetric Toeplitz matrix with first row ``t`` (zero beyond) times v, by overlap-save FFT."""
-    n, lam = len(v), min(len(t), len(v))
+def product_method(lam: int, n: int, columns: int = 1) -> str:
+    """Which product costs least: ``direct`` (n lam), ``fft`` (overlap-save) or ``full`` (one transform of the whole, for short data)."""
+    size = block_size(lam, n, "cost")
+    whole = 1 << max(2, (n + lam - 2).bit_length())
+    # a direct term is one pass over the data; a transform's unit of work is about as dear as three of them, and its row is transformed too
+    fft = lambda length, count: 3 * (count * columns * 2 + 1) * length * np.log2(length)
+    costs = {"direct": 2 * columns * n * lam, "fft": fft(size, -(-n // max(1, size - 2 * (lam - 1)))), "full": fft(whole, 1)}
+    return min(costs, key=costs.get)
+
+
+def banded_product(t: np.ndarray, v: np.ndarray, method: str = "auto", size: int | None = None) -> np.ndarray:
+    """Symmetric Toeplitz matrix with first row ``t`` (zero beyond) times v, along v's last axis. ``method``: direct, fft, full or auto;
+    ``size``: of the transforms of fft."""
+    v = np.asarray(v, float)
+    n, lam = v.shape[-1], min(len(t), v.shape[-1])
     if n == 0:
-        return np.zeros(0)
+        return np.zeros(v.shape)
     t = np.asarray(t, float)[:lam]
-    if lam <= 16:
+    method = product_method(lam, n, v.size // n) if method == "auto" else method
+    if method == "direct":
         return direct_product(t, v)
-    size = max(block_size(lam, n + 2 * (lam - 1)), 2 * lam)
+    if method == "full":
+        size = 1 << max(2, (n + lam - 2).bit_length())
+        return np.fft.irfft(np.fft.rfft(v, size) * np.fft.rfft(_column(t, size)), size)[..., :n]
+    if method != "fft":
+        raise ValueError(f"no product method {method}")
+    size = block_size(lam, n + 2 * (lam - 1), "cost") if size is None else size
+    if size < 2 * lam:
+        raise ValueError(f"transforms of {size} are too short for a band of {lam}")
     step = size - 2 * (lam - 1)
-    column = np.zeros(size)
-    column[:lam] = t
-    column[size - lam + 1 :] = t[:0:-1]
-    spectrum = np.fft.rfft(column)
     count = -(-n // step)
-    padded = np.zeros((count - 1) * step + size)
-    padded[lam - 1 : lam - 1 + n] = v
-    windows = np.lib.stride_tricks.sliding_window_view(padded, size)[::step][:count]
-    out = np.fft.irfft(np.fft.rfft(windows, axis=1) * spectrum, size, axis=1)
-    return out[:, lam - 1 : lam - 1 + step].ravel()[:n]
+    padded = np.zeros((*v.shape[:-1], (count - 1) * step + size))
+    padded[..., lam - 1 : lam - 1 + n] = v
+    windows = np.lib.stride_tricks.sliding_window_view(padded, size, axis=-1)[..., ::step, :][..., :count, :]
+    out = np.fft.irfft(np.fft.rfft(windows) * np.fft.rfft(_column(t, size)), size)
+    return out[..., lam - 1 : lam - 1 + step].reshape(*v.shape[:-1], -1)[..., :n]
+
+
+def _column(t: np.ndarray, size: int) -> np.ndarray:
+    """First column of the circulant of that size which has the band."""
+    column = np.zeros(size)
+    column[: len(t)] = t
+    column[size - len(t) + 1 :] = t[:0:-1]
+    return column
 
 
 def direct_product(t: np.ndarray, v: np.ndarray) -> np.ndarray:
     """The same, term by term: for narrow bands."""
     v = np.asarray(v, float)
-    out = t[0] * v if len(t) else np.zeros(len(v))
-    for k in range(1, min(len(t), len(v))):
-        out[k:] += t[k] * v[:-k]
-        out[:-k] += t[k] * v[k:]
+    out = t[0] * v if len(t) else np.zeros(v.shape)
+    for k in range(1, min(len(t), v.shape[-1])):
+        out[..., k:] += t[k] * v[..., :-k]
+        out[..., :-k] += t[k] * v[..., k:]
     return out
 
 
@@ -180,138 +212,3 @@ def pseudo_inverse(k: np.ndarray, rcond: float = 1e-12) -> tuple[np.ndarray, int
     u, s, vt = np.linalg.svd(k, hermitian=True)
     ok = s > rcond * (s[0] if len(s) else 0)
     return (vt[ok].T / s[ok]) @ u[:, ok].T, int(ok.sum())
-
-
-class Eliminated:
-    """Least-squares solutions of K x = a for a sparse symmetric positive semidefinite K of entries (i, j, k), both triangles, by elimination.
-
-    K is scaled to a unit diagonal.  Rows with far more entries than the others come last, as a dense border; the rest falls into
-    connected parts, small ones dense and of one size together, large ones in levels of a breadth-first search, each next to two others alone.
-    So memory and time go with the entries, not with the square or cube of the rows.  What is singular is left out
-    (generalised Schur complements): for ``a`` in the range of K, K x = a; where x is not unique, it needn't be the shortest."""
-
-    SMALL, DENSE, RCOND = 64, 64, 1e-11
-
-    def __init__(self, i: np.ndarray, j: np.ndarray, k: np.ndarray, n: int):
-        diagonal = np.bincount(i, np.where(i == j, k, 0.0), n)
-        self.scale = np.where(diagonal > 0, 1 / np.sqrt(np.where(diagonal > 0, diagonal, 1)), 0.0)
-        self.i, self.j, self.k, self.n = i, j, k * self.scale[i] * self.scale[j], n
-        degree = np.bincount(i, minlength=n)
-        heavy = degree > max(self.DENSE, 4 * np.median(degree)) if n else np.zeros(0, bool)
-        self.border, place = np.flatnonzero(heavy), np.cumsum(heavy) - 1
-        inner = ~heavy[i] & ~heavy[j]
-        to = ~heavy[i] & heavy[j]
-        self.g = np.zeros((n, len(self.border)))  # what border columns hold of each row once earlier rows are eliminated
-        self.g[i[to], place[j[to]]] = self.k[to]
-        both = heavy[i] & heavy[j]
-        schur = np.zeros((len(self.border),) * 2)
-        schur[place[i[both]], place[j[both]]] = self.k[both]
-        self._parts(heavy, i[inner], j[inner], self.k[inner])
-        for at, p in self.small:
-            g = self.g[at]
-            schur -= np.einsum("msb,msc->bc", g, p @ g)
-        for levels in self.chains:
-            for n_, (at, p, back) in enumerate(levels):
-                if n_:
-                    self.g[at] -= back @ (levels[n_ - 1][1] @ self.g[levels[n_ - 1][0]])
-                schur -= self.g[at].T @ (p @ self.g[at])
-        self.schur = self._inverse(schur[None])[0]
-
-    @classmethod
-    def _inverse(cls, k: np.ndarray) -> np.ndarray:
-        value, vector = np.linalg.eigh((k + k.swapaxes(1, 2)) / 2)
-        ok = value > cls.RCOND * max(1, k.shape[1])
-        return np.einsum("mab,mb,mcb->mac", vector, np.where(ok, 1 / np.where(ok, value, 1), 0.0), vector)
-
-    def _parts(self, heavy: np.ndarray, i: np.ndarray, j: np.ndarray, k: np.ndarray) -> None:
-        part = np.arange(self.n)
-        while True:  # the least row that each is connected with
-            least = part.copy()
-            np.minimum.at(least, part[i], part[j])
-            while (least != (least := least[least])).any():
-                pass
-            if (least == part).all():
-                break
-            part = least[part]
-        rows = np.flatnonzero(~heavy)
-        rows = rows[np.argsort(part[rows], kind="stable")]
-        _, first, size = np.unique(part[rows], return_index=True, return_counts=True)
-        of, within = np.full(self.n, -1), np.zeros(self.n, int)
-        of[rows], within[rows] = np.repeat(np.arange(len(size)), size), np.arange(len(rows)) - np.repeat(first, size)
-        order = np.argsort(of[i], kind="stable")
-        i, j, k = i[order], j[order], k[order]
-        self.small, self.chains = [], []
-        for s in np.unique(size):
-            which = np.flatnonzero(size == s)
-            if s <= self.SMALL:
-                number = np.full(len(size), -1)
-                number[which] = np.arange(len(which))
-                own = number[of[i]] >= 0
-                dense = np.zeros((len(which), s, s))
-                dense[number[of[i[own]]], within[i[own]], within[j[own]]] = k[own]
-                self.small.append((rows[first[which][:, None] + np.arange(s)], self._inverse(dense)))
-            else:
-                for w in which:
-                    own = slice(*np.searchsorted(of[i], [w, w + 1]))
-                    self.chains.append(self._chain(rows[first[w] : first[w] + s], within[i[own]], within[j[own]], k[own]))
-
-    def _chain(self, rows: np.ndarray, i: np.ndarray, j: np.ndarray, k: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(rows, inverse of what is left of their block, their entries with the level before) by level."""
-        order = np.argsort(i, kind="stable")
-        i, j, k = i[order], j[order], k[order]
-        start = np.searchsorted(i, np.arange(len(rows) + 1))
-
-        def entries(of: np.ndarray) -> np.ndarray:
-            count = start[of + 1] - start[of]
-            return np.repeat(start[of] - np.cumsum(count) + count, count) + np.arange(count.sum())
-
-        def levels(root: int) -> list[np.ndarray]:
-            seen, found = np.zeros(len(rows), bool), [np.array([root])]
-            seen[root] = True
-            while True:
-                near = np.unique(j[entries(found[-1])])
-                near = near[~seen[near]]
-                if not len(near):
-                    return found
-                seen[near] = True
-                found.append(near)
-
-        out, number, level, before = [], np.zeros(len(rows), int), np.full(len(rows), -1), None
-        for n_, at in enumerate(levels(int(levels(int(levels(0)[-1][0]))[-1][0]))):
-            number[at], level[at] = np.arange(len(at)), n_
-            e = entries(at)
-            here, back = e[level[j[e]] == n_], e[level[j[e]] == n_ - 1] if n_ else e[:0]
-            dense, link = np.zeros((len(at),) * 2), np.zeros((len(at), len(before[0]) if n_ else 0))
-            dense[number[i[here]], number[j[here]]] = k[here]
-            link[number[i[back]], number[j[back]]] = k[back]
-            if n_:
-                dense -= link @ before[1] @ link.T
-            before = at, self._inverse(dense[None])[0]
-            out.append((rows[at], before[1], link))
-        return out
-
-    def _solved(self, a: np.ndarray) -> np.ndarray:
-        y, x = a.copy(), np.zeros_like(a)
-        right = a[self.border]
-        for at, p in self.small:
-            right = right - np.einsum("msb,ms->b", self.g[at], np.einsum("mst,mt->ms", p, y[at]))
-        for levels in self.chains:
-            for n_, (at, p, back) in enumerate(levels):
-                if n_:
-                    y[at] -= back @ (levels[n_ - 1][1] @ y[levels[n_ - 1][0]])
-                right = right - self.g[at].T @ (p @ y[at])
-        x[self.border] = edge = self.schur @ right
-        for at, p in self.small:
-            x[at] = np.einsum("mst,mt->ms", p, y[at] - self.g[at] @ edge)
-        for levels in self.chains:
-            for n_ in range(len(levels) - 1, -1, -1):
-                at, p, _ = levels[n_]
-                later = levels[n_ + 1][2].T @ x[levels[n_ + 1][0]] if n_ + 1 < len(levels) else 0.0
-                x[at] = p @ (y[at] - self.g[at] @ edge - later)
-        return x
-
-    def __call__(self, a: np.ndarray) -> np.ndarray:
-        a = a * self.scale
-        x = self._solved(a)
-        x = x + self._solved(a - np.bincount(self.i, self.k * x[self.j], self.n))  # what rounding left
-        return x * self.scale

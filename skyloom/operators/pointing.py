@@ -12,11 +12,20 @@ STOKES = ("i", "q", "u")
 WEIGHTS = ("w_i", "w_q", "w_u")
 
 
-def project(tod: DataFrame, sky: DataFrame, to: str = "y") -> DataFrame:
-    """y = A x: every sample gets the sum of weight times map value; rows without a map pixel get 0."""
-    total = sum((F.col(w) * F.coalesce(F.col(s), F.lit(0)) for w, s in zip(WEIGHTS, STOKES)), F.lit(0))
-    joined = tod.join(sky.select(F.col("pix").alias("_pix"), *STOKES), (F.col("pix") == F.col("_pix")) & (F.col("pix") >= 0), "left")
-    return joined.withColumn(to, F.when(F.col("_pix").isNotNull(), total).otherwise(F.lit(0))).drop("_pix", *STOKES)
+def _sky_key(tod: DataFrame) -> Column:
+    """The pixel; for flagged samples negative numbers by their columns, so that these don't meet in one task."""
+    plain = [f.name for f in tod.schema if f.dataType.typeName() not in ("map", "variant", "array", "struct")]
+    return F.when(F.col("pix") >= 0, F.col("pix").cast("long")).otherwise(-1 - F.pmod(F.xxhash64(*plain), F.lit(1 << 20)))
+
+
+def project(tod: DataFrame, sky: DataFrame, to: str | list[str] = "y") -> DataFrame:
+    """y = A x: every sample gets the sum of weight times map value; rows without a map pixel get 0. With a list ``to`` the sky is a block
+    vector (pix, i0, q0, u0, i1, ...) and each of its maps makes a column."""
+    maps = [(to, STOKES)] if isinstance(to, str) else [(c, [f"{s}{k}" for s in STOKES]) for k, c in enumerate(to)]
+    values = [s for _, own in maps for s in own]
+    joined = tod.withColumn("_key", _sky_key(tod)).join(sky.select(F.col("pix").cast("long").alias("_pix"), *(F.col(s).alias(f"_sky_{s}") for s in values)), F.col("_key") == F.col("_pix"), "left")
+    total = lambda own: sum((F.col(w) * F.coalesce(F.col(f"_sky_{s}"), F.lit(0)) for w, s in zip(WEIGHTS, own)), F.lit(0))
+    return joined.select(*(c for c in tod.columns if c not in {c for c, _ in maps}), *(F.when(F.col("_pix").isNotNull(), total(own)).otherwise(F.lit(0)).alias(c) for c, own in maps))
 
 
 def scatter(tod: DataFrame, value: Column | str = "y") -> DataFrame:

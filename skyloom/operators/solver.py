@@ -5,8 +5,9 @@ its projection on the templates.  It is never formed.  Samples are laid out once
 arrays of pixel places, weights and data (chunks of long blocks overlap by the bandwidth less one), written and read
 in each iteration by one job: project, weight, scatter within the task, and sum over chunks by place.
 
-Templates are not written out: their classes are expanded chunk by chunk, and an iteration has two jobs, one that sums what the
-templates of each block meet and one that takes off the fit.  Kernels are sparse and eliminated once on the driver.
+Templates are not written out: their classes are expanded chunk by chunk, and fitted by ``template_fit``.  What pixels and templates share, A^T F T,
+is summed once; where its entries fit the driver an iteration has no job, since A^T F A has a block a pixel there (templates need a
+bandwidth of 1).  Beyond that an iteration has two jobs, one that sums what the templates of each block meet and one that takes off the fit.
 
 Map vectors have three numbers for each observed pixel.  Up to ``DRIVER_PIXELS`` of them live on the driver and are broadcast
 (a size that is checked); above that ``table_solver`` keeps vectors as tables.
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import pairwise
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from skyloom.functions import numeric
-from skyloom.operators import pixel_blocks, pointing, templates as long_templates, toeplitz
+from skyloom.operators import pixel_blocks, pointing, template_fit, templates as long_templates, toeplitz
 from skyloom.sources.staging import written
 
 DRIVER_PIXELS = 12 * 1024**2
-#: Entries of all blocks' template kernels, which the driver eliminates once.
-DRIVER_ENTRIES = 4 * 1024**2
+#: Numbers of all blocks' template factors that the driver holds, and template bins and blocks.
+DRIVER_FACTORS = 16 * 1024**2
+DRIVER_BINS = 4 * 1024**2
+#: Entries (pixel, template) that the driver holds; more are left in their chunks.
+DRIVER_CROSS = 4 * 1024**2
 WEIGHTS = pointing.WEIGHTS
 
 
@@ -90,22 +94,6 @@ class TooMany(ValueError):
     """More than the driver holds: a case for ``table_solver``."""
 
 
-def kernel_entries(classes: list, bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (a * bins + b) and values of T^T T of some samples."""
-    keys, values = [], []
-    for n, (a, w) in enumerate(classes):
-        for m, (b, v) in enumerate(classes[: n + 1]):
-            key, inverse = np.unique(a * bins + b, return_inverse=True)
-            value = np.bincount(inverse, w * v, len(key))
-            keys.append(key)
-            values.append(value)
-            if m < n:
-                keys.append(key % bins * bins + key // bins)
-                values.append(value)
-    keys, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return keys, np.bincount(inverse, np.concatenate(values), len(keys))
-
-
 def _places(known: np.ndarray, pix: np.ndarray) -> np.ndarray:
     at = np.searchsorted(known, pix) if len(known) else np.zeros(len(pix), int)
     return np.where((pix >= 0) & (at < len(known)), at, -1)
@@ -115,6 +103,12 @@ def _array(b: pa.RecordBatch, r: int, column: str) -> np.ndarray:
     return b[column][r].values.to_numpy(zero_copy_only=False)
 
 
+def _entries(how: Templates, b: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    classes = _expanded(how, b, r)[0]
+    row = np.tile(np.arange(len(b["place"][r])), len(classes))
+    return row, *(np.concatenate(x).astype(k) for x, k in zip(zip(*classes), (np.int64, float)))
+
+
 def _expanded(how: Templates, b: pa.RecordBatch, r: int) -> tuple[list, int, int]:
     """A chunk's classes, its block's first bin and number of bins."""
     first, bins, sweeps, plates = (b[c][r].as_py() for c in ("first", "bins", "sweeps", "plates"))
@@ -178,14 +172,19 @@ class NormalOperator:
         for name, kept, as_ in ((("sweep", how.orders, "long")), ("az", how.azimuth_bins, "double")):
             ends += [F.min(name).cast(as_).alias(f"_{name}"), F.max(name).cast(as_).alias(f"_{name}z")] if kept else []
         blocks = written(tod.groupBy("block_id").agg(*ends), "blocks")
+        if (count := blocks.count()) > DRIVER_BINS:
+            raise TooMany(f"{count} blocks are too many for the driver; use table_solver")
         told = blocks.orderBy("block_id").toArrow()
         zero = np.zeros(told.num_rows, np.int64)
         sweeps = told["_sweepz"].to_numpy() - told["_sweep"].to_numpy() + 1 if how.orders else zero
         plates = (told["_tz"].to_numpy() - told["_t"].to_numpy()) // how.plate_length + 1 if how.harmonics else zero
         bins = np.array([how.bins(*x) for x in zip(sweeps.tolist(), plates.tolist())], np.int64)
         first = np.concatenate([[0], np.cumsum(bins)]).astype(np.int64)
+        if first[-1] > DRIVER_BINS:
+            raise TooMany(f"{first[-1]} templates are too many for the driver; use table_solver")
+        self.first, self.bins = dict(zip(told["block_id"].to_pylist(), first.tolist())), int(first[-1])
         told = pa.table({"block_id": told["block_id"], "first": first[:-1], "bins": bins, "sweeps": sweeps, "plates": plates})
-        rows = tod.join(F.broadcast(blocks.join(self.spark.createDataFrame(told), "block_id")), "block_id")  # one row a block
+        rows = tod.join(F.broadcast(blocks.join(self.spark.createDataFrame(told), "block_id")), "block_id")  # DRIVER_BINS rows at most
         if how.orders:
             bounds = tod.groupBy("block_id", "sweep").agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"))
             rows = rows.join(bounds, ["block_id", "sweep"]).withColumn("x", long_templates.sweep_position(F.col("t"), F.col("_t0"), F.col("_t1"))).withColumn("sweep", F.col("sweep") - F.col("_sweep"))
@@ -197,35 +196,91 @@ class NormalOperator:
         cut = rows.select("block_id", "pix", *one, F.col(value).cast("double").alias("d"), *(F.col(c).cast(k) for c, k in kinds.items() if c not in ("place", "d")), F.floor(F.col("t") / chunk).alias("cell"))
 
         def pack(table: pa.Table) -> pa.Table:
-            out = {c: table[c].slice(0, 1) for c in ("block_id", *one)}
+            out = {c: table[c].slice(0, 1) for c in ("block_id", "cell", *one)}
             for name in kinds:
                 own = _places(places.value, table["pix"].to_numpy()) if name == "place" else table[name].to_numpy()
                 out[name] = pa.array([own], pa.list_(pa.int64() if kinds[name] == "bigint" else pa.float64()))
             return pa.table(out)
 
-        schema = f"block_id {kind}, first long, bins long, sweeps long, plates long, " + ", ".join(f"{c} array<{k}>" for c, k in kinds.items())
+        schema = f"block_id {kind}, cell long, first long, bins long, sweeps long, plates long, " + ", ".join(f"{c} array<{k}>" for c, k in kinds.items())
         packed = cut.groupBy("block_id", "cell").applyInArrow(pack, schema)
         weight = noise.select("block_id", F.col("t").getItem(0).cast("double").alias("weight"))
         layout = written(packed.join(weight, "block_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))), "layout")
 
-        def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a block's weight takes no part: it scales the fit and what the fit meets
+        fit = template_fit.factored(layout, partial(_entries, how))
+        if (count := fit.doubles()) > DRIVER_FACTORS:
+            raise TooMany(f"{count} numbers of the templates' factors are too many for the driver; use table_solver")
+        self.fit = template_fit.DriverFit(fit, self.first, self.bins)
+        self.cross = self._crossed(layout)
+        return layout
+
+    def _crossed(self, layout: DataFrame) -> tuple[np.ndarray, ...] | None:
+        """What pixels and templates share: (place, bin, A^T T as three numbers each), the weight of each bin's block and A^T F A's block of each
+        place."""
+        how, bins, pairs = self.templates, max(1, self.bins), [(a, b) for a in range(3) for b in range(a, 3)]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for r in range(b.num_rows):
-                    classes, first, bins = _expanded(how, b, r)
-                    keys, k = kernel_entries(classes, bins)
-                    yield pa.RecordBatch.from_arrays([pa.array(first + keys // bins), pa.array(first + keys % bins), pa.array(k)], ["a", "b", "k"])
-
-        # a block's weight takes no part: it scales the kernel and what the kernel meets
-        found = written(layout.mapInArrow(entries, "a long, b long, k double").groupBy("a", "b").agg(F.sum("k").alias("k")), "kernels")
-        if (count := found.count()) > DRIVER_ENTRIES:
-            raise TooMany(f"{count} entries of the templates' kernels are too many for the driver; use table_solver")
-        found = found.orderBy("a", "b").toArrow()
-        a, b, k = (found[c].to_numpy() for c in "abk")
-        self.kernels = []
-        for start, end in pairwise(first.tolist()):
-            own = slice(*np.searchsorted(a, [start, end]))
-            self.kernels.append((slice(start, end), numeric.Eliminated(a[own] - start, b[own] - start, k[own], end - start)))
-        return layout
+                    (classes, first, _), place = _expanded(how, b, r), _array(b, r, "place")
+                    seen = place >= 0
+                    w = [_array(b, r, c)[seen] for c in WEIGHTS]
+                    for bin_, x in classes:
+                        key, at = np.unique(place[seen] * bins + first + bin_[seen], return_inverse=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.bincount(at, v * x[seen], len(key))) for v in w)], ["key", "i", "q", "u"])
+
+        def square(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in range(b.num_rows):
+                    place = _array(b, r, "place")
+                    at, inverse = np.unique(place[place >= 0], return_inverse=True)
+                    weight, w = b["weight"][r].as_py(), [_array(b, r, c)[place >= 0] for c in WEIGHTS]
+                    yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(np.bincount(inverse, weight * w[m] * w[n], len(at)).astype(float)) for m, n in pairs)], ["place", *(f"b{m}{n}" for m, n in pairs)])
+
+        found = written(layout.mapInArrow(run, "key long, i double, q double, u double").groupBy("key").agg(*(F.sum(s).alias(s) for s in "iqu")), "cross")
+        if found.count() > DRIVER_CROSS:
+            return None
+        found = found.toArrow()
+        place, bin_ = np.divmod(found["key"].to_numpy(), bins)
+        sums = layout.mapInArrow(square, "place long, " + ", ".join(f"b{m}{n} double" for m, n in pairs)).groupBy("place").agg(*(F.sum(f"b{m}{n}").alias(f"b{m}{n}") for m, n in pairs)).toArrow()
+        block = np.zeros((len(self.pixels), 3, 3))
+        for m, n in pairs:
+            block[sums["place"].to_numpy(), m, n] = block[sums["place"].to_numpy(), n, m] = sums[f"b{m}{n}"].to_numpy()
+        own = layout.select("first", "bins", "weight").distinct().toArrow().sort_by("first")  # a row a block
+        weight = np.repeat(own["weight"].to_numpy(), own["bins"].to_numpy())
+        return place, bin_, np.stack([found[s].to_numpy() for s in "iqu"], 1), weight, block
+
+    def _cross_product(self, x: np.ndarray) -> np.ndarray:
+        """A^T F A x less what the templates that fit F A x take of it, without a job."""
+        place, bin_, c, weight, block = self.cross
+        out = np.einsum("pab,pbk->pak", block, x.reshape(len(block), 3, -1)).reshape(x.shape)
+        for k in range(x.shape[1]):
+            sky = x[:, k].reshape(-1, 3)
+            tau = self.fit(weight * np.bincount(bin_, (c * sky[place]).sum(1), self.bins))
+            for s in range(3):
+                out[s::3, k] -= np.bincount(place, c[:, s] * tau[bin_], len(block))
+        return out
+
+    def check_fit(self) -> None:
+        """Raises ``template_fit.Inexact`` unless what the fit leaves of the data is orthogonal to all templates."""
+        tau, how = self._send(self._fit(None, 1)), self.templates
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in range(b.num_rows):
+                    (classes, first, bins), (v,) = _expanded(how, b, r), _template_values(b, r, None, 1)
+                    left = v - sum(w * tau.value[first + at, 0] for at, w in classes)
+                    met = np.unique(np.concatenate([at for at, _ in classes]))
+                    amp = sum(np.bincount(at, w * left, bins) for at, w in classes)[met]
+                    power = np.where(np.arange(len(met)) == 0, v @ v, 0.0)  # of the block
+                    yield pa.RecordBatch.from_arrays([pa.array(first + met), pa.array(np.full(len(met), first)), pa.array(amp), pa.array(power)], ["bin", "first", "amp", "power"])
+
+        got = self.rows.mapInArrow(run, "bin long, first long, amp double, power double").groupBy("bin", "first").agg(F.sum("amp").alias("amp"), F.sum("power").alias("power")).toArrow()
+        power = np.bincount(got["first"].to_numpy(), got["power"].to_numpy(), max(1, self.bins))[got["first"].to_numpy()]
+        worst = np.abs(got["amp"].to_numpy() * self.fit.size[got["bin"].to_numpy()]) / np.sqrt(np.where(power > 0, power, 1))
+        if not worst.max(initial=0.0) <= template_fit.TOLERANCE:
+            raise template_fit.Inexact(f"the fit leaves {worst.max():.1e} of a template in the samples")
 
     def _fit(self, sent, width: int) -> np.ndarray:
         """Amplitudes of all blocks' templates that fit F v best, a column a product."""
@@ -240,12 +295,9 @@ class NormalOperator:
                     yield pa.RecordBatch.from_arrays([pa.array(first + met), *map(pa.array, amp[:, met])], ["bin", *names])
 
         total = self.rows.mapInArrow(run, "bin long, " + ", ".join(f"{n} double" for n in names)).groupBy("bin").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
-        amp = np.zeros((self.kernels[-1][0].stop if self.kernels else 0, width))
+        amp = np.zeros((self.bins, width))
         amp[total["bin"].to_numpy()] = np.stack([total[n].to_numpy() for n in names], 1)
-        for own, solve in self.kernels:
-            for k in range(width):
-                amp[own, k] = solve(amp[own, k])
-        return amp
+        return self.fit(amp)
 
     def _template_job(self, vectors: np.ndarray | None) -> DataFrame:
         """(place, sums): A^T F (v - T tau) chunk by chunk."""
@@ -269,6 +321,8 @@ class NormalOperator:
 
     def _job(self, vectors: np.ndarray | None) -> np.ndarray:
         """Sum over chunks of A^T F v, v being the data or A h. Columns of ``vectors``: one product each."""
+        if self.templates is not None and self.cross is not None and vectors is not None:
+            return self._cross_product(vectors)
         parts, width = (self._template_job if self.templates is not None else self._plain_job)(vectors), 1 if vectors is None else vectors.shape[1]
         total = parts.groupBy("place").agg(*(F.sum(n).alias(n) for n in parts.columns[1:])).toArrow()
         result, at = np.zeros((3 * len(self.pixels), width)), total["place"].to_numpy()
@@ -330,6 +384,8 @@ class NormalOperator:
         return dict(zip(zip(got["block_id"].to_pylist(), got["k"].to_pylist()), got["m"].to_pylist()))
 
     def right_hand_side(self) -> np.ndarray:
+        if self.templates is not None:
+            self.check_fit()
         return self._job(None)[:, 0]
 
     def apply(self, x: np.ndarray) -> np.ndarray:
@@ -376,10 +432,10 @@ def a_priori_basis(tod: DataFrame, operator: NormalOperator, groups: int) -> np.
     return z[:, z.any(0)]
 
 
-def lanczos_basis(operator: NormalOperator, steps: int, seed: int = 1) -> np.ndarray:
-    """Ritz vectors of the operator after so many Lanczos steps."""
+def lanczos_basis(operator: NormalOperator, steps: int, seed: int = 1, start: np.ndarray | None = None) -> np.ndarray:
+    """Ritz vectors of the operator after so many Lanczos steps, from ``start`` or a random vector."""
     n = 3 * len(operator.pixels)
-    v = np.random.default_rng(seed).normal(size=n)
+    v = np.random.default_rng(seed).normal(size=n) if start is None else start
     basis, alpha, beta = [v / np.linalg.norm(v)], [], []
     for k in range(min(steps, n)):
         w = operator.apply(basis[-1])

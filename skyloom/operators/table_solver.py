@@ -1,33 +1,92 @@
-"""The same system with map vectors as tables (pix, i, q, u), written each time: for maps beyond the driver.
+"""The same system with map vectors as tables, written each time: for maps beyond the driver.
 
-Products are joins and grouped sums over the samples; the driver sees single numbers, and with a second level a matrix of
-its few directions.  Tables of an iteration are deleted once the next one's are written.
+A block vector of width k is a table (pix, i0, q0, u0, i1, ...): k map vectors side by side.  A product with the system goes once over the
+samples, whatever the width; inner products of all pairs of columns are one aggregation, and a linear combination of block vectors is one
+join by pixel.  The driver sees matrices of a few directions alone.  Tables of an iteration are deleted once nothing reads them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
-from skyloom.operators import pixel_blocks, pointing, templates as long_templates, toeplitz
+from skyloom.operators import index_sets, pixel_blocks, pointing, template_fit, templates as long_templates, toeplitz
 from skyloom.operators.solver import Templates
 from skyloom.sources.staging import discard_table, written
 
 STOKES = pointing.STOKES
 
 
-def _sum(parts) -> Column:
-    return sum(parts, F.lit(0.0))
+def names(width: int) -> list[str]:
+    return [f"{s}{k}" for k in range(width) for s in STOKES]
+
+
+def width_of(v: DataFrame) -> int:
+    return (len(v.columns) - 1) // 3
+
+
+def _beside(*vectors: DataFrame) -> DataFrame:
+    """Several block vectors by pixel, columns numbered through; pixels of the first."""
+    out, at = vectors[0].toDF("pix", *names(width_of(vectors[0]))), width_of(vectors[0])
+    for v in vectors[1:]:
+        own = width_of(v)
+        out = out.join(v.toDF("pix", *(f"{s}{at + k}" for k in range(own) for s in STOKES)), "pix", "left")
+        at += own
+    return out
+
+
+def _columns(b: pa.RecordBatch, width: int) -> np.ndarray:
+    """(rows, 3, width) of a batch of ``names``."""
+    flat = np.stack([np.nan_to_num(b[c].to_numpy(zero_copy_only=False)) if b[c].null_count else b[c].to_numpy(zero_copy_only=False) for c in names(width)], 1)
+    return flat.reshape(b.num_rows, width, 3).swapaxes(1, 2)
+
+
+def gram(a: DataFrame, b: DataFrame | None = None) -> np.ndarray:
+    """a^T b, or a^T a: sums by task, then over tasks."""
+    first, both = width_of(a), a.toDF("pix", *names(width_of(a))) if b is None else _beside(a, b)
+    total, same = width_of(both), b is None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((first, first if same else total - first))
+        for batch in batches:
+            m = _columns(batch, total).reshape(-1, total)
+            out += m[:, :first].T @ (m if same else m[:, first:])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size)), pa.array(out.ravel())], ["at", "s"])
+
+    got = both.select(*names(total)).mapInArrow(run, "at long, s double").groupBy("at").agg(F.sum("s").alias("s")).toArrow()  # pairs of directions
+    out = np.zeros(first * (first if same else total - first))
+    out[got["at"].to_numpy()] = got["s"].to_numpy()
+    return out.reshape(first, -1)
+
+
+def combined(*terms: tuple[DataFrame, np.ndarray]) -> DataFrame:
+    """The sum of block vectors times matrices, as a written table with the pixels of the first."""
+    both, matrix = _beside(*(v for v, _ in terms)), np.concatenate([m for _, m in terms])
+    total, width = matrix.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = _columns(batch, total) @ matrix
+            yield pa.RecordBatch.from_arrays([batch["pix"], *(pa.array(np.ascontiguousarray(out[:, s, k])) for k in range(width) for s in range(3))], ["pix", *names(width)])
+
+    return written(both.mapInArrow(run, "pix long, " + ", ".join(f"{c} double" for c in names(width))), "vector")
+
+
+def gone(*tables: DataFrame) -> None:
+    for t in {id(t): t for t in tables}.values():
+        discard_table(t)
 
 
-def dot(a: DataFrame, b: DataFrame) -> float:
-    other = b.select("pix", *(F.col(s).alias(f"{s}2") for s in STOKES))
-    return a.join(other, "pix").agg(F.sum(_sum(F.col(s) * F.col(f"{s}2") for s in STOKES))).first()[0] or 0.0
+def map_of(v: DataFrame) -> DataFrame:
+    """(pix, i, q, u) of a block vector's first."""
+    return v.select("pix", *(F.col(f"{s}0").alias(s) for s in STOKES))
 
 
-def plus(a: DataFrame, b: DataFrame, times: float) -> DataFrame:
-    other = b.select("pix", *(F.col(s).alias(f"{s}2") for s in STOKES))
-    return written(a.join(other, "pix", "left").select("pix", *((F.col(s) + times * F.coalesce(f"{s}2", F.lit(0.0))).alias(s) for s in STOKES)), "vector")
+def vector_of(sky: DataFrame) -> DataFrame:
+    return sky.select(F.col("pix").cast("long").alias("pix"), *(F.col(s).cast("double").alias(f"{s}0") for s in STOKES))
 
 
 class TableOperator:
@@ -40,21 +99,35 @@ class TableOperator:
         if templates is not None:
             table = long_templates.expanded(tod, templates.orders, templates.azimuth_bins, templates.harmonics, templates.plate_length)
             self.table = written(table, "templates")
-            self.kernel = written(long_templates.kernel(self.table), "kernels")
+            self.fit = template_fit.factored(template_fit.packed(self.table), template_fit.packed_entries)
+            self.checked = False
 
-    def _product(self, frame: DataFrame, column: str) -> DataFrame:
-        rows = frame.select("block_id", "t", F.col(column).cast("double").alias("_v"))
-        y = toeplitz.weighted(rows, self.noise, "_v", self.bandwidth, "_y", self.remove_mean).select("block_id", F.col("t"), "_y")
-        if self.table is not None:  # a block's weight scales its kernel and what the kernel meets alike
-            fit = long_templates.project(self.table, long_templates.fitted(self.kernel, long_templates.scatter(self.table, y, "_y")))
-            y = y.join(fit.withColumnRenamed("y", "_fit"), ["block_id", "t"], "left").withColumn("_y", F.col("_y") - F.coalesce("_fit", F.lit(0.0))).drop("_fit")
-        return written(pointing.scatter(self.tod.join(y, ["block_id", "t"]), "_y"), "vector")
+    def _product(self, frame: DataFrame, columns: list[str]) -> DataFrame:
+        """A^T F v for several columns v of the samples."""
+        v, y, fit_ = ([f"_{c}{k}" for k in range(len(columns))] for c in "vyf")
+        rows = frame.select("block_id", "t", *(F.col(c).cast("double").alias(n) for c, n in zip(columns, v)))
+        out = toeplitz.weighted(rows, self.noise, v, self.bandwidth, y, self.remove_mean).select("block_id", F.col("t"), *y)
+        if self.table is not None:  # a block's weight scales the fit and what the fit meets alike
+            before = out
+            fit = long_templates.project(self.table, template_fit.fitted(self.fit, long_templates.scatter(self.table, out, y)), fit_)
+            out = out.join(fit, ["block_id", "t"], "left").select("block_id", "t", *((F.col(a) - F.coalesce(b, F.lit(0.0))).alias(a) for a, b in zip(y, fit_)))
+            if not self.checked:
+                self._check(before, out, y[0])
+        sums = [F.sum(F.col(w) * F.col(c)).alias(f"{s}{k}") for k, c in enumerate(y) for s, w in zip(STOKES, pointing.WEIGHTS)]
+        return written(self.tod.filter("pix >= 0").join(out, ["block_id", "t"]).groupBy(F.col("pix").cast("long").alias("pix")).agg(*sums), "vector")
+
+    def _check(self, before: DataFrame, left: DataFrame, y: str) -> None:
+        lengths = before.groupBy("block_id").agg(F.sqrt(F.sum(F.col(y) * F.col(y))).alias("length"))
+        template_fit.checked(self.fit, long_templates.scatter(self.table, left, y), lengths)
+        self.checked = True
 
     def right_hand_side(self) -> DataFrame:
-        return self._product(self.tod, self.value)
+        return self._product(self.tod, [self.value])
 
     def apply(self, sky: DataFrame) -> DataFrame:
-        return self._product(pointing.project(self.tod, sky, "_p"), "_p")
+        """All columns of a block vector in one pass."""
+        p = [f"_p{k}" for k in range(width_of(sky))]
+        return self._product(pointing.project(self.tod, sky, p), p)
 
 
 class TableJacobi:
@@ -63,71 +136,151 @@ class TableJacobi:
 
     def __call__(self, g: DataFrame) -> DataFrame:
         m = {a + b: F.col("m_" + "".join(sorted((a, b), key="iqu".index))) for a in STOKES for b in STOKES}
-        return written(g.join(self.inverse, "pix").select("pix", *(_sum(m[a + b] * F.col(b) for b in STOKES).alias(a) for a in STOKES)), "vector")
+        return written(g.join(self.inverse, "pix").select("pix", *(sum((m[a + b] * F.col(f"{b}{k}") for b in STOKES), F.lit(0.0)).alias(f"{a}{k}") for k in range(width_of(g)) for a in STOKES)), "vector")
 
 
 class TableTwoLevel:
-    """M(g - AZ E^+ Z^T g) + Z E^+ Z^T g over the shares of a pixel's samples by group of time; one product a group, once."""
-
-    def __init__(self, operator: TableOperator, first: TableJacobi, groups: int):
-        low, high = operator.tod.agg(F.min("row"), F.max("row")).first()
-        at = F.least(F.floor((F.col("row") - low) * groups / (high - low + 1)), F.lit(groups - 1)).cast("int")
-        z = written(pixel_blocks.hit_shares(operator.tod, at).select("pix", "grp", "z"), "shares")
-        self.first, self.z = first, z
-        self.names = sorted(r.grp for r in z.select("grp").distinct().collect())  # ``groups`` at most
-        sky = lambda k: z.filter(F.col("grp") == k).select("pix", F.col("z").alias("i"), F.lit(0.0).alias("q"), F.lit(0.0).alias("u"))
-        images = [operator.apply(sky(k)).withColumn("grp", F.lit(k)) for k in self.names]
-        self.az = images[0]
-        for more in images[1:]:
-            self.az = self.az.unionByName(more)
-        e = np.zeros((len(self.names),) * 2)
-        met = z.join(self.az.select("pix", F.col("grp").alias("other"), F.col("i").alias("_i")), "pix").groupBy("grp", "other").agg(F.sum(F.col("z") * F.col("_i")).alias("e"))
-        for r in met.collect():
-            e[self.names.index(r.grp), self.names.index(r.other)] = r.e
-        self.e = np.linalg.pinv(e, rcond=1e-15)
+    """M(g - AZ E^+ Z^T g) + Z E^+ Z^T g over a block vector Z; one product in all to begin with."""
+
+    def __init__(self, operator: TableOperator, first: TableJacobi, z: DataFrame):
+        self.first, self.z, self.az = first, z, operator.apply(z)
+        self.e = np.linalg.pinv(gram(z, self.az), rcond=1e-15)
 
     def __call__(self, g: DataFrame) -> DataFrame:
-        parts = {r.grp: r.s for r in g.join(self.z, "pix").groupBy("grp").agg(F.sum(F.col("z") * F.col("i")).alias("s")).collect()}
-        c = self.e @ np.array([parts.get(k, 0.0) for k in self.names])
-        share = F.element_at(F.create_map(*(x for k, v in zip(self.names, c) for x in (F.lit(k), F.lit(float(v))))), F.col("grp"))
-        back = self.az.groupBy("pix").agg(*(F.sum(share * F.col(s)).alias(s) for s in STOKES))
-        coarse = self.z.groupBy("pix").agg(F.sum(share * F.col("z")).alias("i")).select("pix", "i", F.lit(0.0).alias("q"), F.lit(0.0).alias("u"))
-        smooth = plus(g, back, -1.0)
+        c = self.e @ gram(g, self.z).T
+        smooth = combined((g, np.eye(width_of(g))), (self.az, -c))
         fine = self.first(smooth)
-        out = plus(fine, coarse, 1.0)
-        discard_table(smooth)
-        discard_table(fine)
+        out = combined((fine, np.eye(width_of(g))), (self.z, c))
+        gone(smooth, fine)
         return out
 
 
+def a_priori_basis(operator: TableOperator, groups: int) -> DataFrame:
+    """Shares of a pixel's samples by group of time, in the slot of I, as a block vector. Groups are equal stretches of ``row``."""
+    low, high = operator.tod.agg(F.min("row"), F.max("row")).first()
+    at = F.least(F.floor((F.col("row") - low) * groups / (high - low + 1)), F.lit(groups - 1)).cast("int")
+    share = lambda k: F.sum(F.when(F.col("grp") == k, F.col("z")).otherwise(F.lit(0.0)))
+    z = written(pixel_blocks.hit_shares(operator.tod, at).groupBy("pix").agg(*(share(k).alias(f"z{k}") for k in range(groups))), "shares")
+    met = z.agg(*(F.max(f"z{k}").alias(f"z{k}") for k in range(groups))).first()
+    kept = [k for k in range(groups) if met[k]]
+    return written(z.select("pix", *(x for n, k in enumerate(kept) for x in (F.col(f"z{k}").alias(f"i{n}"), F.lit(0.0).alias(f"q{n}"), F.lit(0.0).alias(f"u{n}")))), "basis")
+
+
+def random_vector(operator: TableOperator, seed: int = 1) -> DataFrame:
+    """Numbers between -1 and 1 that follow from pixel, component and seed, wherever a row lies."""
+    value = lambda s: (F.pmod(F.xxhash64("pix", F.lit(s), F.lit(seed)), F.lit(1 << 30)) / float(1 << 29) - 1).alias(f"{s}0")
+    return written(operator.tod.filter("pix >= 0").select("pix").distinct().select("pix", *map(value, STOKES)), "vector")
+
+
+def lanczos_basis(operator: TableOperator, steps: int, seed: int = 1) -> tuple[DataFrame, np.ndarray]:
+    """Ritz vectors of the operator after so many Lanczos steps, as a block vector, and their values. What a step's image has of all
+    earlier vectors is one aggregation, taken twice for the sake of rounding."""
+    v = random_vector(operator, seed)
+    basis = combined((v, np.array([[1 / np.sqrt(gram(v)[0, 0])]])))
+    gone(v)
+    last, alpha, beta = basis, [], []
+    for k in range(steps):
+        image = operator.apply(last)
+        for again in range(2):
+            c = gram(basis, image)
+            if not again:
+                alpha.append(float(c[-1, 0]))
+            old, image = image, combined((image, np.eye(1)), (basis, -c))
+            gone(old)
+        beta.append(float(np.sqrt(gram(image)[0, 0])))
+        if k == steps - 1 or beta[-1] < 1e-12 * abs(alpha[0]):
+            gone(image)
+            break
+        end = np.zeros((1, k + 2))
+        end[0, -1] = 1 / beta[-1]
+        old, basis = basis, combined((basis, np.eye(k + 1, k + 2)), (image, end))
+        if last is not old:
+            gone(last)
+        last = combined((image, end[:, -1:]))
+        gone(old, image)
+    value, ritz = np.linalg.eigh(np.diag(alpha) + np.diag(beta[: len(alpha) - 1], 1) + np.diag(beta[: len(alpha) - 1], -1))
+    out = combined((basis, ritz))
+    gone(basis, last)
+    return out, value
+
+
 def pcg(operator: TableOperator, precondition, tol: float = 1e-6, most: int = 3000) -> tuple[DataFrame, list[float]]:
     """The iteration of ``solver.pcg``: the map and its relative residuals, from 1."""
+    one = np.eye(1)
     g = operator.right_hand_side()
-    start = dot(g, g)
-    x = written(g.select("pix", *(F.lit(0.0).alias(s) for s in STOKES)), "vector")
+    start = gram(g)[0, 0]
+    x = combined((g, 0 * one))
     residuals = [1.0]
     if not start:
-        return x, residuals
-    mg = precondition(g)
-    h, gmg = mg, dot(g, mg)
+        return map_of(x), residuals
+    mg = h = precondition(g)
+    gmg = gram(g, mg)[0, 0]
     for _ in range(1, most):
         ah = operator.apply(h)
-        rho = gmg / dot(h, ah)
-        old, x = x, plus(x, h, rho)
-        new = plus(g, ah, -rho)
-        for table in (old, ah):
-            discard_table(table)
-        left = dot(new, new)
-        residuals.append((left / start) ** 0.5)
+        rho = gmg / gram(h, ah)[0, 0]
+        old, x = x, combined((x, one), (h, rho * one))
+        new = combined((g, one), (ah, -rho * one))
+        gone(old, ah)
+        left = gram(new)[0, 0]
+        residuals.append(float((left / start) ** 0.5))
         if left <= tol**2 * start:
             break
         m_new = precondition(new)
-        now = dot(new, m_new)
-        gamma = (now - dot(m_new, g)) / gmg
-        gone = [g] + [t for t in (h, mg) if t is not m_new]
-        g, gmg = new, now
-        h_new = plus(m_new, h, gamma)
-        for table in {id(t): t for t in gone}.values():
-            discard_table(table)
-        h, mg = h_new, m_new
-    return x, residuals
+        now, past = gram(m_new, _beside(new, g))[0]
+        spent = [g, h] + ([mg] if mg is not h else [])
+        h = combined((m_new, one), (h, (now - past) / gmg * one))
+        g, mg, gmg = new, m_new, now
+        gone(*spent)
+    return map_of(x), residuals
+
+
+def enlarged_cg(operator: TableOperator, precondition, directions: int, tol: float = 1e-6, most: int = 3000, reduce: bool = False, orthodir: bool = False) -> tuple[DataFrame, list[float]]:
+    """The iteration of ``solver.enlarged_cg``: parts of the residual are equal stretches of the pixels in order."""
+    r0 = operator.right_hand_side()
+    start = gram(r0)[0, 0]
+    x, residuals = combined((r0, np.zeros((1, 1)))), [1.0]
+    if not start:
+        return map_of(x), residuals
+    at = index_sets.numbered(r0.select("pix"), ["pix"], "position")
+    size = at.count()
+    part = F.floor(F.col("position") * directions / max(1, size))
+    r = written(r0.join(at, "pix").select("pix", *(F.when(part == k, F.col(f"{s}0")).otherwise(F.lit(0.0)).alias(f"{s}{k}") for k in range(directions) for s in STOKES)), "vector")
+    gone(r0)
+    whole = np.ones((directions, 1))  # r @ whole is the residual
+    p = precondition(r)
+    past: list[tuple[DataFrame, DataFrame, np.ndarray]] = []
+    for _ in range(1, most):
+        ap = operator.apply(p)
+        square = gram(p, ap)
+        val, vec = np.linalg.eigh((square + square.T) / 2)
+        keep = val > max(val.max(), 0) * 1e-12
+        if not keep.any():
+            break
+        scale = vec[:, keep] / np.sqrt(val[keep])  # p @ scale are the directions
+        alpha = scale.T @ gram(p, r)
+        before = x, r
+        x, r = combined((x, np.eye(1)), (p, scale @ alpha @ whole)), combined((r, np.eye(width_of(r))), (ap, -scale @ alpha))
+        gone(*before)
+        inner = gram(r)
+        left = (whole.T @ inner @ whole)[0, 0]
+        residuals.append(float(np.sqrt(max(left, 0.0) / start)))
+        if left <= tol**2 * start:
+            break
+        for old in past[:-1]:
+            gone(*old[:2])
+        past = [*past[-1:], (p, ap, scale)]
+        if reduce and not orthodir and not keep.all():
+            length, turn = np.linalg.eigh(inner)
+            turn = turn[:, length > length.max() * 1e-24]
+            old_r, r, whole = r, combined((r, turn)), turn.T @ whole
+            gone(old_r)
+        z = precondition(ap if orthodir else r)
+        turn = scale if orthodir else np.eye(width_of(r))
+        for old, image, of in past if orthodir else past[-1:]:
+            c = of @ of.T @ gram(image, z) @ turn
+            before_z, z = z, combined((z, turn), (old, -c))
+            gone(before_z)
+            turn = np.eye(turn.shape[1])
+        kept = max(1, int(keep.sum()))
+        p = combined((z, np.eye(width_of(z), kept))) if reduce and orthodir and not keep.all() and kept < width_of(z) else z
+    return map_of(x), residuals

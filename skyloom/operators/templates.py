@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skyloom.functions.numeric import Eliminated, pseudo_inverse
+from skyloom.functions.numeric import pseudo_inverse
 
 
 def legendre_column(order: int, x: Column) -> Column:
@@ -86,14 +86,16 @@ def expanded(rows: DataFrame, orders: int = 0, azimuth_bins: int = 0, harmonics:
     return table
 
 
-def project(templates: DataFrame, amplitudes: DataFrame) -> DataFrame:
-    """T tau: (block_id, t, y)."""
-    return templates.join(amplitudes, ["block_id", "bin"]).groupBy("block_id", "t").agg(F.sum(F.col("w") * F.col("tau")).alias("y"))
+def project(templates: DataFrame, amplitudes: DataFrame, to: str | list[str] = "y") -> DataFrame:
+    """T tau: (block_id, t, y). A list ``to`` takes as many columns tau0, tau1, ..."""
+    pairs = [("tau", to)] if isinstance(to, str) else [(f"tau{k}", c) for k, c in enumerate(to)]
+    return templates.join(amplitudes, ["block_id", "bin"]).groupBy("block_id", "t").agg(*(F.sum(F.col("w") * F.col(tau)).alias(c) for tau, c in pairs))
 
 
-def scatter(templates: DataFrame, rows: DataFrame, value: str) -> DataFrame:
-    """T^T d: (block_id, bin, amp)."""
-    return templates.join(rows.select("block_id", "t", value), ["block_id", "t"]).groupBy("block_id", "bin").agg(F.sum(F.col("w") * F.col(value)).alias("amp"))
+def scatter(templates: DataFrame, rows: DataFrame, value: str | list[str]) -> DataFrame:
+    """T^T d: (block_id, bin, amp). A list of values makes columns amp0, amp1, ..."""
+    pairs = [(value, "amp")] if isinstance(value, str) else [(c, f"amp{k}") for k, c in enumerate(value)]
+    return templates.join(rows.select("block_id", "t", *(c for c, _ in pairs)), ["block_id", "t"]).groupBy("block_id", "bin").agg(*(F.sum(F.col("w") * F.col(c)).alias(amp) for c, amp in pairs))
 
 
 def kernel(templates: DataFrame, weights: DataFrame | None = None) -> DataFrame:
@@ -105,8 +107,8 @@ def kernel(templates: DataFrame, weights: DataFrame | None = None) -> DataFrame:
 
 
 def inverted(kernels: DataFrame, rcond: float = 1e-12) -> DataFrame:
-    """(block_id, a, b, k, rank): pseudo-inverse of each block's kernel, all pairs of its templates; for few templates a block. ``fitted``
-    needs no inverse."""
+    """(block_id, a, b, k, rank): pseudo-inverse of each block's kernel, all pairs of its templates; for few templates a block.
+    ``template_fit`` needs neither kernel nor inverse."""
     kind = kernels.schema["block_id"].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
@@ -125,21 +127,3 @@ def inverted(kernels: DataFrame, rcond: float = 1e-12) -> DataFrame:
 def amplitudes(inverse: DataFrame, right: DataFrame) -> DataFrame:
     """tau = K^+ (T^T d)."""
     return inverse.join(right.withColumnRenamed("bin", "b"), ["block_id", "b"]).groupBy("block_id", F.col("a").alias("bin")).agg(F.sum(F.col("k") * F.col("amp")).alias("tau"))
-
-
-def fitted(kernels: DataFrame, right: DataFrame) -> DataFrame:
-    """(block_id, bin, tau): amplitudes that solve K tau = T^T d. One task a block holds the entries of its kernel, never all pairs of its
-    templates. Where templates depend on each other tau is one of many, with the same T tau."""
-    kind = kernels.schema["block_id"].dataType.simpleString()
-
-    def run(entries: pa.Table, amps: pa.Table) -> pa.Table:
-        names, a = np.unique(entries["a"].to_numpy(), return_inverse=True)
-        given = np.zeros(len(names))
-        if entries.num_rows and amps.num_rows:
-            given[np.searchsorted(names, amps["bin"].to_numpy())] = amps["amp"].to_numpy()
-        tau = Eliminated(a, np.searchsorted(names, entries["b"].to_numpy()), entries["k"].to_numpy(), len(names))(given) if entries.num_rows else given
-        return pa.table({"block_id": entries["block_id"].take(pa.array([0] * len(names), pa.int64())), "bin": pa.array(names, pa.int32()), "tau": pa.array(tau)})
-
-    left = kernels.select("block_id", "a", "b", F.col("k").cast("double").alias("k")).groupBy("block_id")
-    other = right.select(F.col("block_id").alias("_block"), "bin", F.col("amp").cast("double").alias("amp")).groupBy("_block")
-    return left.cogroup(other).applyInArrow(run, f"block_id {kind}, bin int, tau double")

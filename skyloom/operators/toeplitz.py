@@ -21,10 +21,14 @@ NARROW = 16
 CHUNK = 1 << 18
 
 
-def mean_removed(rows: DataFrame, value: str, by: str = "block_id") -> DataFrame:
-    """Value less its block's mean. Means are grouped sums joined back, so a long block isn't gathered anywhere."""
-    means = rows.groupBy(by).agg(F.avg(value).alias("_mean"))
-    return rows.join(means, by).withColumn(value, F.col(value) - F.col("_mean")).drop("_mean")
+def _each(value: str | list[str]) -> list[str]:
+    return [value] if isinstance(value, str) else list(value)
+
+
+def mean_removed(rows: DataFrame, value: str | list[str], by: str = "block_id") -> DataFrame:
+    """Value (or several) less its block's mean. Means are grouped sums joined back, so a long block isn't gathered anywhere."""
+    means = rows.groupBy(by).agg(*(F.avg(v).alias(f"_mean_{v}") for v in _each(value)))
+    return rows.join(means, by).withColumns({v: F.col(v) - F.col(f"_mean_{v}") for v in _each(value)}).drop(*(f"_mean_{v}" for v in _each(value)))
 
 
 def narrow_product(rows: DataFrame, value: str, row: Sequence, to: str = "y", by: str = "block_id", chunk: int = CHUNK) -> DataFrame:
@@ -40,38 +44,42 @@ def narrow_product(rows: DataFrame, value: str, row: Sequence, to: str = "y", by
     return cut.filter(F.col("_cell") == F.floor(F.col("t") / chunk)).drop("_cell")
 
 
-def diagonal_product(rows: DataFrame, weights: DataFrame, value: str, to: str = "y", by: str = "block_id") -> DataFrame:
+def diagonal_product(rows: DataFrame, weights: DataFrame, value: str | list[str], to: str | list[str] = "y", by: str = "block_id") -> DataFrame:
     """Bands of width 1: the block's one weight times the value, no mean removed. Rows without a block stay."""
     first = weights.select(F.col(by).alias("_b"), F.col("t").getItem(0).alias("_w"))
-    return rows.join(first, F.col(by) == F.col("_b"), "left").withColumn(to, F.coalesce(F.col("_w"), F.lit(1)) * F.col(value)).drop("_b", "_w")
+    return rows.join(first, F.col(by) == F.col("_b"), "left").withColumns({y: F.coalesce(F.col("_w"), F.lit(1)) * F.col(v) for v, y in zip(_each(value), _each(to))}).drop("_b", "_w")
 
 
-def wide_product(rows: DataFrame, noise: DataFrame, value: str, to: str = "y", by: str = "block_id", chunk: int = CHUNK) -> DataFrame:
-    """(by, t, to): any bandwidth, by FFT. ``noise``: (by, t array). Blocks are cut into chunks that overlap by the
-    bandwidth less one, so a task holds a chunk, however long the block is."""
+def wide_product(rows: DataFrame, noise: DataFrame, value: str | list[str], to: str | list[str] = "y", by: str = "block_id", chunk: int = CHUNK, method: str = "auto", fft_size: int | None = None) -> DataFrame:
+    """(by, t, to): any bandwidth, of one column or of several in one pass (one batch of transforms). ``noise``: (by, t array). Blocks are
+    cut into chunks that overlap by the bandwidth less one, so a task holds a chunk, however long the block is.  ``method``, ``fft_size``:
+    as ``numeric.banded_product`` has them."""
+    values, names = _each(value), _each(to)
     halo = F.col("_width") - 1
     long = rows.join(noise.select(F.col(by), F.size("t").alias("_width")), by)
     cells = F.sequence(F.greatest(F.lit(0), F.floor((F.col("t") - halo) / chunk)), F.floor((F.col("t") + halo) / chunk))
-    cut = long.select(by, "t", F.col(value).cast("double").alias("v"), F.explode(cells).alias("cell"))
+    cut = long.select(by, "t", *(F.col(v).cast("double").alias(f"v{k}") for k, v in enumerate(values)), F.explode(cells).alias("cell"))
     first = noise.select(F.col(by).alias("_block"), F.col("t").alias("row"))
 
     def run(key: tuple, table: pa.Table, rows_of: pa.Table) -> pa.Table:
         table = table.sort_by("t")
         t, cell = table["t"].to_numpy(), key[1].as_py() if table.num_rows else 0
-        full = np.zeros(int(t[-1] - t[0]) + 1) if len(t) else np.zeros(0)
+        full = np.zeros((len(values), int(t[-1] - t[0]) + 1 if len(t) else 0))
         if len(t):
-            full[t - t[0]] = table["v"].to_numpy()
-            full = banded_product(np.asarray(rows_of["row"][0].as_py(), float), full)
+            for k in range(len(values)):
+                full[k, t - t[0]] = table[f"v{k}"].to_numpy()
+            full = banded_product(np.asarray(rows_of["row"][0].as_py(), float), full, method, fft_size)
         own = (t >= cell * chunk) & (t < (cell + 1) * chunk)
-        return pa.table({by: table[by].filter(pa.array(own)), "t": pa.array(t[own]), to: pa.array(full[t[own] - t[0]] if len(t) else full)})
+        at = t[own] - t[0] if len(t) else np.zeros(0, int)
+        return pa.table({by: table[by].filter(pa.array(own)), "t": pa.array(t[own]), **{n: pa.array(np.ascontiguousarray(full[k, at])) for k, n in enumerate(names)}})
 
     kind = rows.schema[by].dataType.simpleString()
     ends = cut.select(F.col(by).alias("_block"), F.col("cell").alias("_cell")).distinct().join(first, "_block")
-    return cut.groupBy(by, "cell").cogroup(ends.groupBy("_block", "_cell")).applyInArrow(run, f"{by} {kind}, t long, {to} double")
+    return cut.groupBy(by, "cell").cogroup(ends.groupBy("_block", "_cell")).applyInArrow(run, f"{by} {kind}, t long, " + ", ".join(f"{n} double" for n in names))
 
 
-def weighted(rows: DataFrame, noise: DataFrame, value: str, bandwidth: int, to: str = "y", remove_mean: bool = True, by: str = "block_id") -> DataFrame:
-    """The noise weighting of a sample vector: diagonal for bandwidth 1, else block means off and the banded product."""
+def weighted(rows: DataFrame, noise: DataFrame, value: str | list[str], bandwidth: int, to: str | list[str] = "y", remove_mean: bool = True, by: str = "block_id") -> DataFrame:
+    """The noise weighting of one sample vector or several: diagonal for bandwidth 1, else block means off and the banded product."""
     if bandwidth == 1:
         return diagonal_product(rows, noise, value, to, by)
     rows = mean_removed(rows, value, by) if remove_mean else rows

@@ -104,13 +104,15 @@ def _on_driver(config: Config, tod: DataFrame, noise: DataFrame, inverse: DataFr
 
 
 def _on_tables(config: Config, tod: DataFrame, noise: DataFrame, inverse: DataFrame, templates: solver.Templates | None) -> tuple[DataFrame, list[float]]:
-    """Beyond the driver's pixels or template kernels: plain CG, also with templates and with the a-priori second level."""
-    if config.solver or config.precond == 2:
-        raise ValueError(f"over {solver.DRIVER_PIXELS} observed pixels or {solver.DRIVER_ENTRIES} entries of template kernels there is neither enlarged CG nor a Lanczos basis; use solver 0 with precond 0 or 1")
+    """The same beyond what the driver holds of pixels or templates: map vectors are tables."""
     operator = table_solver.TableOperator(tod, noise, config.bandwidth, templates=templates, remove_mean=config.remove_mean)
     precondition = table_solver.TableJacobi(written(inverse, "inverse"))
     if config.precond:
-        precondition = table_solver.TableTwoLevel(operator, precondition, config.z_2lvl or 8)
+        groups = config.z_2lvl or 8
+        basis = table_solver.a_priori_basis(operator, groups) if config.precond == 1 else table_solver.lanczos_basis(operator, groups)[0]
+        precondition = table_solver.TableTwoLevel(operator, precondition, basis)
+    if config.solver:
+        return table_solver.enlarged_cg(operator, precondition, config.enlarge, config.tol, config.maxiter, config.block_reduction, config.ortho_alg == 0)
     return table_solver.pcg(operator, precondition, config.tol, config.maxiter)
 
 

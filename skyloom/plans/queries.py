@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from skyloom.operators import flags, index_sets, noise, pixel_blocks, pointing, solver, templates, toeplitz
+from skyloom.operators import flags, index_sets, noise, pixel_blocks, pointing, solver, template_fit, templates, toeplitz
 from skyloom.sources import readers
 from skyloom.sources.staging import written
 
@@ -488,7 +488,8 @@ def template_filtered(spark, sf_dir):
     rows = written(_samples(spark, sf_dir).select("event_id", "block_id", "t", "d"), "samples")
     table = _templates_of(rows)
     right = written(templates.scatter(table, rows, "d"), "amplitudes")
-    tau = written(templates.fitted(templates.kernel(table), right), "fitted")
+    fit = template_fit.factored(template_fit.packed(table), template_fit.packed_entries)
+    tau = written(template_fit.fitted(fit, right), "fitted")
     left = rows.join(templates.project(table, tau), ["block_id", "t"]).withColumn("left", F.col("d") - F.col("y"))
     both = templates.scatter(table, left, "left").join(right.select("block_id", "bin", F.col("amp").alias("whole")), ["block_id", "bin"])
     return both.select("block_id", "bin", (F.abs("amp") <= 1e-8 * (F.abs("whole") + 1e4)).cast("int").alias("fits"))
@@ -573,20 +574,30 @@ def pcg_residuals(spark, sf_dir):
     return told.agg(F.when(first == 1, first.cast("decimal(2,1)")).otherwise(F.lit(None)).alias("first"), (F.max_by("res_rel", "iter") <= 1e-8).cast("int").alias("converged"))
 
 
-@query(_SOLVED)
-def mt_map(spark, sf_dir):
-    """The map that templates leave: tested with templates as tables, which the solver expands itself."""
-    rows = _samples(spark, sf_dir).withColumn("value", F.col("d").cast("double")).withColumn("sweep", F.floor(F.col("t") / 500).cast("int"))
-    rows = written(rows.withColumn("az", F.sin(F.col("t") / 40.0)).withColumn("hwp_angle", F.col("t") / 7.0), "samples")
+def _marginalised(spark, sf_dir, angle: float, how: solver.Templates, sweep: int) -> DataFrame:
+    """Every pixel with whether the map that the solver's own expansion of templates leaves solves the system by templates as tables."""
+    rows = _samples(spark, sf_dir).withColumn("value", F.col("d").cast("double")).withColumn("sweep", F.floor(F.col("t") / sweep).cast("int"))
+    rows = written(rows.withColumn("az", F.sin(F.col("t") / 40.0)).withColumn("hwp_angle", F.col("t") / angle), "samples")
     inverse = pixel_blocks.inverse(pointing.weight_blocks(rows))
-    op = solver.NormalOperator(rows, _noise_rows(spark, sf_dir, [1.0]), 1, templates=solver.Templates(2, 8, 1, 1000))
-    sky = op.frame(solver.pcg(op, solver.BlockJacobi(inverse, op.pixels), 1e-8, 100).x)
-    table = written(templates.expanded(rows, 2, 8, 1, 1000), "templates")
-    kernel = written(templates.kernel(table), "kernels")
+    op = solver.NormalOperator(rows, _noise_rows(spark, sf_dir, [1.0]), 1, templates=how)
+    sky = op.frame(solver.pcg(op, solver.BlockJacobi(inverse, op.pixels), 1e-8, 300).x)
+    table = written(templates.expanded(rows, how.orders, how.azimuth_bins, how.harmonics, how.plate_length), "templates")
+    fit = template_fit.factored(template_fit.packed(table), template_fit.packed_entries)
 
     def filtered(df: DataFrame, v: str) -> DataFrame:
-        fitted = templates.project(table, templates.fitted(kernel, templates.scatter(table, df, v)))
+        fitted = templates.project(table, template_fit.fitted(fit, templates.scatter(table, df, v)))
         return pointing.scatter(df.join(fitted.select("block_id", "t", F.col("y").alias("_fit")), ["block_id", "t"]), F.col(v) - F.col("_fit"))
 
     left = pointing.project(rows, sky, "_p").withColumn("_r", F.col("value") - F.col("_p"))
     return _holds(filtered(left, "_r"), filtered(rows, "value"))
+
+
+@query(_SOLVED)
+def mt_map(spark, sf_dir):
+    return _marginalised(spark, sf_dir, 7.0, solver.Templates(2, 8, 1, 1000), 500)
+
+
+@query(_SOLVED)
+def mt_map_dependent(spark, sf_dir):
+    """Templates that nearly depend on each other: two slow harmonics of the plate are nearly cubic over a sweep."""
+    return _marginalised(spark, sf_dir, 500.0, solver.Templates(4, 0, 2, 130), 101)

@@ -14,6 +14,29 @@ def test_banded_product_is_dense(n, lam, seed):
     assert np.allclose(N.direct_product(t, v), N.dense_toeplitz(t, n) @ v, atol=1e-9)
 
 
+@settings(max_examples=60, deadline=None)
+@given(n=st.integers(1, 700), lam=st.integers(1, 200), m=st.integers(1, 4), seed=st.integers(0, 999))
+def test_every_product_method_is_dense(n, lam, m, seed):
+    """Of several columns at once, by each method and with transforms of each size."""
+    rng = np.random.default_rng(seed)
+    t, v = rng.normal(size=lam), rng.normal(size=(m, n))
+    want = v @ N.dense_toeplitz(t, n)
+    for method in ("auto", "direct", "full", "fft"):
+        assert np.allclose(N.banded_product(t, v, method), want, atol=1e-9)
+    for size in (N.block_size(lam, n), N.block_size(lam, n, "fixed"), N.block_size(lam, n, "cost"), 2 * lam + 1):
+        if size >= 2 * lam:
+            assert np.allclose(N.banded_product(t, v, "fft", size), want, atol=1e-9)
+
+
+def test_the_cheapest_method():
+    assert N.product_method(2, 100_000) == "direct" and N.product_method(2000, 1_000_000) == "fft" and N.product_method(3000, 4000) == "full"
+    assert N.block_size(100, 1 << 20, "cost") >= 256 and N.block_size(100, 1 << 20, "fixed") == 1 << 14
+    with pytest.raises(ValueError):
+        N.banded_product(np.ones(40), np.ones(100), "fft", 64)
+    with pytest.raises(ValueError):
+        N.banded_product(np.ones(40), np.ones(100), "other")
+
+
 def test_worked_rows():
     v = np.array([1.0, 2, 4, 8, 16])
     assert N.banded_product(np.array([2.0, -1, 0]), v).tolist() == [0, -1, -2, -4, 24]
@@ -75,41 +98,3 @@ def test_pseudo_inverse():
     k = x @ x.T
     inv, rank = N.pseudo_inverse(k)
     assert rank == 4 and np.allclose(inv, np.linalg.pinv(k, rcond=1e-12))
-
-
-def gram(n, classes):
-    """Entries of T^T T and T as a list of (bin of each sample, weight of each sample), bins counted through."""
-    first, out = 0, []
-    for bin_, w in classes:
-        out.append((first + bin_, w))
-        first += int(bin_.max()) + 1
-    keys, inverse = np.unique(np.concatenate([a * first + b for a, _ in out for b, _ in out]), return_inverse=True)
-    k = np.bincount(inverse, np.concatenate([w * v for _, w in out for _, v in out]))
-    return keys // first, keys % first, k, first, out
-
-
-def test_elimination_solves_what_pseudo_inverses_solve():
-    """Small parts, chains of overlapping stretches, a border, singular kernels."""
-    for n, sweep, plate, bins in ((3000, 65, 130, 5), (6000, 33, 70, 6), (900, 41, 17, 200), (5, 2, 2, 3)):
-        t = np.arange(n)
-        x = 2 * (t % sweep) / (sweep - 1) - 1
-        classes = [(t // sweep, np.ones(n)), (t // sweep, x), (t * 7 % bins, np.ones(n)), (t // plate, np.cos(t / 7)), (t // plate, np.sin(t / 7))]
-        i, j, k, size, table = gram(n, classes)
-        d = np.random.default_rng(n).normal(size=n) + t
-        amp = sum(np.bincount(a, w * d, size) for a, w in table)
-        solve = N.Eliminated(i, j, k, size)
-        assert n < 6000 or solve.chains and len(solve.border)
-        dense = np.zeros((size, size))
-        dense[i, j] = k
-        fit = lambda tau: sum(w * tau[a] for a, w in table)  # noqa: E731,B023
-        assert np.allclose(fit(solve(amp)), fit(N.pseudo_inverse(dense)[0] @ amp), atol=1e-6 * np.abs(d).max())
-
-
-def test_many_templates_take_no_square_of_memory():
-    """60,000 templates: all their pairs would take 29 GB."""
-    t = np.arange(240_000)
-    i, j, k, size, table = gram(len(t), [(t // 4, np.ones(len(t))), (t % 6, 1.0 + t % 2)])
-    d = np.sin(t) * 1000
-    tau = N.Eliminated(i, j, k, size)(sum(np.bincount(a, w * d, size) for a, w in table))
-    left = d - sum(w * tau[a] for a, w in table)
-    assert size == 60_006 and max(np.abs(np.bincount(a, w * left, size)).max() for a, w in table) < 1e-5
