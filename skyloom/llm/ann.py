@@ -3,7 +3,8 @@
 Vectors get one more coordinate that makes all lengths equal, so that nearest by distance is largest by inner product.
 There is a list for every ``LIST`` vectors (``MOST`` lists at most; beyond that lists grow).  Their centroids are fitted on a
 bounded sample (``PER_LIST`` vectors a list, of the lowest id hashes) by k-means in two levels, then clusters over twice the mean of the sample are
-halved until there is none; so they and a graph over them (each to its nearest ones) fit in every worker's memory.
+halved until there is none.  The graph over them (each to its nearest ones) is made once, from slices of their distances, and goes to the
+workers as edges; searches and calibration hold ``HELD`` numbers at a time, so memory is bounded at any number of lists.
 
 Every vector is put on the list of its nearest centroid and, near a boundary, on those of others within ``REPLICATE`` times that
 distance; a query searches the lists whose centroids lie within a ratio of the distance of the eighth, found by best-first search in
@@ -57,7 +58,7 @@ def _means(x: np.ndarray, lists: int, rng: np.random.Generator, rounds: int = 8)
     """Plain k-means; clusters that lose all their vectors go."""
     c = x[rng.choice(len(x), min(lists, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        near = _squares(x, c).argmin(1)
+        near = _near(x, c)
         size = np.bincount(near, minlength=len(c))
         has = np.flatnonzero(size)
         order = np.argsort(near, kind="stable")
@@ -65,8 +66,17 @@ def _means(x: np.ndarray, lists: int, rng: np.random.Generator, rounds: int = 8)
     return c
 
 
+#: Numbers of a matrix of distances or scores that is held at once.
+HELD = 1 << 22
+
+
+def _slices(rows: int, columns: int) -> Iterator[slice]:
+    step = max(1, HELD // max(1, columns))
+    return (slice(at, at + step) for at in range(0, max(1, rows), step))
+
+
 def _near(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.concatenate([_squares(x[at : at + 8192], c).argmin(1) for at in range(0, len(x), 8192)])
+    return np.concatenate([_squares(x[some], c).argmin(1) for some in _slices(len(x), len(c))])
 
 
 def fit(sample: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
@@ -101,12 +111,15 @@ def calibrate(sample: np.ndarray, graph: Graph, k: int) -> tuple[float, int]:
     ask = np.unique(np.linspace(0, len(sample) - 1, min(ASKED, len(sample))).astype(int))
     q = sample[ask].copy()
     q[:, -1] = 0
-    score = q @ sample.T
-    score[np.arange(len(ask)), ask] = -np.inf
     k = min(k, len(sample) - 1)
     if k < 1:
         return 1.0, len(graph.c)
-    best = np.argpartition(-score, k - 1, 1)[:, :k]
+    best = []
+    for some in _slices(len(ask), len(sample)):
+        score = q[some] @ sample.T
+        score[np.arange(len(score)), ask[some]] = -np.inf
+        best.append(np.argpartition(-score, k - 1, 1)[:, :k].copy())  # not the whole order
+    best = np.concatenate(best)
     rows, back = np.unique(best, return_inverse=True)
     lists, taken = _taken(graph, sample[rows], 32, REPLICATE, NEAREST_OF_COPY, COPIES)
     far = _squares(q, graph.c)
@@ -132,15 +145,34 @@ def _taken(graph: Graph, x: np.ndarray, beam: int, ratio: float, nth: int, most:
 class Graph:
     """Best-first search over centroids, for many vectors at a time."""
 
-    def __init__(self, centroids: np.ndarray):
+    def __init__(self, centroids: np.ndarray, edges: np.ndarray | None = None):
         self.c = centroids
-        near = np.argsort(_squares(centroids, centroids), 1, kind="stable")[:, 1 : DEGREE + 1]
-        ring = (np.arange(len(centroids))[:, None] + 1) % len(centroids)  # keeps the graph connected
-        self.edges = np.concatenate([near, ring], 1)
+        self.edges = self._linked() if edges is None else edges
         self.entries = np.unique(np.linspace(0, len(centroids) - 1, min(64, len(centroids))).astype(int))
 
+    def _linked(self) -> np.ndarray:
+        """The nearest centroids of each, and the next in order, which keeps the graph connected; a slice of the distances at a time."""
+        n, near = len(self.c), min(DEGREE, len(self.c) - 1)
+        out = np.empty((n, near + 1), np.int32)
+        out[:, near] = (np.arange(n) + 1) % n
+        for some in _slices(n, n):
+            dist = _squares(self.c[some], self.c)
+            rows = np.arange(len(dist))[:, None]
+            dist[rows[:, 0], some.start + rows[:, 0]] = np.inf
+            if near:
+                best = np.sort(np.argpartition(dist, near - 1, 1)[:, :near], 1)
+                out[some, :near] = np.take_along_axis(best, np.argsort(dist[rows, best], 1, kind="stable"), 1)
+        return out
+
     def search(self, x: np.ndarray, beam: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and squared distances of the nearest centroids found, nearest first. A round goes on from the ``wide`` nearest, or an eighth of the beam."""
+        """Ids and squared distances of the nearest centroids found, nearest first (where fewer are found, infinity). A round goes on from the
+        ``wide`` nearest, or an eighth of the beam."""
+        found = [self._search(x[some], beam, wide) for some in _slices(len(x), len(self.c))]
+        most = max(d.shape[1] for _, d in found)
+        pad = lambda m, v: np.pad(m, ((0, 0), (0, most - m.shape[1])), constant_values=v)
+        return np.concatenate([pad(i, 0) for i, _ in found]), np.concatenate([pad(d, np.inf) for _, d in found])
+
+    def _search(self, x: np.ndarray, beam: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
         rows, beam = np.arange(len(x))[:, None], min(beam, len(self.c))
         wide = max(wide, beam // 8)
         seen, met = np.zeros((len(x), len(self.c)), bool), np.empty((len(x), len(self.c)), np.int32)
@@ -175,16 +207,6 @@ class Graph:
             ids, dist, fresh = np.concatenate([ids, more], 1), np.concatenate([dist, far], 1), np.concatenate([fresh, np.isfinite(far)], 1)
 
 
-_graphs: dict[bytes, Graph] = {}
-
-
-def _graph(blob: bytes, width: int) -> Graph:
-    if blob not in _graphs:
-        _graphs.clear()
-        _graphs[blob] = Graph(np.frombuffer(blob, np.float32).reshape(-1, width))
-    return _graphs[blob]
-
-
 def _lifted(v: np.ndarray, length: float | None) -> np.ndarray:
     """One more coordinate: what is missing to ``length`` (of a query: 0)."""
     more = np.zeros(len(v)) if length is None else np.sqrt(np.maximum(length**2 - (v.astype(np.float64) ** 2).sum(1), 0))
@@ -207,13 +229,14 @@ class Index:
         told = self.base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PER_LIST * max(lists, 256)).select("v").toArrow()
         sample = _lifted(_matrix(told["v"], width), longest)
         graph = Graph(fit(sample, lists))
-        self.lists_n, blob = len(graph.c), graph.c.tobytes()
+        self.lists_n = len(graph.c)
+        sent = rows.sparkSession.sparkContext.broadcast((graph.c, graph.edges))  # MOST centroids at most, DEGREE + 1 edges each
         self.ratio, self.beam = calibrate(sample, graph, k)
         self.share = max(1, int(BLOCK * self.lists_n / (2 * max(1, self.total))))  # lists a bucket
         share, ratio, beam = self.share, self.ratio, self.beam
 
         def place_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            graph = _graph(blob, width + 1)
+            graph = Graph(*sent.value)
             for b in _parts(batches):
                 ids, take = _taken(graph, _lifted(_matrix(b["v"], width), longest), 32, REPLICATE, NEAREST_OF_COPY, COPIES)
                 of, rank = np.nonzero(take)
@@ -221,7 +244,7 @@ class Index:
                 yield pa.RecordBatch.from_arrays([pa.array(found // share, pa.int32()), pa.array(found, pa.int32()), b["vec_id"].take(pa.array(of)), b["v"].take(pa.array(of))], ["bucket", "list", "id", "v"])
 
         def place_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            graph = _graph(blob, width + 1)
+            graph = Graph(*sent.value)
             for b in _parts(batches):
                 ids, take = _taken(graph, _lifted(_matrix(b["v"], width), None), beam, ratio, NEAREST_OF_QUERY, None)
                 of, rank = np.nonzero(take)

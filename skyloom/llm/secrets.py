@@ -164,6 +164,20 @@ def scan(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     return rows.select("doc_id", *sizes, F.sha2(_told(F.col("_base")).cast("binary"), 256).alias("base_sha256"), _told(F.col("found")).alias("spans"), "found")
 
 
+def _pieces(text: Column, gaps: Column) -> Column:
+    """The text of each of ``gaps`` (low, high).  The text is cut into stretches once and a gap is made of parts of those that it meets, so the
+    time is in proportion to the text and the number of gaps."""
+    stretches = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))
+
+    def piece(all_: Column, g: Column) -> Column:
+        low, high = g["low"], g["high"]
+        begin = lambda j: F.greatest(low, j * STRETCH)
+        part = lambda j: F.substring(F.get(all_, j.cast("int")), (begin(j) - j * STRETCH + 1).cast("int"), (F.least(high, (j + 1) * STRETCH) - begin(j)).cast("int"))
+        return F.when(high > low, F.array_join(F.transform(F.sequence(F.floor(low / STRETCH), F.floor((high - 1) / STRETCH)), part), "")).otherwise(F.lit(""))
+
+    return let(stretches, lambda all_: F.transform(gaps, lambda g: piece(all_, g)))
+
+
 def redacted(docs: DataFrame, mark: str = "[SECRET]", allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """The rows of ``docs`` with each secret in ``text`` replaced by ``mark`` and ``n_chars`` counted anew where that
     changed the text. Secrets that overlap or touch become one mark."""
@@ -171,9 +185,10 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", allow: tuple[str, ...] = A
     text, spans = F.col("_text"), F.col("_spans")
     rows = rows.select("_row", "_text", F.array_sort(F.concat("_assign", "_access", "_hex", "_entropy")).alias("_spans"))
     reached = running_max(F.transform(spans, lambda s: s["end"]))
-    parts = F.zip_with(spans, reached, lambda s, r: F.when((r == 0) | (s["start"] > r), F.substring(text, (r + 1).cast("int"), (s["start"] - r).cast("int"))))
-    tail = F.substring(text, (F.array_max(F.transform(spans, lambda s: s["end"])) + 1).cast("int"), F.length(text))
-    cut = F.array_join(F.array_append(F.filter(parts, lambda p: p.isNotNull()), tail), mark)
+    gap = lambda low, high: F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"))
+    gaps = F.zip_with(spans, reached, lambda s, r: F.when((r == 0) | (s["start"] > r), gap(r, s["start"])))
+    gaps = F.array_append(F.filter(gaps, lambda g: g.isNotNull()), gap(F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text)))
+    cut = F.array_join(_pieces(text, gaps), mark)
     old = F.col("_row")
     rows = rows.select("_row", F.when(F.size(spans) == 0, old["text"]).otherwise(cut).alias("_new"))
     new = {"text": F.col("_new")}

@@ -107,3 +107,37 @@ def test_wide_beams_take_few_rounds():
         assert all(len(set(own)) == beam for own in ids.tolist())
         assert np.mean([np.isin(w, i).mean() for w, i in zip(want, ids)]) >= least
     assert Counted.rounds <= 50
+
+
+def test_memory_at_the_most_lists():
+    """The graph over as many centroids as there may be, the calibration of as large a sample, and a worker's search: under 500 MB each."""
+    import tracemalloc
+
+    rng = np.random.default_rng(11)
+    sample = rng.normal(size=(ann.MOST * ann.PER_LIST, 9)).astype(np.float32)
+    centroids = sample[:: ann.PER_LIST].copy()
+    tracemalloc.start()
+    try:
+        graph = ann.Graph(centroids)
+        assert tracemalloc.get_traced_memory()[1] < 500e6
+        ratio, beam = ann.calibrate(sample, graph, 20)
+        worker = ann.Graph(graph.c, graph.edges)
+        ids, dist = worker.search(sample[:512], 64)
+        assert ann._near(sample[:5000], centroids).shape == (5000,)
+        assert tracemalloc.get_traced_memory()[1] < 500e6
+    finally:
+        tracemalloc.stop()
+    assert graph.edges.shape == (ann.MOST, ann.DEGREE + 1) and graph.edges.dtype == np.int32 and ratio >= 1 and beam <= ann.MOST
+    true = ann._squares(sample[:64], centroids).argmin(1)
+    assert (ids[:64, 0] == true).mean() > 0.9
+
+
+def test_edges_go_to_the_nearest():
+    c = np.random.default_rng(12).normal(size=(700, 5)).astype(np.float32)
+    far = ann._squares(c, c)
+    np.fill_diagonal(far, np.inf)
+    want = np.sort(far, 1)[:, : ann.DEGREE]
+    edges = ann.Graph(c).edges
+    assert np.allclose(np.take_along_axis(far, edges[:, :-1].astype(int), 1), want, rtol=1e-5, atol=1e-6) and (edges[:, -1] == (np.arange(700) + 1) % 700).all()
+    for n in (1, 2, 5):
+        assert ann.Graph(c[:n]).search(c[:3], 8)[0].shape[0] == 3

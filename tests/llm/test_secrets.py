@@ -125,3 +125,28 @@ def test_running_sum_over_blocks(spark):
 def test_native_plan_and_empty_table(spark):
     out = secrets.scan(frame(spark).limit(0))
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 0
+
+
+def test_redaction_of_many_secrets_is_linear(spark):
+    """Thousands of secrets in a text, next to each other, at stretches' ends and around characters of several units: the text without them,
+    in about the time of the scan."""
+    import random
+    import time
+
+    rng = random.Random(9)
+    key = lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOP") for _ in range(16))
+    gaps = ["".join(rng.choice("ab \n\U0001f600é.") for _ in range(rng.choice([1, 2, 7, 40, 300]))) + " " for _ in range(6000)]
+    keys = [key() for _ in gaps]
+    rows = [(1, "".join(g + k + " " for g, k in zip(gaps, keys))), (2, "".join(g + k + " " for g, k in zip(gaps, keys)) * 4), (3, keys[0]), (4, " ".join(keys[:3])), (5, ""), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache()
+    docs.count()
+    want = {1: "".join(g + "[SECRET] " for g in gaps), 3: "[SECRET]", 4: "[SECRET] [SECRET] [SECRET]", 5: "", 6: None}
+    want[2] = want[1] * 4
+    began = time.time()
+    secrets.scan(docs).write.format("noop").mode("overwrite").save()
+    scanned = time.time() - began
+    began = time.time()
+    got = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
+    took = time.time() - began
+    assert got == want
+    assert took < 3 * scanned + 5
