@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from skyloom.operators.index_sets import numbered
+from skyloom.operators.index_sets import numbered, numbered_within
 
 
 def flagged(shared: Column, shared_mask: int, detector: Column | None = None, detector_mask: int = 0) -> Column:
@@ -41,9 +41,7 @@ def gaps_reset(rows: DataFrame, gaps: DataFrame, value: str, row: str = "row") -
 def gaps_dropped(rows: DataFrame, gaps: DataFrame, row: str = "row", by: list[str] | None = None) -> DataFrame:
     """Rows outside gaps, renumbered from 0 within ``by`` (column ``packed``)."""
     out = in_gaps(rows, gaps, row).filter("NOT in_gap").drop("in_gap")
-    if not by:
-        return numbered(out, [row], "packed")
-    return out.withColumn("packed", (F.row_number().over(Window.partitionBy(*by).orderBy(row)) - 1).cast("long"))
+    return numbered_within(out, by, [row], "packed") if by else numbered(out, [row], "packed")
 
 
 def gaps_filled(packed: DataFrame, rows: DataFrame, value: str, row: str = "row") -> DataFrame:

@@ -139,7 +139,10 @@ class NormalOperator:
             raise TooMany(f"{count} pixels are too many for vectors on the driver; use table_solver")
         self.pixels = np.sort(np.array(pixels.toArrow()["pix"].to_numpy(), np.int64))
         self.rows = self._layout(tod, noise, value, chunk) if templates is None else self._template_layout(tod, noise, value, chunk)
-        self.cut = not self.rows.groupBy("block_id").count().filter("count > 1").isEmpty() if self.remove_mean else False
+        chunks = self.rows.groupBy("block_id").count().agg(F.max("count"), F.count(F.lit(1))).first() if self.remove_mean else (0, 0)
+        self.cut = (chunks[0] or 0) > 1
+        if self.cut and chunks[1] > DRIVER_BINS:  # their means come to the driver
+            raise TooMany(f"{chunks[1]} blocks are too many for the driver; use table_solver")
 
     def _layout(self, tod: DataFrame, noise: DataFrame, value: str, chunk: int) -> DataFrame:
         halo, places = self.bandwidth - 1, self.spark.sparkContext.broadcast(self.pixels)

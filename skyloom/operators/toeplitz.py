@@ -13,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skyloom.functions.numeric import banded_product
+from skyloom.operators import index_sets
 from skyloom.operators.flags import gaps_reset, in_gaps
+from skyloom.sources.staging import written
 
 #: Bands up to this width are window expressions; wider ones go through the FFT.
 NARROW = 16
@@ -101,10 +103,11 @@ def gappy_blocks(rows: DataFrame, gaps: DataFrame, bandwidth: int, by: str = "bl
     piece; rows of such gaps go. ``gaps``: (id0, len) by ``row``."""
     long = gaps.filter(F.col("len") >= bandwidth)
     kept = in_gaps(rows, long).filter("NOT in_gap").drop("in_gap")
-    order = Window.partitionBy(by).orderBy("t")
-    broken = F.col("t") - F.lag("t").over(order) > bandwidth - 1
-    cut = kept.withColumn("piece", F.sum(F.when(broken, 1).otherwise(0)).over(order))
-    return cut.withColumn("t", F.col("t") - F.min("t").over(Window.partitionBy(by, "piece")))
+    part = index_sets.with_previous(index_sets.ranged(kept, [by], ["t"]), [by], "t", "_previous")
+    part = part.withColumn("_broken", F.when(F.col("t") - F.col("_previous") > bandwidth - 1, 1).otherwise(0))
+    cut = written(index_sets.running_total(part, [by], "_broken", "piece").select(*kept.columns, "piece"), "pieces")
+    first = cut.groupBy(by, "piece").agg(F.min("t").alias("_first"))
+    return cut.join(first, [by, "piece"]).select(*(F.col(c) if c != "t" else (F.col("t") - F.col("_first")).alias("t") for c in kept.columns), "piece")
 
 
 def checked_bandwidth(noise: DataFrame, sizes: DataFrame, by: str = "block_id") -> None:

@@ -2,31 +2,141 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from skyloom.sources.staging import written
+from skyloom.sources.stores import matching, store
 
 #: Fixed formats of raw files: kind -> numpy type and values a sample.
 RAW = {"pointing": ("<u4", 1), "signal": ("<f8", 1), "angle": ("<f8", 1), "pixels": ("<u4", 3), "weights": ("<f8", 3), "bandwidth": ("<f8", 1), "sizes": ("<i4", 1), "indices": ("<i4", 3), "integers": ("<i4", 1)}
 
 
-def raw(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """(part, row, values array) of raw binary files; ``part`` is the number at the end of the file's name."""
-    dtype, width = RAW[kind]
-    held = "double" if dtype.endswith("f8") else "bigint"
+class Rows(InputPartition):
+    """Rows ``first`` to ``first`` + ``count`` of a file."""
+
+    def __init__(self, path: str, part: int | None, first: int, count: int):
+        super().__init__(path)
+        self.path, self.part, self.first, self.count = path, part, first, count
+
+
+class RawReader(DataSourceReader):
+    """A file lies in as many tasks as it has stretches of ``rows``; a task seeks its own and reads it in slices."""
+
+    SLICE = 1 << 16
+
+    def __init__(self, path: str, kind: str, rows: int):
+        self.path, self.kind, self.rows = path, kind, rows
+
+    def partitions(self) -> list[Rows]:
+        dtype, width = RAW[self.kind]
+        out = []
+        for path, size in matching(self.path):
+            number = re.search(r"(\d+)\.[^./]*$", path)
+            held = size // (np.dtype(dtype).itemsize * width)
+            out += [Rows(path, int(number[1]) if number else None, at, min(self.rows, held - at)) for at in range(0, held, self.rows)]
+        return out or [Rows("", None, 0, 0)]
+
+    def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
+        if not partition.count:
+            return
+        dtype, width = RAW[self.kind]
+        kind, one = (pa.float64(), "f8") if dtype.endswith("f8") else (pa.int64(), "i8")
+        size = np.dtype(dtype).itemsize * width
+        with store(self.path)[0].open_input_file(partition.path) as f:
+            f.seek(partition.first * size)
+            for at in range(0, partition.count, self.SLICE):
+                n = min(self.SLICE, partition.count - at)
+                flat = np.frombuffer(f.read(n * size), dtype).astype(one)
+                values = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * width, width), pa.int32()), pa.array(flat, kind))
+                first = partition.first + at
+                yield pa.RecordBatch.from_arrays([pa.array([partition.part] * n, pa.int64()), pa.array(np.arange(first, first + n)), values], ["part", "row", "values"])
+
+
+class RawFiles(DataSource):
+    """Options: path (a file, a folder or names with wildcards), kind (of ``RAW``), rows (of a task)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "skyloom_raw"
+
+    def schema(self) -> str:
+        return f"part long, row long, values array<{'double' if RAW[self.options['kind']][0].endswith('f8') else 'bigint'}>"
+
+    def reader(self, schema) -> RawReader:
+        return RawReader(self.options["path"], self.options["kind"], int(self.options.get("rows", 1 << 22)))
+
+
+def raw(spark: SparkSession, path: str, kind: str, rows: int = 1 << 22) -> DataFrame:
+    """(part, row, values array) of raw binary files, a task for each ``rows`` rows of a file; ``part`` is the number at the end of the file's
+    name."""
+    spark.dataSource.register(RawFiles)
+    return spark.read.format("skyloom_raw").options(kind=kind, rows=rows).load(path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part, blob in zip(b["part"].to_pylist(), b["content"]):
-                flat = np.frombuffer(blob.as_buffer(), dtype)
-                rows = len(flat) // width
-                values = pa.FixedSizeListArray.from_arrays(pa.array(flat[: rows * width].astype("f8" if held == "double" else "i8")), width).cast(pa.list_(pa.float64() if held == "double" else pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([part] * rows, pa.int64()), pa.array(np.arange(rows)), values], ["part", "row", "values"])
 
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"(\d+)\.[^./]*$", 1).cast("long").alias("part"), "content")
-    return files.mapInArrow(run, f"part long, row long, values array<{held}>")
+def _fits_start(f) -> tuple[int, int]:
+    """Where the table's data begin and how many rows it has."""
+    text, ends, head = b"", 0, 0
+    while ends < 2:
+        block = f.read(2880)
+        if len(block) < 2880:
+            raise ValueError("no FITS table")
+        text += block
+        if any(block[k : k + 80].rstrip() == b"END" for k in range(0, 2880, 80)):
+            ends += 1
+            head = len(text) if ends == 1 else head
+    return len(text), int(re.search(rb"NAXIS2\s*=\s*(\d+)", text[head:])[1])
+
+
+class FitsReader(RawReader):
+    """The one column of a HEALPix table, by stretches of its rows."""
+
+    def __init__(self, path: str, rows: int):
+        super().__init__(path, "signal", rows)
+
+    def partitions(self) -> list[Rows]:
+        out = []
+        for path, _ in matching(self.path):
+            with store(self.path)[0].open_input_file(path) as f:
+                _, held = _fits_start(f)
+            out += [Rows(path, None, at, min(self.rows, held - at)) for at in range(0, held, self.rows)]
+        return out or [Rows("", None, 0, 0)]
+
+    def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
+        if not partition.count:
+            return
+        with store(self.path)[0].open_input_file(partition.path) as f:
+            start, _ = _fits_start(f)
+            f.seek(start + 8 * partition.first)
+            for at in range(0, partition.count, self.SLICE):
+                n, first = min(self.SLICE, partition.count - at), partition.first + at
+                values = np.frombuffer(f.read(8 * n), ">f8").astype(float)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + n)), pa.array(values)], ["pix", "value"])
+
+
+class FitsFiles(DataSource):
+    """Options: path, rows (of a task)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "skyloom_fits"
+
+    def schema(self) -> str:
+        return "pix long, value double"
+
+    def reader(self, schema) -> FitsReader:
+        return FitsReader(self.options["path"], int(self.options.get("rows", 1 << 22)))
+
+
+def fits_map(spark: SparkSession, path: str, rows: int = 1 << 22) -> DataFrame:
+    """(pix, value) of a HEALPix map in FITS."""
+    spark.dataSource.register(FitsFiles)
+    return spark.read.format("skyloom_fits").option("rows", rows).load(path)
 
 
 def raw_samples(spark: SparkSession, pixels: str, weights: str, signal: str) -> DataFrame:
@@ -65,16 +175,16 @@ def noise_blocks(spark: SparkSession, path: str, bandwidth: int) -> DataFrame:
 
 
 def ell(spark: SparkSession, path: str) -> DataFrame:
-    """(part, line, j, col, val) of ASCII files with lines ``idx val [idx val ...]``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part, text in zip(b["part"].to_pylist(), b["content"]):
-                rows = [(n, j, int(w[2 * j]), float(w[2 * j + 1])) for n, line in enumerate(text.as_py().decode().splitlines()) if (w := line.split()) for j in range(len(w) // 2)]
-                columns = list(zip(*rows)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.float64())))], ["part", "line", "j", "col", "val"])
-
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"(\d+)\.[^./]*$", 1).cast("long").alias("part"), "content")
-    return files.mapInArrow(run, "part long, line long, j int, col long, val double")
+    """(part, line, j, col, val) of ASCII files with lines ``idx val [idx val ...]``.  Lines are numbered from 0 in each file: each split of
+    a file numbers its own, after those of the splits before it."""
+    file, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    lines = written(spark.read.text(path).select("value", file.alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("id")), "lines")
+    held = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")  # a row a split
+    lines = lines.join(held.select("file", "block", (before - F.col("first")).alias("shift")), ["file", "block"])
+    words = lines.select(F.regexp_extract("file", r"(\d+)\.[^./]*$", 1).cast("long").alias("part"), (F.col("id") + F.col("shift")).alias("line"), F.split(F.trim("value"), r"\s+").alias("w"))
+    pairs = words.filter(F.size("w") > 1).select("part", "line", "w", F.explode(F.sequence(F.lit(0), (F.size("w") / 2 - 1).cast("int"))).alias("j"))
+    return pairs.select("part", "line", "j", F.get("w", 2 * F.col("j")).cast("long").alias("col"), F.get("w", 2 * F.col("j") + 1).cast("double").alias("val"))
 
 
 def synthetic(spark: SparkSession, rows: int, seed: int = 0) -> DataFrame:
@@ -114,5 +224,6 @@ def event_pointing(spark: SparkSession, sf_dir: str, pix: Column | None = None)
 
 def event_samples(spark: SparkSession, sf_dir: str, pix: Column | None = None) -> DataFrame:
     """``event_pointing`` with t, the place within the block by time."""
-    w = Window.partitionBy("block_id").orderBy("ts", "event_id")
-    return event_pointing(spark, sf_dir, pix).withColumn("t", (F.row_number().over(w) - 1).cast("long"))
+    from skyloom.operators.index_sets import numbered_within
+
+    return numbered_within(event_pointing(spark, sf_dir, pix), ["block_id"], ["ts", "event_id"], "t")

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.datasource import DataSource
 
 from skyloom.sources import staging
+from skyloom.sources.stores import NamedWriter
 
 #: The names of coordinate systems in the files.
 COORDINATES = {"G": "G       ", "E": "E       ", "C": "C       ", "Q": "C       "}
+#: Numbers of a map that a writer holds.
+CELLS = 1 << 20
 NAMES = (("i", "mapI"), ("q", "mapQ"), ("u", "mapU"), ("rcond", "Cond"), ("hits", "Hits"))
 
 
@@ -25,19 +29,42 @@ def _header(cards: Iterable[bytes]) -> bytes:
     return text.ljust(-(-len(text) // 2880) * 2880)
 
 
-def fits_map(values: np.ndarray, nside: int, coordinates: str = "C") -> bytes:
-    """A HEALPix map as FITS: an empty primary unit and a table with the one column SIGNAL."""
-    if len(values) != 12 * nside * nside:
-        raise ValueError("the map must cover the sphere")
+def _fits_header(nside: int, coordinates: str) -> bytes:
+    """An empty primary unit and the head of a table with the one column SIGNAL."""
     if coordinates[:1].upper() not in COORDINATES:
         raise ValueError(f"unknown coordinate system {coordinates}")
     primary = _header([_card("SIMPLE", True), _card("BITPIX", 16), _card("NAXIS", 0), _card("EXTEND", True)])
-    table = _header([
-        _card("XTENSION", "BINTABLE"), _card("BITPIX", 8), _card("NAXIS", 2), _card("NAXIS1", 8), _card("NAXIS2", len(values)), _card("PCOUNT", 0), _card("GCOUNT", 1), _card("TFIELDS", 1),
+    return primary + _header([
+        _card("XTENSION", "BINTABLE"), _card("BITPIX", 8), _card("NAXIS", 2), _card("NAXIS1", 8), _card("NAXIS2", 12 * nside * nside), _card("PCOUNT", 0), _card("GCOUNT", 1), _card("TFIELDS", 1),
         _card("TTYPE1", "SIGNAL"), _card("TFORM1", "1D"), _card("PIXTYPE", "HEALPIX", "HEALPIX pixelisation"), _card("ORDERING", "NESTED"), _card("NSIDE", nside), _card("COORDSYS", COORDINATES[coordinates[:1].upper()]),
     ])
-    data = np.asarray(values, ">f8").tobytes()
-    return primary + table + data.ljust(-(-len(data) // 2880) * 2880, b"\0")
+
+
+def fits_pieces(batches: Iterable[tuple[np.ndarray, np.ndarray]], nside: int, coordinates: str = "C") -> Iterator[bytes]:
+    """A HEALPix map as FITS from (pixels, values) in ascending order of pixels, which needn't be all: others are 0."""
+    yield _fits_header(nside, coordinates)
+    at, most = 0, 12 * nside * nside
+    for pix, values in batches:
+        if not len(pix):
+            continue
+        if pix[0] < at or pix[-1] >= most or (np.diff(pix) <= 0).any():
+            raise ValueError("pixels must ascend within the sphere")
+        for low in range(at, int(pix[-1]) + 1, CELLS):  # also where the next pixel is far
+            some = np.zeros(min(CELLS, int(pix[-1]) + 1 - low), ">f8")
+            own = slice(*np.searchsorted(pix, [low, low + len(some)]))
+            some[pix[own] - low] = values[own]
+            yield some.tobytes()
+        at = int(pix[-1]) + 1
+    for low in range(at, most, CELLS):
+        yield bytes(8 * min(CELLS, most - low))
+    yield bytes(-8 * most % 2880)
+
+
+def fits_map(values: np.ndarray, nside: int, coordinates: str = "C") -> bytes:
+    """A whole map as FITS."""
+    if len(values) != 12 * nside * nside:
+        raise ValueError("the map must cover the sphere")
+    return b"".join(fits_pieces([(np.arange(len(values)), np.asarray(values, float))], nside, coordinates))
 
 
 def read_fits_map(blob: bytes) -> tuple[dict[str, str], np.ndarray]:
@@ -60,23 +87,65 @@ def read_fits_map(blob: bytes) -> tuple[dict[str, str], np.ndarray]:
     return head, np.frombuffer(blob, ">f8", int(head["NAXIS2"]), at).astype(float)
 
 
-def write_products(maps, config) -> None:
-    """Parquet of the observed sky, five FITS files, residuals (binary doubles and text) and the parameters.
+class _MapWriter(NamedWriter):
+    """One file from (pix, value) rows in order, all in one task, which holds a batch and ``CELLS`` numbers of it."""
+
+    def __init__(self, path: str, name: str, nside: int, coordinates: str):
+        super().__init__(path)
+        self.name, self.nside, self.coordinates = name, nside, coordinates
+
+    def pieces(self, batches):
+        rows = ((b["pix"].to_numpy(), b["value"].to_numpy()) for b in batches)
+        return ((self.name, piece) for piece in fits_pieces(rows, self.nside, self.coordinates))
 
-    FITS files hold whole maps of 12 nside^2 doubles, a size that the settings bound; they are written by the driver.
-    """
+
+class _PartsWriter(NamedWriter):
+    """Four files a task, named by the task's number."""
+
+    def pieces(self, batches):
+        from pyspark import TaskContext
+
+        k = TaskContext.get().partitionId()
+        for name, _ in PARTS.values():
+            yield f"{name}{k}.dat", b""
+        for b in batches:
+            for column, (name, kind) in PARTS.items():
+                yield f"{name}{k}.dat", b[column].to_numpy(zero_copy_only=False).astype(kind).tobytes()
+
+
+class MapFiles(DataSource):
+    """Option ``what``: ``fits`` (rows pix, value; options name, nside, coordinates) or ``parts``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "skyloom_maps"
+
+    def schema(self) -> str:
+        return "pix long, value double"
+
+    def writer(self, schema, overwrite: bool) -> NamedWriter:
+        o = self.options
+        return _PartsWriter(o["path"]) if o["what"] == "parts" else _MapWriter(o["path"], o["name"], int(o["nside"]), o["coordinates"])
+
+
+def write_fits(sky: DataFrame, column: str, path: str, name: str, nside: int, coordinates: str = "C") -> None:
+    """A column of the observed sky as one FITS file, written by an executor as the sorted pixels pass."""
+    sky.sparkSession.dataSource.register(MapFiles)
+    rows = sky.select(F.col("pix").cast("long").alias("pix"), F.col(column).cast("double").alias("value")).orderBy("pix").coalesce(1)
+    rows.write.format("skyloom_maps").mode("append").options(what="fits", name=name, nside=nside, coordinates=coordinates).save(path)
+
+
+def write_products(maps, config) -> None:
+    """Parquet of the observed sky, five FITS files, residuals (binary doubles and text) and the parameters."""
     from skyloom.plans.config import as_toml
 
     out, ref, spark = config.path_output.rstrip("/"), config.ref, maps.sky.sparkSession
-    names = [f"{out}/{name}_{ref}.fits" for _, name in NAMES]
-    for name in names:
-        staging.removed(spark, name)  # raises before anything is written
+    for _, name in NAMES:
+        staging.removed(spark, f"{out}/{name}_{ref}.fits")  # raises before anything is written
     maps.sky.write.mode("overwrite").parquet(f"{out}/sky_{ref}.parquet")
-    for (column, _), name in zip(NAMES, names):  # a column at a time: one whole map in memory
-        table = maps.sky.select("pix", column).toArrow()
-        whole = np.zeros(12 * config.nside**2)
-        whole[table["pix"].to_numpy()] = table[column].to_numpy()
-        staging.put(spark, name, fits_map(whole, config.nside, config.coordinates))
+    sky = spark.read.parquet(f"{out}/sky_{ref}.parquet")
+    for column, name in NAMES:
+        write_fits(sky, column, out, f"{name}_{ref}.fits", config.nside, config.coordinates)
     staging.put(spark, f"{out}/pcg_residuals_{ref}.dat", struct.pack(f"<{len(maps.residuals)}d", *maps.residuals))
     staging.put(spark, f"{out}/residuals_{ref}.txt", "".join(f"{r:.15e}\n" for r in maps.residuals).encode())
     staging.put(spark, f"{out}/parameters_{ref}.toml", as_toml(config).encode())
@@ -87,15 +156,10 @@ PARTS = {"pix": ("mapout_lstid_", "<i4"), "hits": ("mapout_lhits_", "<i4"), "rco
 
 
 def write_map_parts(sky: DataFrame, path: str, parts: int = 1) -> None:
-    """The observed sky (pix, hits, rcond, i) as binary parts by ranges of pixels: four files each, written by the driver, a part at a time."""
-    spark = sky.sparkSession
-    edges = sky.select(F.expr(f"percentile_approx(pix, array({', '.join(str(k / parts) for k in range(1, parts))}), 10000) AS e")).first()["e"] if parts > 1 else []
-    edges = [None, *(edges or []), None]
-    for k, (low, high) in enumerate(zip(edges, edges[1:])):
-        own = sky if low is None else sky.filter(F.col("pix") > low)
-        table = (own if high is None else own.filter(F.col("pix") <= high)).select(*PARTS).orderBy("pix").toArrow()
-        for column, (name, kind) in PARTS.items():
-            staging.put(spark, f"{path}/{name}{k}.dat", table[column].to_numpy().astype(kind).tobytes())
+    """The observed sky (pix, hits, rcond, i) as binary parts by ranges of pixels: four files each, all in one job, a task a part."""
+    sky.sparkSession.dataSource.register(MapFiles)
+    rows = sky.select(*PARTS).repartitionByRange(parts, "pix").sortWithinPartitions("pix")
+    rows.write.format("skyloom_maps").mode("append").option("what", "parts").save(path)
 
 
 def write_spectra(spectra: DataFrame, path: str) -> None:

@@ -2,10 +2,12 @@
 
 Each attempt of a task gives its files names of their own; the list of the files of the attempts that count is written when
 the job commits.  So a lost executor or a task that ran twice leaves at most files that no list names, and nothing is renamed.
+Where a format wants files of given names (``NamedWriter``), the job's commit moves those of the attempts that count to their names.
 """
 
 from __future__ import annotations
 
+import fnmatch
 import json
 import uuid
 from collections.abc import Iterator
@@ -40,6 +42,16 @@ def listed(path: str, ending: str) -> list[tuple[str, int]]:
     return sorted((i.path, i.size) for i in found if i.type == pafs.FileType.File and i.path.endswith(ending))
 
 
+def matching(path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the file, of a folder's files, or of those whose names match the last part of the path."""
+    if not set(path.rsplit("/", 1)[-1]) & set("*?["):
+        return listed(path, "")
+    fs, at = store(path)
+    folder, pattern = at.rsplit("/", 1)
+    found = fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+    return sorted((i.path, i.size) for i in found if i.type == pafs.FileType.File and fnmatch.fnmatch(i.base_name, pattern))
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list[tuple[str, int]] = field(default_factory=list)
@@ -85,3 +97,33 @@ class FilesWriter(DataSourceArrowWriter):
         fs, at = store(self.path)
         for name, _ in (x for m in messages if m is not None for x in m.files):
             fs.delete_file(f"{at}/{name}")
+
+
+class NamedWriter(DataSourceArrowWriter):
+    """``pieces`` makes (name, bytes) from a task's rows, the pieces of several files in any order; no two tasks make the same name."""
+
+    def __init__(self, path: str):
+        self.path = path.rstrip("/")
+
+    def pieces(self, batches: Iterator) -> Iterator[tuple[str, bytes]]:
+        raise NotImplementedError
+
+    def write(self, iterator: Iterator) -> Written:
+        fs, at = store(self.path)
+        fs.create_dir(at, recursive=True)
+        attempt, out, sizes = uuid.uuid4().hex, {}, {}
+        for name, piece in self.pieces(iterator):
+            if name not in out:
+                out[name], sizes[name] = fs.open_output_stream(f"{at}/.{name}-{attempt}", compression=None), 0
+            out[name].write(piece)
+            sizes[name] += len(piece)
+        for f in out.values():
+            f.close()
+        return Written([(f".{name}-{attempt}", size) for name, size in sizes.items()])
+
+    def commit(self, messages: list[Written | None]) -> None:
+        fs, at = store(self.path)
+        for name, _ in (x for m in messages if m is not None for x in m.files):
+            fs.move(f"{at}/{name}", f"{at}/{name[1:].rsplit('-', 1)[0]}")
+
+    abort = FilesWriter.abort
