@@ -29,9 +29,9 @@ def product_method(lam: int, n: int, columns: int = 1) -> str:
     return min(costs, key=costs.get)
 
 
-def banded_product(t: np.ndarray, v: np.ndarray, method: str = "auto", size: int | None = None) -> np.ndarray:
+def banded_product(t: np.ndarray, v: np.ndarray, method: str = "auto", size: int | str | None = None) -> np.ndarray:
     """Symmetric Toeplitz matrix with first row ``t`` (zero beyond) times v, along v's last axis. ``method``: direct, fft, full or auto;
-    ``size``: of the transforms of fft."""
+    ``size``: of the transforms of fft, or the rule of ``block_size`` for it."""
     v = np.asarray(v, float)
     n, lam = v.shape[-1], min(len(t), v.shape[-1])
     if n == 0:
@@ -45,7 +45,7 @@ def banded_product(t: np.ndarray, v: np.ndarray, method: str = "auto", size: int
         return np.fft.irfft(np.fft.rfft(v, size) * np.fft.rfft(_column(t, size)), size)[..., :n]
     if method != "fft":
         raise ValueError(f"no product method {method}")
-    size = block_size(lam, n + 2 * (lam - 1), "cost") if size is None else size
+    size = size if isinstance(size, int) else block_size(lam, n + 2 * (lam - 1), size or "cost")
     if size < 2 * lam:
         raise ValueError(f"transforms of {size} are too short for a band of {lam}")
     step = size - 2 * (lam - 1)
@@ -139,17 +139,23 @@ FIT_HIGH = (0.0, 0.0, 20.0, 1.0)
 def fit_log_psd(f: np.ndarray, power: np.ndarray, most: int = 1000) -> np.ndarray:
     """Bounded damped least squares of log10(power) over positive frequencies."""
     ok = (f > 0) & (power > 0)
-    f, y = f[ok], np.log10(power[ok])
+    return fit_means(f[ok], np.log10(power[ok]), np.ones(int(ok.sum())), most)
+
+
+def fit_means(f: np.ndarray, y: np.ndarray, count: np.ndarray, most: int = 1000) -> np.ndarray:
+    """The same for means y of log10(power) over ``count`` neighbouring frequencies each."""
+    root = np.sqrt(count)
     low, high = np.array(FIT_LOW), np.array(FIT_HIGH)
     low[2] = 1e-8  # a knee of 0 has no value
     low[3] = 1e-12
     p, damping = np.clip(np.array(FIT_START), low, high), 1e-2
-    rest = log_psd(f, *p) - y
+    misfit = lambda p: root * (log_psd(f, *p) - y)
+    rest = misfit(p)
     cost = rest @ rest
     for _ in range(most):
         step = 1e-6 * np.maximum(np.abs(p), 1e-6)
         step = np.where(p + step > high, -step, step)
-        jac = np.stack([(log_psd(f, *(p + np.eye(4)[k] * step[k])) - y - rest) / step[k] for k in range(4)], 1)
+        jac = np.stack([(misfit(p + np.eye(4)[k] * step[k]) - rest) / step[k] for k in range(4)], 1)
         grad, hess = jac.T @ rest, jac.T @ jac
         free = ~(((p <= low) & (grad > 0)) | ((p >= high) & (grad < 0)))
         if not free.any() or np.abs(grad[free]).max() < 1e-12:
@@ -158,7 +164,7 @@ def fit_log_psd(f: np.ndarray, power: np.ndarray, most: int = 1000) -> np.ndarra
         move = np.zeros(4)
         move[free] = np.linalg.lstsq(part + damping * np.diag(np.diag(part) + 1e-30), -grad[free], rcond=None)[0]
         new = np.clip(p + move, low, high)
-        left = log_psd(f, *new) - y
+        left = misfit(new)
         if left @ left < cost:
             gain = cost - left @ left
             p, rest, cost, damping = new, left, left @ left, max(damping / 5, 1e-12)
@@ -200,6 +206,24 @@ def inverse_noise_row(v: np.ndarray, rate: float, lam: int, window: str = "chebw
     return row * (half_chebyshev(lam) if window == "chebwin" else half_gaussian(lam)), p
 
 
+def chirp(k: np.ndarray, n: int) -> np.ndarray:
+    """exp(i pi k^2 / n), its phase from exact integers."""
+    k = np.asarray(k, np.int64)
+    return np.exp(1j * np.pi * ((k * k) % (2 * n)) / n)
+
+
+def partial_inverse(values: np.ndarray, first: int, n: int, lam: int) -> np.ndarray:
+    """sum over k of values[k] exp(2 pi i (first + k) j / n) for j < lam: a stretch's part of an inverse transform of length n, by a chirp."""
+    count = len(values)
+    size = 1 << max(1, (count + lam - 1).bit_length())
+    m, j = np.arange(count), np.arange(lam)
+    kernel = np.zeros(size, complex)
+    kernel[:lam] = np.conj(chirp(j, n))
+    kernel[size - count + 1 :] = np.conj(chirp(np.arange(1, count)[::-1], n))
+    out = np.fft.ifft(np.fft.fft(values * chirp(m, n), size) * np.fft.fft(kernel))[:lam] * chirp(j, n)
+    return out * np.exp(2j * np.pi * (first * j % n) / n)
+
+
 def effective_psd(t: np.ndarray, n: int) -> np.ndarray:
     """Spectrum of the circulant embedding of a truncated autocorrelation: its first n // 2 values."""
     column = np.zeros(n)

@@ -128,11 +128,12 @@ class NormalOperator:
     """``tod``: block_id, t, pix, w_i, w_q, w_u, value. ``noise``: block_id, t (first row of the block's matrix).
     ``scan`` columns (sweep, az, hwp_angle) are in ``tod`` where templates need them."""
 
-    def __init__(self, tod: DataFrame, noise: DataFrame, bandwidth: int, value: str = "value", templates: Templates | None = None, remove_mean: bool = True, chunk: int = toeplitz.CHUNK):
+    def __init__(self, tod: DataFrame, noise: DataFrame, bandwidth: int, value: str = "value", templates: Templates | None = None, remove_mean: bool = True, chunk: int = toeplitz.CHUNK, method: str = "auto", fft_size: int | str | None = None):
         if templates is not None and bandwidth != 1:
             raise ValueError("templates need a bandwidth of 1")
         self.spark, self.bandwidth, self.templates, self.remove_mean = tod.sparkSession, bandwidth, templates, remove_mean and bandwidth > 1
         self.sent: list[Broadcast] = []
+        self.how = method, fft_size  # of products with the noise's bands, as ``numeric.banded_product`` has them
         pixels = tod.filter("pix >= 0").select("pix").distinct()
         count = pixels.count()
         if count > DRIVER_PIXELS:
@@ -344,7 +345,7 @@ class NormalOperator:
     def _plain_job(self, vectors: np.ndarray | None) -> DataFrame:
         sent = self._send(vectors) if vectors is not None else None
         means = self._means(vectors) if self.cut else None
-        width, narrow, remove = 1 if vectors is None else vectors.shape[1], self.bandwidth == 1, self.remove_mean
+        width, narrow, remove, how = 1 if vectors is None else vectors.shape[1], self.bandwidth == 1, self.remove_mean, self.how
         names = [f"{s}{k}" for k in range(width) for s in "iqu"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,16 +357,15 @@ class NormalOperator:
                     row = get("row") if b["row"][r].is_valid else np.ones(1)
                     seen = place[low:high] >= 0
                     at, inverse = np.unique(place[low:high][seen], return_inverse=True)
-                    out = []
-                    for k in range(width):
-                        v = get("d") if sent is None else np.where(place >= 0, sum(w[s] * sent.value[3 * place + s, k] for s in range(3)), 0.0)
-                        if narrow:
-                            v = row[0] * v
-                        else:
-                            if remove:
-                                v = v - (v.mean() if means is None else means[b["block_id"][r].as_py(), k])
-                            v = numeric.banded_product(row, v)
-                        out += [np.bincount(inverse, w[s][low:high][seen] * v[low:high][seen], len(at)) for s in range(3)]
+                    values = [get("d") if sent is None else np.where(place >= 0, sum(w[s] * sent.value[3 * place + s, k] for s in range(3)), 0.0) for k in range(width)]
+                    v = np.stack(values)
+                    if narrow:
+                        v = row[0] * v
+                    else:
+                        if remove:
+                            v = v - (v.mean(1, keepdims=True) if means is None else np.array([[means[b["block_id"][r].as_py(), k]] for k in range(width)]))
+                        v = numeric.banded_product(row, v, *how)  # all columns in one batch of transforms
+                    out = [np.bincount(inverse, w[s][low:high][seen] * x[low:high][seen], len(at)) for x in v for s in range(3)]
                     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(x.astype(float)) for x in out)], ["place", *names])
 
         return self.rows.mapInArrow(run, "place long, " + ", ".join(f"{n} double" for n in names))

@@ -92,10 +92,11 @@ def vector_of(sky: DataFrame) -> DataFrame:
 class TableOperator:
     """``tod``: block_id, t, pix, w_i, w_q, w_u, value and, with templates, what they need. ``noise``: block_id, t (first row)."""
 
-    def __init__(self, tod: DataFrame, noise: DataFrame, bandwidth: int, value: str = "value", templates: Templates | None = None, remove_mean: bool = True):
+    def __init__(self, tod: DataFrame, noise: DataFrame, bandwidth: int, value: str = "value", templates: Templates | None = None, remove_mean: bool = True, method: str = "auto", fft_size: int | str | None = None):
         if templates is not None and bandwidth != 1:
             raise ValueError("templates need a bandwidth of 1")
         self.tod, self.noise, self.bandwidth, self.value, self.remove_mean, self.table = tod, noise, bandwidth, value, remove_mean, None
+        self.how = {"method": method, "fft_size": fft_size}
         if templates is not None:
             table = long_templates.expanded(tod, templates.orders, templates.azimuth_bins, templates.harmonics, templates.plate_length)
             self.table = written(table, "templates")
@@ -106,7 +107,7 @@ class TableOperator:
         """A^T F v for several columns v of the samples."""
         v, y, fit_ = ([f"_{c}{k}" for k in range(len(columns))] for c in "vyf")
         rows = frame.select("block_id", "t", *(F.col(c).cast("double").alias(n) for c, n in zip(columns, v)))
-        out = toeplitz.weighted(rows, self.noise, v, self.bandwidth, y, self.remove_mean).select("block_id", F.col("t"), *y)
+        out = toeplitz.weighted(rows, self.noise, v, self.bandwidth, y, self.remove_mean, **self.how).select("block_id", F.col("t"), *y)
         if self.table is not None:  # a block's weight scales the fit and what the fit meets alike
             before = out
             fit = long_templates.project(self.table, template_fit.fitted(self.fit, long_templates.scatter(self.table, out, y)), fit_)

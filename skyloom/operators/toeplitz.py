@@ -52,7 +52,7 @@ def diagonal_product(rows: DataFrame, weights: DataFrame, value: str | list[str]
     return rows.join(first, F.col(by) == F.col("_b"), "left").withColumns({y: F.coalesce(F.col("_w"), F.lit(1)) * F.col(v) for v, y in zip(_each(value), _each(to))}).drop("_b", "_w")
 
 
-def wide_product(rows: DataFrame, noise: DataFrame, value: str | list[str], to: str | list[str] = "y", by: str = "block_id", chunk: int = CHUNK, method: str = "auto", fft_size: int | None = None) -> DataFrame:
+def wide_product(rows: DataFrame, noise: DataFrame, value: str | list[str], to: str | list[str] = "y", by: str = "block_id", chunk: int = CHUNK, method: str = "auto", fft_size: int | str | None = None) -> DataFrame:
     """(by, t, to): any bandwidth, of one column or of several in one pass (one batch of transforms). ``noise``: (by, t array). Blocks are
     cut into chunks that overlap by the bandwidth less one, so a task holds a chunk, however long the block is.  ``method``, ``fft_size``:
     as ``numeric.banded_product`` has them."""
@@ -80,12 +80,12 @@ def wide_product(rows: DataFrame, noise: DataFrame, value: str | list[str], to:
     return cut.groupBy(by, "cell").cogroup(ends.groupBy("_block", "_cell")).applyInArrow(run, f"{by} {kind}, t long, " + ", ".join(f"{n} double" for n in names))
 
 
-def weighted(rows: DataFrame, noise: DataFrame, value: str | list[str], bandwidth: int, to: str | list[str] = "y", remove_mean: bool = True, by: str = "block_id") -> DataFrame:
+def weighted(rows: DataFrame, noise: DataFrame, value: str | list[str], bandwidth: int, to: str | list[str] = "y", remove_mean: bool = True, by: str = "block_id", method: str = "auto", fft_size: int | str | None = None) -> DataFrame:
     """The noise weighting of one sample vector or several: diagonal for bandwidth 1, else block means off and the banded product."""
     if bandwidth == 1:
         return diagonal_product(rows, noise, value, to, by)
     rows = mean_removed(rows, value, by) if remove_mean else rows
-    return wide_product(rows, noise, value, to, by)
+    return wide_product(rows, noise, value, to, by, method=method, fft_size=fft_size)
 
 
 def gappy_product(rows: DataFrame, gaps: DataFrame, row: Sequence | DataFrame, value: str, to: str = "y", by: str = "block_id") -> DataFrame:

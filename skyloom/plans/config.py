@@ -51,6 +51,12 @@ class Config:
     rcond_cut: float = 0.1
     coordinates: str = "C"
     limit_det: int = 0
+    product: str = "auto"
+    fft_size: str = "cost"
+
+    def products(self) -> dict:
+        """How products with the noise's bands are made: ``auto`` by cost, or direct, fft, full; the transforms' length, or the rule for it."""
+        return {"method": self.product, "fft_size": int(self.fft_size) if str(self.fft_size).isdigit() else self.fft_size}
 
     def checked(self) -> Config:
         if not self.path_output or not self.ref:
@@ -65,6 +71,8 @@ class Config:
             raise ValueError("precond is 0, 1 or 2")
         if self.map_maker == "MT" and self.solver != 0:
             raise ValueError("templates need solver 0")
+        if self.product not in ("auto", "direct", "fft", "full") or not (self.fft_size in ("band", "fixed", "cost") or str(self.fft_size).isdigit()):
+            raise ValueError("product is auto, direct, fft or full, and fft_size band, fixed, cost or a length")
         if self.shared_mask < 0 or self.det_mask < 0:
             raise ValueError("flag masks can't be negative")
         diagonal = self.noiseless or self.uniform_w or self.map_maker == "MT"

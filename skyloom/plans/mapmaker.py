@@ -31,10 +31,22 @@ def check(tod: DataFrame, config: Config) -> None:
         raise ValueError(f"samples lack {', '.join(missing)}")
     if tod.isEmpty():
         raise ValueError("there are no samples")
-    if not tod.filter(F.col("pix") >= 12 * config.nside**2).isEmpty():
+    keys = ("obs_id", "block_id", "t", "pix")
+    told = tod.agg(F.max("pix"), *(F.count(F.when(F.col(k).isNull(), 1)) for k in keys)).first()
+    if any(told[1:]):
+        raise ValueError(f"samples without {', '.join(k for k, n in zip(keys, told[1:]) if n)}")
+    if told[0] >= 12 * config.nside**2:
         raise ValueError("a pixel lies outside the sphere")
 
 
+def check_noise(noise: DataFrame, tod: DataFrame) -> None:
+    """Each block of the samples has one row of weights, and it isn't empty."""
+    rows = noise.groupBy("block_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce(F.size("t"), F.lit(0))).alias("least"))
+    odd = tod.select("block_id").distinct().join(rows, "block_id", "left").filter("n IS NULL OR n > 1 OR least < 1").limit(5).collect()
+    if odd:
+        raise ValueError("blocks without exactly one row of noise weights: " + ", ".join(str(r.block_id) for r in odd))
+
+
 def prepare(tod: DataFrame, config: Config) -> DataFrame:
     """Detector limit, flags, scaling; ``value`` is signal plus noise."""
     if config.limit_det:
@@ -69,6 +81,7 @@ def make_maps(config: Config, tod: DataFrame, noise: DataFrame | None = None, sc
     elif noise is None:
         noise = noise_ops.inverse_noise(tod, "noise", config.fsample, config.bandwidth, config.apodise)
     noise = written(noise.select("block_id", "t"), "noise")
+    check_noise(noise, tod)
     if config.bandwidth > 1:
         toeplitz.checked_bandwidth(noise, tod.groupBy("block_id").agg(F.count(F.lit(1)).alias("n")))
     weight = tod.join(noise.select("block_id", F.col("t").getItem(0).alias("_w")), "block_id", "left").withColumn("_w", F.coalesce("_w", F.lit(1.0)))
@@ -91,7 +104,7 @@ def make_maps(config: Config, tod: DataFrame, noise: DataFrame | None = None, sc
 
 
 def _on_driver(config: Config, tod: DataFrame, noise: DataFrame, inverse: DataFrame, templates: solver.Templates | None) -> tuple[DataFrame, list[float]]:
-    operator = solver.NormalOperator(tod, noise, config.bandwidth, templates=templates, remove_mean=config.remove_mean)
+    operator = solver.NormalOperator(tod, noise, config.bandwidth, templates=templates, remove_mean=config.remove_mean, **config.products())
     precondition = solver.BlockJacobi(inverse, operator.pixels)
     if config.precond:
         basis = solver.a_priori_basis(tod, operator, config.z_2lvl or 8) if config.precond == 1 else solver.lanczos_basis(operator, config.z_2lvl or 8)
@@ -105,7 +118,7 @@ def _on_driver(config: Config, tod: DataFrame, noise: DataFrame, inverse: DataFr
 
 def _on_tables(config: Config, tod: DataFrame, noise: DataFrame, inverse: DataFrame, templates: solver.Templates | None) -> tuple[DataFrame, list[float]]:
     """The same beyond what the driver holds of pixels or templates: map vectors are tables."""
-    operator = table_solver.TableOperator(tod, noise, config.bandwidth, templates=templates, remove_mean=config.remove_mean)
+    operator = table_solver.TableOperator(tod, noise, config.bandwidth, templates=templates, remove_mean=config.remove_mean, **config.products())
     precondition = table_solver.TableJacobi(written(inverse, "inverse"))
     if config.precond:
         groups = config.z_2lvl or 8

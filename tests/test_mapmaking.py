@@ -397,6 +397,49 @@ def test_noise_estimates(spark):
     assert noise.spectra(frame, "noise", 10.0).count() == BLOCKS * (N // 2 + 1)
 
 
+@pytest.mark.parametrize("n", [1000, 1021, 777])
+def test_noise_of_a_block_over_many_tasks(spark, monkeypatch, n):
+    """Even, prime and odd lengths: the same spectrum, fit and first row as a task has that holds the block."""
+    rng = np.random.default_rng(n)
+    v = {b: np.cumsum(rng.normal(size=n)) * 1e-3 + rng.normal(size=n) * 1e-2 + 0.01 * np.arange(n) for b in range(2)}
+    rows = spark.createDataFrame([(b, t, float(x)) for b, own in v.items() for t, x in enumerate(own)] + [(7, t, float(t % 5)) for t in range(40)], "block_id int, t long, d double").repartition(4)
+    monkeypatch.setattr(noise, "LONG", 100)
+    monkeypatch.setattr(noise, "TASK", 256)
+    got = noise.spectra(rows, "d", 25.0).toPandas()
+    for b, own in v.items():
+        f, power = numeric.periodogram(own, 25.0)
+        mine = got[got["block_id"] == b].sort_values("k")
+        assert mine["k"].tolist() == list(range(n // 2 + 1)) and np.allclose(mine["f"], f)
+        assert np.allclose(mine["power"], power, rtol=1e-6, atol=1e-12 * power.max())
+    assert (got["block_id"] == 7).sum() == 21
+    rows_ = {r.block_id: r for r in noise.inverse_noise(rows, "d", 25.0, 20, "gaussian").collect()}
+    for b, own in v.items():
+        want, p = numeric.inverse_noise_row(own, 25.0, 20, "gaussian")
+        assert rows_[b].n == n and np.allclose(rows_[b].t, want, rtol=1e-3, atol=1e-4 * want[0]) and len(rows_) == 3
+
+
+def test_stretches_of_an_inverse_transform():
+    for n, lam in ((64, 10), (101, 30), (4096, 700)):
+        s = np.random.default_rng(n).normal(size=n // 2 + 1)
+        weight = np.where((np.arange(len(s)) > 0) & ((np.arange(len(s)) < n // 2) | (n % 2 == 1)), 2.0, 1.0)
+        whole = sum(numeric.partial_inverse((s * weight)[at : at + 13], at, n, lam).real for at in range(0, len(s), 13)) / n
+        assert np.allclose(whole, np.fft.irfft(s, n)[:lam])
+
+
+def test_input_is_checked(spark, tmp_path):
+    rows = samples(n=30, blocks=2)
+    frame, cfg = tod(spark, rows, np.zeros(60), np.zeros(60)), C.build("", {"path_output": str(tmp_path), "ref": "x", "nside": 2, "bandwidth": 3})
+    with pytest.raises(ValueError, match="without block_id"):
+        mapmaker.make_maps(cfg, frame.withColumn("block_id", F.when(F.col("row") != 5, F.col("block_id"))))
+    for odd in (noise_rows(spark, [1.0, 0.1, 0.0], 1), noise_rows(spark, [1.0], 2).union(noise_rows(spark, [2.0], 1)), noise_rows(spark, [], 2)):
+        with pytest.raises(ValueError, match="exactly one row"):
+            mapmaker.make_maps(cfg, frame, noise=odd)
+    for bad in ({"product": "x"}, {"fft_size": "large"}):
+        with pytest.raises(ValueError):
+            C.build("", {"path_output": "a", "ref": "b"}, bad)
+    assert C.build("product = fft\nfft_size = 4096", {"path_output": "a", "ref": "b"}).products() == {"method": "fft", "fft_size": 4096}
+
+
 def test_whole_run(spark, tmp_path):
     rows, rng = samples(), np.random.default_rng(7)
     x = rng.normal(size=3 * PIX)
