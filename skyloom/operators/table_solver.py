@@ -1,7 +1,8 @@
 """The same system with map vectors as tables, written each time: for maps beyond the driver.
 
 A block vector of width k is a table (pix, i0, q0, u0, i1, ...): k map vectors side by side.  A product with the system goes once over the
-samples, whatever the width; inner products of all pairs of columns are one aggregation, and a linear combination of block vectors is one
+samples, whatever the width; they are stored by pixel for the projection and by (block, t) for the sums, so of an iteration's rows only products are
+shuffled, and none where noise is diagonal and there are no templates; inner products of all pairs of columns are one aggregation, and a linear combination of block vectors is one
 join by pixel.  The driver sees matrices of a few directions alone.  Tables of an iteration are deleted once nothing reads them.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from skyloom.operators import index_sets, pixel_blocks, pointing, template_fit, templates as long_templates, toeplitz
 from skyloom.operators.solver import Templates
-from skyloom.sources.staging import discard_table, written
+from skyloom.sources.staging import bucketed, discard_table, written
 
 STOKES = pointing.STOKES
 
@@ -96,6 +97,15 @@ class TableOperator:
         if templates is not None and bandwidth != 1:
             raise ValueError("templates need a bandwidth of 1")
         self.tod, self.noise, self.bandwidth, self.value, self.remove_mean, self.table = tod, noise, bandwidth, value, remove_mean, None
+        own = tod.select("block_id", F.col("t").cast("long").alias("t"), F.col("pix").cast("long").alias("pix"), *(F.col(w).cast("double").alias(w) for w in pointing.WEIGHTS))
+        seen = own.filter("pix >= 0")
+        self.flagged = written(own.filter("pix < 0 OR pix IS NULL").select("block_id", "t"), "flagged")
+        self.diagonal = bandwidth == 1 and templates is None
+        if self.diagonal:  # the weight is a number of the sample
+            first = noise.select("block_id", F.col("t").getItem(0).cast("double").alias("_w"))
+            seen = seen.join(first, "block_id", "left").withColumn("_w", F.coalesce("_w", F.lit(1.0)))
+        self.by_pixel = bucketed(seen, ["pix"], "by_pixel")
+        self.by_sample = None if self.diagonal else bucketed(seen, ["block_id", "t"], "by_sample")
         self.how = {"method": method, "fft_size": fft_size}
         if templates is not None:
             table = long_templates.expanded(tod, templates.orders, templates.azimuth_bins, templates.harmonics, templates.plate_length)
@@ -114,8 +124,12 @@ class TableOperator:
             out = out.join(fit, ["block_id", "t"], "left").select("block_id", "t", *((F.col(a) - F.coalesce(b, F.lit(0.0))).alias(a) for a, b in zip(y, fit_)))
             if not self.checked:
                 self._check(before, out, y[0])
+        return self._scattered(self.by_sample.join(out, ["block_id", "t"]), y)
+
+    @staticmethod
+    def _scattered(rows: DataFrame, y: list[str]) -> DataFrame:
         sums = [F.sum(F.col(w) * F.col(c)).alias(f"{s}{k}") for k, c in enumerate(y) for s, w in zip(STOKES, pointing.WEIGHTS)]
-        return written(self.tod.filter("pix >= 0").join(out, ["block_id", "t"]).groupBy(F.col("pix").cast("long").alias("pix")).agg(*sums), "vector")
+        return rows.groupBy("pix").agg(*sums)
 
     def _check(self, before: DataFrame, left: DataFrame, y: str) -> None:
         lengths = before.groupBy("block_id").agg(F.sqrt(F.sum(F.col(y) * F.col(y))).alias("length"))
@@ -123,12 +137,30 @@ class TableOperator:
         self.checked = True
 
     def right_hand_side(self) -> DataFrame:
-        return self._product(self.tod, [self.value])
+        if self.diagonal:
+            first = self.noise.select("block_id", F.col("t").getItem(0).cast("double").alias("_w"))
+            rows = self.tod.filter("pix >= 0").withColumn("pix", F.col("pix").cast("long")).join(first, "block_id", "left")
+            return written(self._scattered(rows.withColumn("_y0", F.col(self.value) * F.coalesce("_w", F.lit(1.0))), ["_y0"]), "vector")
+        return written(self._product(self.tod, [self.value]), "vector")
+
+    def projected(self, sky: DataFrame, p: list[str]) -> DataFrame:
+        """The stored samples with A x of each column of a block vector: only the vector is shuffled."""
+        maps = sky.toDF("pix", *(f"_sky_{c}" for c in names(width_of(sky))))
+        total = lambda k: sum((F.col(w) * F.col(f"_sky_{s}{k}") for w, s in zip(pointing.WEIGHTS, STOKES)), F.lit(0.0))
+        return self.by_pixel.join(maps, "pix").select(*self.by_pixel.columns, *(total(k).alias(c) for k, c in enumerate(p)))
+
+    def product(self, sky: DataFrame) -> DataFrame:
+        """The plan of ``apply``."""
+        p = [f"_p{k}" for k in range(width_of(sky))]
+        rows = self.projected(sky, p)
+        if self.diagonal:
+            return self._scattered(rows.withColumns({c: F.col(c) * F.col("_w") for c in p}), p)
+        rows = rows.select("block_id", "t", *p).unionByName(self.flagged.select("block_id", "t", *(F.lit(0.0).alias(c) for c in p)))
+        return self._product(rows, p)
 
     def apply(self, sky: DataFrame) -> DataFrame:
         """All columns of a block vector in one pass."""
-        p = [f"_p{k}" for k in range(width_of(sky))]
-        return self._product(pointing.project(self.tod, sky, p), p)
+        return written(self.product(sky), "vector")
 
 
 class TableJacobi:

@@ -38,6 +38,21 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str], name: str = "table") -> DataFrame:
+    """``df`` as a table whose files are dealt by ``keys``: joins and groupings by them move none of its rows, each time it is read."""
+    spark = df.sparkSession
+    path, table = shared_path(spark, name), f"skyloom_{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    atexit.register(_dropped, spark, table)
+    return spark.table(table)
+
+
+def _dropped(spark: SparkSession, table: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone, and with it a catalog in memory
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def _store(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -180,6 +180,33 @@ def on_tables(spark, seed, n=150, blocks=2, pixels=8):
     return a.T @ w @ a, a.T @ w @ d, op, pixel_blocks.inverse(pointing.weight_blocks(frame))
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_samples_stay_where_they_are(spark):
+    """No exchange over stored samples in the projection, none at all with diagonal noise; flagged samples count as 0."""
+    rows = samples(5, 8, 150, 2)
+    frame = tod(spark, rows, np.ones(300), np.zeros(300)).withColumn("value", F.col("signal"))
+    frame = frame.withColumn("pix", F.when(F.col("row") % 7 == 0, -1).otherwise(F.col("pix")))
+    a = dense([(*r[:5], -1 if r[4] % 7 == 0 else r[5], *r[6:]) for r in rows], 8)
+    x = np.random.default_rng(2).normal(size=(24, 2))
+    v = spark.createDataFrame([(p, *map(float, x[3 * p : 3 * p + 3].T.ravel())) for p in range(8)], "pix long, " + ", ".join(f"{c} double" for c in table_solver.names(2)))
+    at = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain = table_solver.TableOperator(frame, noise_rows(spark, [2.0], 2), 1)
+        v = table_solver.combined((v, np.eye(2)))
+        assert plan_of(plain.product(v)).count("Exchange hashpartitioning") == 1  # the vector's
+        assert np.allclose(flat(plain.apply(v)), 2 * a.T @ a @ x) and np.allclose(flat(plain.right_hand_side())[:, 0], 2 * a.T @ np.ones(300))
+        banded = table_solver.TableOperator(frame, noise_rows(spark, ROW, 2), 3)
+        assert plan_of(banded.projected(v, ["p0", "p1"])).count("Exchange hashpartitioning") == 1
+        w = weights(ROW, 150, 2, True)
+        assert np.allclose(flat(banded.apply(v)), a.T @ w @ a @ x) and np.allclose(flat(banded.right_hand_side())[:, 0], a.T @ w @ np.ones(300))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", at)
+
+
 class Dense:
     """What the driver's solvers need of a system."""
 
@@ -218,28 +245,28 @@ def test_block_vectors_as_tables(spark):
     assert np.allclose(flat(two(image)), solver.TwoLevel(Dense(a, b), jacobi, x)(a @ x), atol=1e-9)
 
 
-@pytest.mark.parametrize("reduce,orthodir", [(False, False), (False, True), (True, True)])
+@pytest.mark.parametrize("reduce,orthodir", [(False, False), (True, True)])
 def test_enlarged_cg_on_tables(spark, reduce, orthodir):
     a, b, op, inverse = on_tables(spark, 32)
     jacobi = solver.BlockJacobi(inverse, np.arange(8))
-    want = solver.enlarged_cg(Dense(a, b), jacobi, 4, 1e-9, 4, reduce, orthodir)
-    sky, residuals = table_solver.enlarged_cg(op, table_solver.TableJacobi(inverse), 4, 1e-9, 4, reduce, orthodir)
+    want = solver.enlarged_cg(Dense(a, b), jacobi, 4, 1e-9, 3, reduce, orthodir)
+    sky, residuals = table_solver.enlarged_cg(op, table_solver.TableJacobi(inverse), 4, 1e-9, 3, reduce, orthodir)
     assert np.allclose(residuals, want.residuals, rtol=1e-5, atol=1e-9) and np.allclose(by_pix(sky, 8), want.x, atol=1e-7)
 
 
 def test_lanczos_basis_on_tables(spark):
     a, b, op, inverse = on_tables(spark, 33)
-    basis, values = table_solver.lanczos_basis(op, 4)
+    basis, values = table_solver.lanczos_basis(op, 3)
     start = flat(table_solver.random_vector(op))[:, 0]
     z = flat(basis)
-    want = solver.lanczos_basis(Dense(a, b), 4, start=start)
-    assert np.allclose(z.T @ z, np.eye(4), atol=1e-9) and np.allclose(np.abs(np.sum(z * want, 0)), 1, atol=1e-8)
-    q = np.linalg.qr(np.stack([np.linalg.matrix_power(a / np.linalg.norm(a), k) @ start for k in range(4)], 1))[0]
+    want = solver.lanczos_basis(Dense(a, b), 3, start=start)
+    assert np.allclose(z.T @ z, np.eye(3), atol=1e-9) and np.allclose(np.abs(np.sum(z * want, 0)), 1, atol=1e-8)
+    q = np.linalg.qr(np.stack([np.linalg.matrix_power(a / np.linalg.norm(a), k) @ start for k in range(3)], 1))[0]
     assert np.allclose(values, np.linalg.eigvalsh(q.T @ a @ q), rtol=1e-6) and np.allclose(np.diag(z.T @ a @ z), values)
     system, jacobi = Dense(a, b), solver.BlockJacobi(inverse, np.arange(8))
     for v in (basis, table_solver.a_priori_basis(op, 3)):
-        own = solver.pcg(system, solver.TwoLevel(system, jacobi, flat(v)), 1e-9, 4)
-        sky, residuals = table_solver.pcg(op, table_solver.TableTwoLevel(op, table_solver.TableJacobi(inverse), v), 1e-9, 4)
+        own = solver.pcg(system, solver.TwoLevel(system, jacobi, flat(v)), 1e-9, 3)
+        sky, residuals = table_solver.pcg(op, table_solver.TableTwoLevel(op, table_solver.TableJacobi(inverse), v), 1e-9, 3)
         assert np.allclose(residuals, own.residuals, rtol=1e-6) and np.allclose(by_pix(sky, 8), own.x, atol=1e-8)
 
 
