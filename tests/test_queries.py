@@ -42,3 +42,41 @@ def test_others_run(spark, name):
 
 def test_entry(spark):
     assert set(__spark_entry__.entry(spark).columns) == {"pix", "hits", "rcond", "i", "q", "u"}
+
+
+def test_maps_of_the_tables_are_dense_ones(spark):
+    """The numbers of the map that ``pcg_map`` judges, and of the system with templates, against dense algebra."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from skyloom.functions import numeric
+    from skyloom.operators import pointing, solver
+    from skyloom.plans import queries
+
+    rows, inverse = queries._solvable(spark, SF)
+    rows = rows.withColumn("sweep", F.floor(F.col("t") / 101).cast("int")).withColumn("hwp_angle", F.col("t") / 100.0)
+    table = rows.toPandas().sort_values(["block_id", "t"]).reset_index(drop=True)
+    pixels = np.sort(table["pix"].unique())
+    a = np.zeros((len(table), 3 * len(pixels)))
+    for s, w in enumerate(pointing.WEIGHTS):
+        a[np.arange(len(table)), 3 * np.searchsorted(pixels, table["pix"]) + s] = table[w]
+    d, how = table["value"].to_numpy(), solver.Templates(4, 0, 2, 130)
+    banded, filtered = np.zeros((len(d), len(d))), np.zeros((len(d), len(d)))
+    for _, own in table.groupby("block_id"):
+        at = own.index.to_numpy()
+        banded[np.ix_(at, at)] = numeric.dense_toeplitz(np.array([10.0, 2, 3]), len(at))
+        classes, bins = how.expand({c: own[c].to_numpy() for c in ("t", "sweep", "hwp_angle")})
+        t = np.zeros((len(at), bins))
+        for bin_, w in classes:
+            t[np.arange(len(at)), bin_] += w
+        u, size, _ = np.linalg.svd(t / np.maximum(np.linalg.norm(t, axis=0), 1e-300), full_matrices=False)
+        u = u[:, size > 1e-10]
+        filtered[np.ix_(at, at)] = np.eye(len(at)) - u @ u.T
+    jacobi = solver.BlockJacobi(inverse, pixels)
+    plain = solver.NormalOperator(rows, queries._noise_rows(spark, SF, [10, 2, 3]), 3, remove_mean=False)
+    found = solver.pcg(plain, jacobi, 1e-10, 60).x
+    assert np.allclose(found, np.linalg.lstsq(a.T @ banded @ a, a.T @ banded @ d, rcond=None)[0], rtol=1e-6, atol=1e-6 * np.abs(found).max())
+    marginal = solver.NormalOperator(rows, queries._noise_rows(spark, SF, [1.0]), 1, templates=how)
+    x = np.random.default_rng(3).normal(size=a.shape[1])
+    assert np.allclose(marginal.apply(x), a.T @ filtered @ (a @ x), atol=1e-5 * np.linalg.norm(x))
+    assert np.allclose(marginal.right_hand_side(), a.T @ filtered @ d, atol=1e-6 * np.linalg.norm(d) * 10)
