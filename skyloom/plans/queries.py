@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from skyloom.functions import numeric
 from skyloom.operators import flags, index_sets, noise, pixel_blocks, pointing, solver, template_fit, templates, toeplitz
 from skyloom.sources import readers, sinks
 from skyloom.sources.staging import shared_path, written
@@ -536,6 +537,22 @@ def noise_inverse(spark, sf_dir):
     return noise.inverse_noise(_samples(spark, sf_dir), "d", 25.0, 32)
 
 
+@query(" SELECT DISTINCT block_id, 1 AS fits FROM s")
+def noise_inverse_fits(spark, sf_dir):
+    """Whether each block's fitted model lies nearer to its spectrum, by sums in the table, than with any parameter a twentieth off (within its
+    bounds)."""
+    rows = written(_samples(spark, sf_dir), "samples")
+    names, low, high = ("log_sigma2", "alpha", "knee", "fmin"), numeric.FIT_LOW, numeric.FIT_HIGH
+    joined = noise.spectra(rows, "d", 25.0).filter("k > 0 AND power > 0").join(noise.inverse_noise(rows, "d", 25.0, 32).select("block_id", *names), "block_id")
+
+    def misfit(moved: int | None, by: float = 1.0) -> Column:
+        s, a, knee, fmin = (F.col(c) if k != moved else F.greatest(F.lit(low[k]), F.least(F.lit(high[k]), F.col(c) * by)) for k, c in enumerate(names))
+        return F.sum(F.pow(s + F.log10(1 + F.pow((F.col("f") + fmin) / knee, a)) - F.log10("power"), 2))
+
+    told = joined.groupBy("block_id").agg(misfit(None).alias("own"), F.least(*(misfit(k, by) for k in range(4) for by in (0.95, 1.05))).alias("others"))
+    return told.select("block_id", (F.col("own") <= F.col("others") * (1 + 1e-9)).cast("int").alias("fits"))
+
+
 @query(""" SELECT block_id, CAST(k AS BIGINT) AS k, round(abs(10 + 4 * cos(2 * pi() * k / 512) + 6 * cos(4 * pi() * k / 512)), 9) AS power
   FROM (SELECT DISTINCT block_id FROM s), (SELECT unnest(range(256)) AS k)""")
 def noise_effective(spark, sf_dir):
