@@ -40,6 +40,16 @@ def test_others_run(spark, name):
     assert __spark_entry__.queries()[name](spark, SF).count() > 0
 
 
+def test_users_beyond_the_sphere(spark, con, tmp_path):
+    """At nside 16 a map has 3,072 pixels; larger tables have more users."""
+    con.execute(f"COPY (SELECT * REPLACE (user_id * 997 % 7000 AS user_id) FROM events) TO '{tmp_path}/events.parquet'")
+    beyond = duckdb.connect()
+    beyond.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert beyond.execute("SELECT count(*) FROM events WHERE user_id >= 3072").fetchone()[0]
+    want = beyond.execute(f"SELECT pix, value FROM ({ORACLE['fits_round_trip']})").fetchall()
+    assert rows(QUERIES["fits_round_trip"](spark, str(tmp_path)).select("pix", "value").collect()) == rows(want)
+
+
 def test_entry(spark):
     assert set(__spark_entry__.entry(spark).columns) == {"pix", "hits", "rcond", "i", "q", "u"}
 
