@@ -583,3 +583,19 @@ def test_templates_of_a_block_in_chunks(spark, tmp_path, monkeypatch):
         with pytest.raises(solver.TooMany):
             solver.NormalOperator(frame, noise_rows(spark, [2.0]), 1, templates=how)
         monkeypatch.undo()
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 10])
+def test_stacked_products_over_tasks_of_bounded_size(spark, monkeypatch, sent):
+    """Tasks are as many as the entries ask for, also where a row is long; vectors that are sent or dealt give the same."""
+    monkeypatch.setattr(pointing, "ENTRIES", 100)
+    monkeypatch.setattr(pointing, "SENT", sent)
+    level = spark.range(1500).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 90).alias("row"), (F.col("id") % 41 - 1).alias("col"), (F.col("id") % 5).alias("val"))
+    coo, x = pointing.stacked([level, level.filter("col < 20")]), spark.range(-1, 41).select(F.col("id").alias("col"), (F.col("id") % 11).alias("x"))
+    want = coo.toPandas().query("col >= 0")
+    got = pointing.multiply_stacked(coo, x)
+    assert got.rdd.getNumPartitions() >= 20
+    assert {(r.level, r.row): r.y for r in got.collect()} == (want["val"] * (want["col"] % 11)).groupby([want["level"], want["row"]]).sum().to_dict()
+    back = pointing.multiply_stacked_transposed(coo, got)
+    total = want.merge(got.toPandas(), on=["level", "row"])
+    assert {r.col: r.x for r in back.collect()} == (total["val"] * total["y"]).groupby(total["col"]).sum().to_dict()
