@@ -599,3 +599,12 @@ def test_stacked_products_over_tasks_of_bounded_size(spark, monkeypatch, sent):
     back = pointing.multiply_stacked_transposed(coo, got)
     total = want.merge(got.toPandas(), on=["level", "row"])
     assert {r.col: r.x for r in back.collect()} == (total["val"] * total["y"]).groupby(total["col"]).sum().to_dict()
+
+
+def test_products_over_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(pointing, "ENTRIES", 100)
+    coo = spark.range(1500).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 90).alias("row"), (F.col("id") % 41 - 1).alias("col"), (F.col("id") % 5).alias("val"))
+    got = pointing.multiply(coo, spark.range(-1, 41).select(F.col("id").alias("col"), (F.col("id") % 11).alias("x")))
+    want = coo.toPandas().query("col >= 0")
+    assert got.rdd.getNumPartitions() >= 15
+    assert {r.row: r.y for r in got.collect()} == (want["val"] * (want["col"] % 11)).groupby(want["row"]).sum().to_dict()
