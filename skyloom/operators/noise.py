@@ -17,9 +17,9 @@ from skyloom.functions import numeric
 from skyloom.sources.staging import written
 
 #: Samples of a block that one task takes.
-LONG = 1 << 22
+LONG = 1 << 18
 #: Numbers of a tile's column or row that a task of a long transform holds, about.
-TASK = 1 << 20
+TASK = 1 << 18
 #: Bands for each factor e of frequency.
 BANDS = 4000
 _FITS = "n long, t array<double>, log_sigma2 double, alpha double, knee double, fmin double"

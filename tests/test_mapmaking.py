@@ -608,3 +608,11 @@ def test_products_over_tasks_of_bounded_size(spark, monkeypatch):
     want = coo.toPandas().query("col >= 0")
     assert got.rdd.getNumPartitions() >= 15
     assert {r.row: r.y for r in got.collect()} == (want["val"] * (want["col"] % 11)).groupby(want["row"]).sum().to_dict()
+
+
+def test_blocks_over_a_quarter_million_samples_are_spread(spark):
+    """A task's transform holds no more than that, nor a tile of a long one."""
+    short, long = noise._parted(spark.range(1 << 19).select(F.lit("a").alias("block_id"), F.col("id").alias("t"), F.lit(1.0).alias("d")), "block_id")
+    assert long is not None and long.count() == 1 << 19 and short.count() == 0
+    n1, n2, width, height = noise._shape(1 << 19)
+    assert max(n1 * width, n2 * height) <= 1 << 18
