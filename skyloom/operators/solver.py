@@ -15,7 +15,7 @@ Map vectors have three numbers for each observed pixel.  Up to ``DRIVER_PIXELS``
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -26,15 +26,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from skyloom.functions import numeric
 from skyloom.operators import pixel_blocks, pointing, template_fit, templates as long_templates, toeplitz
-from skyloom.sources.staging import written
+from skyloom.sources.staging import wide_rows, written
 
 DRIVER_PIXELS = 12 * 1024**2
 #: Numbers of all blocks' template factors that the driver holds, and template bins and blocks.
-DRIVER_FACTORS = 16 * 1024**2
+DRIVER_FACTORS = 32 * 1024**2
 DRIVER_BINS = 4 * 1024**2
 #: Entries (pixel, template) that the driver holds; more are left in their chunks.
 DRIVER_CROSS = 4 * 1024**2
 WEIGHTS = pointing.WEIGHTS
+#: Samples of a chunk, at least eight bandwidths, and with templates.
+CHUNK = 1 << 16
+TEMPLATE_CHUNK = 1 << 14
+#: Sums that a task holds to add up those of its chunks.
+TASK_SUMS = 1 << 22
 
 
 @dataclass
@@ -124,11 +129,29 @@ def _template_values(b: pa.RecordBatch, r: int, sent, width: int) -> list[np.nda
     return [weight * np.where(place >= 0, sum(w[s] * sent.value[3 * place + s, k] for s in range(3)), 0.0) for k in range(width)]
 
 
+def _by_task(run: Callable, names: list[str], places: int) -> Callable:
+    """(place, sums) of chunks, added up over a task where it can hold a number for each place."""
+    if places * len(names) > TASK_SUMS:
+        return run
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros((len(names), places)), np.zeros(places, bool)
+        for part in run(batches):
+            at = part["place"].to_numpy()
+            seen[at] = True
+            for k, n in enumerate(names):
+                total[k, at] += part[n].to_numpy()
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(t[at]) for t in total)], ["place", *names])
+
+    return whole
+
+
 class NormalOperator:
     """``tod``: block_id, t, pix, w_i, w_q, w_u, value. ``noise``: block_id, t (first row of the block's matrix).
     ``scan`` columns (sweep, az, hwp_angle) are in ``tod`` where templates need them."""
 
-    def __init__(self, tod: DataFrame, noise: DataFrame, bandwidth: int, value: str = "value", templates: Templates | None = None, remove_mean: bool = True, chunk: int = toeplitz.CHUNK, method: str = "auto", fft_size: int | str | None = None):
+    def __init__(self, tod: DataFrame, noise: DataFrame, bandwidth: int, value: str = "value", templates: Templates | None = None, remove_mean: bool = True, chunk: int | None = None, method: str = "auto", fft_size: int | str | None = None):
         if templates is not None and bandwidth != 1:
             raise ValueError("templates need a bandwidth of 1")
         self.spark, self.bandwidth, self.templates, self.remove_mean = tod.sparkSession, bandwidth, templates, remove_mean and bandwidth > 1
@@ -138,6 +161,7 @@ class NormalOperator:
         count = pixels.count()
         if count > DRIVER_PIXELS:
             raise TooMany(f"{count} pixels are too many for vectors on the driver; use table_solver")
+        chunk = chunk or (max(CHUNK, 8 * bandwidth) if templates is None else TEMPLATE_CHUNK)
         self.pixels = np.sort(np.array(pixels.toArrow()["pix"].to_numpy(), np.int64))
         self.rows = self._layout(tod, noise, value, chunk) if templates is None else self._template_layout(tod, noise, value, chunk)
         chunks = self.rows.groupBy("block_id").count().agg(F.max("count"), F.count(F.lit(1))).first() if self.remove_mean else (0, 0)
@@ -242,12 +266,16 @@ class NormalOperator:
                     weight, w = b["weight"][r].as_py(), [_array(b, r, c)[place >= 0] for c in WEIGHTS]
                     yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(np.bincount(inverse, weight * w[m] * w[n], len(at)).astype(float)) for m, n in pairs)], ["place", *(f"b{m}{n}" for m, n in pairs)])
 
-        found = written(layout.mapInArrow(run, "key long, i double, q double, u double").groupBy("key").agg(*(F.sum(s).alias(s) for s in "iqu")), "cross")
+        with wide_rows(self.spark):  # far too many aren't summed first
+            if layout.mapInArrow(run, "key long, i double, q double, u double").agg(F.approx_count_distinct("key")).first()[0] > 1.25 * DRIVER_CROSS:
+                return None
+            found = written(layout.mapInArrow(run, "key long, i double, q double, u double").groupBy("key").agg(*(F.sum(s).alias(s) for s in "iqu")), "cross")
         if found.count() > DRIVER_CROSS:
             return None
         found = found.toArrow()
         place, bin_ = np.divmod(found["key"].to_numpy(), bins)
-        sums = layout.mapInArrow(square, "place long, " + ", ".join(f"b{m}{n} double" for m, n in pairs)).groupBy("place").agg(*(F.sum(f"b{m}{n}").alias(f"b{m}{n}") for m, n in pairs)).toArrow()
+        with wide_rows(self.spark):
+            sums = layout.mapInArrow(square, "place long, " + ", ".join(f"b{m}{n} double" for m, n in pairs)).groupBy("place").agg(*(F.sum(f"b{m}{n}").alias(f"b{m}{n}") for m, n in pairs)).toArrow()
         block = np.zeros((len(self.pixels), 3, 3))
         for m, n in pairs:
             block[sums["place"].to_numpy(), m, n] = block[sums["place"].to_numpy(), n, m] = sums[f"b{m}{n}"].to_numpy()
@@ -280,7 +308,8 @@ class NormalOperator:
                     power = np.where(np.arange(len(met)) == 0, v @ v, 0.0)  # of the block
                     yield pa.RecordBatch.from_arrays([pa.array(first + met), pa.array(np.full(len(met), first)), pa.array(amp), pa.array(power)], ["bin", "first", "amp", "power"])
 
-        got = self.rows.mapInArrow(run, "bin long, first long, amp double, power double").groupBy("bin", "first").agg(F.sum("amp").alias("amp"), F.sum("power").alias("power")).toArrow()
+        with wide_rows(self.spark):
+            got = self.rows.mapInArrow(run, "bin long, first long, amp double, power double").groupBy("bin", "first").agg(F.sum("amp").alias("amp"), F.sum("power").alias("power")).toArrow()
         power = np.bincount(got["first"].to_numpy(), got["power"].to_numpy(), max(1, self.bins))[got["first"].to_numpy()]
         worst = np.abs(got["amp"].to_numpy() * self.fit.size[got["bin"].to_numpy()]) / np.sqrt(np.where(power > 0, power, 1))
         if not worst.max(initial=0.0) <= template_fit.TOLERANCE:
@@ -293,12 +322,14 @@ class NormalOperator:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for r in range(b.num_rows):
-                    (classes, first, bins), v = _expanded(how, b, r), _template_values(b, r, sent, width)
-                    amp = np.stack([sum(np.bincount(at, w * x, bins) for at, w in classes) for x in v])
-                    met = np.unique(np.concatenate([at for at, _ in classes]))
-                    yield pa.RecordBatch.from_arrays([pa.array(first + met), *map(pa.array, amp[:, met])], ["bin", *names])
-
-        total = self.rows.mapInArrow(run, "bin long, " + ", ".join(f"{n} double" for n in names)).groupBy("bin").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+                    (classes, first, _), v = _expanded(how, b, r), _template_values(b, r, sent, width)
+                    met, at = np.unique(np.stack([at for at, _ in classes]), return_inverse=True)
+                    at = at.reshape(len(classes), -1)
+                    amp = [sum(np.bincount(at[k], w * x, len(met)) for k, (_, w) in enumerate(classes)) for x in v]
+                    yield pa.RecordBatch.from_arrays([pa.array(first + met), *map(pa.array, amp)], ["bin", *names])
+
+        with wide_rows(self.spark):
+            total = self.rows.mapInArrow(run, "bin long, " + ", ".join(f"{n} double" for n in names)).groupBy("bin").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
         amp = np.zeros((self.bins, width))
         amp[total["bin"].to_numpy()] = np.stack([total[n].to_numpy() for n in names], 1)
         return self.fit(amp)
@@ -321,14 +352,15 @@ class NormalOperator:
                         out += [np.bincount(inverse, w * left, len(at)).astype(float) for w in weights]
                     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *map(pa.array, out)], ["place", *names])
 
-        return self.rows.mapInArrow(run, "place long, " + ", ".join(f"{n} double" for n in names))
+        return self.rows.mapInArrow(_by_task(run, names, len(self.pixels)), "place long, " + ", ".join(f"{n} double" for n in names))
 
     def _job(self, vectors: np.ndarray | None) -> np.ndarray:
         """Sum over chunks of A^T F v, v being the data or A h. Columns of ``vectors``: one product each."""
         if self.templates is not None and self.cross is not None and vectors is not None:
             return self._cross_product(vectors)
         parts, width = (self._template_job if self.templates is not None else self._plain_job)(vectors), 1 if vectors is None else vectors.shape[1]
-        total = parts.groupBy("place").agg(*(F.sum(n).alias(n) for n in parts.columns[1:])).toArrow()
+        with wide_rows(self.spark):
+            total = parts.groupBy("place").agg(*(F.sum(n).alias(n) for n in parts.columns[1:])).toArrow()
         result, at = np.zeros((3 * len(self.pixels), width)), total["place"].to_numpy()
         for k in range(width):
             for s, c in enumerate("iqu"):
@@ -368,7 +400,7 @@ class NormalOperator:
                     out = [np.bincount(inverse, w[s][low:high][seen] * x[low:high][seen], len(at)) for x in v for s in range(3)]
                     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(x.astype(float)) for x in out)], ["place", *names])
 
-        return self.rows.mapInArrow(run, "place long, " + ", ".join(f"{n} double" for n in names))
+        return self.rows.mapInArrow(_by_task(run, names, len(self.pixels)), "place long, " + ", ".join(f"{n} double" for n in names))
 
     def _means(self, vectors: np.ndarray | None) -> dict:
         sent = self._send(vectors) if vectors is not None else None
@@ -383,7 +415,8 @@ class NormalOperator:
                     sums = [float((get("d") if sent is None else np.where(place >= 0, sum(get(c) * sent.value[3 * place + s, k] for s, c in enumerate(WEIGHTS)), 0.0))[low:high].sum()) for k in range(width)]
                     yield pa.RecordBatch.from_arrays([b["block_id"].slice(r, 1).take(pa.array([0] * width)), pa.array(range(width), pa.int64()), pa.array(sums), pa.array([high - low] * width, pa.int64())], ["block_id", "k", "s", "n"])
 
-        got = self.rows.mapInArrow(run, f"block_id {kind}, k long, s double, n long").groupBy("block_id", "k").agg((F.sum("s") / F.sum("n")).alias("m")).toArrow()
+        with wide_rows(self.spark):
+            got = self.rows.mapInArrow(run, f"block_id {kind}, k long, s double, n long").groupBy("block_id", "k").agg((F.sum("s") / F.sum("n")).alias("m")).toArrow()
         return dict(zip(zip(got["block_id"].to_pylist(), got["k"].to_pylist()), got["m"].to_pylist()))
 
     def right_hand_side(self) -> np.ndarray:

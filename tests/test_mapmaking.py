@@ -616,3 +616,21 @@ def test_blocks_over_a_quarter_million_samples_are_spread(spark):
     assert long is not None and long.count() == 1 << 19 and short.count() == 0
     n1, n2, width, height = noise._shape(1 << 19)
     assert max(n1 * width, n2 * height) <= 1 << 18
+
+
+def test_jobs_over_chunks_take_few_at_a_time(spark):
+    """However many chunks a task has, Python sees a few at once; sums are by task."""
+    from skyloom.sources.staging import wide_rows, written
+
+    n = 5000
+    tod = spark.range(n).select(F.lit("a").alias("block_id"), F.col("id").alias("t"), (F.col("id") % 7).alias("pix"), F.lit(1.0).alias("w_i"), (F.col("id") % 3 * 1.0).alias("w_q"), (F.col("id") % 5 - 2.0).alias("w_u"), F.sin("id").alias("value"))
+    rows = written(tod, "samples")
+    op = solver.NormalOperator(rows, spark.createDataFrame([("a", [10.0, 2.0, 3.0])], "block_id string, t array<double>"), 3, remove_mean=False, chunk=100)
+    sizes = lambda batches: (type(b).from_pydict({"n": [b.num_rows]}) for b in batches)
+    with wide_rows(spark):
+        assert max(r.n for r in op.rows.coalesce(1).mapInArrow(sizes, "n long").collect()) <= 4
+    parts = op._plain_job(None)
+    assert parts.count() <= 7 * parts.rdd.getNumPartitions()
+    whole = solver.NormalOperator(rows, spark.createDataFrame([("a", [10.0, 2.0, 3.0])], "block_id string, t array<double>"), 3, remove_mean=False)
+    assert np.allclose(op.right_hand_side(), whole.right_hand_side(), atol=1e-9)
+    assert np.allclose(op.apply(np.arange(21.0)), whole.apply(np.arange(21.0)), atol=1e-7)
