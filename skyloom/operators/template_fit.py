@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skyloom.functions.orthogonal import Factor, Front, backward, eliminated, forward, piecewise, together
-from skyloom.sources.staging import written
+from skyloom.sources.staging import wide_rows, written
 
 FAN = 16
-CHUNK = 1 << 16
+CHUNK = 1 << 14
 #: What a fit may leave of any template in the samples, of their length.
 TOLERANCE = 1e-6
 
@@ -112,7 +112,8 @@ def factored(chunks: DataFrame, entries: Entries) -> Fit:
                 same = pa.array([r] * len(names))
                 yield pa.RecordBatch.from_arrays([b["block_id"].take(same), b["cell"].cast(pa.int64()).take(same), pa.array(names, pa.int64()), pa.array(s)], ["block_id", "cell", "bin", "s"])
 
-    held = written(chunks.mapInArrow(squares, f"block_id {kind}, cell long, bin long, s double"), "held")
+    with wide_rows(chunks.sparkSession):
+        held = written(chunks.mapInArrow(squares, f"block_id {kind}, cell long, bin long, s double"), "held")
     bins = held.groupBy("block_id", "bin").agg(F.sqrt(F.sum("s")).alias("norm"), F.min("cell").alias("low"), F.max("cell").alias("high"))
     last = held.agg(F.max("cell")).first()[0] or 0
     top = next(k for k in range(64) if FAN**k > last)
@@ -132,7 +133,9 @@ def factored(chunks: DataFrame, entries: Entries) -> Fit:
                 yield _rows(b["block_id"].slice(r, 1), 0, b["cell"][r].as_py(), factors, front, low[at], high[at])
 
     schema = f"block_id {kind}, {_COLUMNS}"
-    out = written(chunks.join(told, ["block_id", "cell"]).mapInArrow(leaf, schema), "factors")
+    told = written(told, "held")  # flat rows end here
+    with wide_rows(chunks.sparkSession):
+        out = written(chunks.join(told, ["block_id", "cell"]).mapInArrow(leaf, schema), "factors")
     fronts = out.filter("place = -1")
     for k in range(1, top + 1):
         new = written(fronts.groupBy("block_id", F.floor(F.col("node") / FAN)).applyInArrow(_merging(k, FAN), schema), "factors")

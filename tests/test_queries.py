@@ -50,6 +50,17 @@ def test_users_beyond_the_sphere(spark, con, tmp_path):
     assert rows(QUERIES["fits_round_trip"](spark, str(tmp_path)).select("pix", "value").collect()) == rows(want)
 
 
+def test_more_templates_than_the_driver_holds(spark, con, monkeypatch):
+    """The query goes on with vectors as tables."""
+    from skyloom.operators import solver
+    from skyloom.plans import queries
+
+    monkeypatch.setattr(solver, "DRIVER_FACTORS", 1)
+    monkeypatch.setattr(queries, "_samples", lambda *a, own=queries._samples: own(*a).filter("t < 100"))
+    found = queries._marginalised(spark, SF, 7.0, solver.Templates(1, 2, 0, 1), 50).collect()
+    assert found and all(r.solved == 1 for r in found)
+
+
 def test_entry(spark):
     assert set(__spark_entry__.entry(spark).columns) == {"pix", "hits", "rcond", "i", "q", "u"}
 
