@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from skyloom.functions import numeric
 from skyloom.operators import pixel_blocks, pointing, template_fit, templates as long_templates, toeplitz
-from skyloom.sources.staging import wide_rows, written
+from skyloom.sources.staging import as_bytes, from_bytes, wide_rows, written
 
 DRIVER_PIXELS = 12 * 1024**2
 #: Numbers of all blocks' template factors that the driver holds, and template bins and blocks.
@@ -35,6 +35,8 @@ DRIVER_BINS = 4 * 1024**2
 #: Entries (pixel, template) that the driver holds; more are left in their chunks.
 DRIVER_CROSS = 4 * 1024**2
 WEIGHTS = pointing.WEIGHTS
+#: What chunks with templates hold as integers.
+INTEGERS = ("place", "sweep", "az", "plate")
 #: Samples of a chunk, at least eight bandwidths, and with templates.
 CHUNK = 1 << 16
 TEMPLATE_CHUNK = 1 << 14
@@ -105,12 +107,12 @@ def _places(known: np.ndarray, pix: np.ndarray) -> np.ndarray:
 
 
 def _array(b: pa.RecordBatch, r: int, column: str) -> np.ndarray:
-    return b[column][r].values.to_numpy(zero_copy_only=False)
+    return from_bytes(b, r, column, np.int64 if column in INTEGERS else np.float64)
 
 
 def _entries(how: Templates, b: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     classes = _expanded(how, b, r)[0]
-    row = np.tile(np.arange(len(b["place"][r])), len(classes))
+    row = np.tile(np.arange(len(_array(b, r, "place"))), len(classes))
     return row, *(np.concatenate(x).astype(k) for x, k in zip(zip(*classes), (np.int64, float)))
 
 
@@ -120,6 +122,16 @@ def _expanded(how: Templates, b: pa.RecordBatch, r: int) -> tuple[list, int, int
     return how.classes({c: _array(b, r, c) for c in how.kinds()}, sweeps, plates), first, bins
 
 
+def _sums(at: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Numbers and their sums of each of ``values``; without a sort where they lie near each other, as a chunk's bins of one class do."""
+    low = int(at.min()) if len(at) else 0
+    if len(at) and int(at.max()) - low < 4 * len(at):
+        met = np.flatnonzero(np.bincount(at - low))
+        return met + low, [np.bincount(at - low, v)[met] for v in values]
+    met, at = np.unique(at, return_inverse=True)
+    return met, [np.bincount(at, v, len(met)) for v in values]
+
+
 def _template_values(b: pa.RecordBatch, r: int, sent, width: int) -> list[np.ndarray]:
     """F v of a chunk's samples, without templates: of the data, or of each map sent."""
     weight, place = b["weight"][r].as_py(), _array(b, r, "place")
@@ -214,7 +226,7 @@ class NormalOperator:
         told = pa.table({"block_id": told["block_id"], "first": first[:-1], "bins": bins, "sweeps": sweeps, "plates": plates})
         rows = tod.join(F.broadcast(blocks.join(self.spark.createDataFrame(told), "block_id")), "block_id")  # DRIVER_BINS rows at most
         if how.orders:
-            bounds = tod.groupBy("block_id", "sweep").agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"))
+            bounds = written(tod.groupBy("block_id", "sweep").agg(F.min("t").alias("_t0"), F.max("t").alias("_t1")), "sweeps")  # small or not, Spark knows
             rows = rows.join(bounds, ["block_id", "sweep"]).withColumn("x", long_templates.sweep_position(F.col("t"), F.col("_t0"), F.col("_t1"))).withColumn("sweep", F.col("sweep") - F.col("_sweep"))
         if how.azimuth_bins:
             rows = rows.withColumn("az", long_templates.azimuth_bin(F.col("az"), F.col("_az"), F.col("_azz"), how.azimuth_bins))
@@ -227,10 +239,10 @@ class NormalOperator:
             out = {c: table[c].slice(0, 1) for c in ("block_id", "cell", *one)}
             for name in kinds:
                 own = _places(places.value, table["pix"].to_numpy()) if name == "place" else table[name].to_numpy()
-                out[name] = pa.array([own], pa.list_(pa.int64() if kinds[name] == "bigint" else pa.float64()))
+                out[name] = as_bytes([own], np.int64 if name in INTEGERS else np.float64)
             return pa.table(out)
 
-        schema = f"block_id {kind}, cell long, first long, bins long, sweeps long, plates long, " + ", ".join(f"{c} array<{k}>" for c, k in kinds.items())
+        schema = f"block_id {kind}, cell long, first long, bins long, sweeps long, plates long, " + ", ".join(f"{c} binary" for c in kinds)
         packed = cut.groupBy("block_id", "cell").applyInArrow(pack, schema)
         weight = noise.select("block_id", F.col("t").getItem(0).cast("double").alias("weight"))
         layout = written(packed.join(weight, "block_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))), "layout")
@@ -323,10 +335,8 @@ class NormalOperator:
             for b in batches:
                 for r in range(b.num_rows):
                     (classes, first, _), v = _expanded(how, b, r), _template_values(b, r, sent, width)
-                    met, at = np.unique(np.stack([at for at, _ in classes]), return_inverse=True)
-                    at = at.reshape(len(classes), -1)
-                    amp = [sum(np.bincount(at[k], w * x, len(met)) for k, (_, w) in enumerate(classes)) for x in v]
-                    yield pa.RecordBatch.from_arrays([pa.array(first + met), *map(pa.array, amp)], ["bin", *names])
+                    met, amp = zip(*(_sums(at, [w * x for x in v]) for at, w in classes))
+                    yield pa.RecordBatch.from_arrays([pa.array(first + np.concatenate(met)), *(pa.array(np.concatenate(x)) for x in zip(*amp))], ["bin", *names])
 
         with wide_rows(self.spark):
             total = self.rows.mapInArrow(run, "bin long, " + ", ".join(f"{n} double" for n in names)).groupBy("bin").agg(*(F.sum(n).alias(n) for n in names)).toArrow()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skyloom.functions.orthogonal import Factor, Front, backward, eliminated, forward, piecewise, together
-from skyloom.sources.staging import wide_rows, written
+from skyloom.sources.staging import as_bytes, from_bytes, wide_rows, written
 
 FAN = 16
 CHUNK = 1 << 14
@@ -29,6 +29,8 @@ TOLERANCE = 1e-6
 #: Entries (sample, bin, weight) of a chunk, from a row of a batch.
 Entries = Callable[[pa.RecordBatch, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 _LIST, _REAL = pa.list_(pa.int64()), pa.list_(pa.float64())
+#: Integers of ``packed_samples``.
+_NUMBERS = {"t": np.int64, "pix": np.int64, "at": np.int32, "bin": np.int32}
 _COLUMNS = "level int, node long, place int, local array<bigint>, rest array<bigint>, low array<bigint>, high array<bigint>, solve array<double>, r array<double>"
 
 
@@ -63,6 +65,34 @@ def packed_entries(b: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray, n
     return t - t.min(), bin_, w
 
 
+def packed_samples(rows: DataFrame, reals: list[str], chunk: int = CHUNK) -> DataFrame:
+    """(block_id, cell, t, pix, ``reals``, at, bin, w): samples beside their templates (``templates.beside``) with a row a chunk, numbers as bytes; an
+    entry (bin, w) is of the chunk's sample number ``at``."""
+    kind = rows.schema["block_id"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        bins, w = table["bin"].combine_chunks(), table["w"].combine_chunks()
+        at = np.repeat(np.arange(len(bins)), np.diff(bins.offsets.to_numpy()))
+        bins, w = bins.flatten(), w.flatten()
+        kept = bins.is_valid().to_numpy(zero_copy_only=False)
+        one = {c: table[c].to_numpy() for c in ("t", "pix", *reals)} | {"at": at[kept], "bin": bins.filter(pa.array(kept)).to_numpy(), "w": w.to_numpy(zero_copy_only=False)[kept]}
+        return pa.table({"block_id": table["block_id"].slice(0, 1), "cell": table["cell"].slice(0, 1), **{c: as_bytes([v], _NUMBERS.get(c, np.float64)) for c, v in one.items()}})
+
+    cut = rows.filter("t IS NOT NULL").select("block_id", F.floor(F.col("t") / chunk).alias("cell"), F.col("t").cast("long"), F.coalesce("pix", F.lit(-1)).cast("long").alias("pix"), *(F.col(c).cast("double") for c in reals), "bin", "w")
+    schema = f"block_id {kind}, cell long, " + ", ".join(f"{c} binary" for c in ("t", "pix", *reals, "at", "bin", "w"))
+    return written(cut.groupBy("block_id", "cell").applyInArrow(run, schema), "samples")
+
+
+def _get(b: pa.RecordBatch, r: int, column: str) -> np.ndarray:
+    return from_bytes(b, r, column, _NUMBERS.get(column, np.float64))
+
+
+def sample_entries(b: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of ``packed_samples``; rows are numbered by t, as gaps are rows without templates."""
+    t, at, bin_, w = (_get(b, r, c) for c in ("t", "at", "bin", "w"))
+    return (t - t.min())[at], bin_.astype(np.int64), w
+
+
 def _rows(block: pa.Array, level: int, node: int, factors: list[Factor], front: Front, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
     """Rows of ``_COLUMNS``: the factors, then the front (its matrix in r) with the chunks that its columns reach."""
     n, none = len(factors) + 1, np.zeros(0)
@@ -198,6 +228,40 @@ def fitted(fit: Fit, right: DataFrame) -> DataFrame:
     return found.select("block_id", F.col("bin").cast("int").alias("bin"), *((F.col(n) * size).alias(a.replace("amp", "tau")) for n, a in zip(v, amps)))
 
 
+def left_over(chunks: DataFrame, fit: Fit, values: list[str], kept: list[str]) -> DataFrame:
+    """(block_id, t, pix, ``kept``, ``values``): samples of ``packed_samples``, each value less what the templates fit of it."""
+    kind, spark = chunks.schema["block_id"].dataType.simpleString(), chunks.sparkSession
+    amps, taus = ([f"{c}{k}" for k in range(len(values))] for c in ("amp", "tau"))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                at, bin_, w = (_get(b, r, c) for c in ("at", "bin", "w"))
+                names, place = np.unique(bin_, return_inverse=True)
+                sums = [np.bincount(place, w * _get(b, r, c)[at], len(names)).astype(float) for c in values]
+                same = pa.array([r] * len(names), pa.int64())
+                yield pa.RecordBatch.from_arrays([b["block_id"].take(same), b["cell"].take(same), pa.array(names, pa.int32()), *map(pa.array, sums)], ["block_id", "cell", "bin", *amps])
+
+    def less(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                at, bin_, w = (_get(b, r, c) for c in ("at", "bin", "w"))
+                t, out = _get(b, r, "t"), [_get(b, r, c) for c in values]
+                if b["told"][r].is_valid:  # else the chunk has no templates
+                    told = b["told"][r].values
+                    place = np.searchsorted(told.field("bin").to_numpy(), bin_)
+                    out = [v - np.bincount(at, w * told.field(x).to_numpy()[place], len(t)) for v, x in zip(out, taus)]
+                yield pa.RecordBatch.from_arrays([b["block_id"].take(pa.array([r] * len(t), pa.int64())), *(pa.array(_get(b, r, c)) for c in ("t", "pix", *kept)), *map(pa.array, out)], ["block_id", "t", "pix", *kept, *values])
+
+    with wide_rows(spark):
+        sums = written(chunks.mapInArrow(met, f"block_id {kind}, cell long, bin int, " + ", ".join(f"{a} double" for a in amps)), "amplitudes")
+    tau = fitted(fit, sums.groupBy("block_id", "bin").agg(*(F.sum(a).alias(a) for a in amps)))
+    told = sums.select("block_id", "cell", "bin").join(tau, ["block_id", "bin"]).groupBy("block_id", "cell").agg(F.sort_array(F.collect_list(F.struct("bin", *taus))).alias("told"))
+    told = written(told, "fitted")  # flat rows end here
+    with wide_rows(spark):
+        return written(chunks.join(told, ["block_id", "cell"], "left").mapInArrow(less, f"block_id {kind}, t long, pix long, " + ", ".join(f"{c} double" for c in (*kept, *values))), "left")
+
+
 def checked(fit: Fit, left: DataFrame, lengths: DataFrame) -> None:
     """Raises unless what a fit leaves is orthogonal to all templates. ``left``: block_id, bin, amp (templates times what is left);
     ``lengths``: block_id, length (of the samples before)."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import orthogonal
 from skyloom.operators import solver, template_fit, templates
+from skyloom.sources.staging import written
 
 
 def entries(n, how, angle, sweep=101):
@@ -114,6 +115,33 @@ def test_blocks_over_many_tasks(spark, samples, monkeypatch, chunk, fan):
         assert fit.factors.agg(F.max(F.size("local") + F.size("rest"))).first()[0] < 60
 
 
+def test_expansion_moves_no_sample(spark, samples):
+    """Samples are read once and stay where they are, whatever the number of classes; the others that are read are blocks and sweeps."""
+    plan = templates.expanded(written(samples), 3, 6, 1, 130)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 3 and "Exchange hash" not in plan
+
+
+def test_left_over_by_chunks(samples):
+    """What a fit leaves of two values at once is what the long tables leave, also of samples that have no sweep and blocks without any template."""
+    rows = samples.withColumn("sweep", F.when(F.col("t") % 50 != 7, F.col("sweep"))).withColumn("e", F.cos(F.col("t") / 3.0)).withColumn("pix", F.when(F.col("t") % 4 > 0, F.col("t") % 9))
+    for orders, bins, harmonics in ((3, 6, 1), (2, 0, 0)):
+        long = templates.expanded(rows, orders, bins, harmonics, 130)
+        packed = template_fit.packed_samples(templates.beside(rows, orders, bins, harmonics, 130), ["d", "e", "az"], 300)
+        fit = template_fit.factored(packed, template_fit.sample_entries)
+        got = template_fit.left_over(packed, fit, ["d", "e"], ["az"]).toPandas().set_index(["block_id", "t"]).sort_index()
+        tau = template_fit.fitted(fit, templates.scatter(long, rows, ["d", "e"]))
+        want = rows.join(templates.project(long, tau, ["y0", "y1"]), ["block_id", "t"], "left").toPandas().set_index(["block_id", "t"]).sort_index()
+        assert len(got) == len(want) and (got["az"] == want["az"]).all() and (got["pix"] == want["pix"].fillna(-1)).all()
+        for c, y in (("d", "y0"), ("e", "y1")):
+            assert np.allclose(got[c], want[c] - want[y].fillna(0.0), atol=1e-9 * np.linalg.norm(want[c]))
+
+
+def test_sums_of_near_and_far_numbers():
+    for at in (np.array([5, 3, 5, 9]), np.array([10**9, 3, 10**9, 7]), np.zeros(0, int)):
+        met, (got,) = solver._sums(at, [np.arange(len(at)) + 1.0])
+        assert dict(zip(met, got)) == {k: sum(n + 1.0 for n in range(len(at)) if at[n] == k) for k in set(at.tolist())}
+
+
 def test_driver_and_tables_fit_alike(samples):
     table = templates.expanded(samples, 3, 6, 1, 130)
     fit = template_fit.factored(template_fit.packed(table, 300), template_fit.packed_entries)
