@@ -7,7 +7,8 @@ in each iteration by one job: project, weight, scatter within the task, and sum
 
 Templates are not written out: their classes are expanded chunk by chunk, and fitted by ``template_fit``.  What pixels and templates share, A^T F T,
 is summed once; where its entries fit the driver an iteration has no job, since A^T F A has a block a pixel there (templates need a
-bandwidth of 1).  Beyond that an iteration has two jobs, one that sums what the templates of each block meet and one that takes off the fit.
+bandwidth of 1).  Beyond that an iteration has two jobs: chunks take off the templates that only they have, with factors that lie beside them, and hand
+on what the few others meet; those are fitted on the driver, and the second job takes off the fit.
 
 Map vectors have three numbers for each observed pixel.  Up to ``DRIVER_PIXELS`` of them live on the driver and are broadcast
 (a size that is checked); above that ``table_solver`` keeps vectors as tables.
@@ -29,13 +30,13 @@ from skyloom.operators import pixel_blocks, pointing, template_fit, templates as
 from skyloom.sources.staging import as_bytes, from_bytes, wide_rows, written
 
 DRIVER_PIXELS = 12 * 1024**2
-#: Numbers of all blocks' template factors that the driver holds, and template bins and blocks.
+#: Numbers of template factors that the driver holds (of all blocks, or of what several chunks share) or a task of one chunk, and template bins and blocks.
 DRIVER_FACTORS = 32 * 1024**2
 DRIVER_BINS = 4 * 1024**2
 #: Entries (pixel, template) that the driver holds; more are left in their chunks.
 DRIVER_CROSS = 4 * 1024**2
 WEIGHTS = pointing.WEIGHTS
-#: What chunks with templates hold as integers.
+#: What chunks with templates hold as integers of 32 bits.
 INTEGERS = ("place", "sweep", "az", "plate")
 #: Samples of a chunk, at least eight bandwidths, and with templates.
 CHUNK = 1 << 16
@@ -107,7 +108,7 @@ def _places(known: np.ndarray, pix: np.ndarray) -> np.ndarray:
 
 
 def _array(b: pa.RecordBatch, r: int, column: str) -> np.ndarray:
-    return from_bytes(b, r, column, np.int64 if column in INTEGERS else np.float64)
+    return from_bytes(b, r, column, np.int32).astype(np.int64) if column in INTEGERS else from_bytes(b, r, column, np.float64)
 
 
 def _entries(how: Templates, b: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,10 +135,10 @@ def _sums(at: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np
 
 def _template_values(b: pa.RecordBatch, r: int, sent, width: int) -> list[np.ndarray]:
     """F v of a chunk's samples, without templates: of the data, or of each map sent."""
-    weight, place = b["weight"][r].as_py(), _array(b, r, "place")
+    weight = b["weight"][r].as_py()
     if sent is None:
         return [weight * _array(b, r, "d")]
-    w = [_array(b, r, c) for c in WEIGHTS]
+    place, w = _array(b, r, "place"), [_array(b, r, c) for c in WEIGHTS]
     return [weight * np.where(place >= 0, sum(w[s] * sent.value[3 * place + s, k] for s in range(3)), 0.0) for k in range(width)]
 
 
@@ -239,7 +240,7 @@ class NormalOperator:
             out = {c: table[c].slice(0, 1) for c in ("block_id", "cell", *one)}
             for name in kinds:
                 own = _places(places.value, table["pix"].to_numpy()) if name == "place" else table[name].to_numpy()
-                out[name] = as_bytes([own], np.int64 if name in INTEGERS else np.float64)
+                out[name] = as_bytes([own], np.int32 if name in INTEGERS else np.float64)  # at most DRIVER_BINS or DRIVER_PIXELS
             return pa.table(out)
 
         schema = f"block_id {kind}, cell long, first long, bins long, sweeps long, plates long, " + ", ".join(f"{c} binary" for c in kinds)
@@ -249,11 +250,12 @@ class NormalOperator:
 
         # a block's weight takes no part: it scales the fit and what the fit meets
         fit = template_fit.factored(layout, partial(_entries, how))
-        if (count := fit.doubles()) > DRIVER_FACTORS:
-            raise TooMany(f"{count} numbers of the templates' factors are too many for the driver; use table_solver")
-        self.fit = template_fit.DriverFit(fit, self.first, self.bins)
         self.cross = self._crossed(layout)
-        return layout
+        every, upper, leaf = fit.doubles()
+        if (count := every if self.cross else max(upper, leaf)) > DRIVER_FACTORS:
+            raise TooMany(f"{count} numbers of the templates' factors are too many for the driver; use table_solver")
+        self.fit = template_fit.DriverFit(fit, self.first, self.bins) if self.cross else template_fit.SharedFit(fit, self.first)
+        return layout if self.cross else written(layout.join(fit.leaves(), ["block_id", "cell"]), "layout")
 
     def _crossed(self, layout: DataFrame) -> tuple[np.ndarray, ...] | None:
         """What pixels and templates share: (place, bin, A^T T as three numbers each), the weight of each bin's block and A^T F A's block of each
@@ -278,8 +280,16 @@ class NormalOperator:
                     weight, w = b["weight"][r].as_py(), [_array(b, r, c)[place >= 0] for c in WEIGHTS]
                     yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(np.bincount(inverse, weight * w[m] * w[n], len(at)).astype(float)) for m, n in pairs)], ["place", *(f"b{m}{n}" for m, n in pairs)])
 
-        with wide_rows(self.spark):  # far too many aren't summed first
-            if layout.mapInArrow(run, "key long, i double, q double, u double").agg(F.approx_count_distinct("key")).first()[0] > 1.25 * DRIVER_CROSS:
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in range(b.num_rows):
+                    (classes, first, _), place = _expanded(how, b, r), _array(b, r, "place")
+                    for bin_, _ in classes:
+                        key = (place * bins + first + bin_)[place >= 0]
+                        yield pa.RecordBatch.from_arrays([pa.array(key[key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58) == 0])], ["key"])
+
+        with wide_rows(self.spark):  # far too many aren't summed first: their number is told from the 64th part of possible keys
+            if layout.mapInArrow(some, "key long").agg(F.countDistinct("key")).first()[0] * 64 > 1.25 * DRIVER_CROSS + 4096:
                 return None
             found = written(layout.mapInArrow(run, "key long, i double, q double, u double").groupBy("key").agg(*(F.sum(s).alias(s) for s in "iqu")), "cross")
         if found.count() > DRIVER_CROSS:
@@ -308,61 +318,91 @@ class NormalOperator:
 
     def check_fit(self) -> None:
         """Raises ``template_fit.Inexact`` unless what the fit leaves of the data is orthogonal to all templates."""
-        tau, how = self._send(self._fit(None, 1)), self.templates
+        left_of, how, whole = self._left(None, 1), self.templates, self.cross is not None
+        size = self._send(self.fit.size) if whole else None
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """What shared templates of length 1 meet, and in one row a chunk the most that its own do, and its power."""
             for b in batches:
                 for r in range(b.num_rows):
-                    (classes, first, bins), (v,) = _expanded(how, b, r), _template_values(b, r, None, 1)
-                    left = v - sum(w * tau.value[first + at, 0] for at, w in classes)
-                    met = np.unique(np.concatenate([at for at, _ in classes]))
-                    amp = sum(np.bincount(at, w * left, bins) for at, w in classes)[met]
-                    power = np.where(np.arange(len(met)) == 0, v @ v, 0.0)  # of the block
-                    yield pa.RecordBatch.from_arrays([pa.array(first + met), pa.array(np.full(len(met), first)), pa.array(amp), pa.array(power)], ["bin", "first", "amp", "power"])
+                    (classes, first, bins), v = _expanded(how, b, r), _template_values(b, r, None, 1)
+                    (left,) = left_of(b, r, classes, first, v)
+                    if whole:
+                        met = np.unique(np.concatenate([at for at, _ in classes]))
+                        amp, own = (sum(np.bincount(at, w * left, bins) for at, w in classes))[met] * size.value[first + met], 0.0
+                    else:
+                        leaf = template_fit.Leaf(b, r)
+                        amp = leaf.met([(leaf.places(at), w) for at, w in classes], [left])[:, 0]
+                        own, met, amp = float(np.abs(amp[~leaf.shared]).max(initial=0.0)), leaf.names[leaf.shared], amp[leaf.shared]
+                    zero = np.zeros(len(met))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.append(first + met, -1), np.full(len(met) + 1, first), np.append(amp, 0.0), np.append(zero, own), np.append(zero, v[0] @ v[0]))], ["bin", "first", "amp", "own", "power"])
 
         with wide_rows(self.spark):
-            got = self.rows.mapInArrow(run, "bin long, first long, amp double, power double").groupBy("bin", "first").agg(F.sum("amp").alias("amp"), F.sum("power").alias("power")).toArrow()
-        power = np.bincount(got["first"].to_numpy(), got["power"].to_numpy(), max(1, self.bins))[got["first"].to_numpy()]
-        worst = np.abs(got["amp"].to_numpy() * self.fit.size[got["bin"].to_numpy()]) / np.sqrt(np.where(power > 0, power, 1))
+            got = self.rows.drop("place", *WEIGHTS).mapInArrow(run, "bin long, first long, amp double, own double, power double").groupBy("bin", "first").agg(F.sum("amp").alias("amp"), F.max("own").alias("own"), F.sum("power").alias("power")).toArrow()
+        first, power = got["first"].to_numpy(), np.zeros(max(1, self.bins))
+        np.add.at(power, first, got["power"].to_numpy())
+        worst = np.maximum(np.abs(got["amp"].to_numpy()), got["own"].to_numpy()) / np.sqrt(np.where(power > 0, power, 1))[first]
         if not worst.max(initial=0.0) <= template_fit.TOLERANCE:
             raise template_fit.Inexact(f"the fit leaves {worst.max():.1e} of a template in the samples")
 
     def _fit(self, sent, width: int) -> np.ndarray:
-        """Amplitudes of all blocks' templates that fit F v best, a column a product."""
-        how, names = self.templates, [f"v{k}" for k in range(width)]
+        """Amplitudes of all blocks' templates that fit F v best, a column a product; where chunks fit their own, values of those they share."""
+        how, names, whole = self.templates, [f"v{k}" for k in range(width)], self.cross is not None
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for r in range(b.num_rows):
                     (classes, first, _), v = _expanded(how, b, r), _template_values(b, r, sent, width)
-                    met, amp = zip(*(_sums(at, [w * x for x in v]) for at, w in classes))
-                    yield pa.RecordBatch.from_arrays([pa.array(first + np.concatenate(met)), *(pa.array(np.concatenate(x)) for x in zip(*amp))], ["bin", *names])
+                    if whole:
+                        met, amp = zip(*(_sums(at, [w * x for x in v]) for at, w in classes))
+                        met, amp = np.concatenate(met), [np.concatenate(x) for x in zip(*amp)]
+                    else:
+                        leaf = template_fit.Leaf(b, r)
+                        amp = leaf.handed_on(leaf.met([(leaf.places(at), w) for at, w in classes], v))[0].T
+                        met = leaf.names[leaf.shared]
+                    yield pa.RecordBatch.from_arrays([pa.array(first + met), *(pa.array(np.ascontiguousarray(x)) for x in amp)], ["bin", *names])
 
         with wide_rows(self.spark):
-            total = self.rows.mapInArrow(run, "bin long, " + ", ".join(f"{n} double" for n in names)).groupBy("bin").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
-        amp = np.zeros((self.bins, width))
-        amp[total["bin"].to_numpy()] = np.stack([total[n].to_numpy() for n in names], 1)
+            total = self.rows.drop(*(("place", *WEIGHTS) if sent is None else ("d",))).mapInArrow(run, "bin long, " + ", ".join(f"{n} double" for n in names)).groupBy("bin").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+        at = total["bin"].to_numpy() if whole else np.searchsorted(self.fit.known, total["bin"].to_numpy())
+        amp = np.zeros((self.bins if whole else len(self.fit.known), width))
+        amp[at] = np.stack([total[n].to_numpy() for n in names], 1)
         return self.fit(amp)
 
+    def _left(self, sent, width: int) -> Callable:
+        """What the fit leaves of F v, from a chunk's row, classes, first bin and values."""
+        tau = self._send(self._fit(sent, width))
+        if self.cross is not None:
+            return lambda b, r, classes, first, values: [v - sum(w * tau.value[first + at, k] for at, w in classes) for k, v in enumerate(values)]
+        known = self._send(self.fit.known)
+
+        def left(b: pa.RecordBatch, r: int, classes: list, first: int, values: list[np.ndarray]) -> list[np.ndarray]:
+            leaf = template_fit.Leaf(b, r)
+            entries = [(leaf.places(at), w) for at, w in classes]
+            parts = leaf.handed_on(leaf.met(entries, values))[1]
+            own = leaf.amplitudes(parts, tau.value[np.searchsorted(known.value, first + leaf.names[leaf.shared])])
+            return [v - sum(w * own[at, k] for at, w in entries) for k, v in enumerate(values)]
+
+        return left
+
     def _template_job(self, vectors: np.ndarray | None) -> DataFrame:
         """(place, sums): A^T F (v - T tau) chunk by chunk."""
         sent = self._send(vectors) if vectors is not None else None
         width, how = 1 if vectors is None else vectors.shape[1], self.templates
-        names, tau = [f"{s}{k}" for k in range(width) for s in "iqu"], self._send(self._fit(sent, width))
+        names, left_of = [f"{s}{k}" for k in range(width) for s in "iqu"], self._left(sent, width)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for r in range(b.num_rows):
-                    (classes, first, _), values, place = _expanded(how, b, r), _template_values(b, r, sent, width), _array(b, r, "place")
+                    (classes, first, _), place = _expanded(how, b, r), _array(b, r, "place")
                     seen = place >= 0
                     at, inverse = np.unique(place[seen], return_inverse=True)
-                    weights, out = [_array(b, r, c)[seen] for c in WEIGHTS], []
-                    for k, v in enumerate(values):
-                        left = (v - sum(w * tau.value[first + bin_, k] for bin_, w in classes))[seen]
-                        out += [np.bincount(inverse, w * left, len(at)).astype(float) for w in weights]
+                    weights = [_array(b, r, c)[seen] for c in WEIGHTS]
+                    out = [np.bincount(inverse, w * left[seen], len(at)).astype(float) for left in left_of(b, r, classes, first, _template_values(b, r, sent, width)) for w in weights]
                     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *map(pa.array, out)], ["place", *names])
 
-        return self.rows.mapInArrow(_by_task(run, names, len(self.pixels)), "place long, " + ", ".join(f"{n} double" for n in names))
+        rows = self.rows if sent is None else self.rows.drop("d")
+        return rows.mapInArrow(_by_task(run, names, len(self.pixels)), "place long, " + ", ".join(f"{n} double" for n in names))
 
     def _job(self, vectors: np.ndarray | None) -> np.ndarray:
         """Sum over chunks of A^T F v, v being the data or A h. Columns of ``vectors``: one product each."""

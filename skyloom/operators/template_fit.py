@@ -28,10 +28,10 @@ TOLERANCE = 1e-6
 
 #: Entries (sample, bin, weight) of a chunk, from a row of a batch.
 Entries = Callable[[pa.RecordBatch, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
-_LIST, _REAL = pa.list_(pa.int64()), pa.list_(pa.float64())
+_LIST = pa.list_(pa.int64())
 #: Integers of ``packed_samples``.
 _NUMBERS = {"t": np.int64, "pix": np.int64, "at": np.int32, "bin": np.int32}
-_COLUMNS = "level int, node long, place int, local array<bigint>, rest array<bigint>, low array<bigint>, high array<bigint>, solve array<double>, r array<double>"
+_COLUMNS = "level int, node long, place int, local array<bigint>, rest array<bigint>, low array<bigint>, high array<bigint>, sizes array<bigint>, names binary, norm binary, solve binary, r binary"
 
 
 class Inexact(ArithmeticError):
@@ -40,12 +40,19 @@ class Inexact(ArithmeticError):
 
 @dataclass
 class Fit:
-    factors: DataFrame  # block_id, level, node, place and the factor; a node's front has place -1 and its matrix in r
+    factors: DataFrame  # block_id, level, node, place and a node's factors one after the other (place 0); its front has place -1 and its matrix in r
     bins: DataFrame  # block_id, bin, norm, level, node: where each template is taken off
     top: int
 
-    def doubles(self) -> int:
-        return int(self.factors.filter("place >= 0").agg(F.sum(F.size("solve") + F.size("r"))).first()[0] or 0)
+    def doubles(self) -> tuple[int, int, int]:
+        """Numbers of all factors, of those over several chunks, and of the largest chunk's."""
+        n = (F.length("solve") + F.length("r")) / 8
+        upper, leaf = F.when(F.col("level") > 0, n), F.when(F.col("level") == 0, n)
+        return tuple(int(k or 0) for k in self.factors.filter("place >= 0").agg(F.sum(n), F.sum(upper), F.max(leaf)).first())
+
+    def leaves(self) -> DataFrame:
+        """What ``Leaf`` reads: block_id, cell, and a chunk's factors."""
+        return self.factors.filter("level = 0 AND place >= 0").select("block_id", F.col("node").alias("cell"), "local", "rest", "sizes", "names", "norm", "solve", "r")
 
 
 def packed(templates: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -93,20 +100,65 @@ def sample_entries(b: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray, n
     return (t - t.min())[at], bin_.astype(np.int64), w
 
 
-def _rows(block: pa.Array, level: int, node: int, factors: list[Factor], front: Front, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
-    """Rows of ``_COLUMNS``: the factors, then the front (its matrix in r) with the chunks that its columns reach."""
-    n, none = len(factors) + 1, np.zeros(0)
+def _rows(block: pa.Array, level: int, node: int, factors: list[Factor], front: Front, low: np.ndarray, high: np.ndarray, names: np.ndarray, norm: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``_COLUMNS``: the factors, then the front (its matrix in r) with the chunks that its columns reach. ``names``, ``norm``: a chunk's
+    templates and their lengths."""
+    none, real = np.zeros(0, np.int64), np.zeros(0)
+    one = lambda parts, empty: np.concatenate([empty, *(p.ravel() for p in parts)])
     lists = {
-        "local": [f.local for f in factors] + [none.astype(int)], "rest": [f.rest for f in factors] + [front.columns], "low": [none.astype(int)] * (n - 1) + [low], "high": [none.astype(int)] * (n - 1) + [high],
-        "solve": [f.solve.ravel() for f in factors] + [none], "r": [f.r.ravel() for f in factors] + [front.m.ravel()],
+        "local": [one([f.local for f in factors], none), none], "rest": [one([f.rest for f in factors], none), front.columns], "low": [none, low], "high": [none, high],
+        "sizes": [np.array([n for f in factors for n in (len(f.local), *f.r.shape)], np.int64), none],
     }
-    columns = [block.take(pa.array([0] * n)), pa.array([level] * n, pa.int32()), pa.array([node] * n, pa.int64()), pa.array([*range(n - 1), -1], pa.int32())]
-    return pa.RecordBatch.from_arrays([*columns, *(pa.array(v, _LIST if c in ("local", "rest", "low", "high") else _REAL) for c, v in lists.items())], ["block_id", "level", "node", "place", *lists])
-
-
-def _factor(local: np.ndarray, rest: np.ndarray, solve: np.ndarray, r: np.ndarray) -> Factor:
-    k = len(solve) // max(1, len(local))
-    return Factor(local, rest, solve.reshape(len(local), k), r.reshape(k, len(rest)))
+    numbers = {"names": [names, none], "norm": [norm, real], "solve": [one([f.solve for f in factors], real), real], "r": [one([f.r for f in factors], real), front.m.ravel()]}
+    columns = [block.take(pa.array([0, 0])), pa.array([level] * 2, pa.int32()), pa.array([node] * 2, pa.int64()), pa.array([0, -1], pa.int32())]
+    columns += [*(pa.array(v, _LIST) for v in lists.values()), *(as_bytes(v, np.int64 if c == "names" else np.float64) for c, v in numbers.items())]
+    return pa.RecordBatch.from_arrays(columns, ["block_id", "level", "node", "place", *lists, *numbers])
+
+
+def _factors(b: pa.RecordBatch | pa.Table, r: int, number: Callable[[np.ndarray], np.ndarray]) -> list[Factor]:
+    """Factors of a row, their columns as ``number`` tells."""
+    sizes, local, rest = (b[c][r].values.to_numpy(zero_copy_only=False) for c in ("sizes", "local", "rest"))
+    local, rest, solve, m = number(local), number(rest), from_bytes(b, r, "solve", np.float64), from_bytes(b, r, "r", np.float64)
+    out, a, z, s, q = [], 0, 0, 0, 0
+    for n, k, left in sizes.reshape(-1, 3).tolist():
+        out.append(Factor(local[a : a + n], rest[z : z + left], solve[s : s + n * k].reshape(n, k), m[q : q + k * left].reshape(k, left)))
+        a, z, s, q = a + n, z + left, s + n * k, q + k * left
+    return out
+
+
+class Leaf:
+    """A chunk's part of a fit (``Fit.leaves``, from a row of a batch): the templates that only it has are fitted there, given the values of the others."""
+
+    def __init__(self, b: pa.RecordBatch, r: int):
+        self.names, norm = from_bytes(b, r, "names", np.int64), from_bytes(b, r, "norm", np.float64)
+        self.size = np.where(norm > 0, 1 / np.where(norm > 0, norm, 1), 0.0)[:, None]
+        self.factors = _factors(b, r, lambda c: np.searchsorted(self.names, c))
+        self.shared = np.ones(len(self.names), bool)  # with other chunks
+        for f in self.factors:
+            self.shared[f.local] = False
+
+    def places(self, bins: np.ndarray) -> np.ndarray:
+        """Among ``names``; without a search of each where they lie near each other."""
+        if len(bins) and bins.max() - bins.min() < 4 * len(bins):
+            return np.searchsorted(self.names, np.arange(bins.min(), bins.max() + 1))[bins - bins.min()]
+        return np.searchsorted(self.names, bins)
+
+    def met(self, entries: list[tuple[np.ndarray, np.ndarray]], values: list[np.ndarray]) -> np.ndarray:
+        """Templates of length 1 times values, a column a value, of ``entries``: (place, weight) of every value's numbers, class by class."""
+        out = np.stack([sum((np.bincount(at, w * v, len(self.names)) for at, w in entries), np.zeros(len(self.names))) for v in values], 1)
+        return out * self.size
+
+    def handed_on(self, met: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """What the shared templates meet beyond what the chunk's own take of it, and the parts of these."""
+        parts = forward(self.factors, met)
+        return met[self.shared], parts
+
+    def amplitudes(self, parts: list[np.ndarray], shared: np.ndarray) -> np.ndarray:
+        """Of all the chunk's templates; ``shared``: values of those of length 1."""
+        x = np.zeros((len(self.names), shared.shape[1]))
+        x[self.shared] = shared
+        backward(self.factors, parts, x)
+        return x * self.size
 
 
 def _merging(level: int, fan: int) -> Callable[[pa.Table], pa.Table]:
@@ -116,7 +168,8 @@ def _merging(level: int, fan: int) -> Callable[[pa.Table], pa.Table]:
         parts, reach, span = [], {}, fan**level
         for b in table.sort_by("node").to_batches():
             for r in range(b.num_rows):
-                columns, low, high, m = (b[c][r].values.to_numpy(zero_copy_only=False) for c in ("rest", "low", "high", "r"))
+                columns, low, high = (b[c][r].values.to_numpy(zero_copy_only=False) for c in ("rest", "low", "high"))
+                m = from_bytes(b, r, "r", np.float64)
                 parts.append(Front(columns, m.reshape(-1, len(columns)) if len(columns) else np.zeros((0, 0))))
                 reach |= zip(columns.tolist(), zip(low.tolist(), high.tolist()))
         front = together(parts)
@@ -124,7 +177,7 @@ def _merging(level: int, fan: int) -> Callable[[pa.Table], pa.Table]:
         factor, left = eliminated(front, ends[:, 0] // span == ends[:, 1] // span)
         stay = np.isin(front.columns, left.columns)
         block = table["block_id"].combine_chunks().slice(0, 1)
-        return pa.Table.from_batches([_rows(block, level, table["node"][0].as_py() // fan, [] if factor is None else [factor], left, ends[stay, 0], ends[stay, 1])])
+        return pa.Table.from_batches([_rows(block, level, table["node"][0].as_py() // fan, [] if factor is None else [factor], left, ends[stay, 0], ends[stay, 1], np.zeros(0, np.int64), np.zeros(0))])
 
     return merge
 
@@ -160,7 +213,7 @@ def factored(chunks: DataFrame, entries: Entries) -> Fit:
                 size = norm[np.searchsorted(names, bin_)]
                 factors, front = piecewise(row, bin_, np.where(size > 0, w / np.where(size > 0, size, 1), 0.0), names, low == high)
                 at = np.searchsorted(names, front.columns)
-                yield _rows(b["block_id"].slice(r, 1), 0, b["cell"][r].as_py(), factors, front, low[at], high[at])
+                yield _rows(b["block_id"].slice(r, 1), 0, b["cell"][r].as_py(), factors, front, low[at], high[at], names, norm)
 
     schema = f"block_id {kind}, {_COLUMNS}"
     told = written(told, "held")  # flat rows end here
@@ -186,8 +239,8 @@ def fitted(fit: Fit, right: DataFrame) -> DataFrame:
 
     def solved(table: pa.Table, given: pa.Table, down: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(columns, whether they are the node's own, their values): on the way up what the node takes off those of the others."""
-        rows = table.filter(pa.compute.greater_equal(table["place"], 0)).sort_by("place")
-        factors = [_factor(*(np.array(r[c], float if c in ("solve", "r") else np.int64) for c in ("local", "rest", "solve", "r"))) for r in rows.select(["local", "rest", "solve", "r"]).to_pylist()]
+        rows = table.filter(pa.compute.greater_equal(table["place"], 0))
+        factors = [f for r in range(rows.num_rows) for f in _factors(rows, r, lambda c: c)]
         names = np.unique(np.concatenate([np.zeros(0, np.int64), *(f.local for f in factors), *(f.rest for f in factors)]))
         a, x, own = np.zeros((len(names), len(v))), np.zeros((len(names), len(v))), np.zeros(len(names), bool)
         for f in factors:
@@ -271,20 +324,25 @@ def checked(fit: Fit, left: DataFrame, lengths: DataFrame) -> None:
         raise Inexact(f"the fit leaves {most:.1e} of a template in the samples")
 
 
+def _of_blocks(told: pa.Table, first: dict) -> np.ndarray:
+    """Numbers of (block_id, bin) among the bins of all blocks."""
+    return np.array([first[k] for k in told["block_id"].to_pylist()], np.int64) + told["bin"].to_numpy()
+
+
+def _fetched(fit: Fit, first: dict, level: int, number: Callable[[np.ndarray], np.ndarray]) -> list[Factor]:
+    """Factors from a level up, in the order in which they take off."""
+    rows = fit.factors.filter(f"place >= 0 AND level >= {level}").select("block_id", "level", "node", "local", "rest", "sizes", "solve", "r").toArrow().sort_by([("level", "ascending"), ("node", "ascending")])
+    return [f for b in rows.to_batches() for r in range(b.num_rows) for f in _factors(b, r, lambda c, at=first[b["block_id"][r].as_py()]: number(c + at))]
+
+
 class DriverFit:
     """The same on the driver, for as many factors as it holds; bins of all blocks in one vector, a block's first at ``first[block]``."""
 
     def __init__(self, fit: Fit, first: dict, bins: int):
-        rows = fit.factors.filter("place >= 0").select("block_id", "level", "node", "place", "local", "rest", "solve", "r").toArrow().sort_by([("level", "ascending"), ("node", "ascending"), ("place", "ascending")])
-        self.factors = []
-        for b in rows.to_batches():
-            for r in range(b.num_rows):
-                at = first[b["block_id"][r].as_py()]
-                own = {c: b[c][r].values.to_numpy(zero_copy_only=False) for c in ("local", "rest", "solve", "r")}
-                self.factors.append(_factor(own["local"] + at, own["rest"] + at, own["solve"], own["r"]))
+        self.factors = _fetched(fit, first, 0, lambda c: c)
         told = fit.bins.select("block_id", "bin", "norm").toArrow()
         norm = np.zeros(bins)
-        norm[np.array([first[k] for k in told["block_id"].to_pylist()], np.int64) + told["bin"].to_numpy()] = told["norm"].to_numpy()
+        norm[_of_blocks(told, first)] = told["norm"].to_numpy()
         self.size = np.where(norm > 0, 1 / np.where(norm > 0, norm, 1), 0.0)
 
     def __call__(self, amp: np.ndarray) -> np.ndarray:
@@ -292,3 +350,16 @@ class DriverFit:
         a, x = amp * size, np.zeros(amp.shape)
         backward(self.factors, forward(self.factors, a), x)
         return x * size
+
+
+class SharedFit:
+    """The templates that several chunks have, on the driver: what chunks hand on (``Leaf``), in columns by ``known``, to the values of those of length 1."""
+
+    def __init__(self, fit: Fit, first: dict):
+        self.known = np.sort(_of_blocks(fit.bins.filter("level > 0").select("block_id", "bin").toArrow(), first))
+        self.factors = _fetched(fit, first, 1, lambda c: np.searchsorted(self.known, c))
+
+    def __call__(self, met: np.ndarray) -> np.ndarray:
+        x = np.zeros(met.shape)
+        backward(self.factors, forward(self.factors, met), x)
+        return x

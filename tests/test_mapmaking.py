@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom.functions import numeric
-from skyloom.operators import flags, noise, pixel_blocks, pointing, solver, table_solver, templates, toeplitz
+from skyloom.operators import flags, noise, pixel_blocks, pointing, solver, table_solver, template_fit, templates, toeplitz
 from skyloom.plans import config as C, mapmaker
 from skyloom.sources import readers, sinks
 
@@ -585,6 +585,34 @@ def test_templates_of_a_block_in_chunks(spark, tmp_path, monkeypatch):
         monkeypatch.undo()
 
 
+def test_templates_of_a_chunk_are_fitted_there(spark, monkeypatch):
+    """The driver sees what several chunks share, not the factors of all chunks: their number alone is no reason for vectors as tables."""
+    monkeypatch.setattr(solver, "DRIVER_CROSS", 5)
+    n, how = 6000, solver.Templates(4, 0, 2, 130)
+    frame = spark.range(n).select(F.lit(0).alias("block_id"), F.col("id").alias("t"), (F.col("id") % 37).alias("pix"), F.lit(1.0).alias("w_i"), F.cos(F.col("id") * 1.7).alias("w_q"), F.sin(F.col("id") * 1.7).alias("w_u"))
+    frame = frame.withColumn("value", F.sin(F.col("t") * F.col("t") / 900) * 100).withColumn("sweep", F.floor(F.col("t") / 101)).withColumn("hwp_angle", F.col("t") / 500.0)
+    weights = spark.createDataFrame([(0, [2.0])], "block_id int, t array<double>")
+    op = solver.NormalOperator(frame, weights, 1, templates=how, chunk=500)
+    assert sum(f.solve.size + f.r.size for f in op.fit.factors) < 9000 < op.rows.agg(F.sum(F.length("solve") + F.length("r")) / 8).first()[0]
+    assert len(op.fit.known) < 20 * 12
+    monkeypatch.setattr(solver, "DRIVER_FACTORS", 9000)
+    t, rng = np.arange(n), np.random.default_rng(3)
+    op, x = solver.NormalOperator(frame, weights, 1, templates=how, chunk=500), rng.normal(size=(3 * 37, 2))
+    classes, bins = how.expand({"t": t, "sweep": t // 101, "hwp_angle": t / 500.0})
+    m, a = np.zeros((n, bins)), np.zeros((n, 111))
+    for at, w in classes:
+        m[t, at] += w
+    for s, w in enumerate((np.ones(n), np.cos(t * 1.7), np.sin(t * 1.7))):
+        a[t, 3 * (t % 37) + s] = w
+    m /= np.linalg.norm(m, axis=0)
+    left = lambda v: v - m @ np.linalg.lstsq(m, v, rcond=1e-10)[0]
+    assert np.allclose(op.apply(x), 2 * a.T @ left(a @ x), atol=1e-6 * np.linalg.norm(x))
+    assert np.allclose(op.right_hand_side(), 2 * a.T @ left(np.sin(t * t / 900.0) * 100), atol=1e-4)
+    op.fit.factors = op.fit.factors[:-1]  # a wrong fit of what chunks share
+    with pytest.raises(template_fit.Inexact):
+        op.right_hand_side()
+
+
 @pytest.mark.parametrize("sent", [1 << 20, 10])
 def test_stacked_products_over_tasks_of_bounded_size(spark, monkeypatch, sent):
     """Tasks are as many as the entries ask for, also where a row is long; vectors that are sent or dealt give the same."""
