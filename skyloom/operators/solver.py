@@ -41,6 +41,8 @@ INTEGERS = ("place", "sweep", "az", "plate")
 #: Samples of a chunk, at least eight bandwidths, and with templates.
 CHUNK = 1 << 16
 TEMPLATE_CHUNK = 1 << 14
+#: Rows of a block vector that the driver turns at a time.
+STRIPE = 1 << 16
 #: Sums that a task holds to add up those of its chunks.
 TASK_SUMS = 1 << 22
 
@@ -415,6 +417,8 @@ class NormalOperator:
         for k in range(width):
             for s, c in enumerate("iqu"):
                 result[3 * at + s, k] = total[f"{c}{k}"].to_numpy()
+        del total, at
+        pa.default_memory_pool().release_unused()
         while self.sent:
             self.sent.pop().destroy()
         return result
@@ -569,11 +573,35 @@ def pcg(operator: NormalOperator, precondition, tol: float = 1e-6, most: int = 3
     return out
 
 
+def _stripes(n: int) -> Iterator[slice]:
+    return (slice(k, k + STRIPE) for k in range(0, n, STRIPE))
+
+
+def _turned(a: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """a m, in the place of ``a`` where the width stays."""
+    out = a if m.shape[0] == m.shape[1] else np.empty((len(a), m.shape[1]))
+    for s in _stripes(len(a)):
+        out[s] = a[s] @ m
+    return out
+
+
+def _take(a: np.ndarray, b: np.ndarray, m: np.ndarray) -> None:
+    """a - b m, in the place of ``a``."""
+    for s in _stripes(len(a)):
+        a[s] -= b[s] @ m
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a``, which a step may overwrite without a change of ``b``."""
+    return a.copy() if np.may_share_memory(a, b) else a
+
+
 def enlarged_cg(operator: NormalOperator, precondition, directions: int, tol: float = 1e-6, most: int = 3000, reduce: bool = False, orthodir: bool = False) -> Solution:
     """Block CG that splits the residual into ``directions`` parts by pixel; one job an iteration, whatever the number.
     ``reduce``: when directions have become dependent, the residual's parts go over to an orthonormal basis of what they span (orthomin), or
     the dependent ones are dropped (orthodir), for good. ``orthodir``: the next directions come
-    from the operator's images, orthogonal to the last two sets; else (orthomin) from the residuals."""
+    from the operator's images, orthogonal to the last two sets; else (orthomin) from the residuals. A product leaves room for residuals,
+    directions and images alone (with orthodir two sets more): block vectors are turned where they lie, and old ones go before the next product."""
     r0 = operator.right_hand_side()
     start = float(r0 @ r0)
     n = len(r0)
@@ -583,7 +611,8 @@ def enlarged_cg(operator: NormalOperator, precondition, directions: int, tol: fl
     r = np.where(part[:, None] == np.arange(directions), r0[:, None], 0.0)
     x, residuals, converged = np.zeros(n), [1.0], False
     whole = np.ones(directions)  # r @ whole is the residual
-    p, past = precondition(r), []
+    del r0, part
+    p, past = _apart(precondition(r), r), []
     for _ in range(1, most):
         ap = operator.apply(p)
         gram = p.T @ ap
@@ -592,9 +621,10 @@ def enlarged_cg(operator: NormalOperator, precondition, directions: int, tol: fl
         if not keep.any():
             break
         scale = vec[:, keep] / np.sqrt(val[keep])
-        p, ap = p @ scale, ap @ scale
+        p, ap = _turned(p, scale), _turned(ap, scale)
         alpha = p.T @ r
-        x, r = x + p @ (alpha @ whole), r - ap @ alpha
+        x += p @ (alpha @ whole)
+        _take(r, ap, alpha)
         total = r @ whole
         residuals.append(float(np.sqrt(total @ total / start)))
         if total @ total <= tol**2 * start:
@@ -604,9 +634,12 @@ def enlarged_cg(operator: NormalOperator, precondition, directions: int, tol: fl
         if reduce and not orthodir and not keep.all():
             size, turn = np.linalg.eigh(r.T @ r)
             turn = turn[:, size > size.max() * 1e-24]
-            r, whole = r @ turn, turn.T @ whole
-        z = precondition(ap if orthodir else r)
+            r, whole = _turned(r, turn), turn.T @ whole
+        of = ap if orthodir else r
+        z = _apart(precondition(of), of)
         for old, image in past if orthodir else past[-1:]:
-            z = z - old @ (image.T @ z)
+            _take(z, old, image.T @ z)
+        past = past[-1:] if orthodir else []
+        del of, ap, old, image
         p = z[:, : max(1, int(keep.sum()))] if reduce and orthodir and not keep.all() else z
     return Solution(x, residuals, converged)

@@ -585,6 +585,29 @@ def test_templates_of_a_block_in_chunks(spark, tmp_path, monkeypatch):
         monkeypatch.undo()
 
 
+@pytest.mark.parametrize("orthodir,vectors", [(False, 5), (True, 7)])
+def test_block_vectors_that_the_driver_holds(orthodir, vectors):
+    """Residuals, directions, images and one more, of as many columns as there are directions; orthodir has two sets more."""
+    import tracemalloc
+
+    rng, n = np.random.default_rng(5), 3 * 100_000
+    scale, turn, want = rng.uniform(1, 2, n), np.ones(n) / n**0.5, rng.normal(size=n)
+
+    class Operator:
+        def apply(self, x):
+            return scale[:, None] * x + 5 * turn[:, None] * (turn @ x) if x.ndim > 1 else scale * x + 5 * turn * (turn @ x)
+
+        def right_hand_side(self):
+            return self.apply(want)
+
+    tracemalloc.start()
+    found = solver.enlarged_cg(Operator(), lambda g: g, 8, 1e-10, 60, orthodir=orthodir)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.converged and np.allclose(found.x, want, atol=1e-6)
+    assert peak < vectors * 8 * 8 * n
+
+
 def test_templates_of_a_chunk_are_fitted_there(spark, monkeypatch):
     """The driver sees what several chunks share, not the factors of all chunks: their number alone is no reason for vectors as tables."""
     monkeypatch.setattr(solver, "DRIVER_CROSS", 5)
