@@ -162,6 +162,18 @@ def _by_task(run: Callable, names: list[str], places: int) -> Callable:
     return whole
 
 
+def _packed(sums: DataFrame) -> DataFrame:
+    """A task's rows of (place, sums) as one, numbers as bytes."""
+    names = sums.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[b[n].to_numpy() for n in names] for b in batches if b.num_rows]
+        if parts:
+            yield pa.RecordBatch.from_arrays([as_bytes([np.concatenate(p)], np.int64 if n == "place" else np.float64) for n, p in zip(names, zip(*parts))], names)
+
+    return sums.mapInArrow(run, ", ".join(f"{n} binary" for n in names))
+
+
 class NormalOperator:
     """``tod``: block_id, t, pix, w_i, w_q, w_u, value. ``noise``: block_id, t (first row of the block's matrix).
     ``scan`` columns (sweep, az, hwp_angle) are in ``tod`` where templates need them."""
@@ -411,13 +423,16 @@ class NormalOperator:
         if self.templates is not None and self.cross is not None and vectors is not None:
             return self._cross_product(vectors)
         parts, width = (self._template_job if self.templates is not None else self._plain_job)(vectors), 1 if vectors is None else vectors.shape[1]
-        with wide_rows(self.spark):
-            total = parts.groupBy("place").agg(*(F.sum(n).alias(n) for n in parts.columns[1:])).toArrow()
-        result, at = np.zeros((3 * len(self.pixels), width)), total["place"].to_numpy()
-        for k in range(width):
-            for s, c in enumerate("iqu"):
-                result[3 * at + s, k] = total[f"{c}{k}"].to_numpy()
-        del total, at
+        result = np.zeros((3 * len(self.pixels), width))
+        with wide_rows(self.spark):  # sums come in a row a task, as rows of few numbers would come a few at a time, each with its own buffers
+            total = _packed(parts.groupBy("place").agg(*(F.sum(n).alias(n) for n in parts.columns[1:]))).toArrow()
+        for b in total.to_batches():
+            for r in range(b.num_rows):
+                at = from_bytes(b, r, "place", np.int64)
+                for k in range(width):
+                    for s, c in enumerate("iqu"):
+                        result[3 * at + s, k] = from_bytes(b, r, f"{c}{k}", np.float64)
+        del total
         pa.default_memory_pool().release_unused()
         while self.sent:
             self.sent.pop().destroy()

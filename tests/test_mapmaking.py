@@ -585,6 +585,16 @@ def test_templates_of_a_block_in_chunks(spark, tmp_path, monkeypatch):
         monkeypatch.undo()
 
 
+def test_sums_come_to_the_driver_in_few_rows(spark, monkeypatch):
+    """Not in batches of four numbers: a row a task."""
+    seen, own = [], type(spark.range(1)).toArrow
+    op = solver.NormalOperator(tod(spark, samples(), dense(samples()) @ np.ones(3 * PIX), np.zeros(len(samples()))).withColumn("value", F.col("signal")), noise_rows(spark, [2.0]), 1)
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", lambda df: seen.append(own(df)) or seen[-1])
+    a = dense(samples())
+    assert np.allclose(op.apply(np.arange(3.0 * PIX)), 2 * a.T @ a @ np.arange(3.0 * PIX))
+    assert [t.num_rows <= 4 < PIX for t in seen] == [True]
+
+
 @pytest.mark.parametrize("orthodir,vectors", [(False, 5), (True, 7)])
 def test_block_vectors_that_the_driver_holds(orthodir, vectors):
     """Residuals, directions, images and one more, of as many columns as there are directions; orthodir has two sets more."""
